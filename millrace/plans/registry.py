@@ -1,4 +1,254 @@
-"""All queries of the library and the SQL that checks them."""
+"""Queries over the driver tables, each an operator at work, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import html, scoring, values
+from millrace.operators import cascade, filters, stats, tables
+from millrace.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SEGMENTS = {"steel": "metal", "brass": "metal", "copper": "metal", "tin": "light", "nickel": "light"}
+KIND = ["purchase", "click", "view", "signup", "error"]
+
+
+def query(sql: str | None = None):
+    """Register a function of a table reader as a query, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- aggregates ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal > 0) AS in_credit, count(*) FILTER (WHERE trim(c_name) <> '') AS named,
+  coalesce(floor(avg(c_acctbal) * 10 + 0.5) / 10.0, 0) AS mean, count(*) FILTER (WHERE c_acctbal >= 5000) AS high, count(*) FILTER (WHERE c_acctbal >= 1000 AND c_acctbal < 5000) AS medium, count(*) FILTER (WHERE c_acctbal < 1000) AS low FROM customer""")
+def stats_global(t):
+    c = t("customer")
+    return c.agg(F.count("*").alias("total"), F.count_if(F.col("c_acctbal") > 0).alias("in_credit"), F.count_if(values.has_text("c_name")).alias("named"), stats.average("c_acctbal").alias("mean"), *stats.buckets("c_acctbal", 5000, 1000))
+
+
+@query("""SELECT n_name, count(*) AS total, count(*) FILTER (WHERE c_acctbal > 0) AS with_value, floor(count(*) FILTER (WHERE c_acctbal > 0) * 1000 / count(*) + 0.5) / 10.0 AS rate
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def stats_rate_by_group(t):
+    both = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return stats.rates(both, "n_name", F.col("c_acctbal") > 0)
+
+
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n DESC, n_name LIMIT 20")
+def stats_topn(t):
+    return stats.top(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), "n_name", 20)
+
+
+@query("SELECT p_brand, count(*) AS n FROM part WHERE p_brand <> '' GROUP BY p_brand")
+def grouped_map_count(t):
+    return stats.grouped_counts(t("part"), "p_brand")
+
+
+@query("""SELECT CASE WHEN grouping(p_brand) = 0 THEN 'p_brand' WHEN grouping(p_type) = 0 THEN 'p_type' ELSE 'all' END AS dimension, coalesce(p_brand, p_type) AS value, count(*) AS n
+  FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), ())""")
+def counts_grouping_sets(t):
+    return stats.counts_by(t("part"), ["p_brand", "p_type"])
+
+
+@query("""SELECT 0 AS step, 'all' AS stage, count(*) AS n FROM orders UNION ALL SELECT 1, 'open', count(*) FILTER (WHERE o_orderstatus = 'O') FROM orders UNION ALL SELECT 2, 'large', count(*) FILTER (WHERE o_totalprice >= 100000) FROM orders""")
+def funnel_rows(t):
+    return stats.funnel(t("orders"), [("all", F.lit(True)), ("open", F.col("o_orderstatus") == "O"), ("large", F.col("o_totalprice") >= 100000)])
+
+
+@query("SELECT event_type AS source, count(*) AS tried, count(*) FILTER (WHERE value > 50) AS found, floor(avg(value) + 0.5) AS mean FROM events GROUP BY event_type")
+def source_statistics(t):
+    return t("events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("tried"), F.count_if(F.col("value") > 50).alias("found"), values.round_half_up(F.avg("value")).cast("double").alias("mean"))
+
+
+# --- filters, order, pages -----------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_name ILIKE '%steel%' OR p_type ILIKE '%steel%' OR p_brand ILIKE '%steel%'")
+def search_multi_ilike(t):
+    return t("part").where(filters.search(["p_name", "p_type", "p_brand"], "%steel,")).select("p_partkey", "p_name", "p_brand", "p_type")
+
+
+@query("SELECT p_partkey FROM part WHERE (p_type ILIKE '%brass%' OR p_type ILIKE '%tin%') AND p_size IN (1, 2, 3)")
+def filter_like_any(t):
+    return t("part").where(filters.like_any("p_type", ["brass", "tin"]) & filters.among("p_size", [1, 2, 3])).select("p_partkey")
+
+
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def page_sorted(t):
+    orders = t("orders")
+    rows = filters.page(orders, "o_totalprice", ["o_totalprice", "o_orderdate"], "o_orderkey", offset=100)
+    return rows.select("o_orderkey", "o_totalprice").crossJoin(F.broadcast(orders.agg(F.count("*").alias("total"))))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 50")
+def page_by_cursor(t):
+    return filters.after(t("orders"), "o_orderkey", 1000, 50).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 WHEN 'error' THEN 4 ELSE 5 END, ts DESC, event_id LIMIT 200")
+def priority_sort(t):
+    return filters.by_priority(t("events"), "event_type", KIND, F.desc("ts"), F.asc("event_id")).limit(200).select("event_id", "event_type")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role = 'user' AS incoming FROM conversations")
+def thread_order(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t("conversations").select("conv_id", "turn", F.row_number().over(w).alias("place"), (F.col("role") == "user").alias("incoming"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'medium' ELSE 'low' END AS level FROM orders")
+def value_bands(t):
+    return t("orders").select("o_orderkey", values.band("o_totalprice", [(200000, "high"), (100000, "medium")], "low").alias("level"))
+
+
+# --- tables --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def keep_first(t):
+    return tables.keep_first(t("events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
+def keep_max(t):
+    return tables.keep_best(t("orders"), ["o_custkey"], "o_totalprice", ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
+def top_three(t):
+    return tables.top_k(t("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_new_rows(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 20 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def upsert_sparse(t):
+    c = t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    changes = c.where("c_custkey % 10 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 20 == 0, "NEW").alias("c_mktsegment"))
+    return tables.update(c, changes, "c_custkey")
+
+
+@query("SELECT n_name, p_type, row_number() OVER (ORDER BY n_name, p_type) - 1 AS combo FROM nation CROSS JOIN (SELECT DISTINCT p_type FROM part)")
+def cross_combos(t):
+    return tables.combinations(t("part").select("p_type").distinct(), t("nation").select("n_name"), ["n_name", "p_type"]).select("n_name", "p_type", "combo")
+
+
+@query("""WITH k AS (SELECT *, (SELECT count(*) FROM lineitem) AS c, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS seq FROM lineitem)
+  SELECT seq // 500 AS batch, count(*) AS size, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM k GROUP BY batch""")
+def batch_numbering(t):
+    rows = tables.batches(t("lineitem").select("l_orderkey", "l_linenumber"), 500, ["l_orderkey", "l_linenumber"])
+    return rows.groupBy("batch").agg(F.count("*").alias("size"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("SELECT event_id, user_id, floor(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 100 / count(*) OVER (PARTITION BY user_id) + 0.5) AS percent FROM events")
+def running_progress(t):
+    return tables.running_percent(t("events"), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", F.col("percent").cast("double"))
+
+
+@query("SELECT s_suppkey, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity >= 50 GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
+def left_zero_fill(t):
+    n = t("lineitem").where("l_quantity >= 50").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    return tables.zero_filled(t("supplier").select("s_suppkey"), n, "s_suppkey", ["n"])
+
+
+@query("SELECT count(DISTINCT e) AS \"unique\", count(e) - count(DISTINCT e) AS duplicate, count(*) - count(e) AS invalid FROM (SELECT nullif(lower(regexp_extract(text, '[a-z0-9]+@[a-z0-9.]+[.][a-z]+')), '') AS e FROM documents)")
+def dedup_stats(t):
+    found = t("documents").select(F.nullif(F.regexp_extract("text", "[a-z0-9]+@[a-z0-9.]+[.][a-z]+", 0), F.lit("")).alias("e"), "doc_id")
+    return tables.email_statistics(found, "e", ["doc_id"])
+
+
+# --- text ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%copper%' THEN 'metal' WHEN lower(p_type) LIKE '%tin%' OR lower(p_type) LIKE '%nickel%' THEN 'light' ELSE 'other' END AS segment FROM part")
+def theta_classify(t):
+    return t("part").select("p_partkey", values.first_match(F.lower("p_type"), SEGMENTS, "other").alias("segment"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')) AS text FROM pages")
+def html_strip(t):
+    return t("pages").select("page_id", html.without_tags("html").alias("text"))
+
+
+@query(r"SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '(?i)^(?:https?://)?([^/?#:]+)', 1)), '^www\.', ''), '') AS host FROM pages")
+def html_links_domain(t):
+    return t("pages").select("page_id", values.domain("url").alias("host"))
+
+
+@query(r"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?:\+33|0033|0)\s?[1-9](?:[\s.\-]?\d{2}){4}'), lambda x: regexp_replace(x, '[^\d+]', '', 'g')))) AS phone FROM documents")
+def extract_phones(t):
+    return t("documents").select("doc_id", F.explode(html.phones("text")).alias("phone"))
+
+
+@query(r"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}'), lambda x: lower(x)))) AS email FROM documents")
+def extract_emails(t):
+    return t("documents").select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(html.EMAIL), 0), F.lower))).alias("email"))
+
+
+@query()
+def contact_emails(t):
+    return t("pages").select("page_id", F.explode(html.emails(html.decoded("html"))).alias("email"))
+
+
+# --- scores, cascade, jobs -----------------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey, least(30 + 20 + CASE WHEN s_acctbal > 0 THEN 15 ELSE 0 END + CASE WHEN s_acctbal / 2000 >= 4 THEN 15 WHEN s_acctbal / 2000 >= 3 THEN 8 ELSE 0 END + CASE WHEN s_nationkey * 4 >= 50 THEN 10 WHEN s_nationkey * 4 >= 10 THEN 5 ELSE 0 END, 100) AS score FROM supplier")
+def lead_score(t):
+    s = t("supplier")
+    score = scoring.place_score("s_name", F.when(F.col("s_acctbal") > 0, "x"), F.col("s_acctbal") / 2000, F.col("s_nationkey") * 4, F.lit(""))
+    return s.select("s_suppkey", score.alias("score"))
+
+
+@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'replied' WHEN bool_or(event_type = 'click') THEN 'clicked' WHEN bool_or(event_type = 'view') THEN 'opened' ELSE 'sent' END AS status, count(*) AS n FROM events GROUP BY user_id""")
+def activity_class(t):
+    has = lambda k: F.max(F.when(F.col("event_type") == k, "x"))
+    per = t("events").groupBy("user_id").agg(has("purchase").alias("a"), has("click").alias("b"), has("view").alias("c"), F.count("*").alias("n"))
+    return per.select("user_id", scoring.activity("a", "b", "c").alias("status"), "n")
+
+
+@query("""WITH r AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, event_type, value FROM events),
+  s AS (SELECT id, p, CASE event_type WHEN 'purchase' THEN 90 WHEN 'click' THEN 85 WHEN 'view' THEN 65 WHEN 'signup' THEN 55 ELSE 30 END + CASE WHEN event_type = 'click' THEN 15 ELSE 0 END AS c, event_type = 'click' AS mail FROM r WHERE p < 6),
+  m AS (SELECT *, max(c) OVER w AS top, sum(mail::INT) OVER w AS mails FROM s WINDOW w AS (PARTITION BY id ORDER BY p)),
+  e AS (SELECT id, min(p) AS stop FROM m WHERE mails > 0 AND top + CASE WHEN mails > 1 THEN 20 ELSE 0 END >= 80 GROUP BY id)
+  SELECT m.id, count(*) AS tried, least(100, max(m.top) + CASE WHEN max(mails) > 1 THEN 20 ELSE 0 END) AS confidence, bool_or(e.stop IS NOT NULL) AS stopped FROM m LEFT JOIN e USING (id) WHERE e.stop IS NULL OR p <= e.stop GROUP BY m.id""")
+def cascade_early_stop(t):
+    named = {"purchase": "sirene", "click": "schema_org", "view": "deep_scrape", "signup": "google_dork", "error": "dns_intel"}
+    source = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.col("event_type")]
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    text = F.lit(None).cast("string")
+    results = t("events").select(F.col("user_id").alias("id"), (F.row_number().over(w) - 1).alias("priority"), source.alias("source"), F.when(F.col("event_type") == "click", "a@x.test").alias("email"), *(text.alias(n) for n in ("phone", "registration", "officer")), F.lit(False).alias("verified"), F.lit(None).cast("boolean").alias("has_mx")).where("priority < 6")
+    records = t("events").select(F.col("user_id").alias("id")).distinct().select("id", F.lit("x.test").alias("domain"), text.alias("email"), F.lit(0).alias("score"), text.alias("first_name"), text.alias("last_name"))
+    return cascade.enrich(records, results).select("id", F.size("used").cast("long").alias("tried"), "confidence", F.col("stopped"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(t):
+    return t("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("""SELECT user_id AS job, arg_max(props, event_id) FILTER (WHERE event_type = 'view') AS progress, count(*) FILTER (WHERE event_type = 'click') AS results,
+  CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'error' ELSE 'running' END AS status, max(event_id) AS last_seq FROM events GROUP BY user_id""")
+def event_reducer(t):
+    name = F.when(F.col("event_type") == "view", "progress").when(F.col("event_type") == "click", "lead_done").otherwise(F.col("event_type"))
+    return jobs.state(t("events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), name.alias("event"), F.col("props").alias("data")))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(t):
+    return jobs.windowed_counts(t("events"))
