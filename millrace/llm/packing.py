@@ -16,7 +16,7 @@ from millrace.llm.common import cut, in_pieces, total_over
 
 WINDOW, END_ID = 4096, 2
 #: Words whose ids a worker remembers; lengths that combinations are enumerated from.
-REMEMBERED, DEPTH_LENGTHS = 600_000, 160
+REMEMBERED, DEPTH_LENGTHS = 800_000, 160
 _SPACES = dict.fromkeys((9, 10, 11, 12, 13), " ")
 _MEMO: dict[str, dict[str, bytes]] = {}
 _TOKENIZERS: dict = {}
@@ -53,9 +53,11 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     word is encoded once and remembered.
     """
     memo = _MEMO.setdefault(path, {})
-    if len(memo) > REMEMBERED:
-        memo.clear()
     split = [t.translate(_SPACES).split(" ") for t in texts]
+    if len(memo) > REMEMBERED:  # the words of these texts stay, and with them the common ones
+        kept = {w: memo[w] for w in set().union(*split) if w in memo}
+        memo.clear()
+        memo.update(kept)
     new = [w for w in set().union(*split) if w not in memo] if split else []
     parts = {w: (w[:i], w[i:]) for w in new if w and (i := _stem(w))}
     encode = list({x for w in new for x in (parts.get(w) or (w,)) if x not in memo})
