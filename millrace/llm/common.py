@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 #: The white space that separates words: space, and tab to carriage return.
 SEPARATORS = (9, 10, 11, 12, 13, 32)
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+ROWS_A_PARTITION = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,9 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; keeps partitions and their order."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; keeps partitions and their order.
+
+    With a bound on its rows known, a small result gets fewer partitions, and so fewer files.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(8, rows // ROWS_A_PARTITION))
     return df.checkpoint(eager=True)
 
 
@@ -191,16 +196,17 @@ def components(links: DataFrame) -> DataFrame:
     nothing changes. Minima are combined before they are shuffled and cut from the plan, so that the joins
     that follow are plain ones whose hot keys Spark splits at run time.
     """
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    n = 2 * links.count()
+    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), n)
     state = None
     while (now := edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()) != state:
         if not now[0]:
             break
         state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), n)
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), n)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

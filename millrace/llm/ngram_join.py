@@ -9,15 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, cut, in_pieces, mixed, multipliers, text_bytes, window_hashes, word_hashes, words_of, written
+from millrace.llm.common import components, cut, in_pieces, mixed, multipliers, text_bytes, total_over, window_hashes, word_hashes, words_of, written
 
 WIDTH, LEAST = 5, 75
-#: Partitions of the feature domain per possible difference; runs up to which all pairs of a signature are candidates.
-SPREAD, RUN = 1.3, 8
+#: Partitions of the feature domain per possible difference; signatures asked for beyond the first, per difference.
+SPREAD, BEYOND = 1.6, 0.25
+#: Up to how many documents with a signature all pairs of them are counted.
+RUN = 32
 #: Bytes of text whose signatures one bucket should hold.
 BUCKET_BYTES = 16 << 20
+#: Elements of sets in a block of documents that are compared with each other.
+BLOCK_ELEMENTS = 500_000
 _ENTRY_BITS, _SIG_BITS = 12, 44
-_BLOB = [("id", np.int64), ("set", np.uint64), ("n", np.uint32), ("sigs", np.uint32)]
+_BLOB = [("id", np.int64), ("set", np.uint64), ("n", np.uint32), ("need", np.uint32), ("sigs", np.uint32)]
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -53,18 +57,19 @@ def bands(largest: int, least: int = LEAST) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (of _SIG_BITS bits) of sets and the set each belongs to, sorted by set.
+def signatures(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures (of _SIG_BITS bits) of sets and the set each belongs to, sorted by set; how many a near set must share.
 
     For a band with sizes up to m, two sets within the similarity differ in at most k = m (200 - 2 least) / (100 + least)
     elements. The domain (hash values) is cut into SPREAD * k equal ranges; each difference spoils at most one of
     them, so of a set's non-empty ranges all but k are equal in the other. Both sets rank their ranges alike, those
-    with most elements first; the first k + 1 of each must share one, and only these are signatures. A set with at most k
-    non-empty ranges also gives the signatures of a scheme with a range for each element, where k + 1 always exist.
+    with most elements first; the first k + 1 + x of each must share x + 1, and only these are signatures. x is a part of k,
+    so that sharing a passage is not enough. A set with fewer non-empty ranges also gives the signatures of a scheme with
+    a range for each element, where there always are enough.
     """
     sizes = np.diff(bounds)
     if not len(sizes) or not sizes.max():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(len(sizes), np.int64)
     tops = bands(int(sizes.max()), least)
     band = np.searchsorted(tops, sizes)
     far = sizes * 100 // least
@@ -79,20 +84,25 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tu
     differ = (sizes[owner] + np.minimum(most, far[owner])) * (100 - least) // (100 + least)
     keep = differ > 0  # sets that may not differ at all are found by their hash
     owner, level, most, differ = owner[keep], level[keep], most[keep], differ[keep]
+    beyond = (differ * BEYOND).astype(np.int64)
+    need = np.full(len(sizes), np.iinfo(np.int32).max, np.int64)
+    np.minimum.at(need, owner, beyond + 1)
+    need[need == np.iinfo(np.int32).max] = 1
+    first = differ + beyond
     ranges = np.ceil(SPREAD * (2 * most * (100 - least) // (100 + least))).astype(np.uint64) + np.uint64(1)
     found, belongs = [], []
     for a in range(0, len(owner), 1 << _ENTRY_BITS):
         part = slice(a, a + (1 << _ENTRY_BITS))
-        s, o, few = _chosen(hashes, bounds, owner[part], level[part], ranges[part], differ[part], 0)
+        s, o, few = _chosen(hashes, bounds, owner[part], level[part], ranges[part], first[part], 0)
         found.append(s)
         belongs.append(o)
         if few.any():
-            s, o, _ = _chosen(hashes, bounds, owner[part][few], level[part][few], None, differ[part][few], 1)
+            s, o, _ = _chosen(hashes, bounds, owner[part][few], level[part][few], None, first[part][few], 1)
             found.append(s)
             belongs.append(o)
     found, belongs = np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([np.zeros(0, np.int64), *belongs])
     order = np.argsort(belongs, kind="stable")
-    return found[order], belongs[order]
+    return found[order], belongs[order], need
 
 
 def _chosen(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np.ndarray, ranges: np.ndarray | None, differ: np.ndarray, scheme: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +132,7 @@ def _chosen(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np
 
 def _spread(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, least: int) -> Iterator[tuple[int, bytes]]:
     """Signatures dealt to buckets: for each, its documents (id, hash of the set, size, signatures here) and the signatures."""
-    sig, owner = signatures(hashes, bounds, least)
+    sig, owner, need = signatures(hashes, bounds, least)
     bucket, sig = (sig % np.uint64(buckets)).astype(np.int64), sig // np.uint64(buckets)
     n = np.diff(bounds)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(0x5DEECE66D)))])
@@ -136,7 +146,7 @@ def _spread(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: in
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     head = np.zeros(len(starts), _BLOB)
     who = key[starts] % len(ids) if len(ids) else starts
-    head["id"], head["set"], head["n"], head["sigs"] = ids[who], whole[who], n[who], np.add.reduceat(real, starts) if len(starts) else 0
+    head["id"], head["set"], head["n"], head["need"], head["sigs"] = ids[who], whole[who], n[who], need[who], np.add.reduceat(real, starts) if len(starts) else 0
     at = np.searchsorted(key[starts] // max(1, len(ids)), np.arange(buckets + 1))
     ends = np.concatenate([[0], np.cumsum(head["sigs"].astype(np.int64))])
     sig = sig[real > 0]
@@ -156,8 +166,10 @@ _OUT = "kind int, u long, v long, n long, key long"
 
 
 def _matched(table: pa.Table, buckets: int, least: int) -> pa.Table:
-    """One bucket: kind 0, each document at home (u, its size n, hash of its set as key); kind 1, pairs that share a
-    signature; kind 2, documents u that share the signature ``key`` with more than RUN others."""
+    """One bucket. kind 0: each document at home (u, its size n, hash of its set as key); kind 1: pairs in short runs
+    of a signature, the n signatures they share and the number they need (key); kind 2: documents u in a long run of the
+    signature ``key``; kind 3: how many signatures of document u are in long runs (n), and the fewest it may need (key);
+    kind 4: document v of long runs and the smallest document u of these."""
     heads, sigs = zip(*(_open(b.as_py()) for b in table.column("blob")), strict=True)
     k = table.column("bucket")[0].as_py()
     head, sig = np.concatenate(heads), np.concatenate(sigs)
@@ -192,36 +204,83 @@ def _matched(table: pa.Table, buckets: int, least: int) -> pa.Table:
         i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
         u.append(doc[i])
         v.append(doc[i + d])
-    star = np.flatnonzero(~small & same)
-    u.append(doc[start[run[star]]])
-    v.append(doc[star])
-    pair = np.unique(np.concatenate(u) << 32 | np.concatenate(v))
     sized = head[by_id]
-    a, b = sized[pair >> 32], sized[pair & 0xFFFFFFFF]
-    near = np.minimum(a["n"], b["n"]).astype(np.int64) * 100 >= np.maximum(a["n"], b["n"]).astype(np.int64) * least
-    a, b = a[near], b[near]
+
+    def pairs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, times = np.unique(u << 32 | v, return_counts=True)
+        a, b = sized[key >> 32], sized[key & 0xFFFFFFFF]
+        near = np.minimum(a["n"], b["n"]).astype(np.int64) * 100 >= np.maximum(a["n"], b["n"]).astype(np.int64) * least
+        return a[near], b[near], times[near]
+
+    a, b, times = pairs(np.concatenate(u), np.concatenate(v))
     waits = np.flatnonzero(~small)
-    ids = sized["id"][doc[waits]]
-    key = (mixed(sig[waits] * np.uint64(buckets) + np.uint64(k))).view(np.int64)
-    kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(home), len(a), len(waits)])
-    zeros = lambda n: np.zeros(n, np.int64)
-    columns = [
-        kinds,
-        np.concatenate([home["id"], a["id"], ids]),
-        np.concatenate([zeros(len(home)), b["id"], zeros(len(waits))]),
-        np.concatenate([home["n"].astype(np.int64), zeros(len(a) + len(waits))]),
-        np.concatenate([home["set"].view(np.int64) if home["set"].flags.c_contiguous else home["set"].astype(np.uint64).view(np.int64), zeros(len(a)), key]),
+    star = np.full(len(head), len(head), np.int64)
+    np.minimum.at(star, doc[waits], doc[start[run[waits]]])
+    member = np.flatnonzero(star < np.arange(len(head)))
+    c, d, _ = pairs(star[member], member)
+    key = mixed(sig[waits] * np.uint64(buckets) + np.uint64(k)).view(np.int64)
+    shared = np.bincount(doc[waits], minlength=len(head))
+    some = np.flatnonzero(shared)
+    smallest = -(-sized["n"][some].astype(np.int64) * least // 100)
+    fewest = ((2 * smallest * (100 - least) // (100 + least)) * BEYOND).astype(np.int64) + 1
+    none = lambda n: np.zeros(n, np.int64)
+    rows = [
+        (0, home["id"], none(len(home)), home["n"], np.ascontiguousarray(home["set"]).view(np.int64)),
+        (1, a["id"], b["id"], times, np.minimum(a["need"], b["need"])),
+        (2, sized["id"][doc[waits]], none(len(waits)), none(len(waits)), key),
+        (3, sized["id"][some], none(len(some)), shared[some], fewest),
+        (4, c["id"], d["id"], none(len(c)), none(len(c))),
     ]
-    return pa.table([pa.array(x) for x in columns], names=["kind", "u", "v", "n", "key"])
+    kinds = np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows])
+    return pa.table([pa.array(kinds), *(pa.array(np.concatenate([r[i].astype(np.int64) for r in rows])) for i in (1, 2, 3, 4))], names=["kind", "u", "v", "n", "key"])
+
+
+def _compared(docs: DataFrame, of: DataFrame, least: int) -> DataFrame:
+    """Links between documents (doc, c) of different components c, found by comparing blocks of documents.
+
+    Documents are ordered by the size of their sets and cut into blocks of bounded size; only blocks whose sizes allow a
+    link meet. Within two blocks, intersections are counted through an inverted list, and one link for each two
+    components is given.
+    """
+    spark = docs.sparkSession
+    sized = docs.join(of.select(F.col("doc_id").alias("doc"), (F.octet_length("set") / 8).cast("long").alias("n")), "doc")
+    placed = cut(total_over(sized, ["n", "doc"], ["n"]).withColumn("block", F.floor(F.col("n_end") / BLOCK_ELEMENTS).cast("int")))
+    sizes = sorted(tuple(r) for r in placed.groupBy("block").agg(F.min("n"), F.max("n")).collect())
+    meet = [(x, y) for i, (x, _, top) in enumerate(sizes) for y, low, _ in sizes[i:] if low * least <= top * 100]
+    table = spark.createDataFrame([(b, x, y) for x, y in meet for b in {x, y}] or [(0, 0, 0)], "block int, x int, y int")
+    dealt = placed.join(table, "block").join(of.withColumnRenamed("doc_id", "doc"), "doc").select("x", "y", "block", "doc", "c", "set")
+
+    def compare(t: pa.Table) -> pa.Table:
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        block, doc, c = (t.column(n).to_numpy() for n in ("block", "doc", "c"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
+        own, other = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        n = np.array([len(s) for s in sets])
+        hashes = np.concatenate([sets[i] for i in other]) if len(other) else np.zeros(0, np.uint64)
+        holder = np.repeat(np.arange(len(other)), n[other])
+        order = np.argsort(hashes, kind="stable")
+        hashes, holder = hashes[order], holder[order]
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for i in own:
+            low, high = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+            many = high - low
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            both = np.bincount(holder[at], minlength=len(other))
+            for j in other[(100 * both >= least * (n[i] + n[other] - both)) & (c[other] != c[i])]:
+                found[min(c[i], c[j]), max(c[i], c[j])] = (min(doc[i], doc[j]), max(doc[i], doc[j]))
+        u, v = zip(*found.values(), strict=True) if found else ((), ())
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return dealt.groupBy("x", "y").applyInArrow(compare, "u long, v long")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles (size of the set) and component_id, the smallest doc_id reachable by links.
 
     Two documents link when their sets of distinct 5-word shingles have a Jaccard similarity of ``least`` per cent or
-    more. Equal sets are merged first. Of the documents that share a signature, small runs give all pairs and large ones
-    give a star around their first; a candidate is verified on whole sets only where it joins two components. Members
-    of large runs that then still lie in different components are verified against each other, so no link is lost.
+    more. Equal sets are merged first. Of the documents with a signature, short runs give all pairs, of which those
+    with enough signatures in common are candidates, and long runs a star around their first; a candidate is verified on whole sets only where it joins two components. Members
+    of long runs that then still span components are compared block by block, so no link is lost.
 
     A null, empty or blank text has an empty set and links with nothing; fewer than five words are one shingle.
     Rows of one doc_id count as one document; an empty table gives no rows. Other columns are not carried.
@@ -240,11 +299,24 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
     matched = lambda t: _matched(t, buckets, least)
     found = written(rows.where("doc_id is not null").mapInArrow(signed, "bucket int, blob binary").groupBy("bucket").applyInArrow(matched, _OUT))
+    many = {k: n for k, n in found.groupBy("kind").count().collect()}
+    short, runs = many.get(1, 0) + many.get(4, 0), many.get(2, 0)
     info = found.where("kind = 0").select(F.col("u").alias("doc_id"), "n", "key")
-    classes = cut(info.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep")))
+    classes = cut(info.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep")), many.get(0, 0))
     member = info.join(classes, ["key", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    pairs = cut(found.where("kind = 1").select("u", "v").distinct())
+    # two near documents share as many signatures as they need; what one has in long runs may be missing in short ones
+    long = cut(found.where("kind = 3").groupBy(F.col("u").alias("doc")).agg(F.sum("n").alias("n"), F.max("key").alias("fewest")), many.get(3, 0))
+    counted = found.where("kind = 1").groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("key").alias("need"))
+    of_long = lambda n: long.select(F.col("doc").alias(n), F.col("n").alias(f"long_{n}"))
+    counted = cut(counted, many.get(1, 0)).join(of_long("u"), "u", "left").join(of_long("v"), "v", "left")
+    counted = counted.where(F.col("n") + F.least(F.coalesce("long_u", F.lit(0)), F.coalesce("long_v", F.lit(0))) >= F.col("need")).select("u", "v")
+    # and if they share none in short runs, each has at least as many in long ones
+    able = cut(long.where("n >= fewest").select(F.col("doc").alias("able")), many.get(3, 0))
+    star = cut(found.where("kind = 4").groupBy("v").agg(F.min("u").alias("u")), many.get(4, 0))
+    star = star.join(able, star["v"] == able["able"], "left_semi").select("u", "v")
+    pairs = cut(counted.union(star).distinct(), short)
     waits = found.where("kind = 2").select(F.col("u").alias("doc"), "key")
+    waits = cut(waits.join(able, waits["doc"] == able["able"], "left_semi"), runs)
     names = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(waits.select("doc")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +340,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
                 yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
         both = candidates.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v")
-        return cut(both.mapInArrow(check, "u long, v long"))
+        return cut(both.mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
 
     def apart(candidates: DataFrame, reach: DataFrame) -> DataFrame:
         """Candidates whose documents are in different components yet."""
@@ -277,16 +349,15 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
         return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
     links = verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    reach = cut(components(links))
-    links = cut(links.unionByName(verified(cut(apart(pairs, reach)))))
-    reach = cut(components(links))
-    # large runs that still span components
+    reach = cut(components(links), short)
+    links = cut(links.unionByName(verified(cut(apart(pairs, reach), short))), short)
+    reach = cut(components(links), short)
+    # long runs that still span components
     spread = waits.join(reach, waits["doc"] == reach["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    spread = cut(spread.distinct())
-    open_ = cut(spread.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"))
-    rest = cut(spread.join(open_, "key"))
-    cross = rest.select("key", F.col("doc").alias("u"), F.col("c").alias("cu")).join(rest.select("key", F.col("doc").alias("v"), F.col("c").alias("cv")), "key").where("cu < cv")
-    links = links.unionByName(verified(cut(cross.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())))
-    reach = cut(components(links))
+    spread = cut(spread.distinct(), runs)
+    open_ = cut(spread.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), runs)
+    rest = cut(spread.join(open_, "key").select("doc", "c").distinct(), runs)
+    links = cut(links.unionByName(_compared(rest, of, least)))
+    reach = cut(components(links), short)
     out = member.join(reach, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
