@@ -82,11 +82,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, text: str = "text", doc_id
     gets a shard of its own (these are fewer than ``shards``); the rest is cut into contiguous runs of the smallest
     feasible capacity. Adds size, text_crc32, shard and slot (place in the shard, from 0).
 
-    Null and empty texts have size ``overhead``; repeated rows each take a slot; an empty table gives no rows;
+    Null and empty texts are one group, of size ``overhead`` each; repeated rows each take a slot; an empty table gives no rows;
     with fewer groups than shards some shards stay empty. Other columns are not carried.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(F.col(text)).alias("key")))
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("key")))
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
     rest, free, own = groups.agg(F.sum("bytes")).first()[0] or 0, shards, []
     for key, size in groups.orderBy(F.desc("bytes"), "key").limit(shards).collect():
