@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.values import col, phone_digits
 
@@ -37,7 +38,7 @@ def without_tags(c: Column | str, scripts: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _numeric_entities(s: pd.Series) -> pd.Series:
     """&#64; and &#x40; as characters, UTF-16 units as a browser has them; others are left."""
 

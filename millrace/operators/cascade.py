@@ -114,8 +114,8 @@ def merged_people(people: Column) -> Column:
 
     def one(k: Column) -> Column:
         own = F.filter(named, lambda p: key(p) == k)
-        latest = {f: F.get(F.reverse(F.filter(F.transform(own, lambda p, f=f: p[f]), lambda x: filled(x))), F.lit(0)).alias(f) for f in fields}
-        return F.struct(*latest.values(), F.array_max(F.transform(own, lambda p: p["confidence"])).alias("confidence"))
+        latest = lambda f: F.get(F.reverse(F.filter(F.transform(own, lambda p: p[f]), lambda x: filled(x))), F.lit(0)).alias(f)
+        return F.struct(*map(latest, fields), F.array_max(F.transform(own, lambda p: p["confidence"])).alias("confidence"))
 
     return F.transform(F.array_distinct(F.transform(named, key)), one)
 

@@ -13,7 +13,7 @@ from millrace.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SEGMENTS = {"steel": "metal", "brass": "metal", "copper": "metal", "tin": "light", "nickel": "light"}
+SEGMENTS = {"rod": "metal", "plate": "metal", "gear": "machine"}
 KIND = ["purchase", "click", "view", "signup", "error"]
 
 
@@ -75,14 +75,14 @@ def source_statistics(t):
 # --- filters, order, pages -----------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_name ILIKE '%steel%' OR p_type ILIKE '%steel%' OR p_brand ILIKE '%steel%'")
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_name ILIKE '%gear%' OR p_type ILIKE '%gear%' OR p_brand ILIKE '%gear%'")
 def search_multi_ilike(t):
-    return t("part").where(filters.search(["p_name", "p_type", "p_brand"], "%steel,")).select("p_partkey", "p_name", "p_brand", "p_type")
+    return t("part").where(filters.search(["p_name", "p_type", "p_brand"], "%gear,")).select("p_partkey", "p_name", "p_brand", "p_type")
 
 
-@query("SELECT p_partkey FROM part WHERE (p_type ILIKE '%brass%' OR p_type ILIKE '%tin%') AND p_size IN (1, 2, 3)")
+@query("SELECT p_partkey FROM part WHERE (p_type ILIKE '%promo%' OR p_type ILIKE '%small%') AND p_size IN (1, 2, 3)")
 def filter_like_any(t):
-    return t("part").where(filters.like_any("p_type", ["brass", "tin"]) & filters.among("p_size", [1, 2, 3])).select("p_partkey")
+    return t("part").where(filters.like_any("p_type", ["promo", "small"]) & filters.among("p_size", [1, 2, 3])).select("p_partkey")
 
 
 @query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -175,9 +175,9 @@ def dedup_stats(t):
 # --- text ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%copper%' THEN 'metal' WHEN lower(p_type) LIKE '%tin%' OR lower(p_type) LIKE '%nickel%' THEN 'light' ELSE 'other' END AS segment FROM part")
+@query("SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%rod%' OR lower(p_name) LIKE '%plate%' THEN 'metal' WHEN lower(p_name) LIKE '%gear%' THEN 'machine' ELSE 'other' END AS segment FROM part")
 def theta_classify(t):
-    return t("part").select("p_partkey", values.first_match(F.lower("p_type"), SEGMENTS, "other").alias("segment"))
+    return t("part").select("p_partkey", values.first_match(F.lower("p_name"), SEGMENTS, "other").alias("segment"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')) AS text FROM pages")
