@@ -39,9 +39,14 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back (columns can then be pruned)."""
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back (columns can then be pruned).
+
+    With a bound on its rows known, a small result gets fewer files.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(8, rows // ROWS_A_PARTITION))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -195,9 +200,12 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star in turn: every node's larger neighbours move to its smallest neighbour, until
     nothing changes. Minima are combined before they are shuffled and cut from the plan, so that the joins
     that follow are plain ones whose hot keys Spark splits at run time.
+
+    Each round's edges are a written table: a checkpoint keeps its plan's estimate of size, which a join squares, so
+    that after some rounds planning would take longer than the work.
     """
     n = 2 * links.count()
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), n)
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), n)
     state = None
     while (now := edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()) != state:
         if not now[0]:
@@ -208,5 +216,5 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), n)
+        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), n)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
+from millrace.llm import common, embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, shard int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,3 +226,13 @@ def test_long_runs_lose_no_link(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
         texts.append(" ".join(w))
     test_jaccard_groups_are_exact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_components_of_a_long_chain(spark):
+    """Many rounds stay as quick to plan as the first."""
+    ids = list(range(10, 3_010))
+    random.Random(1).shuffle(ids)
+    links = spark.createDataFrame([*zip(ids[:-1], ids[1:], strict=True), (1, 2), (2, 1), (5, 5)], "u long, v long")
+    out = dict(tuple(r) for r in common.components(links).collect())
+    assert out == {i: 10 for i in ids if i > 10} | {2: 1}
+    assert common.components(links.limit(0)).count() == 0
