@@ -16,6 +16,8 @@ from millrace.llm.common import in_pieces, mixed, text_bytes, word_hashes, words
 BITS, DIMENSIONS, GRAM = 17, 16, 4
 #: At most about so many labelled documents are fitted on, chosen by a hash of doc_id; a documented bound.
 SAMPLE = 2_000
+#: Bytes of text whose features a worker holds at once; a longer text is taken alone.
+PIECE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = docs.where("text is not null").select("doc_id", "text").join(known.where(keep), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "text", 1 << 20):
+        for b in in_pieces(batches, "text", PIECE):
             buckets, owner = features(b.column(1))
             both, count = np.unique(owner.astype(np.int64) << BITS | buckets, return_counts=True)
             bounds = np.searchsorted(both >> BITS, np.arange(b.num_rows + 1))
@@ -109,7 +111,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     bias = float(model.bias[1] - model.bias[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, text):
+        for b in in_pieces(batches, text, PIECE):
             buckets, owner = features(b.column(b.schema.get_field_index(text)))
             total = np.bincount(owner, margin.value[buckets], b.num_rows)
             z = total / np.maximum(1, np.bincount(owner, minlength=b.num_rows)) + bias
