@@ -15,7 +15,7 @@ from millrace.llm.common import in_pieces, mixed, text_bytes, word_hashes, words
 
 BITS, DIMENSIONS, GRAM = 17, 16, 4
 #: At most about so many labelled documents are fitted on, chosen by a hash of doc_id; a documented bound.
-SAMPLE = 2_000
+SAMPLE = 3_000
 #: Bytes of text whose features a worker holds at once; a longer text is taken alone.
 PIECE = 1 << 19
 
