@@ -18,6 +18,8 @@ SPREAD, BEYOND = 1.6, 0.25
 RUN = 32
 #: Bytes of text whose signatures one bucket should hold.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text whose sets and signatures a worker holds at once; a longer text is taken alone.
+PIECE = 1 << 20
 #: Elements of sets in a block of documents that are compared with each other.
 BLOCK_ELEMENTS = 500_000
 _ENTRY_BITS, _SIG_BITS = 12, 44
@@ -291,7 +293,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "text"):
+        for b in in_pieces(batches, "text", PIECE):
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 out = list(_spread(part.column(0).to_numpy(), *shingle_sets(part.column(1)), buckets, least))
@@ -320,7 +322,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     names = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(waits.select("doc")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "text"):
+        for b in in_pieces(batches, "text", PIECE):
             hashes, bounds = shingle_sets(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
 
