@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,16 +180,22 @@ def groups_of(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Split batches so that each holds about ``most`` bytes of text, or a single longer text."""
+    """Split batches so that each holds about ``most`` bytes of text, or a single longer text.
+
+    Texts are not copied here, and what Arrow no longer uses goes back to the system after each batch: a worker lives
+    through many stages.
+    """
     for b in batches:
         if not b.num_rows:
             continue
-        _, offsets = text_bytes(b.column(b.schema.get_field_index(column)))
+        sizes = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0)
+        offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)])
         at = 0
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             yield b.slice(at, min(to, b.num_rows) - at)
             at = min(to, b.num_rows)
+        pa.default_memory_pool().release_unused()
 
 
 # --- links to components -------------------------------------------------------------------------------------
