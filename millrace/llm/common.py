@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 #: The white space that separates words: space, and tab to carriage return.
 SEPARATORS = (9, 10, 11, 12, 13, 32)
 ROWS_A_PARTITION = 200_000
+#: Bytes of an Arrow batch of texts between Spark and a worker; a longer text is a batch alone.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +55,17 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, unless its bound is lower already.
+
+    Spark's own bound is 64 MB, which the executor (its buffers double as they grow) and each worker hold more than once.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name, None) or "")
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def folded(column: Column | str) -> Column:
     """``crc32(doc_id as text) mod 3 = 1``: the rows held out from learning."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % 3 == 1

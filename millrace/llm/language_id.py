@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import in_pieces, mixed, text_bytes
+from millrace.llm.common import in_pieces, mixed, small_batches, text_bytes
 
 DIMENSIONS, GRAM = 1024, 3
 #: Profiles are learned from about so many documents at most, chosen by a hash of doc_id; a documented bound.
@@ -101,6 +101,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     At most about ``sample`` documents are used; each task sends one vector per language to the driver, from at
     most 64 tasks.
     """
+    small_batches(docs.sparkSession)
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     n = docs.count()
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / max(1, n))))
@@ -126,6 +127,7 @@ def predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "t
     Null texts, texts without a letter and, without prototypes, all texts get ``und`` and 0. Ties go to the first
     language by name. Whole texts are used, in pieces of bounded memory.
     """
+    small_batches(docs.sparkSession)
     names = list(prototypes)
     matrix = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[k] for k in names]).reshape(len(names), DIMENSIONS))
 

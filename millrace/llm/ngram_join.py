@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, cut, in_pieces, mixed, multipliers, text_bytes, total_over, window_hashes, word_hashes, words_of, written
+from millrace.llm.common import components, cut, in_pieces, mixed, multipliers, small_batches, text_bytes, total_over, window_hashes, word_hashes, words_of, written
 
 WIDTH, LEAST = 5, 75
 #: Partitions of the feature domain per possible difference; signatures asked for beyond the first, per difference.
@@ -288,6 +288,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     Rows of one doc_id count as one document; an empty table gives no rows. Other columns are not carried.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import in_pieces, mixed, text_bytes, word_hashes, words_of
+from millrace.llm.common import in_pieces, mixed, small_batches, text_bytes, word_hashes, words_of
 
 BITS, DIMENSIONS, GRAM = 17, 16, 4
 #: At most about so many labelled documents are fitted on, chosen by a hash of doc_id; a documented bound.
@@ -84,6 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Rows without a text or label are left out. Only their buckets and counts go to the driver, bounded by the sample
     and the number of buckets. Without any label the model knows nothing and scores 0.5 everywhere.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
     n = known.count()
     keep = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / max(1, n)))
@@ -107,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1, the softmax of label 1) of each whole text; a null or empty text gets the bias alone."""
+    small_batches(docs.sparkSession)
     margin = docs.sparkSession.sparkContext.broadcast(model.margin())  # 2 ** BITS numbers
     bias = float(model.bias[1] - model.bias[0])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, in_pieces, mixed, multipliers, text_bytes, window_hashes, word_hashes, words_of, written
+from millrace.llm.common import cut, in_pieces, mixed, multipliers, small_batches, text_bytes, window_hashes, word_hashes, words_of, written
 
 SYMBOLS = b"#*$%&|<>"
 #: metric: (numerator, denominator, spreads above the median that are allowed, least room above the median, per mille).
@@ -77,6 +77,7 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def counted(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The columns to ``keep`` and the COUNTS of every whole text."""
+    small_batches(docs.sparkSession)
     chosen = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in chosen.drop("_text").dtypes), *(f"{c} long" for c in COUNTS)])
 
