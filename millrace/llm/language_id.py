@@ -14,7 +14,7 @@ from millrace.llm.common import in_pieces, mixed, small_batches, text_bytes
 
 DIMENSIONS, GRAM = 1024, 3
 #: Profiles are learned from about so many documents at most, chosen by a hash of doc_id; a documented bound.
-SAMPLE = 6_000
+SAMPLE = 12_000
 #: Rows of a piece and letters of all scripts that a packed n-gram key has room for.
 _ROW_BITS, _LETTER_BITS = 12, 17
 _SYMBOL = np.full(0x110000, -1, np.int32)  # per process: code point to symbol; 0 is anything but a letter

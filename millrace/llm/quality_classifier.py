@@ -15,7 +15,7 @@ from millrace.llm.common import in_pieces, mixed, small_batches, text_bytes, wor
 
 BITS, DIMENSIONS, GRAM = 17, 16, 4
 #: At most about so many labelled documents are fitted on, chosen by a hash of doc_id; a documented bound.
-SAMPLE = 3_000
+SAMPLE = 12_000
 #: Bytes of text whose features a worker holds at once; a longer text is taken alone.
 PIECE = 1 << 19
 
@@ -63,8 +63,8 @@ def train(bags: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
             step = rate * (1 - done / steps)
             done += batch
             for k in order[a : a + batch]:
-                ids, w = bags[k], counts[k]
-                w = w / w.sum()
+                ids, w = bags[k], counts[k].astype(np.float32)
+                w /= w.sum()
                 hidden = w @ table[ids]
                 z = hidden @ weights + bias
                 e = np.exp(z - z.max())
@@ -96,14 +96,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             both, count = np.unique(owner.astype(np.int64) << BITS | buckets, return_counts=True)
             bounds = np.searchsorted(both >> BITS, np.arange(b.num_rows + 1))
             ids = (both & ((1 << BITS) - 1)).astype(np.int32)
-            count = count.astype(np.float32)
-            rows = [(ids[x:y].tobytes(), count[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            kinds = [np.uint16 if count[x:y].max(initial=0) < 1 << 16 else np.uint32 for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            rows = [(ids[x:y].tobytes(), count[x:y].astype(kind).tobytes()) for x, y, kind in zip(bounds[:-1], bounds[1:], kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "quality", "ids", "counts"])
 
     rows = sorted((r for r in chosen.mapInArrow(run, "doc_id long, quality int, ids binary, counts binary").toLocalIterator() if r["ids"]), key=lambda r: (r["doc_id"], bytes(r["ids"])))
     if not rows:
         return Model(np.zeros((1 << BITS, DIMENSIONS), np.float32), np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32))
-    return train([np.frombuffer(r["ids"], np.int32) for r in rows], [np.frombuffer(r["counts"], np.float32) for r in rows], np.array([int(r["quality"] > 0) for r in rows]))
+    counts = [np.frombuffer(r["counts"], np.uint16 if 2 * len(r["counts"]) == len(r["ids"]) else np.uint32) for r in rows]
+    return train([np.frombuffer(r["ids"], np.int32) for r in rows], counts, np.array([int(r["quality"] > 0) for r in rows]))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
