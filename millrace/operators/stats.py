@@ -73,3 +73,18 @@ def estimate(segments: DataFrame, categories: str, cities: int) -> DataFrame:
     """Requests, records, cost and minutes of a run over segments and a number of cities (fixed unit estimates)."""
     out = segments.agg((F.sum(F.size(categories)) * cities).alias("requests"), (F.count("*") * cities).alias("combos"))
     return out.select("requests", "combos", (F.col("combos") * 18).alias("records"), (F.col("requests") * F.lit(0.032)).alias("cost"), F.ceil((F.col("requests") * 0.15 + F.col("combos") * 0.3) / 60).alias("minutes"))
+
+
+def exported(df: DataFrame, found: Column, counts: dict[str, Column], groups: list[str], k: int = 20) -> DataFrame:
+    """Sections (section, content) of a JSON report: counts and rate over all, and the k largest groups of each column.
+
+    Null and empty groups count as one; ties go by name. Each section is at most k groups, whatever the input.
+    """
+    total = df.agg(F.count("*").alias("total"), F.count_if(found).alias("with_value"), *(F.count_if(t).alias(n) for n, t in counts.items()))
+    out = total.withColumn("rate", percent("with_value", "total")).select(F.lit("all").alias("section"), F.to_json(F.struct("*")).alias("content"))
+    for g in groups:
+        largest = rates(df.select(F.nullif(F.col(g), F.lit("")).alias(g), found.alias("_found")), g, F.col("_found")).limit(k)
+        ordered = F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("order"), F.col(g).alias("name"), "total", "with_value")))
+        content = largest.agg(F.to_json(F.transform(ordered, lambda x: x.dropFields("order"))).alias("content"))
+        out = out.unionByName(content.select(F.lit(g).alias("section"), "content"))
+    return out
