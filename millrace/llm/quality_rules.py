@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, in_pieces, mixed, multipliers, small_batches, text_bytes, window_hashes, word_hashes, words_of, written
 
 SYMBOLS = b"#*$%&|<>"
-#: metric: (numerator, denominator, spreads above the median that are allowed, least room above the median, per mille).
+#: metric: (numerator, denominator, spreads above the upper quantile that are allowed, tenths of the upper quantile, numerator
+#: that one event makes). The base rule takes away the documents that could drag repeat_rate's ninth decile.
 RULES = {
-    "symbol_rate": ("n_symbols", "n_words", 8, 150),
-    "repeat_rate": ("n_repeat_words", "n_words", 8, 200),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 8, 250),
-    "upper_rate": ("n_upper", "word_chars", 8, 200),
-    "shout_rate": ("n_shouts", "n_words", 8, 200),
-    "word_length": ("word_chars", "n_words", 8, 3000),
+    "symbol_rate": ("n_symbols", "n_words", 8, 8, 1),
+    "repeat_rate": ("n_repeat_words", "n_words", 8, 9, 10),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 8, 8, 1),
+    "upper_rate": ("n_upper", "word_chars", 8, 8, 1),
+    "shout_rate": ("n_shouts", "n_words", 8, 8, 1),
+    "word_length": ("word_chars", "n_words", 8, 8, 0),
 }
+#: Per mille above the learned limit that is always allowed, for groups whose documents are all alike.
+GUARD = 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
 #: Groups with fewer documents take their language's thresholds, and such languages those of all documents.
 FEWEST = 200
@@ -90,13 +93,13 @@ def counted(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 
 def sketch_bin(value: str) -> str:
-    """SQL for the bin of a whole number: exact below 32, then 16 bins for each power of two."""
-    return f"CASE WHEN {value} < 32 THEN {value} ELSE (length(bin({value})) - 5) * 16 + shiftright({value}, length(bin({value})) - 5) END"
+    """SQL for the bin of a whole number: exact below 256, then 128 bins for each power of two, so that median and upper quantile of word_length don't share one."""
+    return f"CASE WHEN {value} < 256 THEN {value} ELSE (length(bin({value})) - 8) * 128 + shiftright({value}, length(bin({value})) - 8) END"
 
 
 def bin_top(b: str) -> str:
     """SQL for the largest value of a bin."""
-    return f"CASE WHEN {b} < 32 THEN {b} ELSE shiftleft(({b}) % 16 + 17, CAST(({b}) DIV 16 - 1 AS INT)) - 1 END"
+    return f"CASE WHEN {b} < 256 THEN {b} ELSE shiftleft(({b}) % 128 + 129, CAST(({b}) DIV 128 - 1 AS INT)) - 1 END"
 
 
 def quantile_sketches(metrics: DataFrame, by: list[str]) -> DataFrame:
@@ -106,33 +109,33 @@ def quantile_sketches(metrics: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _limits(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """Median and lower decile of each merged sketch, and the limit they give for its metric."""
+    """Median and upper quantile of each merged sketch, and the limit they give for its metric."""
     sketches = sketches.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*by, "metric")
     seen = sketches.withColumn("upto", F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(whole))
+    of_metric = lambda k: F.create_map(*(x for m, r in RULES.items() for x in (F.lit(m), F.lit(r[k]))))[F.col("metric")]
     at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("total") * tenths, F.expr(bin_top("bin"))))
-    cuts = seen.groupBy(*by, "metric").agg(at(1).alias("low"), at(5).alias("middle"), F.max("total").alias("documents"))
-    spread = F.create_map(*(x for m, r in RULES.items() for x in (F.lit(m), F.lit(r[2]))))
-    room = F.create_map(*(x for m, r in RULES.items() for x in (F.lit(m), F.lit(r[3]))))
-    limit = F.col("middle") + F.greatest((F.col("middle") - F.col("low")) * spread[F.col("metric")], room[F.col("metric")])
-    return cuts.withColumn("limit", limit).groupBy(*by).pivot("metric", list(RULES)).agg(F.first("limit")).join(cuts.groupBy(*by).agg(F.max("documents").alias("documents")), by) if by else cuts.withColumn("limit", limit).groupBy().pivot("metric", list(RULES)).agg(F.first("limit"))
+    cuts = seen.withColumn("tenths", of_metric(3)).groupBy(*by, "metric").agg(at(5).alias("middle"), at(F.col("tenths")).alias("high"), F.max("total").alias("documents"))
+    limit = F.col("high") + (F.col("high") - F.col("middle")) * of_metric(2) + GUARD
+    per_metric = [F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(m) for m in RULES]
+    return cuts.withColumn("limit", limit).groupBy(*by).agg(*per_metric, F.max("documents").alias("documents"))
 
 
 def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """Counts, base verdict and the verdict by learned thresholds for every document.
 
-    Each metric's limit is its median in the document's language and source plus the larger of a fixed room and
-    eight times the distance from the lower decile to the median; a corpus in which fewer than half of a group are
-    bad hardly moves it. Sketches of languages and of all documents are merged from those of the groups, for
+    Each metric's limit is an upper quantile among the documents of the language and source that pass the base rule,
+    plus eight times its distance from the median and GUARD; bad documents move it only where they are more than a
+    fifth of those (a tenth for repeat_rate). A numerator that a single event makes is never too much. Sketches of languages and of all documents are merged from those of the groups, for
     groups under FEWEST documents. Null languages and sources are groups of their own. A null or empty text has no
     words and fails the base rule. Repeated rows are judged alike; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_t"))
     counts = written(counted(rows, "_t"))
-    rates = {m: F.when(F.col(d) > 0, F.floor(F.col(n) * 1000 / F.col(d))).otherwise(0).cast("long") for m, (n, d, _, _) in RULES.items()}
+    rates = {m: F.when(F.col(d) > 0, F.floor(F.col(n) * 1000 / F.col(d))).otherwise(0).cast("long") for m, (n, d, *_) in RULES.items()}
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rated = counts.withColumns(rates).withColumn("base_failed", base)
-    sketches = cut(quantile_sketches(rated.where("n_words >= 10"), ["lang", "source"]))
+    sketches = cut(quantile_sketches(rated.where("not base_failed"), ["lang", "source"]))
     group = _limits(sketches, ["lang", "source"])
     language = _limits(sketches, ["lang"])
     overall = _limits(sketches, [])
@@ -142,6 +145,6 @@ def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: st
     limits = cut(chosen.select("g_lang", "g_source", *(limit(m).alias(f"most_{m}") for m in RULES)))
     both = rated.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     good = F.lit(True)
-    for m in RULES:
-        good = good & (F.col(m) <= F.coalesce(F.col(f"most_{m}"), F.col(m)))
+    for m, (n, *_, event) in RULES.items():
+        good = good & ((F.col(m) <= F.coalesce(F.col(f"most_{m}"), F.col(m))) | (F.col(n) <= event))
     return both.withColumn("kept", ~F.col("base_failed") & good).drop("g_lang", "g_source")

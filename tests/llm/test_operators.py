@@ -73,6 +73,55 @@ def test_sketch_bins(spark):
     assert df.where("top < id or top > id * 17 / 16 + 1").count() == 0
 
 
+def test_quality_verdicts_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeilnorstu") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    rows = []
+    for lang, source, n, symbols, longer in (("en", "code", 230, 4, 1), ("en", "news", 240, 0, 1), ("de", None, 150, 0, 3), (None, "x", 30, 0, 1)):
+        for i in range(n):
+            w = [rng.choice(words) * longer for _ in range(rng.randint(12, 90))]
+            for _ in range(rng.randint(0, symbols)):
+                w[rng.randrange(len(w))] = "##"
+            if i % 10 == 1:
+                w += w[:7]  # below the base rule in longer texts
+            if i % 23 == 2:
+                w = [x + "#&!"[: i % 4] for x in w]
+            if i % 31 == 3:
+                w = [x.upper() * 2 for x in w]
+            text = " ".join(w)
+            rows.append((len(rows), text + f"\n{text[:30]}" * 3 if i % 29 == 4 else text, lang, source))
+    rows += [(len(rows), None, "en", "news"), (len(rows) + 1, "", None, None)]
+    counts = quality_rules.text_counts(pa.array([r[1] for r in rows], pa.string()))
+    rules, base = quality_rules.RULES, (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
+    rate = {m: counts[n] * 1000 // np.maximum(counts[d], 1) for m, (n, d, *_) in rules.items()}
+
+    def top(v):  # the largest value of v's bin: exact below 256, then 128 bins for each power of two
+        step = max(0, int(v).bit_length() - 8)
+        return ((int(v) >> step) + 1 << step) - 1
+
+    def limits(at):
+        at = [i for i in at if not base[i]]
+        quantile = lambda m, tenths: top(sorted(rate[m][at])[-(-tenths * len(at) // 10) - 1])
+        return len(at), at and {m: quantile(m, r[3]) * 9 - quantile(m, 5) * 8 + 20 for m, r in rules.items()}
+
+    def verdict(i):
+        same = [limits([j for j, o in enumerate(rows) if o[2:k] == rows[i][2:k]]) for k in (4, 3)]
+        most = next((x for n, x in same if n >= quality_rules.FEWEST), None) or limits(range(len(rows)))[1]
+        return not base[i] and all(rate[m][i] <= most[m] or counts[r[0]][i] <= r[4] for m, r in rules.items())
+
+    memo = {}
+    want = {}
+    for i, r in enumerate(rows):
+        key = (r[2], r[3], base[i], *(int(rate[m][i]) for m in rules), *(int(counts[r2[0]][i]) <= r2[4] for r2 in rules.values()))
+        memo[key] = want[r[0]] = memo[key] if key in memo else bool(verdict(i))
+    out = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i: r["kept"] for i, r in out.items()} == want
+    over = lambda r, m: r[m] > r[f"most_{m}"] and not r["base_failed"] and not r["kept"]
+    assert all(any(over(r, m) for r in out.values()) for m in ("symbol_rate", "repeat_rate", "upper_rate"))
+    of = {r["source"]: r for r in out.values() if r["lang"] == "en"}
+    assert of["code"]["most_symbol_rate"] > 100 > of["news"]["most_symbol_rate"]  # a group's own habit sets its limit
+
+
 def normal(line):
     return tuple(WORD.findall(line.lower()))
 
