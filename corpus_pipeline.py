@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those that lose every line of five words or more go. n_chars follows the text."""
-    found = line_dedup.without_repeated_lines(docs.select("doc_id", "text").withColumn("_text", F.col("text")), "_text").where("not emptied")
+    """Documents without repeated lines, short ones too; those that lose every non-blank line go. n_chars follows the text."""
+    found = line_dedup.without_repeated_lines(docs.select("doc_id", "text").withColumn("_text", F.col("text")), "_text", fewest=1).where("not emptied")
     found = found.select(F.col("doc_id").alias("_doc"), F.col("_text")).dropDuplicates(["_doc"])
     out = docs.join(found, docs["doc_id"] == found["_doc"]).withColumn("text", F.col("_text"))
     return (out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out).select(*docs.columns)

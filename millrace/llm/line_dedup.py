@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, written
 
-#: Lines with fewer words are structure rather than content: they are never removed as duplicates.
+#: Lines with fewer words have no near duplicates; whether their exact repeats go is up to ``fewest``.
 MIN_WORDS = 5
 #: Word hashes are taken modulo this, so that sums of two million of them fit a long.
 MODULUS = 1 << 42
@@ -25,8 +25,8 @@ def normal(line: Column) -> Column:
     return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line of at least MIN_WORDS words: its place, 128 bits of hash, and hashes of its halves.
+def occurrences(docs: DataFrame, fewest: int = MIN_WORDS) -> DataFrame:
+    """Every non-blank line of at least ``fewest`` words: its place, 128 bits of hash, and hashes of its halves (none below MIN_WORDS words).
 
     One word's edit leaves the first or the last ``h`` words alone, h being half the words of the shorter line, so two
     near duplicates share a half. A line with an even number of words may be the longer of a pair and has halves of two
@@ -34,12 +34,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """
     lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "line_no", normal(F.col("line")).alias("line"))
-    lines = lines.withColumn("n", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")).where(F.col("n") >= MIN_WORDS)
+    lines = lines.withColumn("n", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")).where((F.col("n") >= fewest) & (F.col("line") != ""))
     half = lambda h: f"xxhash64(0, {h}, substring_index(line, ' ', {h})), xxhash64(1, {h}, substring_index(line, ' ', -({h})))"
     odd, even = f"array({half('n DIV 2')})", f"array({half('n DIV 2')}, {half('n DIV 2 - 1')})"
     # the counts of substring_index are ints
     odd, even = (x.replace("n DIV 2", "CAST(n DIV 2 AS INT)") for x in (odd, even))
-    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), F.expr(f"CASE WHEN n % 2 = 1 THEN {odd} ELSE {even} END").alias("halves"))
+    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), F.expr(f"CASE WHEN n < {MIN_WORDS} THEN CAST(array() AS ARRAY<BIGINT>) WHEN n % 2 = 1 THEN {odd} ELSE {even} END").alias("halves"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -65,10 +65,10 @@ def variants(lines: DataFrame) -> DataFrame:
     return sums.select("doc_id", "line_no", F.inline(F.concat(itself, shorter, replaced)))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, fewest: int = MIN_WORDS) -> DataFrame:
     """Documents with lines to remove: doc_id, gone (their numbers), near (those of gone with an earlier line that differs in a
-    word) and lines (how many lines of MIN_WORDS words the document has)."""
-    seen = written(occurrences(docs))
+    word) and lines (how many non-blank lines of ``fewest`` words the document has)."""
+    seen = written(occurrences(docs, fewest))
     first = cut(seen.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves")))
 
     # lines that share a half with another line, and only those, can have a near duplicate
@@ -104,14 +104,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return out.where(F.size("gone") > 0)
 
 
-def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fewest: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_equal, n_near (lines removed) and emptied.
 
-    emptied: the text had lines of at least MIN_WORDS words and has lost them all. A null text stays null and an empty
-    one empty; rows of one doc_id count as the same document; lines of fewer words stay; an empty table gives no rows.
+    emptied: the text had non-blank lines of at least ``fewest`` words and has lost them all. A null text stays null and
+    an empty one empty; rows of one doc_id count as the same document; blank lines and those of fewer than ``fewest``
+    words stay (1: exact repeats of every non-blank line go; a word's edit is looked for from MIN_WORDS words on, or from
+    ``fewest`` if that is more); an empty table gives no rows.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = repeated_lines(plain).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"), F.col("near").alias("_near"), F.col("lines").alias("_long"))
+    gone = repeated_lines(plain, fewest).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"), F.col("near").alias("_near"), F.col("lines").alias("_long"))
     both = docs.join(cut(gone), F.col(doc_id) == F.col("_doc"), "left").withColumn("_lines", F.split(text, "\n"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.col("_lines")[i])
     both = both.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))

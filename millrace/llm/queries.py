@@ -41,6 +41,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_equal", "n_near", "emptied", F.md5("text").alias("text_md5"))
 
 
+def op3_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3_line_dedup, with exact repeats of short lines removed as well."""
+    out = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"), fewest=1)
+    return out.select("doc_id", "n_lines", "n_equal", "n_near", "emptied", F.md5("text").alias("text_md5"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -78,7 +84,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_quality_rules, op3_line_dedup, op4_packing, op5_language_id, op6_warc, op7_mixing, op8_embedding_dedup, op9_quality_classifier, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_quality_rules, op3_line_dedup, op3_all_lines, op4_packing, op5_language_id, op6_warc, op7_mixing, op8_embedding_dedup, op9_quality_classifier, op10_ngram_join)}
 
 _LINES = r"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),

@@ -148,6 +148,33 @@ def test_line_dedup_is_exact(docs):
     assert out.text[0] is None and line_dedup.without_repeated_lines(empty(docs)).count() == 0
 
 
+def test_short_lines_lose_exact_repeats(spark):
+    texts = [None, "", "Home\n\nAll rights  reserved.\nall rights reserved.\none two three four five six\n ", "home\nnews\none two three four five sax\n\nall rights reserved. ©", "ALL RIGHTS RESERVED.\n\n", "home page\none two three four\none two three five"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(docs, fewest=1).collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        kept = []
+        for x in (t or "").split("\n"):
+            w = normal(x)
+            if w and (w in seen or w == normal("one two three four five sax")):
+                continue
+            seen.add(w)
+            kept.append(x)
+        want[i] = t if t is None else "\n".join(kept)
+    assert {i: r["text"] for i, r in out.items()} == want
+    assert [(i, r["n_equal"], r["n_near"]) for i, r in sorted(out.items()) if r["n_equal"] or r["n_near"]] == [(2, 1, 0), (3, 1, 1), (4, 1, 0)]
+    assert [i for i, r in out.items() if r["emptied"]] == [4]
+
+
+def test_pipeline_lines_lose_short_repeats(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "menu\nfirst"), (2, "menu\nsecond"), (3, "menu"), (4, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert out == {1: "menu\nfirst", 2: "second", 4: None}
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
