@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import SEVERAL_SOURCES, confidence
@@ -78,6 +78,23 @@ def enrich(records: DataFrame, results: DataFrame, threshold: int = 80, max_sour
     return out.withColumns({"best_email": F.coalesce("picked.officer", "picked.company", best_email(F.col("used"))), "best_phone": F.get(best_phone, F.lit(0))["phone"]})
 
 
+def early_stops(results: DataFrame, order: list[str], threshold: int = 80) -> DataFrame:
+    """Per id: tried (how many results ran), confidence and stopped, for any number of results, by window functions only.
+
+    results: id, the columns of ``order`` (they tell the results of an id apart), email and confidence. Results run in
+    order until the aggregate confidence reaches the threshold and an address is known, as in ``enrich`` for records
+    without a known address; none is passed over. Null ids are an id of their own.
+    """
+    upto = Window.partitionBy("id").orderBy(*order)
+    mail = F.lower("email")
+    rows = results.withColumn("_again", filled(mail) & (F.row_number().over(Window.partitionBy("id", mail).orderBy(*order)) > 1))
+    several = F.when(F.max("_again").over(upto), SEVERAL_SOURCES).otherwise(0)
+    rows = rows.withColumn("_sum", F.least(F.lit(100), F.coalesce(F.max("confidence").over(upto), F.lit(0)) + several))
+    rows = rows.withColumn("_stop", F.max(filled("email")).over(upto) & (F.col("_sum") >= threshold))
+    ran = rows.withColumn("_over", F.coalesce(F.lag("_stop").over(upto), F.lit(False))).where("not _over")
+    return ran.groupBy("id").agg(F.count("*").alias("tried"), F.max("_sum").alias("confidence"), F.max("_stop").alias("stopped"))
+
+
 def best_email(results: Column) -> Column:
     """The address that most results have, personal before generic, then by confidence, then the earliest."""
     mails = F.filter(results, lambda r: filled(r["email"]))

@@ -237,6 +237,17 @@ def cascade_early_stop(t):
     return cascade.enrich(records, results).select("id", F.size("used").cast("long").alias("tried"), "confidence", F.col("stopped"))
 
 
+@query()
+def cascade_early_stop_all(t):
+    """cascade_early_stop over all events of each user."""
+    named = {"purchase": "sirene", "click": "schema_org", "view": "deep_scrape", "signup": "google_dork", "error": "dns_intel"}
+    source = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.col("event_type")]
+    none = F.lit(None).cast("string")
+    results = t("events").select(F.col("user_id").alias("id"), "event_id", source.alias("source"), F.when(F.col("event_type") == "click", "a@x.test").alias("email"), F.lit("x.test").alias("domain"), none.alias("none"))
+    scored = results.withColumn("confidence", scoring.confidence("source", "email", "domain", "none", "none", "none", F.lit(False)))
+    return cascade.early_stops(scored, ["event_id"])
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(t):
     return t("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,40 @@ def test_cascade_with_a_known_address_and_no_results(spark):
     assert cascade.enrich(records(spark), results(spark, [])).first()["tried"] == []
 
 
+def test_early_stops_run_over_all_results(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        mails = [None, "", "a@x.test", "A@x.test", "b@x.test"] if i % 4 else [None, ""]
+        rows += [(i, k, rng.choice(mails[: 2 if k < 9 else 5]), rng.choice([None, 20, 55, 65, 70, 100])) for k in range(rng.randint(1, 60))]
+    want = {}
+    for i, k, e, c in rows:
+        n, top, seen, again, over, at = want.get(i, (0, 0, (), False, False, 0))
+        if not over:
+            again = again or bool(e) and e.lower() in seen
+            seen, top = seen + ((e.lower(),) if e else ()), max(top, c or 0)
+            at = min(100, top + 20 * again)
+            want[i] = (n + 1, top, seen, again, bool(seen) and at >= 80, at)
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), "id int, k int, email string, confidence int")
+    out = {r["id"]: (r["tried"], r["confidence"], r["stopped"]) for r in cascade.early_stops(shuffled, ["k"]).collect()}
+    assert out == {i: (w[0], w[5], w[4]) for i, w in want.items()}
+    assert any(n > 8 and stopped for n, _, stopped in out.values()) and cascade.early_stops(shuffled.limit(0), ["k"]).count() == 0
+
+
+def test_early_stop_query_has_no_cap(spark):
+    from millrace.plans import registry
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("event_id").collect()
+    points, want = {"purchase": 90, "click": 100, "view": 65, "signup": 55}, {}
+    for e in events:
+        n, top, clicks, over = want.get(e["user_id"], (0, 0, 0, False))
+        if not over:
+            top, clicks = max(top, points.get(e["event_type"], 30)), clicks + (e["event_type"] == "click")
+            want[e["user_id"]] = (n + 1, top, clicks, clicks > 0 and top + 20 * (clicks > 1) >= 80)
+    out = {r["id"]: (r["tried"], r["confidence"], r["stopped"]) for r in registry.QUERIES["cascade_early_stop_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert out == {u: (n, min(100, top + 20 * (clicks > 1)), over) for u, (n, top, clicks, over) in want.items()}
+
+
 def test_people_merge(spark):
     people = F.from_json(F.lit('[{"name":"Zoé A","source":"a","confidence":3},{"name":" zoe a","email":"z@x.test","source":"b","confidence":1},{"name":""}]'), "array<struct<name:string,email:string,phone:string,linkedin:string,source:string,confidence:int>>")
     out = value(spark, cascade.merged_people(people))
