@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,12 +20,15 @@ SEPARATORS = (9, 10, 11, 12, 13, 32)
 ROWS_A_PARTITION = 200_000
 #: Bytes of an Arrow batch of texts between Spark and a worker; a longer text is a batch alone.
 BATCH_BYTES = 4 << 20
+_LIBC = ctypes.CDLL(None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset a temporary one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -66,6 +70,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, with underscores put before those that are among the columns ``taken`` (whatever the case)."""
+    lower, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in lower:
+            n = f"_{n}"
+        lower.add(n.lower())
+        out.append(n)
+    return out
+
+
 def folded(column: Column | str) -> Column:
     """``crc32(doc_id as text) mod 3 = 1``: the rows held out from learning."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % 3 == 1
@@ -142,7 +157,9 @@ def multipliers(n: int, seed: int = 1) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_POWERS = multipliers(4096)
+#: Words of up to so many bytes are hashed eight bytes at a time.
+_CHUNKED = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,20 +177,32 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: bytes times random odd numbers by place, summed and mixed."""
-    global _POWERS
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    if (longest := int(lengths.max())) > len(_POWERS):
-        _POWERS = multipliers(longest)
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    raw = data[place + np.repeat(starts, lengths)]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; which words are hashed with it doesn't matter.
+
+    Words of up to _CHUNKED bytes are mixed eight bytes at a time, longer ones are sums of bytes times random odd numbers
+    by place.
+    """
     if lower:
-        raw = _LOWER[raw]
-    products = (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[place]
-    return mixed(np.add.reduceat(products, np.cumsum(lengths) - lengths))
+        data = _LOWER[data]
+    lengths = ends - starts
+    out = mixed((lengths.astype(np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    at = np.flatnonzero((lengths > 0) & (lengths <= _CHUNKED))
+    for done in range(0, _CHUNKED, 8):
+        if not len(at):
+            break
+        left = lengths[at] - done
+        out[at] = mixed(out[at] * np.uint64(0xD6E8FEB86659FD93) ^ (eight[starts[at] + done] & _MASKS[np.minimum(left, 8)]))
+        at = at[left > 8]
+    if len(long := np.flatnonzero(lengths > _CHUNKED)):
+        n = lengths[long]
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+        raw = data[place + np.repeat(starts[long], n)].astype(np.uint64) + np.uint64(1)
+        odd = mixed((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+        out[long] = mixed(out[long] + np.add.reduceat(raw * odd, np.cumsum(n) - n))
+    return out
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,8 +225,7 @@ def groups_of(rows: np.ndarray, n: int) -> np.ndarray:
 def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Split batches so that each holds about ``most`` bytes of text, or a single longer text.
 
-    Texts are not copied here, and what Arrow no longer uses goes back to the system after each batch: a worker lives
-    through many stages.
+    Texts are not copied here.
     """
     for b in batches:
         if not b.num_rows:
@@ -209,7 +237,14 @@ def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 2
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             yield b.slice(at, min(to, b.num_rows) - at)
             at = min(to, b.num_rows)
-        pa.default_memory_pool().release_unused()
+        release()
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library no longer use back to the system: a worker lives through many stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
 
 
 # --- links to components -------------------------------------------------------------------------------------

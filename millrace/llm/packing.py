@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
 from collections import Counter
@@ -12,63 +14,121 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, in_pieces, small_batches, total_over
+from millrace.llm.common import SEPARATORS, cut, in_pieces, small_batches, text_bytes, total_over, word_hashes
 
 WINDOW, END_ID = 4096, 2
-#: Words whose ids a worker remembers; lengths that combinations are enumerated from.
-REMEMBERED, DEPTH_LENGTHS = 600_000, 160
-_SPACES = dict.fromkeys((9, 10, 11, 12, 13), " ")
-_MEMO: dict[str, dict[str, bytes]] = {}
-_TOKENIZERS: dict = {}
-
-
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+#: Units whose ids a worker remembers; lengths that combinations are enumerated from.
+REMEMBERED, DEPTH_LENGTHS = 1_000_000, 160
+# --- fixed values: the split of a tokenizer for which texts may be cut at white space and between letters, digits and plain signs
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# -------------------------------------------------------------------------------------------------------------
+#: Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 plain sign, 4 all else (quotes and brackets of special tokens, other scripts).
+_KIND = np.full(256, 4, np.uint8)
+_KIND[list(SEPARATORS)] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<|>"]] = 3
+#: Whether a text may be cut between two kinds: at white space, where plain kinds differ, and after each digit.
+_CUT = np.array([[0 in (a, b) or (4 not in (a, b) and (a != b or a == 2)) for b in range(5)] for a in range(5)])
+_TABLES: dict[str, _Table] = {}
+
+
+class _Table:
+    """Ids of units by a hash: sorted keys, a second hash, and where the ids of each lie."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
-
-
-def _stem(word: str) -> int:
-    """Where a word of Latin letters may be cut before other characters without changing its ids; 0 for nowhere.
-
-    The tokenizer splits after a run of letters, so "word," has the ids of "word" and ",". Special tokens and
-    combining marks are left alone.
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f).get("pre_tokenizer") or {}
+        self.wordwise = any((x.get("pattern") or {}).get("Regex") == WORDWISE for x in steps.get("pretokenizers", [steps]))
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.at, self.size, self.again = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts in turn, and how many each has."""
+        out = [e.ids for k in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
+        size = np.fromiter(map(len, out), np.int32, len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), "<u4", int(size.sum())), size
+
+    def shrink(self) -> None:
+        """Forget the units that were met in one batch only, or else all."""
+        kept = np.flatnonzero(self.again)
+        if 4 * len(kept) > 3 * REMEMBERED:
+            return self.forget()
+        size = self.size[kept]
+        place = np.arange(int(size.sum())) + np.repeat(self.at[kept] - np.cumsum(size) + size, size)
+        self.ids, self.at = self.ids[place], (np.cumsum(size) - size).astype(np.int32)
+        self.keys, self.checks, self.size, self.again = self.keys[kept], self.checks[kept], size, np.zeros(len(kept), bool)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
+        ids, size = self.encoded(texts)
+        at = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
+        place = np.searchsorted(self.keys, keys)
+        for name, new in (("keys", keys), ("checks", checks), ("at", at), ("size", size), ("again", np.zeros(len(keys), bool))):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+        self.ids = np.concatenate([self.ids, ids])
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys are in the table; they count as met again."""
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        found = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.again[place[found]] = True
+        return found
+
+
+def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each unit and the row it belongs to; the ids of a text are those of its units in turn.
+
+    A text is cut at white space, after each digit, and between an ASCII letter, digit or plain sign and one of another
+    kind. Between other bytes it is not cut: marks combine, and "'s" or a special token is one piece for the tokenizer.
     """
-    n = len(word)
-    if word.isalpha() or "<|" in word or max(word) > "ɏ":
-        return 0
-    i = 0
-    while i < n and word[i].isalpha():
-        i += 1
-    return i
-
-
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids (little-endian unsigned 32-bit) of each whole text, as the tokenizer gives without special tokens.
-
-    The tokenizer never merges across white space, so ids of a text are those of its words in turn; each distinct
-    word is encoded once and remembered.
+    kind = _KIND[data]
+    begins = np.ones(len(data), bool)
+    begins[1:] = _CUT[kind[:-1], kind[1:]]
+    cuts = offsets[:-1]
+    begins[cuts[cuts < len(data)]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    real = kind[starts] > 0
+    starts, ends = starts[real], ends[real]
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (unsigned 32-bit) of all whole texts in turn, as the tokenizer gives without special tokens, and their bounds.
+
+    With a tokenizer that splits by WORDWISE, each distinct unit is encoded once and remembered by a hash (a second hash
+    tells units apart that share the first); ids of all units are then gathered at once. Others see whole texts.
     """
-    memo = _MEMO.setdefault(path, {})
-    split = [t.translate(_SPACES).split(" ") for t in texts]
-    if len(memo) > REMEMBERED:  # the words of these texts stay, and with them the common ones
-        kept = {w: memo[w] for w in set().union(*split) if w in memo}
-        memo.clear()
-        memo.update(kept)
-    new = [w for w in set().union(*split) if w not in memo] if split else []
-    parts = {w: (w[:i], w[i:]) for w in new if w and (i := _stem(w))}
-    encode = list({x for w in new for x in (parts.get(w) or (w,)) if x not in memo})
-    at = 0
-    while at < len(encode):
-        for w, e in zip(encode[at : at + 20_000], _tokenizer(path).encode_batch_fast(encode[at : at + 20_000], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        at += 20_000
-    for w, (a, b) in parts.items():
-        memo[w] = memo[a] + memo[b]
-    return [b"".join([memo[w] for w in ws]) for ws in split]
+    table = _TABLES.get(path) or _TABLES.setdefault(path, _Table(path))
+    if not table.wordwise:
+        ids, size = table.encoded([t or "" for t in texts.to_pylist()])
+        return ids, np.concatenate([[0], np.cumsum(size)])
+    data, offsets = text_bytes(texts)
+    starts, ends, rows = units_of(data, offsets)
+    keys, checks = word_hashes(data, starts, ends), word_hashes(data, starts, ends, seed=29)
+    unit = lambda i: data[starts[i] : ends[i]].tobytes().decode()
+    distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    found = table.known(distinct)
+    if len(table.keys) + len(distinct) - found.sum() > REMEMBERED:
+        table.shrink()
+        found = table.known(distinct)
+    new = first[~found]
+    table.add(keys[new], checks[new], [unit(i) for i in new])
+    entry = np.searchsorted(table.keys, distinct)[inverse]
+    at, size, ids = table.at[entry], table.size[entry], table.ids
+    if len(odd := np.flatnonzero(table.checks[entry] != checks)):
+        more, n = table.encoded([unit(i) for i in odd])
+        at[odd], size[odd], ids = len(ids) + np.cumsum(n) - n, n, np.concatenate([ids, more])
+    ends_at = np.concatenate([[0], np.cumsum(size)])
+    bounds = ends_at[np.searchsorted(rows, np.arange(len(offsets)))]
+    return ids[np.arange(ends_at[-1]) + np.repeat(at - ends_at[:-1], size)], bounds
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -80,11 +140,13 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", 2 << 20):
+            ids, bounds = token_ids(b.column(1), tokenizer)
             out: list[tuple] = []
-            for i, ids in zip(b.column(0).to_pylist(), token_ids([t or "" for t in b.column(1).to_pylist()], tokenizer), strict=True):
-                ids += end
-                n = len(ids) // 4
-                out += [(i, k, min(window, n - k), zlib.crc32(ids[4 * k : 4 * (k + window)]), n) for k in range(0, n, window)]
+            for i, low, high in zip(b.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                n = high - low + 1
+                for k in range(0, n, window):
+                    crc = zlib.crc32(ids[low + k : min(low + k + window, high)])
+                    out.append((i, k, min(window, n - k), crc if k + window < n else zlib.crc32(end, crc), n))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     small_batches(docs.sparkSession)
