@@ -59,7 +59,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).where("kind = 'record'")
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
     number = lambda c: F.try_to_number(F.substring(F.col(c), len(warc.PAGE) + 1, 30), F.lit("S9999999999999999999")).cast("long")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

@@ -3,6 +3,8 @@
 import itertools
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -182,8 +184,10 @@ def test_packing_round_trip(docs):
 
     path = tokenizer_path()
     t = Tokenizer.from_file(path)
-    for x in ("it's don't! <|endoftext|>x", "ΣΑΣ, İstanbul's, ǅ 12ab34", "日本語。テスト", "é, É", "a\x1cb\x85d", ""):
-        assert packing.token_ids([x], path)[0] == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    odd = ["it's don't! <|endoftext|>x", "a<|startoftext|>b, 12'34 I'LL 'tis éte, ́x .́ 1 2…,.a", "ΣΑΣ, İstanbul's, ǅ 12ab34", "日本語。テスト", "é, É", "a\x1cb\x85d z\x00a\x00", "", None, "²³ x2² 1.000,50 --- ''s 's's", "x" * 300 + "'s"]
+    ids, bounds = packing.token_ids(pa.array(odd), path)
+    for x, a, b in zip(odd, bounds[:-1], bounds[1:]):
+        assert ids[a:b].tolist() == t.encode(x or "", add_special_tokens=False).ids
     out = packing.pack(packing.pieces(docs.dropDuplicates(["doc_id"]), path)).toPandas()
     assert out.groupby("doc_id").length.sum().eq(out.groupby("doc_id").doc_tokens.first()).all()
     for _, s in out.groupby("sequence_id"):
@@ -192,6 +196,38 @@ def test_packing_round_trip(docs):
     assert packing.pack(packing.pieces(empty(docs), path)).count() == 0
 
 
+def test_pieces_are_those_of_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    from millrace.llm.queries import table, tokenizer_path
+
+    rows = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    t, want = Tokenizer.from_file(tokenizer_path()), {}
+    for r in rows.collect():
+        ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        want |= {(r["doc_id"], k): (len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes()), len(ids)) for k in range(0, len(ids), 4096)}
+    found = lambda: {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"], r["doc_tokens"]) for r in packing.pieces(rows, tokenizer_path()).collect()}
+    assert found() == want and any(k for _, k in want)
+
+
+def test_units_with_one_hash_are_told_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from millrace.llm.queries import tokenizer_path
+
+    real = packing.word_hashes
+    monkeypatch.setattr(packing, "word_hashes", lambda d, s, e, seed=0: real(d, s, e, seed=seed) if seed else real(d, s, e) % np.uint64(3))
+    monkeypatch.setattr(packing, "_TABLES", {})
+    path, texts = tokenizer_path(), ["the cat, the dog", "a dog and the 2 cats"]
+    ids, bounds = packing.token_ids(pa.array(texts), path)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    other = packing._Table(path)
+    other.wordwise = False  # a tokenizer with another split sees whole texts
+    monkeypatch.setattr(packing, "_TABLES", {path: other})
+    whole, cuts = packing.token_ids(pa.array(texts), path)
+    assert whole.tolist() == ids.tolist() and cuts.tolist() == bounds.tolist()
+
+
 def test_language(spark, docs):
     rows = [(i, ("the cat and the dog were here " if i % 2 else "der hund und die katze waren hier ") * 4, "en" if i % 2 else "de") for i in range(20)]
     prototypes = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -210,14 +246,70 @@ def test_warc_round_trip_and_salvage(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(body), warc.digest(body))
         assert (r["record_type"], r["refers_to"]) == (("revisit", f"urn:page:{html.index(h) if h else 1}") if i in (2, 3) else ("response", None))
     members = [warc.member(warc.record(i, "u", b"x" * 50, None)) for i in range(4)]
-    data = members[0] + b"noise" + members[1][:40] + members[2] + warc.record(9, "u", b"plain", None) + members[3][:-9]
+    data = members[0] + b"noise" + members[1][:40] + members[2] + warc.record(9, "u", b"plain", None) + members[3][:-60]
     found = list(warc.salvage(data))
     assert [f["record_id"] for k, _, _, f in found if k == "record"] == ["urn:page:0", "urn:page:2", "urn:page:9"]
     gaps = [(a, b) for k, a, b, _ in found if k == "gap"]
-    assert gaps == [(len(members[0]), len(members[0]) + 45), (len(data) - len(members[3]) + 9, len(data))]
+    assert gaps == [(len(members[0]), len(members[0]) + 45), (len(data) - len(members[3]) + 60, len(data))]
     assert warc.write_archives(pages.limit(0)).count() == 0 and not list(warc.salvage(b""))
 
 
+def test_members_with_several_records():
+    rows = [warc.record(i, "u", bytes([65 + i]) * 3000, None) for i in range(5)]
+    ids = lambda data: [f["record_id"][-1] for k, _, _, f in warc.salvage(data) if k == "record"]
+    assert ids(warc.member(b"".join(rows))) == list("01234") == ids(b"".join(rows))
+    torn = rows[2].replace(b"Content-Length", b"Content-Lengxx")
+    found = list(warc.salvage(warc.member(rows[0] + torn + rows[3])))
+    assert [k for k, *_ in found] == ["record", "gap", "record"] and "inside" in found[1][3]
+    random.seed(2)
+    noisy = [warc.record(i, "u", random.randbytes(200_000), None) for i in range(4)]
+    whole = warc.member(b"".join(noisy))
+    found = list(warc.salvage(whole[:-5] + b"xxxxx" + warc.member(rows[4])))
+    assert [f["record_id"][-1] for k, _, _, f in found if k == "record"] == list("01234") and sum(k == "gap" for k, *_ in found) == 1
+    assert ids(whole[:500_000]) == list("01")
+
+
+def test_salvage_of_any_damage():
+    rng = random.Random(4)
+    rows = [warc.record(i, f"u{i}", rng.randbytes(rng.randint(0, 4000)), None) for i in range(12)]
+    want = {f["record_id"]: f["payload"] for _, _, _, f in warc.salvage(b"".join(rows))}
+    assert len(want) == 12
+    for _ in range(60):
+        parts = [warc.member(r) if rng.random() < 0.7 else r for r in rows]
+        data, hurt, at = b"", set(), rng.randrange(12)
+        for i, p in enumerate(parts):
+            if i == at:
+                hurt.add(i)
+                k = rng.randrange(len(p))
+                p = rng.choice([p[:k], p[:k] + bytes([p[k] ^ (1 << rng.randrange(8))]) + p[k + 1 :], p[:k] + rng.randbytes(30) + p[k:], p[k:], rng.randbytes(50)])
+            data += p
+        found = list(warc.salvage(data))
+        got = {f["record_id"]: f["payload"] for k, _, _, f in found if k == "record"}
+        assert {k: v for k, v in want.items() if k != f"urn:page:{at}"}.items() <= got.items() and all(want[k] == v for k, v in got.items() if k in want)
+        assert all(0 <= a < b <= len(data) for k, a, b, _ in found if k == "gap")
+
+
+def test_a_large_record_takes_linear_time():
+    began = time.perf_counter()
+    (found,) = warc.salvage(warc.member(warc.record(1, "u", b"0123456789abcdef" * (2 << 20), None)))  # 32 MB
+    assert found[3]["payload_bytes"] == 32 << 20 and time.perf_counter() - began < 5
+
+
+def test_round_trip_reports_what_is_lost(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, None, "a"), (1, "u", "a"), (3, "v", None), (None, None, "a")], "page_id long, url string, html string")
+    rows = warc.round_trip(pages).collect()
+    assert sorted((r["record_id"], r["record_type"], r["refers_to"]) for r in rows)[:2] == [("urn:page:1", "response", None)] * 2
+    assert {r["record_type"] for r in rows if r["record_id"] == "urn:page:2"} == {"revisit"} and len(rows) == 5
+    archives = warc.write_archives(pages, f"file://{tmp_path}/a")
+    path = archives.first()["path"].removeprefix("file://")
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[: len(data) // 2] + data[len(data) // 2 + 9 :])
+    assert warc.read_archives(archives).where("kind = 'gap'").count() > 0
+    monkeypatch.setattr(warc, "write_archives", lambda *_: archives)
+    with pytest.raises(ValueError, match="gaps"):
+        warc.round_trip(pages)
+
+
 def test_mixing(docs):
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))
     out = mixing.mix(sized).toPandas()
