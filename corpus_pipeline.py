@@ -13,38 +13,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from millrace.llm.common import folded, shared_folder
+from millrace.llm.common import folded, fresh, shared_folder
 from millrace.llm.queries import table, tokenizer_path, word_count
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score of at least 0.5). It learns from the labels outside the held-out fold."""
     model = quality_classifier.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~folded("doc_id")))
-    score = "_quality_score"
-    scored = quality_classifier.scored(docs.withColumnRenamed("score", score) if "score" in docs.columns else docs, model).where("score >= 0.5").drop("score")
-    return scored.withColumnRenamed(score, "score").select(*docs.columns) if "score" in docs.columns else scored.select(*docs.columns)
+    (score,) = fresh(docs.columns, "score")
+    return quality_classifier.scored(docs, model, name=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines, short ones too; those that lose every non-blank line go. n_chars follows the text."""
-    found = line_dedup.without_repeated_lines(docs.select("doc_id", "text").withColumn("_text", F.col("text")), "_text", fewest=1).where("not emptied")
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("_text")).dropDuplicates(["_doc"])
-    out = docs.join(found, docs["doc_id"] == found["_doc"]).withColumn("text", F.col("_text"))
+    """Documents without repeated lines, short ones too; those that lose every non-blank line go. n_chars follows the text.
+
+    Rows without a doc_id are carried along; rows of one doc_id are one document to this stage.
+    """
+    prefix = "lines_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    out = line_dedup.without_repeated_lines(docs, fewest=1, prefix=prefix).where(~F.col(f"{prefix}emptied"))
     return (out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose doc_id names the group; of repeated rows one."""
-    kept = ngram_join.near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_doc"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: the one whose doc_id names the group.
+
+    Of rows with one doc_id the first by the hash of the text, then of all columns, stays; rows without a doc_id link
+    with nothing and stay.
+    """
+    (key,) = fresh(docs.columns, "key")
+    kept = ngram_join.near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*rest))
+    one = docs.join(kept, docs["doc_id"] == kept[key], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias(key))
+    return one.select("doc_id", f"{key}.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole copies of documents, up to two of each, so that the sources' words come near their targets."""
-    taken = mixing.mix(docs.select("doc_id", "source", word_count().alias("size")), rest="whole")
-    copies = taken.where("taken > 0").select(F.col("doc_id").alias("_doc"), F.expr("CAST(taken DIV size AS INT)").alias("_copies")).dropDuplicates(["_doc"])
-    out = docs.join(copies, docs["doc_id"] == copies["_doc"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """Whole copies of documents, up to two of each, so that the sources' words come near their targets.
+
+    Rows that repeat a doc_id are taken as often as the first of them; rows without a doc_id are mixed as well, as one
+    document for each source.
+    """
+    doc, src, copies, copy = fresh(docs.columns, "doc", "src", "copies", "copy")
+    taken = mixing.mix(docs.select("doc_id", "source", word_count().alias("size")), rest="whole").where("taken > 0")
+    often = taken.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(src)).agg(F.max(F.expr("CAST(taken DIV size AS INT)")).alias(copies))
+    out = docs.join(often, docs["doc_id"].eqNullSafe(often[doc]) & docs["source"].eqNullSafe(often[src]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

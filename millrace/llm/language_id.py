@@ -125,8 +125,10 @@ def predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "t
     """Adds lang_pred, the language whose prototype has the largest cosine with the text's bundle, and that cosine as score.
 
     Null texts, texts without a letter and, without prototypes, all texts get ``und`` and 0. Ties go to the first
-    language by name. Whole texts are used, in pieces of bounded memory.
+    language by name. Whole texts are used, in pieces of bounded memory. Columns of ``docs`` with these names are
+    replaced; repeated rows get equal results; an empty table gives no rows.
     """
+    docs = docs.drop("lang_pred", "score")
     small_batches(docs.sparkSession)
     names = list(prototypes)
     matrix = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[k] for k in names]).reshape(len(names), DIMENSIONS))

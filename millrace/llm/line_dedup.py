@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, written
+from millrace.llm.common import cut, fresh, written
 
 #: Lines with fewer words have no near duplicates; whether their exact repeats go is up to ``fewest``.
 MIN_WORDS = 5
@@ -104,24 +104,24 @@ def repeated_lines(docs: DataFrame, fewest: int = MIN_WORDS) -> DataFrame:
     return out.where(F.size("gone") > 0)
 
 
-def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fewest: int = MIN_WORDS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fewest: int = MIN_WORDS, prefix: str = "") -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_equal, n_near (lines removed) and emptied.
 
     emptied: the text had non-blank lines of at least ``fewest`` words and has lost them all. A null text stays null and
-    an empty one empty; rows of one doc_id count as the same document; blank lines and those of fewer than ``fewest``
+    an empty one empty; rows of one doc_id count as the same document; rows without a doc_id are compared with nothing
+    and stay as they are; blank lines and those of fewer than ``fewest``
     words stay (1: exact repeats of every non-blank line go; a word's edit is looked for from MIN_WORDS words on, or from
-    ``fewest`` if that is more); an empty table gives no rows.
+    ``fewest`` if that is more); an empty table gives no rows. All columns are carried in one join; names of the four
+    results begin with ``prefix`` and replace columns of the same name.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = repeated_lines(plain, fewest).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"), F.col("near").alias("_near"), F.col("lines").alias("_long"))
-    both = docs.join(cut(gone), F.col(doc_id) == F.col("_doc"), "left").withColumn("_lines", F.split(text, "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.col("_lines")[i])
-    both = both.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    out = {
-        "n_lines": F.coalesce(F.size("_lines"), F.lit(0)),
-        "n_near": F.coalesce(F.size("_near"), F.lit(0)),
-        "n_equal": F.coalesce(F.size("_gone"), F.lit(0)) - F.coalesce(F.size("_near"), F.lit(0)),
-        "emptied": F.coalesce(F.size("_gone") == F.col("_long"), F.lit(False)),
-        text: F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)),
-    }
-    return both.withColumns(out).drop("_doc", "_lines", "_gone", "_near", "_long", "_kept")
+    results = [prefix + n for n in ("n_lines", "n_near", "n_equal", "emptied")]
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    key, gone, near, long, lines, kept = fresh([*docs.columns, *results], "_key", "_gone", "_near", "_long", "_lines", "_kept")
+    found = repeated_lines(plain, fewest).select(F.col("doc_id").alias(key), F.col("gone").alias(gone), F.col("near").alias(near), F.col("lines").alias(long))
+    both = docs.join(cut(found), F.col(doc_id) == F.col(key), "left").withColumn(lines, F.split(text, "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.col(lines)[i])
+    both = both.withColumn(kept, F.when(F.col(gone).isNotNull(), left))
+    removed = F.coalesce(F.size(gone), F.lit(0))
+    values = [F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(near), F.lit(0)), removed - F.coalesce(F.size(near), F.lit(0)), F.coalesce(F.size(gone) == F.col(long), F.lit(False))]
+    out = dict(zip(results, values, strict=True)) | {text: F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text))}
+    return both.withColumns(out).drop(key, lines, gone, near, long, kept)

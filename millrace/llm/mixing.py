@@ -79,7 +79,7 @@ def _round(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     return pdf
 
 
-def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, rest: str = "part") -> DataFrame:
+def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, rest: str = "part", copy: str | None = None) -> DataFrame:
     """How many words of each document the mix takes: (doc_id, copy, source, size, source_size, target, taken).
 
     Every document of a source gets target / source_size copies in expectation; whole copies are certain and the
@@ -89,17 +89,18 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
     (``rest="part"``) or rounded to the nearest (``rest="whole"``). A rerun over the same rows gives the same.
 
     Null sources form a source, ordered last; documents without words take nothing; repeated rows are separate
-    (``copy`` tells equal doc_ids apart). A source list fits on the driver; nothing else goes there. An empty table
+    (the column named by ``copy`` tells equal doc_ids apart, where there is one). A source list fits on the driver; nothing else goes there. An empty table
     gives no rows. Other columns are not carried.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.lit(0).cast("long").alias("copy")) if "copy" not in docs.columns else docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), F.col("copy").cast("long").alias("copy"))
+    number = F.col(copy).cast("long") if copy else F.lit(0).cast("long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), number.alias("copy"))
     rows = cut(rows)
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     want = targets([(r["source"], r["size"]) for r in per], weights, share, most)
     ordered = sorted(per, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     plan = spark.createDataFrame([(r["source"], i, r["size"], float(want[r["source"]]), float(want[r["source"]] / r["size"]) if r["size"] else 0.0) for i, r in enumerate(ordered)], "source string, rank int, source_size long, target double, rate double")
-    known = rows.withColumnRenamed("source", "s").join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    known = rows.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     known = known.withColumn("whole", F.when(F.col("size") > 0, F.floor("rate")).otherwise(0).cast("long")).withColumn("part", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
     blocks = max(1, -(-sum(r["n"] for r in per) // BLOCK))
     block = F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.lit(blocks)).cast("int")
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
     last = F.round(share_of) if rest == "part" else F.when(F.col("part") >= 0.5, F.col("size")).otherwise(0)
     share_of = F.when((F.col("part") > 0) & (F.col("part") < 1), last).otherwise(share_of).cast("long")
     table = plan.select("rank", "source", "source_size", "target", "rate")
-    out = state.join(F.broadcast(table), "rank").withColumn("whole", F.when(F.col("size") > 0, F.floor("rate")).otherwise(0).cast("long"))
+    out = state.join(table, "rank").withColumn("whole", F.when(F.col("size") > 0, F.floor("rate")).otherwise(0).cast("long"))
     return out.select("doc_id", "copy", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + share_of).alias("taken"))
 
 

@@ -107,8 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([np.frombuffer(r["ids"], np.int32) for r in rows], counts, np.array([int(r["quality"] > 0) for r in rows]))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1, the softmax of label 1) of each whole text; a null or empty text gets the bias alone."""
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """Adds ``name`` (0 to 1, the softmax of label 1) of each whole text; a null or empty text gets the bias alone.
+
+    A column of ``docs`` of that name is replaced. Repeated rows get equal scores; an empty table gives no rows.
+    """
+    docs = docs.drop(name) if name != text else docs
     small_batches(docs.sparkSession)
     margin = docs.sparkSession.sparkContext.broadcast(model.margin())  # 2 ** BITS numbers
     bias = float(model.bias[1] - model.bias[0])
@@ -118,6 +122,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             buckets, owner = features(b.column(b.schema.get_field_index(text)))
             total = np.bincount(owner, margin.value[buckets], b.num_rows)
             z = total / np.maximum(1, np.bincount(owner, minlength=b.num_rows)) + bias
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "score double"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{name}` double"]))
