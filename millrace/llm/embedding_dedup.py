@@ -4,33 +4,75 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import components, cut, written
 
-#: Trees; share of a split's spread that goes to both sides; vectors a leaf should hold at most.
-TREES, SPILL, LEAF = 6, 0.0125, 512
-#: The trees are fitted on about so many vectors at most (documented bound); every vector is put into leaves.
-SAMPLE = 30_000
-SKETCH_BITS, BLOCK = 256, 1024
+#: Trees, and vectors that a leaf should hold at most.
+TREES, LEAF = 6, 512
+#: How far from a threshold a vector goes to both sides: this share of the deviation that a linked pair's distance has along a
+#: random direction, which falls with the root of the dimension as the spread of the vectors themselves does.
+SPILL = 0.5
+#: The trees are fitted on about so many vectors at most, and so many numbers in them (documented bounds); every vector is put into leaves.
+SAMPLE, SAMPLE_NUMBERS = 30_000, 4_000_000
+#: Vectors of the sample that a threshold is fitted on at least.
+FEWEST = 32
+#: Vectors of a part of a leaf; larger leaves are compared part by part. Rows of a block within a part.
+PART, BLOCK = 2048, 1024
+#: How far a cosine of half-precision vectors may be from the true one (each part is within 2 ** -11 of itself).
+ROUNDED = 0.0015
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Nodes (direction, threshold, left, right; thresholds of further levels where the direction is None)."""
+
+    nodes: list[tuple]
+    further: np.ndarray
+
+    def leaves(self, vectors: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and leaves of unit vectors; those near a threshold go to both sides."""
+        rows, found, todo = [], [], [(0, np.arange(len(vectors)))]
+        while todo:
+            node, own = todo.pop()
+            d, at, left, right = self.nodes[node]
+            if d is not None:
+                x = vectors[own] @ d
+                todo += [(left, own[x <= at + spill]), (right, own[x > at - spill])]
+                continue
+            code = np.full(len(own), node, np.int64)
+            for direction, threshold in zip(self.further, at, strict=True):
+                x = vectors[own] @ direction
+                low, high = x <= threshold + spill, x > threshold - spill
+                own, code = np.concatenate([own[low], own[high]]), np.concatenate([2 * code[low], 2 * code[high] + 1])
+            rows.append(own)
+            found.append(code)
+        return np.concatenate(rows), np.concatenate(found)
+
 
+def grow(sample: np.ndarray, n: int, leaf: int, seed: int) -> Tree:
+    """A tree for ``n`` vectors, fitted on a sample of them: random directions, split at the median.
 
-def grow(sample: np.ndarray, leaf: int, seed: int) -> list[tuple]:
-    """One tree over unit vectors: nodes (direction, threshold, left, right), a leaf where the direction is None."""
+    Where the sample has no more than FEWEST vectors in a node, as many further levels as leaves of ``leaf`` vectors need
+    follow, all with the same directions and with thresholds by the vectors of that node.
+    """
     rng = np.random.default_rng(seed)
+    size = max(FEWEST, math.ceil(leaf * len(sample) / n))
+    levels = max(0, math.ceil(math.log2(n * size / (len(sample) * leaf)))) if len(sample) > leaf * len(sample) / n else 0
+    unit = lambda shape: (d := rng.standard_normal(shape)) / np.linalg.norm(d, axis=-1, keepdims=True)
+    further = unit((levels, sample.shape[1])).astype(np.float32)
     nodes: list[tuple] = []
 
     def split(rows: np.ndarray) -> int:
         at = len(nodes)
-        nodes.append((None, 0.0, -1, -1))
-        if len(rows) > max(2, leaf):
-            d = rng.standard_normal(sample.shape[1])
-            d /= np.linalg.norm(d)
+        nodes.append((None, np.median(sample[rows] @ further.T, axis=0) if levels else np.zeros(0), -1, -1))
+        if len(rows) > size:
+            d = unit(sample.shape[1])
             x = sample[rows] @ d
             cut_at = float(np.median(x))
             low, high = rows[x <= cut_at], rows[x > cut_at]
@@ -39,116 +81,154 @@ def grow(sample: np.ndarray, leaf: int, seed: int) -> list[tuple]:
         return at
 
     split(np.arange(len(sample)))
-    return nodes
-
-
-def leaves(tree: list[tuple], vectors: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and leaves of unit vectors; those near a threshold go to both sides."""
-    rows, found, todo = [], [], [(0, np.arange(len(vectors)))]
-    while todo:
-        node, own = todo.pop()
-        d, at, left, right = tree[node]
-        if d is None:
-            rows.append(own)
-            found.append(np.full(len(own), node))
-            continue
-        x = vectors[own] @ d
-        todo += [(left, own[x <= at + spill]), (right, own[x > at - spill])]
-    return np.concatenate(rows), np.concatenate(found)
+    return Tree(nodes, further)
 
 
-def _sketches(vectors: np.ndarray) -> np.ndarray:
-    planes = np.random.default_rng(17).standard_normal((vectors.shape[1], SKETCH_BITS)).astype(np.float32)
-    return np.packbits(vectors @ planes > 0, axis=1)
+def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels of rows (the smallest row of a group) after pairs i, j are joined too."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def close_pairs(sketches: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows whose sign sketches differ in at most ``most`` bits, a block of rows at a time."""
-    signs = np.unpackbits(sketches, axis=1).astype(np.float32) * 2 - 1
-    for a in range(0, len(signs), BLOCK):
-        for b in range(a, len(signs), BLOCK):
-            i, j = np.nonzero(signs[a : a + BLOCK] @ signs[b : b + BLOCK].T >= SKETCH_BITS - 2 * most)
-            i, j = i + a, j + b
-            keep = i < j
-            yield i[keep], j[keep]
+def compared(ids: np.ndarray, part: np.ndarray, unit: np.ndarray, copies: np.ndarray, earlier: list[list[int]], least: float) -> tuple[list, list, list]:
+    """Links within a part of a leaf, or between two parts: (id, linked others), (id, smaller id of its group), unsure pairs.
 
-
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
+    Vectors that share an earlier leaf were compared there, and are left out. A pair whose cosine lies within ROUNDED of
+    ``least`` is unsure. No list of links is made.
+    """
+    codes = {c: k for k, c in enumerate(sorted({c for e in earlier for c in e}))}
+    shared = np.zeros((len(ids), len(codes)), np.float32)
+    for row, e in enumerate(earlier):
+        shared[row, [codes[c] for c in e]] = 1
+    own, other = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    within = part.min() == part.max()
+    linked, label, unsure = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+    for a in range(0, len(own), BLOCK):
+        x = own[a : a + BLOCK]
+        for b in range(a if within else 0, len(other), BLOCK):
+            y = other[b : b + BLOCK]
+            cosine = unit[x] @ unit[y].T
+            if codes:
+                cosine[shared[x] @ shared[y].T > 0] = -2
+            if within and a == b:
+                cosine[np.tril_indices(len(x))] = -2
+            i, j = np.nonzero(cosine >= least - ROUNDED)
+            sure = cosine[i, j] >= least + ROUNDED
+            i, j = x[i], y[j]
+            unsure += zip(ids[i[~sure]].tolist(), ids[j[~sure]].tolist(), strict=True)
+            i, j = i[sure], j[sure]
+            linked += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+            label = _united(label, i, j)
+    # groups are named by their smallest row; rows are in the order of ids
+    some, moved = np.flatnonzero(linked), np.flatnonzero(label != np.arange(len(ids)))
+    return list(zip(ids[some].tolist(), linked[some].tolist(), strict=True)), list(zip(ids[moved].tolist(), ids[label[moved]].tolist(), strict=True)), unsure
+
+
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.98, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """One row per vector: vec_id, n_links (others within the cosine), component_id and kept.
 
     Only vectors of one non-null label are compared. Equal vectors are compared once and counted as often as they
     occur. The trees are fitted on a bounded sample; each vector goes to a leaf of every tree, or to both sides where it is
-    near a split. Within a leaf and label, sign sketches of 256 bits (a margin of eight deviations) choose pairs, the cosine is then
-    taken in double precision, and links are joined to components. Null or zero vectors, and those with null or
-    non-finite parts, link with nothing; repeated rows link with each other; an empty table gives no rows.
+    near a split. A leaf's vectors of one label are compared in half precision, a large leaf part by part: links are counted and
+    joined to groups there, so that no list of them is made; only a pair too near to the bound for half precision is
+    given out, and its cosine taken in double precision. A pair counts in the first leaf that it shares. Null or zero vectors, and those
+    with null or non-finite parts, link with nothing; repeated rows link with each other; rows without an id count as one
+    id; an empty table gives no rows. Other columns are not carried.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e"), F.col(label).alias("label"))
     sound = F.col("label").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("e", lambda x: x != 0)
-    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("key", F.when(F.col("sound"), F.struct(F.xxhash64("e", "label").alias("a"), F.xxhash64(F.lit(3), "label", "e").alias("b"))))
+    rows = rows.withColumn("sound", F.coalesce(sound & F.col("vec_id").isNotNull(), F.lit(False))).withColumn("key", F.when(F.col("sound"), F.struct(F.xxhash64("e", "label").alias("a"), F.xxhash64(F.lit(3), "label", "e").alias("b"))))
     ids = written(rows.select("vec_id", "sound", F.col("key.a").alias("a"), F.col("key.b").alias("b")))
     classes = cut(ids.where("sound").groupBy("a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     member = written(ids.join(classes, ["a", "b"], "left").select("vec_id", "rep", "copies"))
     chosen = classes.select(F.col("rep").alias("vec_id"), "copies")
-    reps = written(rows.where("sound").join(chosen, "vec_id").select("vec_id", "e", "label").dropDuplicates(["vec_id"]))
+    reps = written(rows.where("sound").join(chosen, "vec_id").select("vec_id", "e", "label", "copies").dropDuplicates(["vec_id"]))
     n = reps.count()
     if not n:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    taken = reps.where(F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, SAMPLE / n))).select("e")
-    by_size: dict[int, list] = {}
-    for r in taken.toLocalIterator():
-        by_size.setdefault(len(r["e"]), []).append(r["e"])
+    sizes = {r[0]: r[1] for r in reps.groupBy(F.size("e")).count().collect()}
     forests = {}
-    for k, own in by_size.items():
-        unit = np.array(own, np.float64)
-        unit /= np.linalg.norm(unit, axis=1)[:, None]
-        forests[k] = [grow(unit, max(2, int(LEAF * len(unit) / n)), 100 + t) for t in range(TREES)]
-    forests = spark.sparkContext.broadcast(forests)  # at most 2 * SAMPLE nodes a tree
-    most = round(SKETCH_BITS * math.acos(least) / math.pi + 8 * math.sqrt(SKETCH_BITS * (math.acos(least) / math.pi) * (1 - math.acos(least) / math.pi)))
+    for k, many in sizes.items():
+        take = min(SAMPLE, max(FEWEST, SAMPLE_NUMBERS // k))
+        sampled = reps.where((F.size("e") == k) & (F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, take / many))))
+        unit = np.array([np.array(r["e"], np.float32) for r in sampled.select("e").toLocalIterator()] or [np.ones(k, np.float32)])
+        unit = unit / np.linalg.norm(unit.astype(np.float64), axis=1)[:, None]
+        forests[k] = [grow(unit, many, leaf, 100 + t) for t in range(trees)]
+    forests = spark.sparkContext.broadcast(forests)  # nodes in proportion to the sample
+    spill = {k: SPILL * math.sqrt(2 * (1 - least) / k) for k in sizes}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own, labels = b.column(0).to_numpy(), b.column(2)
-            lists = b.column(1).to_pylist()
-            sizes = np.array([len(x) for x in lists])
-            for k in np.unique(sizes):
-                at = np.flatnonzero(sizes == k)
-                unit = np.array([lists[i] for i in at], np.float64)
-                unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
-                sketch = _sketches(unit)
-                for t, tree in enumerate(forests.value.get(int(k)) or [[(None, 0.0, -1, -1)]]):
-                    i, leaf = leaves(tree, unit, SPILL)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k * TREES + t, np.int64)), pa.array(leaf.astype(np.int64)), labels.take(pa.array(at[i])), pa.array(own[at[i]]), pa.array([s.tobytes() for s in sketch[i]], pa.binary())], names=["tree", "leaf", "label", "vec_id", "sketch"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                lists = b.column(1).to_pylist()
+                dims = np.array([len(x) for x in lists])
+                for k in np.unique(dims):
+                    rows = np.flatnonzero(dims == k)
+                    unit = np.array([lists[i] for i in rows], np.float64)
+                    unit /= np.abs(unit).max(1)[:, None]  # so that no square is too large or too small
+                    unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+                    half, single = unit.astype(np.float16), unit.astype(np.float32)
+                    before: list[list[int]] = [[] for _ in rows]
+                    for t, tree in enumerate(forests.value[int(k)]):
+                        i, code = tree.leaves(single, spill[int(k)])
+                        order = np.lexsort((code, i))
+                        i, code = i[order], code[order]
+                        out = []
+                        for r, c in zip(i.tolist(), code.tolist(), strict=True):
+                            c = c * trees + t
+                            out.append(np.array(before[r], np.int64).tobytes())
+                            before[r].append(c)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(i), k, np.int64)), pa.array(code * trees + t), b.column(2).take(pa.array(rows[i])), b.column(0).take(pa.array(rows[i])), b.column(3).take(pa.array(rows[i])), pa.array([x.tobytes() for x in half[i]], pa.binary()), pa.array(out, pa.binary())],
+                            names=["size", "leaf", "label", "vec_id", "copies", "unit", "before"],
+                        )
 
     kind = dict(reps.dtypes)["label"]
-    placed = reps.mapInArrow(place, f"tree long, leaf long, label {kind}, vec_id long, sketch binary")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["vec_id"].to_numpy()
-        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(own), -1)
-        found = [(own[i], own[j]) for i, j in close_pairs(sketches, most)]
-        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    pairs = placed.groupBy("tree", "leaf", "label").applyInPandas(compare, "u long, v long").where("u <> v").distinct()
-    side = lambda n: reps.select(F.col("vec_id").alias(n), F.col("e").alias(f"e{n}"))
+    placed = written(reps.mapInArrow(place, f"size long, leaf long, label {kind}, vec_id long, copies long, unit binary, before binary"))
+    key = ["size", "leaf", "label"]
+    large = cut(placed.groupBy(*key).count().where(F.col("count") > PART).select(*key, F.ceil(F.col("count") / PART).cast("int").alias("parts")))
+    placed = placed.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("pmod(xxhash64(vec_id, 31), parts)"))
+    placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("part", "q"), "y": F.greatest("part", "q")}).drop("q", "parts")
+
+    def compare(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("vec_id").to_numpy(), kind="stable")
+        t = t.take(pa.array(order))
+        unit = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float16).reshape(t.num_rows, -1).astype(np.float32)
+        earlier = [np.frombuffer(x, np.int64).tolist() for x in t.column("before").to_pylist()]
+        part = t.column("part").to_numpy()
+        if part.min() == part.max() and t.column("x")[0].as_py() != t.column("y")[0].as_py():
+            return pa.table([pa.array([], x) for x in (pa.int32(), pa.int64(), pa.int64())], names=["kind", "u", "v"])
+        found = compared(t.column("vec_id").to_numpy(), part, unit, t.column("copies").to_numpy(), earlier, least)
+        u, v = ([r[c] for rows in found for r in rows] for c in (0, 1))
+        return pa.table([pa.array(np.repeat(np.arange(3, dtype=np.int32), [len(x) for x in found])), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["kind", "u", "v"])
+
+    found = written(placed.groupBy(*key, "x", "y").applyInArrow(compare, "kind int, u long, v long"))
+    unsure = found.where("kind = 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    side = lambda x: reps.select(F.col("vec_id").alias(x), F.col("e").alias(f"e{x}"), F.col("copies").alias(f"n{x}"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = (x.to_pylist() for x in b.columns[2:])
             keep = np.zeros(b.num_rows, bool)
-            same = np.array([len(x) == len(y) for x, y in zip(a, c, strict=True)], bool)
-            for k in {len(x) for x in a}:
-                at = np.array([i for i in np.flatnonzero(same) if len(a[i]) == k], np.int64)
-                if len(at):
-                    x, y = (np.array([z[i] for i in at], np.float64) for z in (a, c))
-                    keep[at] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= least
-            yield b.select(["u", "v"]).filter(pa.array(keep))
-
-    links = written(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "eu", "ev").mapInArrow(exact, "u long, v long"))
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = cut(both.join(chosen.withColumnRenamed("vec_id", "v"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("copies").alias("others")))
-    reach = cut(components(links).withColumnRenamed("node", "rep"))
+            for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                x, y = np.array(x, np.float64), np.array(y, np.float64)
+                keep[i] = (x @ y) / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= least
+            yield b.select(["u", "v", "nu", "nv"]).filter(pa.array(keep))
+
+    sure = written(unsure.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "eu", "ev").mapInArrow(exact, "u long, v long, nu long, nv long"))
+    counts = found.where("kind = 0").select(F.col("u").alias("rep"), F.col("v").alias("n")).unionByName(sure.select(F.col("u").alias("rep"), F.col("nv").alias("n"))).unionByName(sure.select(F.col("v").alias("rep"), F.col("nu").alias("n")))
+    linked = cut(counts.groupBy("rep").agg(F.sum("n").alias("others")))
+    reach = cut(components(found.where("kind = 1").select("u", "v").unionByName(sure.select("u", "v"))).withColumnRenamed("node", "rep"))
     out = member.join(linked, "rep", "left").join(reach, "rep", "left")
     n_links = F.when(F.col("rep").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("long")
-    return out.select("vec_id", n_links.alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.select("vec_id", n_links.alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -322,6 +322,35 @@ def test_mixing(docs):
     assert mixing.mix(empty(sized)).count() == 0
 
 
+@pytest.mark.parametrize("dims, leaf", [(64, 64), (16, 256), (300, 40)])
+def test_forest_recall_where_trees_split(spark, monkeypatch, dims, leaf):
+    """A hot label with a dense group larger than a part, chains and lone vectors: no false link, recall of at least 0.9."""
+    monkeypatch.setattr(embedding_dedup, "PART", 300)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_NUMBERS", 500 * dims)  # so that levels follow that the sample doesn't reach
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    near = lambda x, n, d: unit(x + rng.standard_normal((n, dims)) * d / np.sqrt(dims))
+    lone = unit(rng.standard_normal((1800, dims)))
+    dense = near(unit(rng.standard_normal(dims)), 700, 0.12)  # cosines about 0.986, some below the bound
+    pairs = np.concatenate([near(x, 3, 0.1) for x in lone[:400]])
+    x = np.concatenate([lone, dense, pairs]).astype(np.float32)
+    labels = [1 if i % 3 else 2 for i in range(len(lone))] + [1] * len(dense) + [1 if i % 3 else 2 for i in range(400) for _ in range(3)]
+    rows = [(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, labels))]
+    out = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), leaf=leaf).collect()}
+    wide, labels = unit(x.astype(np.float64)), np.array(labels)
+    links = (wide @ wide.T >= 0.98) & (labels[:, None] == labels[None, :]) & ~np.eye(len(x), dtype=bool)
+    want, got = links.sum(1), np.array([out[i]["n_links"] for i in range(len(x))])
+    assert (got <= want).all() and 100_000 < want.sum() and got.sum() >= 0.97 * want.sum()
+    least = np.arange(len(x))
+    for _ in range(50):
+        least = np.minimum(least, np.where(links, least[None, :], len(x)).min(1))
+    same = np.array([out[i]["component_id"] for i in range(len(x))])
+    assert (same >= least).all() and (same == least).mean() > 0.97 and all(out[i]["kept"] == (same[i] == i) for i in out)
+    small = got[len(lone) + len(dense) :].sum() / want[len(lone) + len(dense) :].sum()
+    print(f"{dims} dimensions: recall {got.sum() / want.sum():.4f}, of small groups {small:.4f}")
+    assert small >= 0.9
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 16))
