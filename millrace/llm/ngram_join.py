@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,21 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, cut, in_pieces, mixed, multipliers, small_batches, text_bytes, total_over, window_hashes, word_hashes, words_of, written
+from millrace.llm.common import components, cut, in_pieces, mixed, multipliers, release, small_batches, text_bytes, window_hashes, word_hashes, words_of, written
 
 WIDTH, LEAST = 5, 75
-#: Partitions of the feature domain per possible difference; signatures asked for beyond the first, per difference.
-SPREAD, BEYOND = 1.6, 0.25
-#: Up to how many documents with a signature all pairs of them are counted.
+#: Differences that a partition may have, and second-level partitions: subsets of CELLS - SPOILED of them are enumerated.
+SPOILED, CELLS = 1, 3
+#: Partitions beyond those that must agree, as a part of these: so many more signatures are asked for.
+BEYOND = 0.25
+#: Up to how many documents with a signature all pairs of them are counted; beyond, other ways find the links.
 RUN = 32
-#: Bytes of text whose signatures one bucket should hold.
-BUCKET_BYTES = 16 << 20
-#: Bytes of text whose sets and signatures a worker holds at once; a longer text is taken alone.
-PIECE = 1 << 20
-#: Elements of sets in a block of documents that are compared with each other.
-BLOCK_ELEMENTS = 500_000
-_ENTRY_BITS, _SIG_BITS = 12, 44
-_BLOB = [("id", np.int64), ("set", np.uint64), ("n", np.uint32), ("need", np.uint32), ("sigs", np.uint32)]
+#: Signatures that a sample of about so many documents has more than RUN times are not shuffled; at most so many are told apart. Neither
+#: changes the result, only where the work is done.
+HOT_SAMPLE, HOT_MOST = 8_000, 100_000
+#: Bytes of signatures that one bucket should hold; bytes of text or sets that a worker holds at once (a longer one is taken alone).
+BUCKET_BYTES, PIECE = 16 << 20, 1 << 20
+#: Elements of sets in a block of documents that are compared with each other; ratio of the sizes of two neighbouring size bands of blocks.
+BLOCK_ELEMENTS, BAND_RATIO = 200_000, 1.34
+_SIG_BITS, _ENTRIES = 44, 4096
+_BLOB = [("id", np.int64), ("need", np.uint32), ("n", np.uint32), ("sigs", np.uint32)]
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -63,15 +67,16 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tu
     """Signatures (of _SIG_BITS bits) of sets and the set each belongs to, sorted by set; how many a near set must share.
 
     For a band with sizes up to m, two sets within the similarity differ in at most k = m (200 - 2 least) / (100 + least)
-    elements. The domain (hash values) is cut into SPREAD * k equal ranges; each difference spoils at most one of
-    them, so of a set's non-empty ranges all but k are equal in the other. Both sets rank their ranges alike, those
-    with most elements first; the first k + 1 + x of each must share x + 1, and only these are signatures. x is a part of k,
-    so that sharing a passage is not enough. A set with fewer non-empty ranges also gives the signatures of a scheme with
-    a range for each element, where there always are enough.
+    elements. The domain (hash values) is cut into k // 2 + 1 partitions and a quarter more, and each into CELLS = 3 cells. A
+    partition with at most SPOILED = 1 difference agrees in two of its cells at least, so every subset of two cells gives a
+    signature: a hash of the elements there. At most k // 2 partitions have more differences. So two near sets share a signature
+    for each partition but k // 2 of those in which one of them has elements in two cells or more. A set in which that
+    leaves none also gives the signatures of a second scheme, its first k + 1 elements by hash.
     """
     sizes = np.diff(bounds)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(len(sizes), np.int64)
     if not len(sizes) or not sizes.max():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(len(sizes), np.int64)
+        return none
     tops = bands(int(sizes.max()), least)
     band = np.searchsorted(tops, sizes)
     far = sizes * 100 // least
@@ -84,133 +89,138 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tu
     owner, level = np.concatenate(sets), np.concatenate(levels)
     most = tops[np.minimum(level, len(tops) - 1)]
     differ = (sizes[owner] + np.minimum(most, far[owner])) * (100 - least) // (100 + least)
-    keep = differ > 0  # sets that may not differ at all are found by their hash
+    keep = differ > 0  # sets that may not differ at all are equal
     owner, level, most, differ = owner[keep], level[keep], most[keep], differ[keep]
-    beyond = (differ * BEYOND).astype(np.int64)
-    need = np.full(len(sizes), np.iinfo(np.int32).max, np.int64)
-    np.minimum.at(need, owner, beyond + 1)
-    need[need == np.iinfo(np.int32).max] = 1
-    first = differ + beyond
-    ranges = np.ceil(SPREAD * (2 * most * (100 - least) // (100 + least))).astype(np.uint64) + np.uint64(1)
-    found, belongs = [], []
-    for a in range(0, len(owner), 1 << _ENTRY_BITS):
-        part = slice(a, a + (1 << _ENTRY_BITS))
-        s, o, few = _chosen(hashes, bounds, owner[part], level[part], ranges[part], first[part], 0)
-        found.append(s)
-        belongs.append(o)
-        if few.any():
-            s, o, _ = _chosen(hashes, bounds, owner[part][few], level[part][few], None, first[part][few], 1)
-            found.append(s)
-            belongs.append(o)
-    found, belongs = np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([np.zeros(0, np.int64), *belongs])
+    bad = 2 * most * (100 - least) // (100 + least) // (SPOILED + 1)
+    parts = bad + 1 + np.ceil(BEYOND * bad).astype(np.int64)
+    need = np.full(len(sizes), np.iinfo(np.int64).max)
+    found, belongs = [none[0]], [none[1]]
+    # a few entries at a time, of bounded size together; a large set is taken alone
+    ends = np.cumsum(sizes[owner])
+    at = 0
+    while at < len(owner):
+        to = max(at + 1, min(at + _ENTRIES, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE // 8, side="right"))))
+        part = slice(at, to)
+        sig, own, thick = _enumerated(hashes, bounds, owner[part], level[part], parts[part])
+        sure = thick - differ[part] // (SPOILED + 1)
+        np.minimum.at(need, owner[part], np.maximum(1, sure))
+        found.append(sig)
+        belongs.append(own)
+        if len(few := np.flatnonzero(sure < 1)):
+            sig, own = _first(hashes, bounds, owner[part][few], level[part][few], differ[part][few])
+            found.append(sig)
+            belongs.append(own)
+        at = to
+    found, belongs = np.concatenate(found), np.concatenate(belongs)
     order = np.argsort(belongs, kind="stable")
-    return found[order], belongs[order], need
+    need[need == np.iinfo(np.int64).max] = 1
+    return found[order] >> np.uint64(64 - _SIG_BITS), belongs[order], need
 
 
-def _chosen(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np.ndarray, ranges: np.ndarray | None, differ: np.ndarray, scheme: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first ``differ`` + 1 signatures of each entry (a set at a level), their sets, and entries with too few ranges."""
-    lengths = np.diff(bounds)[owner]
+def _elements(bounds: np.ndarray, owner: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, place and rank of the first ``lengths`` elements of each owner's set."""
     entry = np.repeat(np.arange(len(owner)), lengths)
-    place = np.arange(len(entry)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(bounds[owner], lengths)
+    rank = np.arange(len(entry)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return entry, rank + np.repeat(bounds[owner], lengths), rank
+
+
+def _enumerated(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of every subset of two cells of every partition that has elements, their sets, and how many partitions of
+    each entry (a set at a level) have elements in two cells or more."""
+    entry, place, _ = _elements(bounds, owner, np.diff(bounds)[owner])
     h = hashes[place]
-    if ranges is None:
-        part, starts = h, np.arange(len(h))
-    else:
-        part = (h >> np.uint64(32)) * ranges[entry] >> np.uint64(32)
-        new = np.ones(len(h), bool)
-        new[1:] = (part[1:] != part[:-1]) | (entry[1:] != entry[:-1])
-        starts = np.flatnonzero(new)
-    count = np.diff(np.append(starts, len(h)))
+    part = (h >> np.uint64(32)) * parts[entry].astype(np.uint64) >> np.uint64(32)
+    cell = (h & np.uint64(0xFFFFFFFF)) * np.uint64(CELLS) >> np.uint64(32)
+    new = np.ones(len(h), bool)
+    new[1:] = (part[1:] != part[:-1]) | (entry[1:] != entry[:-1])
+    starts = np.flatnonzero(new)
+    h = mixed(h)
+    sums = [np.add.reduceat(np.where(cell == np.uint64(c), h, np.uint64(0)), starts) for c in range(CELLS)]
     own = entry[starts]
-    sums = np.add.reduceat(mixed(h), starts) if len(h) else h
-    sig = mixed(sums + mixed(part[starts] + level[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(scheme)))
-    key = np.sort(own.astype(np.uint64) << np.uint64(64 - _ENTRY_BITS) | (np.uint64(255) - np.minimum(count, 255).astype(np.uint64)) << np.uint64(_SIG_BITS) | sig >> np.uint64(64 - _SIG_BITS))
-    have = np.bincount(own, minlength=len(owner))
-    rank = np.arange(len(key)) - np.repeat(np.cumsum(have) - have, have)
-    who = (key >> np.uint64(64 - _ENTRY_BITS)).astype(np.int64)
-    first = rank <= differ[who]
-    return key[first] & np.uint64((1 << _SIG_BITS) - 1), owner[who[first]], have <= differ
-
-
-def _spread(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, least: int) -> Iterator[tuple[int, bytes]]:
-    """Signatures dealt to buckets: for each, its documents (id, hash of the set, size, signatures here) and the signatures."""
+    where = part[starts] * np.uint64(CELLS) + level[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    thick = np.bincount(own[sum((x > 0).astype(np.int64) for x in sums) > SPOILED], minlength=len(owner))
+    found, belongs = [], []
+    for left_out in range(CELLS):
+        total = sum(x for c, x in enumerate(sums) if c != left_out)
+        some = np.flatnonzero(total)
+        found.append(mixed(total[some] + mixed(where[some] + np.uint64(left_out))))
+        belongs.append(owner[own[some]])
+    return np.concatenate(found), np.concatenate(belongs), thick
+
+
+def _first(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``differ`` + 1 elements of each entry as signatures of their own."""
+    entry, place, _ = _elements(bounds, owner, np.minimum(np.diff(bounds)[owner], differ + 1))
+    return mixed(mixed(hashes[place]) + level[entry].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)), owner[entry]
+
+
+def _spread(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, hot: np.ndarray, least: int) -> Iterator[tuple[int, bytes]]:
+    """Signatures dealt to buckets: for each, its documents (id, size, signatures here, how many to share) and the signatures.
+
+    Hot signatures go to bucket -1, whichever task they come from.
+    """
     sig, owner, need = signatures(hashes, bounds, least)
-    bucket, sig = (sig % np.uint64(buckets)).astype(np.int64), sig // np.uint64(buckets)
-    n = np.diff(bounds)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(0x5DEECE66D)))])
-    whole = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
-    # every document goes to one bucket at least, which then reports its size and hash
-    home = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    key = np.concatenate([bucket * len(ids) + owner, home * len(ids) + np.arange(len(ids))])
-    sig, real = np.concatenate([sig, np.zeros(len(ids), np.uint64)]), np.concatenate([np.ones(len(sig), np.int64), np.zeros(len(ids), np.int64)])
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+        bucket = np.where(hot[at] == sig, -1, (sig % np.uint64(buckets)).astype(np.int64))
+    else:
+        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+    key = (bucket + 1) * len(ids) + owner
     order = np.argsort(key, kind="stable")
-    key, sig, real = key[order], sig[order], real[order]
+    key, sig = key[order], sig[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(key)))
     head = np.zeros(len(starts), _BLOB)
-    who = key[starts] % len(ids) if len(ids) else starts
-    head["id"], head["set"], head["n"], head["need"], head["sigs"] = ids[who], whole[who], n[who], need[who], np.add.reduceat(real, starts) if len(starts) else 0
-    at = np.searchsorted(key[starts] // max(1, len(ids)), np.arange(buckets + 1))
-    ends = np.concatenate([[0], np.cumsum(head["sigs"].astype(np.int64))])
-    sig = sig[real > 0]
+    who = key[starts] % max(1, len(ids))
+    head["id"], head["need"], head["n"], head["sigs"] = ids[who], need[who], np.diff(bounds)[who], counts
+    at = np.searchsorted(key[starts] // max(1, len(ids)), np.arange(buckets + 2))
+    ends = np.append(starts, len(key))
     for k in np.flatnonzero(np.diff(at)):
-        h, s = head[at[k] : at[k + 1]], sig[ends[at[k]] : ends[at[k + 1]]]
-        yield int(k), np.uint32(len(h)).tobytes() + h.tobytes() + (s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (s >> np.uint64(32)).astype(np.uint8).tobytes()
+        h, x = head[at[k] : at[k + 1]], sig[ends[at[k]] : ends[at[k + 1]]]
+        yield int(k) - 1, np.uint32(len(h)).tobytes() + h.tobytes() + (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
     head = np.frombuffer(blob, _BLOB, n, 4)
     at, total = 4 + head.nbytes, int(head["sigs"].sum())
-    return head, np.frombuffer(blob, np.uint32, total, at).astype(np.uint64) | np.frombuffer(blob, np.uint8, total, at + 4 * total).astype(np.uint64) << np.uint64(32)
+    return head, np.frombuffer(blob, np.uint32, total, at).astype(np.uint64) | np.frombuffer(blob, np.uint16, total, at + 4 * total).astype(np.uint64) << np.uint64(32)
 
 
 _OUT = "kind int, u long, v long, n long, key long"
 
 
-def _matched(table: pa.Table, buckets: int, least: int) -> pa.Table:
-    """One bucket. kind 0: each document at home (u, its size n, hash of its set as key); kind 1: pairs in short runs
-    of a signature, the n signatures they share and the number they need (key); kind 2: documents u in a long run of the
-    signature ``key``; kind 3: how many signatures of document u are in long runs (n), and the fewest it may need (key);
-    kind 4: document v of long runs and the smallest document u of these."""
+def _rows(rows: list[tuple]) -> list[pa.Array]:
+    kinds = np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows])
+    return [pa.array(kinds), *(pa.array(np.concatenate([r[i].astype(np.int64) for r in rows])) for i in (1, 2, 3, 4))]
+
+
+def _matched(table: pa.Table, least: int) -> pa.Table:
+    """One bucket. kind 1: pairs in short runs of a signature, the n signatures they share and the number they need (key);
+    kind 2: documents u in a long run of the signature ``key``; kind 3: how many signatures of document u are in long runs (n),
+    and how many it must share (key); kind 4: document v of long runs and the smallest document u of these."""
     heads, sigs = zip(*(_open(b.as_py()) for b in table.column("blob")), strict=True)
-    k = table.column("bucket")[0].as_py()
     head, sig = np.concatenate(heads), np.concatenate(sigs)
-    home = head[mixed(head["id"].astype(np.uint64)) % np.uint64(buckets) == k]
-    _, at = np.unique(home["id"], return_index=True)
-    home = home[at]
-    # documents with equal sets are compared once, as the one with the smallest id
-    order = np.lexsort((head["id"], head["set"]))
-    first = np.ones(len(head), bool)
-    first[1:] = head["set"][order][1:] != head["set"][order][:-1]
-    chosen = np.zeros(len(head), bool)
-    chosen[order[first]] = True
     doc = np.repeat(np.arange(len(head)), head["sigs"].astype(np.int64))
-    keep = chosen[doc]
-    sig, doc = sig[keep], doc[keep]
-    rank = np.empty(len(head), np.int64)
     by_id = np.argsort(head["id"], kind="stable")
+    rank = np.empty(len(head), np.int64)
     rank[by_id] = np.arange(len(head))
+    head = head[by_id]
     order = np.lexsort((rank[doc], sig))
     sig, doc = sig[order], rank[doc[order]]
-    same = np.zeros(len(sig), bool)
-    same[1:] = (sig[1:] == sig[:-1]) & (doc[1:] != doc[:-1])
-    again = np.zeros(len(sig), bool)
-    again[1:] = (sig[1:] == sig[:-1]) & (doc[1:] == doc[:-1])
-    sig, doc, same = sig[~again], doc[~again], same[~again]
-    start = np.flatnonzero(~same)
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     length = np.diff(np.append(start, len(sig)))
     run = np.repeat(np.arange(len(start)), length)
     small = length[run] <= RUN
-    u, v = [], []
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, RUN):
-        i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
+        i = np.flatnonzero((run[d:] == run[:-d]) & small[d:] & (doc[d:] != doc[:-d]))
         u.append(doc[i])
         v.append(doc[i + d])
-    sized = head[by_id]
 
     def pairs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, times = np.unique(u << 32 | v, return_counts=True)
-        a, b = sized[key >> 32], sized[key & 0xFFFFFFFF]
+        a, b = head[key >> 32], head[key & 0xFFFFFFFF]
         near = np.minimum(a["n"], b["n"]).astype(np.int64) * 100 >= np.maximum(a["n"], b["n"]).astype(np.int64) * least
         return a[near], b[near], times[near]
 
@@ -220,114 +230,207 @@ def _matched(table: pa.Table, buckets: int, least: int) -> pa.Table:
     np.minimum.at(star, doc[waits], doc[start[run[waits]]])
     member = np.flatnonzero(star < np.arange(len(head)))
     c, d, _ = pairs(star[member], member)
-    key = mixed(sig[waits] * np.uint64(buckets) + np.uint64(k)).view(np.int64)
     shared = np.bincount(doc[waits], minlength=len(head))
     some = np.flatnonzero(shared)
-    smallest = -(-sized["n"][some].astype(np.int64) * least // 100)
-    fewest = ((2 * smallest * (100 - least) // (100 + least)) * BEYOND).astype(np.int64) + 1
     none = lambda n: np.zeros(n, np.int64)
     rows = [
-        (0, home["id"], none(len(home)), home["n"], np.ascontiguousarray(home["set"]).view(np.int64)),
-        (1, a["id"], b["id"], times, np.minimum(a["need"], b["need"])),
-        (2, sized["id"][doc[waits]], none(len(waits)), none(len(waits)), key),
-        (3, sized["id"][some], none(len(some)), shared[some], fewest),
+        (1, a["id"], b["id"], times, np.maximum(a["need"], b["need"])),
+        (2, head["id"][doc[waits]], none(len(waits)), none(len(waits)), sig[waits]),
+        (3, head["id"][some], none(len(some)), shared[some], head["need"][some]),
         (4, c["id"], d["id"], none(len(c)), none(len(c))),
     ]
-    kinds = np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows])
-    return pa.table([pa.array(kinds), *(pa.array(np.concatenate([r[i].astype(np.int64) for r in rows])) for i in (1, 2, 3, 4))], names=["kind", "u", "v", "n", "key"])
+    return pa.table(_rows(rows), names=["kind", "u", "v", "n", "key"])
+
 
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kinds 2 and 3 of the documents with hot signatures."""
+    for b in batches:
+        for blob in b.column(0):
+            head, sig = _open(blob.as_py())
+            owner = np.repeat(head["id"], head["sigs"].astype(np.int64))
+            none = lambda n: np.zeros(n, np.int64)
+            yield pa.RecordBatch.from_arrays(_rows([(2, owner, none(len(owner)), none(len(owner)), sig), (3, head["id"], none(len(head)), head["sigs"], head["need"])]), names=["kind", "u", "v", "n", "key"])
 
-def _compared(docs: DataFrame, of: DataFrame, least: int) -> DataFrame:
-    """Links between documents (doc, c) of different components c, found by comparing blocks of documents.
 
-    Documents are ordered by the size of their sets and cut into blocks of bounded size; only blocks whose sizes allow a
-    link meet. Within two blocks, intersections are counted through an inverted list, and one link for each two
-    components is given.
+def _by_piece(batches: Iterator[pa.RecordBatch], column: str = "set") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with the elements of their sets and the bounds of these."""
+    for b in in_pieces(batches, column, PIECE):
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(b.schema.get_field_index(column))]
+        yield b, np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+
+
+def _prefixes(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """(key, doc, c, n): the elements of each document of which two near ones share one, the rarest first.
+
+    Of n elements these are the first n - ceil(n least / 100) + 1 in an order that is the same everywhere: by how often a bounded
+    sample of the documents has an element, then by hash. The sample only makes shared passages come last.
     """
     spark = docs.sparkSession
-    sized = docs.join(of.select(F.col("doc_id").alias("doc"), (F.octet_length("set") / 8).cast("long").alias("n")), "doc")
-    placed = cut(total_over(sized, ["n", "doc"], ["n"]).withColumn("block", F.floor(F.col("n_end") / BLOCK_ELEMENTS).cast("int")))
-    sizes = sorted(tuple(r) for r in placed.groupBy("block").agg(F.min("n"), F.max("n")).collect())
-    meet = [(x, y) for i, (x, _, top) in enumerate(sizes) for y, low, _ in sizes[i:] if low * least <= top * 100]
-    table = spark.createDataFrame([(b, x, y) for x, y in meet for b in {x, y}] or [(0, 0, 0)], "block int, x int, y int")
-    dealt = placed.join(table, "block").join(of.withColumnRenamed("doc_id", "doc"), "doc").select("x", "y", "block", "doc", "c", "set")
+    both = written(docs.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "c", "set"))
+    share = math.ceil(1_000_000 * min(1.0, HOT_SAMPLE / max(1, docs.count())))
+    sample = both.where(F.pmod(F.xxhash64("doc", F.lit(43)), F.lit(1_000_000)) < share).select("set")
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, _ in _by_piece(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["key"])
+
+    often = sample.mapInArrow(elements, "key long").groupBy("key").agg(F.count("*").alias("k")).where("k > 2").orderBy(F.desc("k"), "key").limit(HOT_MOST).collect()
+    known = np.array([r["key"] for r in often], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    table = spark.sparkContext.broadcast((known[order], np.array([r["k"] for r in often], np.int64)[order]))  # at most HOT_MOST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, k = table.value
+        for b, h, bounds in _by_piece(batches):
+            n = np.diff(bounds)
+            owner = np.repeat(np.arange(len(n)), n)
+            times = np.zeros(len(h), np.int64)
+            if len(known) and len(h):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                times = np.where(known[at] == h, k[at], 0)
+            order = np.lexsort((h, times, owner))
+            rank = np.arange(len(h)) - np.repeat(bounds[:-1], n)
+            first = rank < (n - -(-n * least // 100) + 1)[owner]
+            who = owner[first]
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][first].view(np.int64)), b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(n[who])], names=["key", "doc", "c", "n"])
+
+    return written(both.mapInArrow(run, "key long, doc long, c long, n long"))
+
+
+def _compared(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Links between documents (doc, c, n) of different components c, found by comparing blocks of documents.
+
+    Documents are dealt to bands by the size of their sets, so that near ones are in one band or in two neighbours, and
+    in each band to blocks of bounded size by a hash. Each block meets those of its band and of the next. Within two blocks,
+    intersections are counted through an inverted list, and one link for each two components is given.
+    """
+    banded = cut(docs.withColumn("band", F.floor(F.log(F.col("n")) / math.log(BAND_RATIO)).cast("int")))
+    per = {r["band"]: max(1, -(-r["n"] // BLOCK_ELEMENTS)) for r in banded.groupBy("band").agg(F.sum("n").alias("n")).collect()}  # bands are few: the logarithm of a size
+    if not per:
+        return docs.select(F.col("doc").alias("u"), F.col("doc").alias("v")).limit(0)
+    blocks = F.create_map(*(F.lit(x) for kv in per.items() for x in kv))
+    many = lambda band: F.coalesce(F.try_element_at(blocks, band), F.lit(0))
+    own = banded.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(47)), many(F.col("band"))).cast("int"))
+    group = lambda x, i, y, j: F.struct(x.alias("x"), i.alias("i"), y.alias("y"), j.alias("j"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    band, block = F.col("band"), F.col("block")
+    meets = F.concat(
+        F.transform(upto(many(band).cast("int")), lambda j: group(band, F.least(block, j), band, F.greatest(block, j))),
+        F.transform(upto(many(band + 1).cast("int")), lambda j: group(band, block, band + 1, j)),
+        F.transform(upto(many(band - 1).cast("int")), lambda j: group(band - 1, j, band, block)),
+    )
+    dealt = own.join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("g", F.explode(meets)).select("g.*", "band", "block", "doc", "c", "set")
 
     def compare(t: pa.Table) -> pa.Table:
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        block, doc, c = (t.column(n).to_numpy() for n in ("block", "doc", "c"))
+        x, i, y, j = (t.column(k)[0].as_py() for k in "xiyj")
+        at, doc, c = (t.column("band").to_numpy(), t.column("block").to_numpy()), t.column("doc").to_numpy(), t.column("c").to_numpy()
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
-        own, other = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        own, other = (np.flatnonzero((at[0] == a) & (at[1] == b)) for a, b in ((x, i), (y, j)))
         n = np.array([len(s) for s in sets])
-        hashes = np.concatenate([sets[i] for i in other]) if len(other) else np.zeros(0, np.uint64)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(sets[k] for k in other)])
         holder = np.repeat(np.arange(len(other)), n[other])
         order = np.argsort(hashes, kind="stable")
         hashes, holder = hashes[order], holder[order]
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for i in own:
-            low, high = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
-            many = high - low
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-            both = np.bincount(holder[at], minlength=len(other))
-            for j in other[(100 * both >= least * (n[i] + n[other] - both)) & (c[other] != c[i])]:
-                found[min(c[i], c[j]), max(c[i], c[j])] = (min(doc[i], doc[j]), max(doc[i], doc[j]))
+        for k in own:
+            low, high = np.searchsorted(hashes, sets[k], "left"), np.searchsorted(hashes, sets[k], "right")
+            much = high - low
+            place = np.arange(much.sum()) - np.repeat(np.cumsum(much) - much, much) + np.repeat(low, much)
+            both = np.bincount(holder[place], minlength=len(other))
+            for m in other[(100 * both >= least * (n[k] + n[other] - both)) & (c[other] != c[k])]:
+                found[min(c[k], c[m]), max(c[k], c[m])] = (min(doc[k], doc[m]), max(doc[k], doc[m]))
         u, v = zip(*found.values(), strict=True) if found else ((), ())
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return dealt.groupBy("x", "y").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("x", "i", "y", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles (size of the set) and component_id, the smallest doc_id reachable by links.
 
     Two documents link when their sets of distinct 5-word shingles have a Jaccard similarity of ``least`` per cent or
-    more. Equal sets are merged first. Of the documents with a signature, short runs give all pairs, of which those
-    with enough signatures in common are candidates, and long runs a star around their first; a candidate is verified on whole sets only where it joins two components. Members
-    of long runs that then still span components are compared block by block, so no link is lost.
+    more. Equal sets are merged first, and one document of each class goes on. Of the documents with a signature, short runs
+    give all pairs, of which those with enough signatures in common are candidates, and long runs a star around their first;
+    a candidate is verified on whole sets only where it joins two components. Signatures that a sample shows to be in long
+    runs are never gathered: a document with fewer of them than it must share needs none, and the others are found with
+    those of long runs. Members of long runs that then still span components are joined by their rarest elements, and
+    those whose rarest elements are common too are compared block by block, so no link is lost.
 
     A null, empty or blank text has an empty set and links with nothing; fewer than five words are one shingle.
-    Rows of one doc_id count as one document; an empty table gives no rows. Other columns are not carried.
+    Rows of one doc_id count as one document, that of the smallest hash, and give one row; rows without a doc_id give
+    a row each, without a component. An empty table gives no rows. Other columns are not carried.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches, "text", PIECE):
+            hashes, bounds = shingle_sets(b.column(1))
+            n, sums = np.diff(bounds), []
+            for salt in (0x5DEECE66D, 0x2545F4914F6CDD1D):
+                total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(salt)))])
+                sums.append(mixed(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), *map(pa.array, sums)], names=["doc_id", "n", "a", "b"])
+
+    every = written(rows.mapInArrow(hashed, "doc_id long, n long, a long, b long"))
+    ids = every.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("a", "b", "n")).alias("s"), F.count("*").alias("k")).select("doc_id", "s.*", "k")
+    classes = cut(ids.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "k")).alias("rep")).select("a", "b", "n", F.col("rep.doc_id").alias("rep"), "rep.k"))
+    documents, elements = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    member = ids.drop("k").join(classes.drop("k"), ["a", "b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), 10 * elements // BUCKET_BYTES)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", PIECE):
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                out = list(_spread(part.column(0).to_numpy(), *shingle_sets(part.column(1)), buckets, least))
+            hashes, bounds = shingle_sets(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
+
+    # rows of one doc_id with other texts than the chosen one are left out by the hash of their set
+    chosen = rows.join(classes.select(F.col("rep").alias("doc_id"), "a", "b", "k"), "doc_id").select("doc_id", "text", "a", "b", "k")
+    of = written(_one_each(chosen, hashed, sets))
+
+    share = math.ceil(1_000_000 * min(1.0, HOT_SAMPLE / max(1, documents)))
+    sample = of.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000)) < share)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, bounds in _by_piece(batches):
+            sig, owner, _ = signatures(h, bounds, least)
+            order = np.lexsort((owner, sig))
+            again = np.zeros(len(sig), bool)
+            again[1:] = (sig[order][1:] == sig[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[order][~again].astype(np.int64))], names=["sig"])
+
+    seen = sample.mapInArrow(sampled, "sig long").groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > RUN)
+    hot_sigs = np.array(sorted(r["sig"] for r in seen.orderBy(F.desc("k"), "sig").limit(HOT_MOST).collect()), np.uint64)
+    hot = spark.sparkContext.broadcast(hot_sigs)  # at most HOT_MOST
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, h, bounds in _by_piece(batches):
+            for at in range(0, b.num_rows, _ENTRIES):
+                to = min(at + _ENTRIES, b.num_rows)
+                out = list(_spread(b.column(0).to_numpy()[at:to], h[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], buckets, hot.value, least))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
+        release()
 
-    matched = lambda t: _matched(t, buckets, least)
-    found = written(rows.where("doc_id is not null").mapInArrow(signed, "bucket int, blob binary").groupBy("bucket").applyInArrow(matched, _OUT))
+    blobs = written(of.mapInArrow(signed, "bucket int, blob binary"))
+    in_buckets = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _matched(t, least), _OUT)
+    found = written(in_buckets.unionByName(blobs.where("bucket < 0").select("blob").mapInArrow(_hot_rows, _OUT)))
     many = {k: n for k, n in found.groupBy("kind").count().collect()}
-    short, runs = many.get(1, 0) + many.get(4, 0), many.get(2, 0)
-    info = found.where("kind = 0").select(F.col("u").alias("doc_id"), "n", "key")
-    classes = cut(info.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep")), many.get(0, 0))
-    member = info.join(classes, ["key", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    # two near documents share as many signatures as they need; what one has in long runs may be missing in short ones
-    long = cut(found.where("kind = 3").groupBy(F.col("u").alias("doc")).agg(F.sum("n").alias("n"), F.max("key").alias("fewest")), many.get(3, 0))
-    counted = found.where("kind = 1").groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("key").alias("need"))
+    short, runs = many.get(1, 0) + many.get(4, 0) + many.get(3, 0), many.get(2, 0)
+    # what one document has in long runs may be missing in short ones
+    long = cut(found.where("kind = 3").groupBy(F.col("u").alias("doc")).agg(F.sum("n").alias("n"), F.max("key").alias("need")), many.get(3, 0))
+    counted = found.where("kind = 1").groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("key").alias("need"))
     of_long = lambda n: long.select(F.col("doc").alias(n), F.col("n").alias(f"long_{n}"))
     counted = cut(counted, many.get(1, 0)).join(of_long("u"), "u", "left").join(of_long("v"), "v", "left")
     counted = counted.where(F.col("n") + F.least(F.coalesce("long_u", F.lit(0)), F.coalesce("long_v", F.lit(0))) >= F.col("need")).select("u", "v")
-    # and if they share none in short runs, each has at least as many in long ones
-    able = cut(long.where("n >= fewest").select(F.col("doc").alias("able")), many.get(3, 0))
-    star = cut(found.where("kind = 4").groupBy("v").agg(F.min("u").alias("u")), many.get(4, 0))
-    star = star.join(able, star["v"] == able["able"], "left_semi").select("u", "v")
-    pairs = cut(counted.union(star).distinct(), short)
+    # and if they share none in short runs, each has at least as many as it must share in long ones
+    able = cut(long.where("n >= need").select(F.col("doc").alias("able")), many.get(3, 0))
     waits = found.where("kind = 2").select(F.col("u").alias("doc"), "key")
-    waits = cut(waits.join(able, waits["doc"] == able["able"], "left_semi"), runs)
-    names = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(waits.select("doc")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "text", PIECE):
-            hashes, bounds = shingle_sets(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
-
-    of = written(rows.join(names, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, set binary"))
+    waits = cut(waits.join(able, waits["doc"] == able["able"], "left_semi").distinct(), runs)
+    firsts = waits.groupBy("key").agg(F.min("doc").alias("u"), F.count("*").alias("k")).where("k > 1").select("key", "u")
+    star = waits.join(firsts, "key").where("u < doc").groupBy(F.col("doc").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
+    star = star.unionByName(found.where("kind = 4").groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    pairs = cut(counted.union(star).distinct(), short)
 
     def verified(candidates: DataFrame) -> DataFrame:
         side = lambda n: of.select(F.col("doc_id").alias(n), F.col("set").alias(f"set_{n}"))
@@ -341,6 +444,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
                     both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                     keep.append(100 * both >= least * (len(x) + len(y) - both))
                 yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            release()
 
         both = candidates.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v")
         return cut(both.mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
@@ -351,16 +455,50 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
         both = candidates.join(of_("u"), "u", "left").join(of_("v"), "v", "left")
         return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
+    def spanning(held: DataFrame, reach: DataFrame, rows: int) -> DataFrame:
+        """Rows (key, doc, ...) of keys whose documents are in several components, with the component c and the rows k of the key."""
+        now = held.drop("c").join(reach, held["doc"] == reach["node"], "left").withColumn("c", F.coalesce("component", "doc")).drop("node", "component")
+        now = cut(now, rows)
+        return now.join(now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).where("low < high").select("key", "k"), "key")
+
     links = verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     reach = cut(components(links), short)
     links = cut(links.unionByName(verified(cut(apart(pairs, reach), short))), short)
     reach = cut(components(links), short)
-    # long runs that still span components
-    spread = waits.join(reach, waits["doc"] == reach["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    spread = cut(spread.distinct(), runs)
-    open_ = cut(spread.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), runs)
-    rest = cut(spread.join(open_, "key").select("doc", "c").distinct(), runs)
-    links = cut(links.unionByName(_compared(rest, of, least)))
-    reach = cut(components(links), short)
+    # long runs that still span components: by the rarest elements, then block by block
+    rest = cut(spanning(waits, reach, runs).select("doc", "c").distinct(), runs)
+    if not rest.isEmpty():
+        held = _prefixes(rest, of, least)
+        some = held.count()
+        few = cut(spanning(held, reach, some).where(F.col("k") <= RUN), some)
+        near = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * least
+        joined = few.alias("a").join(few.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.c") != F.col("b.c")) & near)
+        links = cut(links.unionByName(verified(cut(joined.select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v")).distinct(), some))), short)
+        reach = cut(components(links), short)
+        rest = cut(spanning(held, reach, some).where(F.col("k") > RUN).select("doc", "c", "n").distinct(), some)
+        links = cut(links.unionByName(_compared(rest, of, least)))
+        reach = cut(components(links), short)
     out = member.join(reach, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return out.unionByName(every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def _one_each(chosen: DataFrame, hashed, sets) -> DataFrame:
+    """The set of each class's first document: (doc_id, set) from rows doc_id, text, the wanted hash (a, b) and the rows k of the id.
+
+    Only ids that occur several times are told apart by the hash of their sets and made one.
+    """
+    one = chosen.where("k = 1").select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary")
+    several = chosen.where("k > 1").dropDuplicates(["doc_id", "text"])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            narrow = b.select(["doc_id", "text"])
+            want = pa.Table.from_batches(list(hashed(iter([narrow]))))
+            held = pa.Table.from_batches(list(sets(iter([narrow]))))
+            same = (want.column("a").to_numpy() == b.column(2).to_numpy()) & (want.column("b").to_numpy() == b.column(3).to_numpy())
+            yield from held.filter(pa.array(same)).to_batches()
+
+    return one.unionByName(several.mapInArrow(both, "doc_id long, set binary").dropDuplicates(["doc_id"]))

@@ -409,7 +409,7 @@ def test_near_sets_share_the_signatures_they_need():
     for i in range(0, len(sets), 2):
         a, b = set(sets[i].tolist()), set(sets[i + 1].tolist())
         if a != b and 100 * len(a & b) >= 75 * len(a | b):
-            assert len(own[i] & own[i + 1]) >= min(need[i], need[i + 1])
+            assert len(own[i] & own[i + 1]) >= max(need[i], need[i + 1]) > 0
 
 
 def test_long_runs_lose_no_link(spark, monkeypatch):
@@ -425,6 +425,47 @@ def test_long_runs_lose_no_link(spark, monkeypatch):
     test_jaccard_groups_are_exact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_subsets_of_cells_are_enumerated():
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 2**64, 300, np.uint64))
+    sig, owner, _ = ngram_join.signatures(a, np.array([0, len(a)]))
+    top = [int(t) for t in ngram_join.bands(400) if t >= len(a)][:2]
+    parts = [(k := 2 * t * 25 // 175 // 2) + 1 + -(-k // 4) for t in top]
+    # three subsets of two cells for each partition that isn't empty
+    assert len(set(sig.tolist())) == len(sig) and 2.6 * sum(parts) < len(sig) <= 3 * sum(parts)
+
+
+@pytest.mark.parametrize("block", [200_000, 900])
+def test_common_passages_and_hot_signatures_lose_no_link(spark, monkeypatch, block):
+    """Passages that most documents share, in shares around the bound: hot signatures, rare elements, blocks."""
+    monkeypatch.setattr(ngram_join, "RUN", 3)
+    monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 60)
+    monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", block)
+    calls = []
+    for name in ("_prefixes", "_compared"):
+        real = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    base, texts = fresh(160), []
+    for i in range(90):
+        w = base[: rng.choice([60, 100, 120, 130, 140, 160])] + fresh(rng.choice([0, 10, 20, 30, 40]))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = [(5 * i + 1, t) for i, t in enumerate(texts)] + [(7000 + i, t) for i, t in enumerate(texts[:20])]
+    test_jaccard_groups_are_exact(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert calls == ["_prefixes", "_compared"]
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "other words than those before it"), (4, "a b c d e f"), (None, None), (6, "")]
+    out = sorted(map(tuple, ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    of = {r[0]: r for r in out if r[0] is not None}
+    assert len(out) == 5 and of[6] == (6, 0, 6) and sorted(r[1:] for r in out if r[0] is None) == [(0, None), (2, None)]
+    assert of[3] in ((3, 2, 3), (3, 3, 3)) and of[4][2] == (3 if of[3][1] == 2 else 4)
+
+
 def test_components_of_a_long_chain(spark):
     """Many rounds stay as quick to plan as the first."""
     ids = list(range(10, 3_010))
