@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import html as _html
-import re
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.values import col, phone_digits
 
@@ -28,8 +25,22 @@ EXCLUDED_STARTS = ["noreply", "no-reply", "donotreply", "mailer-daemon", "postma
 HIDDEN = [(r"\s*\[at\]\s*", "@"), (r"\s*\(at\)\s*", "@"), (r"\s*\{at\}\s*", "@"), (r"\s*\[dot\]\s*", "."), (r"\s*\(dot\)\s*", "."), (r"\s*\{dot\}\s*", "."), (r"\s*\[point\]\s*", "."), (r"\s*\(point\)\s*", "."), (r"\s+arobase\s+", "@"), (r"\s+at\s+", "@")]
 FRENCH_PHONE = r"(?:(?:\+33|0033|0)\s?[1-9])(?:[\s.\-]?\d{2}){4}"
 REGISTRATION = r"(?:siret|SIRET|Siret)\s*[:.]?\s*(\d{3}\s?\d{3}\s?\d{3}\s?\d{5})"
-# ------------------------------------------------------------------------------------------------------------
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+MAILTO = r"(?i)mailto:([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"
+META = r"""(?i)<meta[^>]*content\s*=\s*["']([^"']*@[^"']*\.[a-zA-Z]{2,})["'][^>]*>"""
+LINK = r"""(?i)<link[^>]*href\s*=\s*["']mailto:([^"']+)["'][^>]*>"""
+TEL = r"""(?i)href\s*=\s*["']tel:([^"']+)["']"""
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+ESCAPES = {r"\\u003e": ">", r"\\u003c": "<", r"\\u0026": "&"}
+BUSINESS_TYPES = [
+    "LocalBusiness", "Organization", "MedicalBusiness", "Dentist", "LegalService", "ProfessionalService", "HealthAndBeautyBusiness", "Store",
+    "Restaurant", "FinancialService", "InsuranceAgency", "RealEstateAgent", "AutoRepair", "HomeAndConstructionBusiness", "SportsActivityLocation",
+    "EntertainmentBusiness", "FoodEstablishment", "LodgingBusiness", "MedicalClinic", "Physician", "VeterinaryCare", "Pharmacy", "Optician",
+    "Attorney", "AccountingService", "AutomotiveBusiness", "ChildCare", "DryCleaningOrLaundry", "EducationalOrganization", "GovernmentOffice",
+    "Library", "TravelAgency",
+]
+PUBLISHED_EXCLUDED = ["example.com", "sentry.io", "wixpress.com", "wordpress.org", "schema.org", "googleapis.com", "w3.org"]
+# ------------------------------------------------------------------------------------------------------------
 
 
 def without_tags(c: Column | str, scripts: bool = True) -> Column:
@@ -38,25 +49,28 @@ def without_tags(c: Column | str, scripts: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), r"\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def _numeric_entities(s: pd.Series) -> pd.Series:
-    """&#64; and &#x40; as characters, UTF-16 units as a browser has them; others are left."""
-
-    def char(m: re.Match) -> str:
-        n = int(m[1]) if m[1] else int(m[2], 16)
-        n &= 0xFFFF
-        return "�" if 0xD800 <= n < 0xE000 else chr(n)
-
-    return s.map(lambda x: None if x is None else re.sub(r"&#(?:(\d+)|x([0-9a-fA-F]+));", char, x))
-
-
 def decoded(c: Column | str) -> Column:
-    """Entities and a few escapes as characters; Python sees only texts that have numeric entities when rows are filtered first."""
-    out = _numeric_entities(col(c))
-    for name in ("amp", "lt", "gt", "quot", "apos"):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(_html.unescape(f"&{name};")))
-    for code, char in (("003e", ">"), ("003c", "<"), ("0026", "&")):
-        out = F.regexp_replace(out, rf"(?i)\\u{code}", char)
+    """Numeric entities (decimal ones first), a few named ones and a few escapes as characters.
+
+    A text with numeric entities is split at them, in the JVM; numbers count modulo 2 ** 16 as a browser's char codes do, halves
+    of pairs become the replacement character. Numbers of more than 18 digits are taken by their last 15.
+    """
+    text = col(c)
+
+    def replaced(text: Column, pattern: str, digits: Callable[[Column], Column]) -> Column:
+        parts = F.split(text, f"&#(?={pattern};)", -1)
+        code = lambda p: digits(F.substring_index(p, ";", 1)) % 65536
+        char = lambda n: F.when(n.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE"))
+        rest = lambda p: F.substring(p, F.instr(p, ";") + 1, F.length(p))
+        whole = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(char(code(p)), rest(p))))
+        return F.when(text.rlike(f"&#{pattern};"), F.array_join(whole, "")).otherwise(text)
+
+    out = replaced(text, "[0-9]+", lambda d: F.substring(d, -15, 15).cast("long"))
+    out = replaced(out, "x[0-9a-fA-F]+", lambda d: F.conv(F.substring(F.substring(d, 2, 1 << 20), -4, 4), 16, 10).cast("long"))
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    for code, char in ESCAPES.items():
+        out = F.regexp_replace(out, f"(?i){code}", char)
     return out
 
 
@@ -82,10 +96,10 @@ def emails(page: Column | str) -> Column:
     """Distinct contact addresses of a decoded page: links first, then text, meta and author tags."""
     c = col(page)
     found = F.concat(
-        F.regexp_extract_all(c, F.lit(r"(?i)mailto:([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"), 1),
+        F.regexp_extract_all(c, F.lit(MAILTO), 1),
         F.regexp_extract_all(revealed(c), F.lit(EMAIL), 0),
-        F.regexp_extract_all(c, F.lit(r"""(?i)<meta[^>]*content\s*=\s*["']([^"']*@[^"']*\.[a-zA-Z]{2,})["'][^>]*>"""), 1),
-        F.regexp_extract_all(c, F.lit(r"""(?i)<link[^>]*href\s*=\s*["']mailto:([^"']+)["'][^>]*>"""), 1),
+        F.regexp_extract_all(c, F.lit(META), 1),
+        F.regexp_extract_all(c, F.lit(LINK), 1),
     )
     return F.array_distinct(F.filter(F.transform(found, cleaned_email), is_contact_email))
 
@@ -93,7 +107,7 @@ def emails(page: Column | str) -> Column:
 def phones(page: Column | str) -> Column:
     """Distinct phones of ten characters or more: tel links first, then French numbers in the text."""
     c = col(page)
-    found = F.concat(F.regexp_extract_all(c, F.lit(r"""(?i)href\s*=\s*["']tel:([^"']+)["']"""), 1), F.regexp_extract_all(c, F.lit(FRENCH_PHONE), 0))
+    found = F.concat(F.regexp_extract_all(c, F.lit(TEL), 1), F.regexp_extract_all(c, F.lit(FRENCH_PHONE), 0))
     return F.array_distinct(F.filter(F.transform(found, phone_digits), lambda x: F.length(x) >= 10))
 
 
@@ -112,9 +126,51 @@ def ranked_emails(found: Column | str, host: Column | str) -> Column:
 
 
 def json_ld(page: Column | str) -> Column:
-    """JSON-LD blocks of a page as variants; invalid ones are left out."""
+    """JSON-LD objects of a page as variants; lists are flattened, invalid blocks and other values left out."""
     blocks = F.regexp_extract_all(col(page), F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)
-    return F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull())
+    parsed = F.filter(F.transform(blocks, lambda b: F.try_parse_json(F.trim(b))), lambda v: v.isNotNull())
+    lists = F.transform(parsed, lambda v: F.when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v)))
+    return F.filter(F.flatten(lists), lambda v: v.isNotNull() & _is(v, "OBJECT"))
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+
+
+def _text(v: Column, *names: str) -> Column:
+    """The first of several fields of a variant that is a text and not blank, trimmed."""
+    at = lambda n: F.try_variant_get(v, f"$['{n}']", "variant")
+    return F.coalesce(*(F.nullif(F.trim(F.when(_is(at(n), "STRING"), F.try_variant_get(at(n), "$", "string"))), F.lit("")) for n in names))
+
+
+def business_entities(blocks: Column | str) -> Column:
+    """Entities of JSON-LD objects, those of an @graph one by one, whose type (one or several) is a business."""
+    inner = lambda v: F.filter(F.try_variant_get(v, "$['@graph']", "array<variant>"), lambda x: _is(x, "OBJECT"))
+    whole = F.flatten(F.transform(col(blocks), lambda v: F.coalesce(inner(v), F.array(v))))
+    several = lambda v: F.exists(F.try_variant_get(v, "$['@type']", "array<string>"), lambda t: t.isin(BUSINESS_TYPES))
+    return F.filter(whole, lambda v: F.coalesce(_text(v, "@type").isin(BUSINESS_TYPES), several(v), F.lit(False)))
+
+
+def entity(v: Column) -> Column:
+    """Struct email, phone, name, founder, address, url of an entity; contact points give what the entity itself lacks."""
+    at = lambda n: F.try_variant_get(v, f"$['{n}']", "variant")
+    points = F.when(_is(at("contactPoint"), "ARRAY"), F.try_variant_get(at("contactPoint"), "$", "array<variant>")).when(at("contactPoint").isNotNull(), F.array(at("contactPoint")))
+    point = lambda n: F.get(F.filter(F.transform(points, lambda p: _text(p, n)), lambda x: x.isNotNull()), F.lit(0))
+    boss = F.coalesce(at("founder"), at("employee"))
+    parts = F.filter(F.array(*(_text(at("address"), n) for n in ("streetAddress", "postalCode", "addressLocality"))), lambda x: x.isNotNull())
+    return F.struct(
+        F.coalesce(_text(v, "email"), point("email")).alias("email"),
+        F.coalesce(_text(v, "telephone"), point("telephone")).alias("phone"),
+        _text(v, "name", "legalName").alias("name"),
+        F.when(_is(boss, "OBJECT"), _text(boss, "name")).alias("founder"),
+        F.when(_is(at("address"), "OBJECT") & (F.size(parts) > 0), F.array_join(parts, ", ")).alias("address"),
+        _text(v, "url").alias("url"),
+    )
+
+
+def is_published_email(c: Column) -> Column:
+    """A whole address that isn't of one of a few domains of templates."""
+    return F.coalesce(c.rlike(f"^{EMAIL}$") & ~F.lower(F.split(c, "@")[1]).isin(PUBLISHED_EXCLUDED), F.lit(False))
 
 
 def entity_field(entity: Column | str, *paths: str) -> Column:

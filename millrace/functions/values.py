@@ -124,6 +124,13 @@ def slug(c: Column | str, joint: str = "_") -> Column:
     return F.regexp_replace(F.regexp_replace(folded(c), "[^a-z0-9]+", joint), f"^{joint}|{joint}$", "")
 
 
+def profile_guess(first: Column | str, last: Column | str) -> Column:
+    """The usual profile address of a name: folded letters, spaces as hyphens; null unless both names have letters."""
+    part = lambda c: F.regexp_replace(F.trim(F.regexp_replace(folded(c), r"[^a-z\s-]", "")), r"\s+", "-")
+    f, n = part(first), part(last)
+    return F.when((f != "") & (n != ""), F.concat(F.lit("https://www.linkedin.com/in/"), f, F.lit("-"), n))
+
+
 def parsed_name(c: Column | str) -> Column:
     """Struct firstName, lastName, companyName: first word and rest of at most 200 characters; Contact for none."""
     name = F.substring(F.trim(F.coalesce(col(c), F.lit(""))), 1, 200)

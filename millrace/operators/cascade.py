@@ -120,7 +120,7 @@ def classified(results: Column, first: Column, last: Column) -> Column:
 
 
 def merged_people(people: Column) -> Column:
-    """People (name, email, phone, linkedin, source, confidence) merged by folded name, in order.
+    """People (name, email, phone, linkedin, source, confidence) merged by folded name across runs, in order.
 
     A later text replaces an earlier one unless it is missing, confidence is the highest, the source is the later one.
     People without a name are left out.
@@ -137,19 +137,52 @@ def merged_people(people: Column) -> Column:
     return F.transform(F.array_distinct(F.transform(named, key)), one)
 
 
-def provenance(results: Column, best: Column, company: Column, officer: Column) -> Column:
-    """Addresses with their most confident result, type and whether they are the best: best first, then officer, company, unknown, then by confidence."""
-    mails = F.filter(results, lambda r: filled(r["email"]))
-    each = F.array_distinct(F.transform(mails, lambda r: F.lower(r["email"])))
+def joined_people(known: Column, found: Column, profile_moves_source: bool = True) -> Column:
+    """``known`` people with those ``found`` by a source in a run: merged by folded name, or put at the end.
+
+    Texts found replace missing or other ones, confidence is the highest. The source changes with an address, and with a
+    profile that was not known unless the source that found it writes it down beforehand (``profile_moves_source``).
+    """
+
+    def both(old: Column, new: Column) -> Column:
+        text = lambda f: either(new[f], old[f]).alias(f)
+        profile = filled(new["linkedinUrl"]) & ~filled(old["linkedinUrl"]) & profile_moves_source
+        source = F.when(filled(new["email"]) | profile, new["source"]).otherwise(old["source"]).alias("source")
+        most = F.greatest(F.coalesce(new["confidence"], F.lit(0)), F.coalesce(old["confidence"], F.lit(0))).alias("confidence")
+        return F.struct(*(text(f) for f in ("name", "firstName", "lastName", "title", "email", "phone", "linkedinUrl")), source, most)
+
+    def add(people: Column, new: Column) -> Column:
+        same = lambda old: folded(old["name"]) == folded(new["name"])
+        return F.when(F.exists(people, same), F.transform(people, lambda old: F.when(same(old), both(old, new)).otherwise(old))).otherwise(F.array_append(people, new))
+
+    return F.aggregate(F.coalesce(found, F.slice(known, 1, 0)), known, add)
+
+
+def person_of(email: Column, people: Column) -> Column:
+    """The name of the first person with this address, whatever the case."""
+    return F.get(F.filter(people, lambda p: F.lower(p["email"]) == F.lower(email)), F.lit(0))["name"]
+
+
+def provenance(results: Column, best: Column, company: Column, officer: Column, people: Column | None = None, first: Column | None = None, last: Column | None = None) -> Column:
+    """Addresses with their most confident result or person, type and whether they are the best.
+
+    Results come first, people's addresses replace them when more confident and then are an officer's. Order: the best, then
+    officer, company, unknown, then by confidence.
+    """
+    mails = F.transform(F.filter(results, lambda r: filled(r["email"])), lambda r: F.struct(F.lower(r["email"]).alias("e"), r["source"].alias("source"), r["confidence"].alias("c"), F.lit(False).alias("person")))
+    if people is not None:
+        mails = F.concat(mails, F.transform(F.filter(people, lambda p: filled(p["email"])), lambda p: F.struct(F.lower(p["email"]).alias("e"), p["source"].alias("source"), p["confidence"].alias("c"), F.lit(True).alias("person"))))
+    match = lambda e: F.coalesce(is_personal_match(e, first, last), F.lit(False)) if first is not None and last is not None else F.lit(False)
 
     def one(e: Column, i: Column) -> Column:
-        own = F.array_sort(F.transform(F.filter(mails, lambda r: F.lower(r["email"]) == e), lambda r, j: F.struct((-r["confidence"]).alias("c"), j.alias("j"), r["source"].alias("source"))))
+        own = F.array_sort(F.transform(F.filter(mails, lambda r: r["e"] == e), lambda r, j: F.struct((-r["c"]).alias("c"), j.alias("j"), r["source"].alias("source"), r["person"].alias("person"))))
         top = F.get(own, F.lit(0))
-        kind = F.when(e == officer, "dirigeant").when(e == company, "global").when(is_company_mailbox(e), "global").when(top["source"].isin(VENDORS), "dirigeant").otherwise("unknown")
+        kind = F.when(top["person"] | (e == officer), "dirigeant").when((e == company) | is_company_mailbox(e), "global").when(top["source"].isin(VENDORS) | match(e), "dirigeant").otherwise("unknown")
         rank = F.when(kind == "dirigeant", 0).when(kind == "global", 1).otherwise(2)
         is_best = F.coalesce(e == best, F.lit(False))
         return F.struct((~is_best).alias("o1"), rank.alias("o2"), top["c"].alias("o3"), i.alias("o4"), e.alias("email"), top["source"].alias("source"), (-top["c"]).alias("confidence"), kind.alias("type"), is_best.alias("isBest"))
 
+    each = F.array_distinct(F.transform(mails, lambda r: r["e"]))
     return F.transform(F.array_sort(F.transform(each, one)), lambda x: F.struct(x["email"], x["source"], x["confidence"], x["type"], x["isBest"]))
 
 
