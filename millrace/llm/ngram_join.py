@@ -21,13 +21,15 @@ BEYOND = 0.25
 RUN = 32
 #: Signatures that a sample of about so many documents has more than RUN times are not shuffled; at most so many are told apart. Neither
 #: changes the result, only where the work is done.
-HOT_SAMPLE, HOT_MOST = 8_000, 100_000
+HOT_SAMPLE, HOT_MOST = 4_000, 100_000
 #: Bytes of signatures that one bucket should hold; bytes of text or sets that a worker holds at once (a longer one is taken alone).
 BUCKET_BYTES, PIECE = 16 << 20, 1 << 20
 #: Elements of sets in a block of documents that are compared with each other; ratio of the sizes of two neighbouring size bands of blocks.
 BLOCK_ELEMENTS, BAND_RATIO = 200_000, 1.34
-_SIG_BITS, _ENTRIES = 44, 4096
-_BLOB = [("id", np.int64), ("need", np.uint32), ("n", np.uint32), ("sigs", np.uint32)]
+#: Bits of a signature, and of its part that a bucket keeps (the bucket tells the rest); entries that are enumerated at once; sets that a
+#: task remembers to have signed.
+_SIG_BITS, _KEPT_BITS, _ENTRIES, _SEEN = 60, 40, 4096, 200_000
+_BLOB = [("id", np.int64), ("set", np.uint64), ("need", np.uint32), ("n", np.uint32), ("sigs", np.uint32)]
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +57,16 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum([0, *map(len, out)])
 
 
+#: Salts of the two hashes of a whole set.
+SALTS = (0x5DEECE66D, 0x2545F4914F6CDD1D)
+
+
+def _whole(hashes: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each set."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(salt)))])
+    return mixed(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
 def bands(largest: int, least: int = LEAST) -> np.ndarray:
     """Upper bounds of the size bands: a set's possible partners are in its band or the next one."""
     out = [0, 1]
@@ -154,37 +166,42 @@ def _first(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np.
     return mixed(mixed(hashes[place]) + level[entry].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)), owner[entry]
 
 
-def _spread(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, hot: np.ndarray, least: int) -> Iterator[tuple[int, bytes]]:
-    """Signatures dealt to buckets: for each, its documents (id, size, signatures here, how many to share) and the signatures.
+def _spread(ids: np.ndarray, whole: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, hot: np.ndarray, least: int) -> Iterator[tuple[int, bytes]]:
+    """Signatures dealt to buckets: for each, its documents (id, hash of the set, size, signatures here, how many to share) and the signatures.
 
-    Hot signatures go to bucket -1, whichever task they come from.
+    Hot signatures stay together, in a bucket below 0 that any documents may share.
     """
     sig, owner, need = signatures(hashes, bounds, least)
+    bucket = (sig % np.uint64(buckets)).astype(np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
-        bucket = np.where(hot[at] == sig, -1, (sig % np.uint64(buckets)).astype(np.int64))
-    else:
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        bucket[hot[at] == sig] = -1
     key = (bucket + 1) * len(ids) + owner
     order = np.argsort(key, kind="stable")
     key, sig = key[order], sig[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(starts, len(key)))
     head = np.zeros(len(starts), _BLOB)
     who = key[starts] % max(1, len(ids))
-    head["id"], head["need"], head["n"], head["sigs"] = ids[who], need[who], np.diff(bounds)[who], counts
+    head["id"], head["set"], head["need"], head["n"], head["sigs"] = ids[who], whole[who], need[who], np.diff(bounds)[who], np.diff(np.append(starts, len(key)))
     at = np.searchsorted(key[starts] // max(1, len(ids)), np.arange(buckets + 2))
     ends = np.append(starts, len(key))
     for k in np.flatnonzero(np.diff(at)):
         h, x = head[at[k] : at[k + 1]], sig[ends[at[k]] : ends[at[k + 1]]]
-        yield int(k) - 1, np.uint32(len(h)).tobytes() + h.tobytes() + (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
+        lead = np.uint32(len(h)).tobytes() + h.tobytes()
+        if not k:
+            yield -1 - int(whole[0] % np.uint64(buckets)), lead + x.tobytes()
+        else:
+            x = x // np.uint64(buckets) & np.uint64((1 << _KEPT_BITS) - 1)
+            yield int(k) - 1, lead + (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()
 
 
-def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _open(blob: bytes, hot: bool) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
     head = np.frombuffer(blob, _BLOB, n, 4)
     at, total = 4 + head.nbytes, int(head["sigs"].sum())
-    return head, np.frombuffer(blob, np.uint32, total, at).astype(np.uint64) | np.frombuffer(blob, np.uint16, total, at + 4 * total).astype(np.uint64) << np.uint64(32)
+    if hot:
+        return head, np.frombuffer(blob, np.uint64, total, at)
+    return head, np.frombuffer(blob, np.uint32, total, at).astype(np.uint64) | np.frombuffer(blob, np.uint8, total, at + 4 * total).astype(np.uint64) << np.uint64(32)
 
 
 _OUT = "kind int, u long, v long, n long, key long"
@@ -195,13 +212,27 @@ def _rows(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(kinds), *(pa.array(np.concatenate([r[i].astype(np.int64) for r in rows])) for i in (1, 2, 3, 4))]
 
 
-def _matched(table: pa.Table, least: int) -> pa.Table:
+def _matched(table: pa.Table, buckets: int, least: int) -> pa.Table:
     """One bucket. kind 1: pairs in short runs of a signature, the n signatures they share and the number they need (key);
     kind 2: documents u in a long run of the signature ``key``; kind 3: how many signatures of document u are in long runs (n),
-    and how many it must share (key); kind 4: document v of long runs and the smallest document u of these."""
-    heads, sigs = zip(*(_open(b.as_py()) for b in table.column("blob")), strict=True)
+    and how many it must share (key); kind 4: document v of long runs and the smallest document u of these.
+
+    Documents with equal sets count as the one with the smallest id, which is the same in every bucket. A bucket below 0 has
+    hot signatures: kinds 2 and 3 only.
+    """
+    bucket = table.column("bucket")[0].as_py()
+    heads, sigs = zip(*(_open(b.as_py(), bucket < 0) for b in table.column("blob")), strict=True)
     head, sig = np.concatenate(heads), np.concatenate(sigs)
+    if bucket < 0:
+        owner, none = np.repeat(head["id"], head["sigs"].astype(np.int64)), np.zeros(len(sig), np.int64)
+        return pa.table(_rows([(2, owner, none, none, sig), (3, head["id"], np.zeros(len(head), np.int64), head["sigs"], head["need"])]), names=["kind", "u", "v", "n", "key"])
+    order = np.lexsort((head["id"], head["n"], head["set"]))
+    first = np.ones(len(head), bool)
+    first[1:] = (head["set"][order][1:] != head["set"][order][:-1]) | (head["n"][order][1:] != head["n"][order][:-1])
+    chosen = np.zeros(len(head), bool)
+    chosen[order[first]] = True
     doc = np.repeat(np.arange(len(head)), head["sigs"].astype(np.int64))
+    sig, doc = sig[chosen[doc]], doc[chosen[doc]]
     by_id = np.argsort(head["id"], kind="stable")
     rank = np.empty(len(head), np.int64)
     rank[by_id] = np.arange(len(head))
@@ -235,23 +266,13 @@ def _matched(table: pa.Table, least: int) -> pa.Table:
     none = lambda n: np.zeros(n, np.int64)
     rows = [
         (1, a["id"], b["id"], times, np.maximum(a["need"], b["need"])),
-        (2, head["id"][doc[waits]], none(len(waits)), none(len(waits)), sig[waits]),
+        (2, head["id"][doc[waits]], none(len(waits)), none(len(waits)), mixed(sig[waits] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64)),
         (3, head["id"][some], none(len(some)), shared[some], head["need"][some]),
         (4, c["id"], d["id"], none(len(c)), none(len(c))),
     ]
     return pa.table(_rows(rows), names=["kind", "u", "v", "n", "key"])
 
 
-def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kinds 2 and 3 of the documents with hot signatures."""
-    for b in batches:
-        for blob in b.column(0):
-            head, sig = _open(blob.as_py())
-            owner = np.repeat(head["id"], head["sigs"].astype(np.int64))
-            none = lambda n: np.zeros(n, np.int64)
-            yield pa.RecordBatch.from_arrays(_rows([(2, owner, none(len(owner)), none(len(owner)), sig), (3, head["id"], none(len(head)), head["sigs"], head["need"])]), names=["kind", "u", "v", "n", "key"])
-
-
 def _by_piece(batches: Iterator[pa.RecordBatch], column: str = "set") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches with the elements of their sets and the bounds of these."""
     for b in in_pieces(batches, column, PIECE):
@@ -367,54 +388,67 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", PIECE):
             hashes, bounds = shingle_sets(b.column(1))
-            n, sums = np.diff(bounds), []
-            for salt in (0x5DEECE66D, 0x2545F4914F6CDD1D):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(salt)))])
-                sums.append(mixed(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), *map(pa.array, sums)], names=["doc_id", "n", "a", "b"])
+            sums = [pa.array(_whole(hashes, bounds, salt)) for salt in SALTS]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds).astype(np.int64)), *sums], names=["doc_id", "n", "a", "b"])
 
     every = written(rows.mapInArrow(hashed, "doc_id long, n long, a long, b long"))
     ids = every.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("a", "b", "n")).alias("s"), F.count("*").alias("k")).select("doc_id", "s.*", "k")
-    classes = cut(ids.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "k")).alias("rep")).select("a", "b", "n", F.col("rep.doc_id").alias("rep"), "rep.k"))
+    classes = cut(ids.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
     documents, elements = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    member = ids.drop("k").join(classes.drop("k"), ["a", "b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    member = ids.drop("k").join(classes, ["a", "b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), 10 * elements // BUCKET_BYTES)
+    # of rows with one doc_id only the chosen one goes on
+    several = written(ids.where("k > 1").select("doc_id", "a"))
+    rows = rows.where("doc_id is not null")
+    rows = rows.withColumn("a", F.lit(None).cast("long")) if several.isEmpty() else rows.join(several, "doc_id", "left")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, hashes of sets, elements and bounds of the rows (doc_id, text, a) that go on, without those with empty sets."""
         for b in in_pieces(batches, "text", PIECE):
             hashes, bounds = shingle_sets(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
-
-    # rows of one doc_id with other texts than the chosen one are left out by the hash of their set
-    chosen = rows.join(classes.select(F.col("rep").alias("doc_id"), "a", "b", "k"), "doc_id").select("doc_id", "text", "a", "b", "k")
-    of = written(_one_each(chosen, hashed, sets))
+            n = np.diff(bounds)
+            whole = _whole(hashes, bounds, SALTS[0])
+            want = b.column(2).to_numpy(zero_copy_only=False)
+            keep = (n > 0) & (b.column(2).is_null().to_numpy(zero_copy_only=False) | (want == whole))
+            yield b.column(0).to_numpy()[keep], whole[keep].view(np.uint64), hashes[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])])
 
+    # signatures that many documents have, by a sample of the classes
     share = math.ceil(1_000_000 * min(1.0, HOT_SAMPLE / max(1, documents)))
-    sample = of.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000)) < share)
+    sample = written(classes.where(F.pmod(F.xxhash64("rep", F.lit(41)), F.lit(1_000_000)) < share).select(F.col("rep").alias("doc_id")), 1)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, bounds in _by_piece(batches):
+        for _, _, h, bounds in chosen(batches):
             sig, owner, _ = signatures(h, bounds, least)
             order = np.lexsort((owner, sig))
             again = np.zeros(len(sig), bool)
             again[1:] = (sig[order][1:] == sig[order][:-1]) & (owner[order][1:] == owner[order][:-1])
             yield pa.RecordBatch.from_arrays([pa.array(sig[order][~again].astype(np.int64))], names=["sig"])
 
-    seen = sample.mapInArrow(sampled, "sig long").groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > RUN)
-    hot_sigs = np.array(sorted(r["sig"] for r in seen.orderBy(F.desc("k"), "sig").limit(HOT_MOST).collect()), np.uint64)
-    hot = spark.sparkContext.broadcast(hot_sigs)  # at most HOT_MOST
+    seen = rows.join(sample, "doc_id").select("doc_id", "text", "a").mapInArrow(sampled, "sig long").groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > RUN)
+    hot = spark.sparkContext.broadcast(np.array(sorted(r["sig"] for r in seen.orderBy(F.desc("k"), "sig").limit(HOT_MOST).collect()), np.uint64))  # at most HOT_MOST
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, h, bounds in _by_piece(batches):
-            for at in range(0, b.num_rows, _ENTRIES):
-                to = min(at + _ENTRIES, b.num_rows)
-                out = list(_spread(b.column(0).to_numpy()[at:to], h[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], buckets, hot.value, least))
+        done: set[tuple[int, int]] = set()
+        for own, whole, h, bounds in chosen(batches):
+            # of equal sets in a task one is signed, so that no copied text is sent more often than there are tasks
+            new = []
+            for k, key in enumerate(zip(whole.tolist(), np.diff(bounds).tolist(), strict=True)):
+                if key not in done:
+                    done.add(key)
+                    new.append(k)
+            if len(done) > _SEEN:
+                done.clear()
+            for at in range(0, len(new), _ENTRIES):
+                some = np.array(new[at : at + _ENTRIES])
+                n = np.diff(bounds)
+                keep = np.zeros(len(n), bool)
+                keep[some] = True
+                out = list(_spread(own[some], whole[some], h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[some])]), buckets, hot.value, least))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
         release()
 
-    blobs = written(of.mapInArrow(signed, "bucket int, blob binary"))
-    in_buckets = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _matched(t, least), _OUT)
-    found = written(in_buckets.unionByName(blobs.where("bucket < 0").select("blob").mapInArrow(_hot_rows, _OUT)))
+    blobs = rows.select("doc_id", "text", "a").mapInArrow(signed, "bucket int, blob binary")
+    found = written(blobs.groupBy("bucket").applyInArrow(lambda t: _matched(t, buckets, least), _OUT))
     many = {k: n for k, n in found.groupBy("kind").count().collect()}
     short, runs = many.get(1, 0) + many.get(4, 0) + many.get(3, 0), many.get(2, 0)
     # what one document has in long runs may be missing in short ones
@@ -431,6 +465,15 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     star = waits.join(firsts, "key").where("u < doc").groupBy(F.col("doc").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
     star = star.unionByName(found.where("kind = 4").groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     pairs = cut(counted.union(star).distinct(), short)
+    # written, so that Spark knows the size of the ids and can tell whether they are few enough to be broadcast
+    names = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(waits.select("doc")).distinct(), short + runs)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, _, h, bounds in chosen(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
+
+    of = rows.join(names, "doc_id").select("doc_id", "text", "a").mapInArrow(sets, "doc_id long, set binary")
+    of = written(of if several.isEmpty() else of.dropDuplicates(["doc_id"]))
 
     def verified(candidates: DataFrame) -> DataFrame:
         side = lambda n: of.select(F.col("doc_id").alias(n), F.col("set").alias(f"set_{n}"))
@@ -446,6 +489,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
                 yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
             release()
 
+        candidates = written(candidates, short)
         both = candidates.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v")
         return cut(both.mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
 
@@ -478,27 +522,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
         rest = cut(spanning(held, reach, some).where(F.col("k") > RUN).select("doc", "c", "n").distinct(), some)
         links = cut(links.unionByName(_compared(rest, of, least)))
         reach = cut(components(links), short)
-    out = member.join(reach, F.col("rep") == F.col("node"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # nodes stand for their classes, and a component is named by the smallest document of these
+    whole = reach.unionByName(reach.select(F.col("component").alias("node"), "component").distinct())
+    named = whole.join(member.select(F.col("doc_id").alias("node"), "rep"), "node").select("component", "rep")
+    label = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("rep", "least")
+    out = member.join(label, "rep", "left").select("doc_id", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
     return out.unionByName(every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
-
-
-def _one_each(chosen: DataFrame, hashed, sets) -> DataFrame:
-    """The set of each class's first document: (doc_id, set) from rows doc_id, text, the wanted hash (a, b) and the rows k of the id.
-
-    Only ids that occur several times are told apart by the hash of their sets and made one.
-    """
-    one = chosen.where("k = 1").select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary")
-    several = chosen.where("k > 1").dropDuplicates(["doc_id", "text"])
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            narrow = b.select(["doc_id", "text"])
-            want = pa.Table.from_batches(list(hashed(iter([narrow]))))
-            held = pa.Table.from_batches(list(sets(iter([narrow]))))
-            same = (want.column("a").to_numpy() == b.column(2).to_numpy()) & (want.column("b").to_numpy() == b.column(3).to_numpy())
-            yield from held.filter(pa.array(same)).to_batches()
-
-    return one.unionByName(several.mapInArrow(both, "doc_id long, set binary").dropDuplicates(["doc_id"]))
