@@ -14,7 +14,7 @@ from millrace.llm.common import components, cut, in_pieces, mixed, multipliers,
 
 WIDTH, LEAST = 5, 75
 #: Differences that a partition may have, and second-level partitions: subsets of CELLS - SPOILED of them are enumerated.
-SPOILED, CELLS = 1, 3
+SPOILED, CELLS = 1, 2
 #: Partitions beyond those that must agree, as a part of these: so many more signatures are asked for.
 BEYOND = 0.25
 #: Up to how many documents with a signature all pairs of them are counted; beyond, other ways find the links.
@@ -28,7 +28,7 @@ BUCKET_BYTES, PIECE = 16 << 20, 1 << 20
 BLOCK_ELEMENTS, BAND_RATIO = 200_000, 1.34
 #: Bits of a signature, and of its part that a bucket keeps (the bucket tells the rest); entries that are enumerated at once; sets that a
 #: task remembers to have signed.
-_SIG_BITS, _KEPT_BITS, _ENTRIES, _SEEN = 60, 40, 4096, 200_000
+_SIG_BITS, _KEPT_BITS, _ENTRIES, _SEEN = 60, 32, 4096, 200_000
 _BLOB = [("id", np.int64), ("set", np.uint64), ("need", np.uint32), ("n", np.uint32), ("sigs", np.uint32)]
 
 
@@ -79,10 +79,10 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tu
     """Signatures (of _SIG_BITS bits) of sets and the set each belongs to, sorted by set; how many a near set must share.
 
     For a band with sizes up to m, two sets within the similarity differ in at most k = m (200 - 2 least) / (100 + least)
-    elements. The domain (hash values) is cut into k // 2 + 1 partitions and a quarter more, and each into CELLS = 3 cells. A
-    partition with at most SPOILED = 1 difference agrees in two of its cells at least, so every subset of two cells gives a
-    signature: a hash of the elements there. At most k // 2 partitions have more differences. So two near sets share a signature
-    for each partition but k // 2 of those in which one of them has elements in two cells or more. A set in which that
+    elements. The domain (hash values) is cut into k // 2 + 1 partitions and a quarter more, and each into CELLS cells. A
+    partition with at most SPOILED differences agrees in CELLS - SPOILED of its cells at least, so every subset of so many cells
+    gives a signature: a hash of the elements there. At most k // (SPOILED + 1) partitions have more differences. So two near sets share a signature
+    for each partition but k // (SPOILED + 1) of those in which one of them has elements in more than SPOILED cells. A set in which that
     leaves none also gives the signatures of a second scheme, its first k + 1 elements by hash.
     """
     sizes = np.diff(bounds)
@@ -137,8 +137,8 @@ def _elements(bounds: np.ndarray, owner: np.ndarray, lengths: np.ndarray) -> tup
 
 
 def _enumerated(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of every subset of two cells of every partition that has elements, their sets, and how many partitions of
-    each entry (a set at a level) have elements in two cells or more."""
+    """Signatures of every subset of cells of every partition that has elements, their sets, and how many partitions of
+    each entry (a set at a level) have elements in more than SPOILED cells. With SPOILED = 1, a subset leaves one cell out."""
     entry, place, _ = _elements(bounds, owner, np.diff(bounds)[owner])
     h = hashes[place]
     part = (h >> np.uint64(32)) * parts[entry].astype(np.uint64) >> np.uint64(32)
@@ -192,7 +192,7 @@ def _spread(ids: np.ndarray, whole: np.ndarray, hashes: np.ndarray, bounds: np.n
             yield -1 - int(whole[0] % np.uint64(buckets)), lead + x.tobytes()
         else:
             x = x // np.uint64(buckets) & np.uint64((1 << _KEPT_BITS) - 1)
-            yield int(k) - 1, lead + (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()
+            yield int(k) - 1, lead + x.astype(np.uint32).tobytes()
 
 
 def _open(blob: bytes, hot: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +201,7 @@ def _open(blob: bytes, hot: bool) -> tuple[np.ndarray, np.ndarray]:
     at, total = 4 + head.nbytes, int(head["sigs"].sum())
     if hot:
         return head, np.frombuffer(blob, np.uint64, total, at)
-    return head, np.frombuffer(blob, np.uint32, total, at).astype(np.uint64) | np.frombuffer(blob, np.uint8, total, at + 4 * total).astype(np.uint64) << np.uint64(32)
+    return head, np.frombuffer(blob, np.uint32, total, at).astype(np.uint64)
 
 
 _OUT = "kind int, u long, v long, n long, key long"
