@@ -77,3 +77,26 @@ def by_priority(df: DataFrame, c: str, order: list[str], *then: Column) -> DataF
 def one(df: DataFrame, key: str, value) -> DataFrame:
     """The row of a key; two rows at most come, so a caller can tell none, one and several."""
     return df.where(F.col(key) == value).limit(2)
+
+
+def leads(df: DataFrame, city: str, segment: list[str], n: int, key: str = "id") -> DataFrame:
+    """Up to n records with an address, by parts of city and category (any of the segment's), in the order of the key."""
+    found = df.where(filled("email") & (like_any("city", [city]) if city else F.lit(True)) & (like_any("category", segment) if segment else F.lit(True)))
+    return found.orderBy(key).limit(clamp(n, 1, 10_000, 50))
+
+
+def listed_first(df: DataFrame, keys: list, key: str, otherwise: Column) -> Column:
+    """The condition of a run: the listed keys, or another condition where none is listed."""
+    return F.col(key).isin(keys) if keys else otherwise
+
+
+def sorted_list(df: DataFrame, by: str, key: str, descending: bool) -> DataFrame:
+    """Order of a list: by a column, then by key as text, both turned round when descending."""
+    turn = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+    return df.orderBy(turn(F.col(by)), turn(F.col(key).cast("string")))
+
+
+def tier(df: DataFrame, most: int, score: str = "score", n: int | None = None) -> DataFrame:
+    """Rows of a dimension up to a tier, the best scores first, and the first n of these."""
+    out = df.where(F.col("tier") <= most).orderBy(F.desc(score), "name")
+    return out if n is None else out.limit(n)

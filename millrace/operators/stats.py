@@ -88,3 +88,26 @@ def exported(df: DataFrame, found: Column, counts: dict[str, Column], groups: li
         content = largest.agg(F.to_json(F.transform(ordered, lambda x: x.dropFields("order"))).alias("content"))
         out = out.unionByName(content.select(F.lit(g).alias("section"), "content"))
     return out
+
+
+def status_counts(df: DataFrame, c: str, names: list[str]) -> DataFrame:
+    """One row: all rows and those of each status."""
+    return df.agg(F.count("*").alias("total"), *(F.count_if(F.col(c) == n).alias(n) for n in names))
+
+
+def shares(df: DataFrame, c: str, k: int = 5) -> DataFrame:
+    """The k largest groups with their share of all rows in whole per cent; null and empty values are counted in all only."""
+    all_rows = df.agg(F.count("*").alias("_all"))
+    return top(df, c, k).crossJoin(all_rows).select(c, "n", F.floor(F.col("n") * 100 / F.col("_all") + 0.5).alias("share"))  # one row each side at most k
+
+
+def page_stats(df: DataFrame) -> DataFrame:
+    """Figures of the rows at hand where those of the whole table are missing: counts and a rounded mean score."""
+    has = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
+    return df.agg(F.count("*").alias("total"), has("email").alias("with_email"), has("phone").alias("with_phone"), has("website").alias("with_website"), F.coalesce(F.floor(F.avg("score") + 0.5), F.lit(0)).alias("avg_score"))
+
+
+def segment_report(df: DataFrame, segment: str, size: str, errors: str) -> DataFrame:
+    """JSON upload figures by segment, the largest first: segment, content."""
+    per = df.groupBy(segment).agg(F.count("*").alias("leads"), F.sum(size).alias("uploaded"), F.sum(errors).alias("errors"))
+    return per.orderBy(F.desc("leads"), segment).select(segment, F.to_json(F.struct("leads", "uploaded", "errors")).alias("content"))

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.values import col, valid_email
+from millrace.functions.values import col, filled, first_name, folded, parsed_name, valid_email
+
+#: Rows that a cross product may have.
+MOST_COMBINATIONS = 1_000_000
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` after a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder serves in local mode only."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str], bypass: Column | None = None) -> DataFrame:
@@ -34,7 +51,7 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
-def email_statistics(df: DataFrame, email: str, order: list[str]) -> DataFrame:
+def email_statistics(df: DataFrame, email: str) -> DataFrame:
     """One row: unique, duplicate and invalid addresses; they add up to the rows."""
     checked = df.select(valid_email(email).alias("e"))
     return checked.agg(F.count_distinct("e").alias("unique"), (F.count("e") - F.count_distinct("e")).alias("duplicate"), F.count(F.when(F.col("e").isNull(), 1)).alias("invalid"))
@@ -70,20 +87,115 @@ def union_keep_first(tables: list[DataFrame], key: str) -> DataFrame:
     return keep_first(every, [key], ["_table", "_hash"], F.coalesce(F.col(key), F.lit("")) == "").drop("_table", "_hash")
 
 
-def combinations(left: DataFrame, right: DataFrame, order: list[str]) -> DataFrame:
-    """Every pair of two small dimension tables (a bounded cross product), numbered in an order."""
-    return left.crossJoin(F.broadcast(right)).withColumn("combo", F.row_number().over(Window.orderBy(*order)) - 1)
+def combinations(left: DataFrame, right: DataFrame, order: list[str], default: str | None = None, most: int = MOST_COMBINATIONS) -> DataFrame:
+    """Every pair of two small dimension tables, numbered from 0 in an order. An empty side counts as one row of ``default``, if given.
+
+    Both sides are counted first: a product of more than ``most`` rows is an error, so the pairs are few enough to be
+    numbered in one task.
+    """
+
+    def side(df: DataFrame) -> tuple[DataFrame, int]:
+        n = df.limit(most + 1).count()
+        return (df, n) if n or default is None else (df.sparkSession.createDataFrame([(default,) * len(df.columns)], df.columns), 1)
+
+    (left, n), (right, m) = side(left), side(right)
+    if n * m > most:
+        raise ValueError(f"{n} x {m} combinations are more than {most}")
+    return left.crossJoin(right).withColumn("combo", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def exploded(segments: DataFrame, categories: str, cities: DataFrame, order: list[str]) -> DataFrame:
+    """A row for each category of each segment in each city, numbered."""
+    return combinations(segments.withColumn(categories, F.explode(categories)), cities, order)
+
+
+def overruled(own: DataFrame, custom: DataFrame, key: str) -> DataFrame:
+    """Built-in rows and custom ones of other keys, each key once."""
+    return keep_first(own.withColumn("_o", F.lit(0)).unionByName(custom.select(*own.columns).withColumn("_o", F.lit(1))), [key], ["_o", *own.columns]).drop("_o")
 
 
 def batches(df: DataFrame, size: int, order: list[str], key: str = "batch") -> DataFrame:
-    """Numbers rows and batches of ``size`` from 0 in an order, with running totals of ranges rather than one sorted task."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Numbers rows and batches of ``size`` from 0 in an order, with running totals of ranges rather than one sorted task.
+
+    The ranges are of a fixed number and are checkpointed, so that both uses of them see the same rows in each.
+    """
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    ranged = kept(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
     ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_k")).withColumn("_before", F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_k")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_k"))  # one row for each range
+    before = counts.withColumn("_before", F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_k")
     out = ranged.join(before, "_part").withColumn("seq", F.col("_n") + F.coalesce("_before", F.lit(0)) - 1)
     return out.withColumn(key, F.floor(F.col("seq") / size)).drop("_part", "_n", "_before")
 
 
+def upload_batches(df: DataFrame, size: int, order: list[str], valid_first: bool = True) -> DataFrame:
+    """Rows for an upload (email, name, phone, website, city, category) with batch and seq.
+
+    ``valid_first``: addresses are checked and kept once, then batches are cut. Otherwise batches are cut first and bad
+    addresses dropped afterwards, so that batches may be short or missing.
+    """
+    first, last, company = (parsed_name("name")[n] for n in ("firstName", "lastName", "companyName"))
+    named = lambda d: d.withColumns({"email": valid_email("email"), "first_name": first, "last_name": last, "company_name": company})
+    if valid_first:
+        return batches(keep_first(named(df).where("email is not null"), ["email"], order), size, order)
+    return named(batches(df, size, order)).where("email is not null")
+
+
+def single_uploads(df: DataFrame) -> DataFrame:
+    """One payload for each row with an address: email, first_name, company_name, and a map of the other texts that are there."""
+    others = F.create_map(*(x for c in ("website", "city", "phone") for x in (F.lit(c), F.col(c))), F.lit("lt_category"), F.col("category"))
+    return df.where(F.trim("email") != "").select(F.trim("email").alias("email"), first_name("name").alias("first_name"), F.coalesce("name", F.lit("")).alias("company_name"), F.map_filter(others, lambda _, v: filled(v)).alias("others"))
+
+
+def upload_totals(results: DataFrame, size: str, uploaded: str = "uploaded", errors: str = "errors") -> DataFrame:
+    """One row: uploaded (a missing number is the batch's size), errors, batches."""
+    return results.agg(F.coalesce(F.sum(F.coalesce(uploaded, size)), F.lit(0)).alias("uploaded"), F.coalesce(F.sum(F.coalesce(errors, F.lit(0))), F.lit(0)).alias("errors"), F.count("*").alias("batches"))
+
+
+def appended(df: DataFrame, path: str, size: int, order: list[str]) -> DataFrame:
+    """Append rows to a Parquet table and report rows by batch: batch, written. A repeated call appends again."""
+    numbered = kept(batches(df, size, order))
+    numbered.drop("seq", "batch").write.mode("append").parquet(path)
+    return numbered.groupBy("batch").agg(F.count("*").alias("written"))
+
+
+def update_keys(df: DataFrame, key: str, keys: DataFrame, **values) -> DataFrame:
+    """New values for the rows whose key is listed."""
+    listed = keys.select(F.col(key).alias("_key")).distinct()
+    out = df.join(listed, F.col(key) == F.col("_key"), "left")
+    return update_where(out, F.col("_key").isNotNull(), **values).drop("_key")
+
+
+def merged_rows(df: DataFrame, key: str, order: list[str], texts: list[str], score: str) -> DataFrame:
+    """One row for each folded, trimmed key: the latest text that is there for each column, and the highest score.
+
+    Aggregates only, so a hot key is combined before the shuffle; rows without a key are left out.
+    """
+    at = F.struct(*order)
+    latest = [F.max_by(c, F.when(filled(c), at)).alias(c) for c in texts]
+    return df.withColumn("_k", folded(F.trim(key))).where(filled("_k")).groupBy(F.col("_k").alias(key)).agg(*latest, F.max(score).alias(score))
+
+
+def looked_up(df: DataFrame, key: str, lookup, value: str) -> DataFrame:
+    """Rows with the result of a look-up that is made once for each distinct key: a function from keys to (key, value)."""
+    return df.join(lookup(df.select(key).where(F.col(key).isNotNull()).distinct()).select(key, value), key, "left")
+
+
+def within(df: DataFrame, latency: str, limit: int, columns: list[str]) -> DataFrame:
+    """Results that came later than a limit count as none."""
+    return df.withColumns({c: F.when(F.col(latency) <= limit, F.col(c)) for c in columns})
+
+
+def searched(queries: DataFrame, results: DataFrame, key: str = "place_id", pages: int = 3) -> DataFrame:
+    """Results (query, page, rank, key, ...) of queries (seq, query), up to a page, each key once: the first by query, page and rank.
+
+    Results without a key are left out.
+    """
+    found = queries.join(results, "query").where((F.col("page") <= pages) & filled(key))
+    return keep_first(found, [key], ["seq", "page", "rank"])
+
+
 def payloads(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFrame:
     """One row per batch with its rows in order; batches are of bounded size."""
     rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))

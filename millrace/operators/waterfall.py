@@ -6,7 +6,6 @@ cut by a checkpoint after each, so that the plan does not grow with the number o
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scoring import confidence
 from millrace.functions.values import domain, either, filled
 from millrace.operators import cascade, lookups, sources
+from millrace.operators.tables import kept
 
 # --- fixed values -------------------------------------------------------------------------------------------
 WRITES_PROFILE = ["google_dork", "linkedin_search"]
@@ -24,19 +24,6 @@ Source = Callable[[DataFrame], DataFrame]
 _RESULT = "struct<source:string,email:string,phone:string,officer:string,registration:string,metadata:map<string,string>,confidence:int>"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` after a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder serves in local mode only."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def on_snapshots(dns: DataFrame, pages: DataFrame, registry: DataFrame, searches: DataFrame, profiles: DataFrame, vendor: DataFrame, checks: DataFrame, not_names: list[str] | None = None) -> dict[str, Source]:
     """All sources bound to their snapshots, by name."""
 

@@ -65,3 +65,36 @@ def ran(spark: SparkSession) -> DataFrame:
     out = waterfall.run(records(spark), waterfall.on_snapshots(**snapshots(spark)))
     confidences = F.array_join(F.transform("used", lambda r: r["confidence"].cast("string")), ",")
     return out.select("id", F.array_join("tried", ",").alias("tried"), confidences.alias("confidences"), "confidence", "best_email", "officer", "registration", "company_email", "officer_email", "stopped")
+
+
+#: id, website; url, html; and what the page reader's two phases and the single-page reader find.
+SITES = [(1, "https://www.one.test/x"), (2, "https://two.test"), (3, "https://three.test"), (4, ""), (5, "https://five.test:80/")]
+SITE_PAGES = [
+    ("https://www.one.test/", "<a HREF='mailto:Ann@one.test?subject=x'>a</a> info@one.test no-reply@one.test x@example.com pic@2x.png"),
+    ("https://www.one.test/contact", "direction@one.test"),
+    ("https://www.one.test/about", "late@one.test"),
+    ("https://two.test/", "abcdefghijklmnopqrstuvwxyzabcdefgh@two.test a..b@two.test"),
+    ("https://two.test/team", "sales@two.test"),
+]
+CRAWLED = [(1, "direction@one.test,info@one.test,ann@one.test", "direction@one.test", 1), (2, "sales@two.test", "sales@two.test", 2), (3, "contact@three.test", "contact@three.test", 2), (4, "", None, 0), (5, "contact@five.test", "contact@five.test", 2)]
+HOMES = [("https://www.one.test/x", "z@other.test contact@else.test Me@One.Test"), ("https://two.test", "z@other.test info@else.test"), ("https://three.test", "noreply@three.test a@sub.google.com")]
+GUESSED = [
+    (1, "website_scraping", "me@one.test", "enriched"), (2, "website_scraping", "info@else.test", "enriched"), (3, "website_scraping", None, "failed"), (4, "website_scraping", None, "failed"), (5, "website_scraping", None, "failed"),
+    (1, "pattern_guess", "contact@one.test", "enriched"), (2, "pattern_guess", "contact@two.test", "enriched"), (3, "pattern_guess", "contact@three.test", "enriched"), (4, "pattern_guess", None, "failed"), (5, "pattern_guess", "contact@five.test", "enriched"),
+]
+
+
+def crawled(spark: SparkSession) -> DataFrame:
+    from millrace.functions import records as r
+
+    sites, pages = spark.createDataFrame(SITES, "id int, website string"), spark.createDataFrame(SITE_PAGES, "url string, html string")
+    out = r.crawled_in_phases(sites, pages, ["/", "/contact", "/about"], ["/team", "/legal"])
+    return out.select("id", F.array_join("emails", ",").alias("emails"), "best", "phase")
+
+
+def guessed(spark: SparkSession) -> DataFrame:
+    from millrace.functions import records as r
+
+    sites, pages = spark.createDataFrame(SITES, "id int, website string"), spark.createDataFrame(HOMES, "url string, html string")
+    each = [r.guessed_or_read(sites, pages, k) for k in ("website_scraping", "pattern_guess")]
+    return each[0].unionByName(each[1]).select("id", F.col("source").alias("technique"), "email", "status")

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions import html, scoring, values
+from millrace.functions import html, records, scoring, values
 from millrace.operators import cascade, filters, stats, tables
+from millrace.plans.base import ORACLES, QUERIES, query
+from millrace.sources import files
 from millrace.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 SEGMENTS = {"rod": "metal", "plate": "metal", "gear": "machine"}
 KIND = ["purchase", "click", "view", "signup", "error"]
 
 
-def query(sql: str | None = None):
-    """Register a function of a table reader as a query, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- aggregates ----------------------------------------------------------------------------------------------
 
 
@@ -67,9 +53,17 @@ def funnel_rows(t):
     return stats.funnel(t("orders"), [("all", F.lit(True)), ("open", F.col("o_orderstatus") == "O"), ("large", F.col("o_totalprice") >= 100000)])
 
 
-@query("SELECT event_type AS source, count(*) AS tried, count(*) FILTER (WHERE value > 50) AS found, floor(avg(value) + 0.5) AS mean FROM events GROUP BY event_type")
+@query("""SELECT event_type AS source, count(*) AS tried, count(*) FILTER (WHERE value > 50) AS email_found, count(*) FILTER (WHERE value > 90) AS phone_found, count(*) FILTER (WHERE value > 98) AS registration_found FROM events GROUP BY event_type""")
 def source_statistics(t):
-    return t("events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("tried"), F.count_if(F.col("value") > 50).alias("found"), values.round_half_up(F.avg("value")).cast("double").alias("mean"))
+    above = lambda x: F.when(F.col("value") > x, "x").otherwise("")
+    return stats.source_stats(t("events").select(F.col("event_type").alias("source"), above(50).alias("email"), above(90).alias("phone"), above(98).alias("registration")))
+
+
+@query("""SELECT count(*) FILTER (WHERE value > 50) AS total_email, count(*) FILTER (WHERE value > 90) AS total_phone, floor(avg(value) + 0.5) AS avg_value, floor(avg(user_id) + 0.5) AS avg_user_id FROM events""")
+def run_summary(t):
+    above = lambda x: F.when(F.col("value") > x, "x").otherwise("")
+    out = stats.run_summary(t("events").select(above(50).alias("email"), above(90).alias("phone"), "value", "user_id"), ["email", "phone"], ["value", "user_id"])
+    return out.withColumns({c: F.col(c).cast("double") for c in ("avg_value", "avg_user_id")})
 
 
 # --- filters, order, pages -----------------------------------------------------------------------------------
@@ -102,10 +96,13 @@ def priority_sort(t):
     return filters.by_priority(t("events"), "event_type", KIND, F.desc("ts"), F.asc("event_id")).limit(200).select("event_id", "event_type")
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role = 'user' AS incoming FROM conversations")
+@query(r"""SELECT conv_id AS thread, CAST(turn AS VARCHAR) AS id, CASE WHEN role = 'user' THEN 'received' ELSE 'sent' END AS type, '(sans objet)' AS subject,
+  trim(regexp_replace(coalesce(text, ''), '<[^>]*>', '', 'g')) AS body, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * turn AS at FROM conversations""")
 def thread_order(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t("conversations").select("conv_id", "turn", F.row_number().over(w).alias("place"), (F.col("role") == "user").alias("incoming"))
+    none = F.lit(None).cast("string")
+    user = F.col("role") == "user"
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return records.thread(t("conversations").select(F.col("conv_id").alias("thread"), F.col("turn").cast("string").alias("id"), user.alias("is_reply"), F.when(user, F.col("text")).alias("reply_text"), none.alias("reply_html"), none.alias("reply_subject"), none.alias("subject"), F.when(~user, F.col("text")).alias("body"), at.alias("timestamp")))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'medium' ELSE 'low' END AS level FROM orders")
@@ -131,9 +128,10 @@ def top_three(t):
     return tables.top_k(t("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 99.5)) WHERE n = 1""")
 def anti_new_rows(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    e = t("events").select("user_id", "event_id", "value")
+    return tables.new_rows(e, e.where("value > 99.5"), "user_id", ["event_id"]).select("user_id", "event_id")
 
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 20 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
@@ -166,10 +164,10 @@ def left_zero_fill(t):
     return tables.zero_filled(t("supplier").select("s_suppkey"), n, "s_suppkey", ["n"])
 
 
-@query("SELECT count(DISTINCT e) AS \"unique\", count(e) - count(DISTINCT e) AS duplicate, count(*) - count(e) AS invalid FROM (SELECT nullif(lower(regexp_extract(text, '[a-z0-9]+@[a-z0-9.]+[.][a-z]+')), '') AS e FROM documents)")
+@query("SELECT count(DISTINCT e) AS \"unique\", count(e) - count(DISTINCT e) AS duplicate, count(*) - count(e) AS invalid FROM (SELECT nullif(lower(unnest(CASE WHEN len(m) = 0 THEN [''] ELSE m END)), '') AS e FROM (SELECT regexp_extract_all(text, '[a-z0-9]+@[a-z0-9.]+[.][a-z]+') AS m FROM documents))")
 def dedup_stats(t):
-    found = t("documents").select(F.nullif(F.regexp_extract("text", "[a-z0-9]+@[a-z0-9.]+[.][a-z]+", 0), F.lit("")).alias("e"), "doc_id")
-    return tables.email_statistics(found, "e", ["doc_id"])
+    found = t("documents").select(F.explode_outer(F.regexp_extract_all("text", F.lit("[a-z0-9]+@[a-z0-9.]+[.][a-z]+"), 0)).alias("e"))
+    return tables.email_statistics(found, "e")
 
 
 # --- text ----------------------------------------------------------------------------------------------------
@@ -195,14 +193,55 @@ def extract_phones(t):
     return t("documents").select("doc_id", F.explode(html.phones("text")).alias("phone"))
 
 
-@query(r"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}'), lambda x: lower(x)))) AS email FROM documents")
+#: Conditions and steps of page addresses, as SQL.
+_GOOD = (
+    f"len(string_split(e, '@')) > 1 AND NOT list_contains({html.EXCLUDED_DOMAINS}, string_split(e, '@')[2]) AND NOT ({' OR '.join(f"starts_with(e, '{p}')" for p in html.EXCLUDED_STARTS)})"
+    r" AND NOT contains(e, '..') AND NOT starts_with(e, '.') AND NOT regexp_matches(e, '(?i)\.(png|jpg|jpeg|gif|svg|webp|css|js)$') AND len(string_split(string_split(e, '@')[2], '.')[-1]) BETWEEN 2 AND 10"
+)
+
+
+def _nested(inner: str, steps: list[tuple[str, str]]) -> str:
+    """SQL of replacements one after another, whatever the case."""
+    for pattern, new in steps:
+        inner = f"regexp_replace({inner}, '(?i){pattern}', '{new}', 'g')"
+    return inner
+
+
+def _characters(inner: str, pattern: str, number: str) -> str:
+    """SQL of numeric entities as characters."""
+    return f"list_reduce(list_prepend({inner}, list_distinct(regexp_extract_all({inner}, '&#({pattern});', 1))), lambda a, m: replace(a, '&#' || m || ';', chr({number})))"
+
+
+_NAMED_CHARACTERS = "replace(replace(replace(replace(replace(h, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39))"
+_DECODED = f"""decimals AS (SELECT page_id, {_characters("html", "[0-9]+", "CAST(m AS INT)")} AS h FROM pages),
+hexed AS (SELECT page_id, {_characters("h", "x[0-9a-fA-F]+", "CAST('0' || m AS INT)")} AS h FROM decimals),
+decoded AS (SELECT page_id, {_nested(_NAMED_CHARACTERS, [(r"\\u003e", ">"), (r"\\u003c", "<"), (r"\\u0026", "&")])} AS h FROM hexed)"""
+
+
+@query(rf"""WITH found AS (SELECT doc_id, unnest(list_transform(list_concat(regexp_extract_all(text, '{html.MAILTO}', 1), regexp_extract_all({_nested("text", html.HIDDEN)}, '{html.EMAIL}')), lambda x: trim(lower(x)))) AS e FROM documents)
+  SELECT DISTINCT doc_id, e AS email FROM found WHERE {_GOOD}""")
 def extract_emails(t):
-    return t("documents").select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(html.EMAIL), 0), F.lower))).alias("email"))
+    return t("documents").select("doc_id", F.explode(html.emails("text")).alias("email"))
 
 
-@query()
+@query(rf"""WITH {_DECODED}, found AS (SELECT page_id, unnest(list_transform(list_concat(regexp_extract_all(h, '{html.MAILTO}', 1), regexp_extract_all({_nested("h", html.HIDDEN)}, '{html.EMAIL}')), lambda x: trim(lower(x)))) AS e FROM decoded)
+  SELECT DISTINCT page_id, e AS email FROM found WHERE {_GOOD}""")
 def contact_emails(t):
-    return t("pages").select("page_id", F.explode(html.emails(html.decoded("html"))).alias("email"))
+    return t("pages").select("page_id", html.decoded("html").alias("page")).select("page_id", F.explode(html.emails("page")).alias("email"))
+
+
+@query(f"WITH {_DECODED} SELECT page_id, md5(h) AS page FROM decoded")
+def entity_decode(t):
+    return t("pages").select("page_id", F.md5(html.decoded("html")).alias("page"))
+
+
+@query(rf"""WITH found AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '{html.EMAIL}'), lambda x: lower(x))) AS m FROM documents), each AS (SELECT doc_id, unnest(m) AS e FROM found),
+  valid AS (SELECT doc_id, e, len(e) <= 254 AND regexp_matches(e, '{values.ADDRESS}') AND NOT list_contains({values.BLOCKED_DOMAINS}, regexp_extract(e, '@([^@]*)$', 1)) AND NOT list_contains({values.JUNK_PREFIXES}, string_split(e, '@')[1]) AS valid FROM each)
+  SELECT doc_id, e AS email, valid, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN contains(string_split(e, '@')[2], 'example') THEN 0 ELSE 1 END, CASE WHEN e LIKE 'contact@%' OR e LIKE 'info@%' OR e LIKE 'accueil@%' THEN 1 ELSE 0 END, e) AS rank FROM valid""")
+def email_validate_rank(t):
+    found = t("documents").select("doc_id", F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(html.EMAIL), 0), F.lower))).alias("m"))
+    each = found.select("doc_id", F.posexplode(html.ranked_emails("m", F.lit("example"))).alias("at", "email"))
+    return each.select("doc_id", "email", values.valid_email("email").isNotNull().alias("valid"), (F.col("at") + 1).cast("long").alias("rank"))
 
 
 # --- scores, cascade, jobs -----------------------------------------------------------------------------------
@@ -222,35 +261,72 @@ def activity_class(t):
     return per.select("user_id", scoring.activity("a", "b", "c").alias("status"), "n")
 
 
-@query("""WITH r AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, event_type, value FROM events),
-  s AS (SELECT id, p, CASE event_type WHEN 'purchase' THEN 90 WHEN 'click' THEN 85 WHEN 'view' THEN 65 WHEN 'signup' THEN 55 ELSE 30 END + CASE WHEN event_type = 'click' THEN 15 ELSE 0 END AS c, event_type = 'click' AS mail FROM r WHERE p < 6),
+_STOPS = """WITH r AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, event_type, value FROM events),
+  s AS (SELECT id, p, CASE event_type WHEN 'purchase' THEN 90 WHEN 'click' THEN 85 WHEN 'view' THEN 65 WHEN 'signup' THEN 55 ELSE 30 END + CASE WHEN event_type = 'click' THEN 15 ELSE 0 END AS c, event_type = 'click' AS mail FROM r),
   m AS (SELECT *, max(c) OVER w AS top, sum(mail::INT) OVER w AS mails FROM s WINDOW w AS (PARTITION BY id ORDER BY p)),
   e AS (SELECT id, min(p) AS stop FROM m WHERE mails > 0 AND top + CASE WHEN mails > 1 THEN 20 ELSE 0 END >= 80 GROUP BY id)
-  SELECT m.id, count(*) AS tried, least(100, max(m.top) + CASE WHEN max(mails) > 1 THEN 20 ELSE 0 END) AS confidence, bool_or(e.stop IS NOT NULL) AS stopped FROM m LEFT JOIN e USING (id) WHERE e.stop IS NULL OR p <= e.stop GROUP BY m.id""")
-def cascade_early_stop(t):
-    named = {"purchase": "sirene", "click": "schema_org", "view": "deep_scrape", "signup": "google_dork", "error": "dns_intel"}
-    source = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.col("event_type")]
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    text = F.lit(None).cast("string")
-    results = t("events").select(F.col("user_id").alias("id"), (F.row_number().over(w) - 1).alias("priority"), source.alias("source"), F.when(F.col("event_type") == "click", "a@x.test").alias("email"), *(text.alias(n) for n in ("phone", "registration", "officer")), F.lit(False).alias("verified"), F.lit(None).cast("boolean").alias("has_mx")).where("priority < 6")
-    records = t("events").select(F.col("user_id").alias("id")).distinct().select("id", F.lit("x.test").alias("domain"), text.alias("email"), F.lit(0).alias("score"), text.alias("first_name"), text.alias("last_name"))
-    return cascade.enrich(records, results).select("id", F.size("used").cast("long").alias("tried"), "confidence", F.col("stopped"))
+  SELECT m.id, count(*) AS tried, CAST(least(100, max(m.top) + CASE WHEN max(mails) > 1 THEN 20 ELSE 0 END) AS INT) AS confidence, bool_or(e.stop IS NOT NULL) AS stopped FROM m LEFT JOIN e USING (id) WHERE e.stop IS NULL OR p <= e.stop GROUP BY m.id"""
+_NAMED = {"purchase": "sirene", "click": "schema_org", "view": "deep_scrape", "signup": "google_dork", "error": "dns_intel"}
 
 
-@query()
-def cascade_early_stop_all(t):
-    """cascade_early_stop over all events of each user."""
-    named = {"purchase": "sirene", "click": "schema_org", "view": "deep_scrape", "signup": "google_dork", "error": "dns_intel"}
-    source = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.col("event_type")]
+def _source():
+    return F.create_map(*(F.lit(x) for kv in _NAMED.items() for x in kv))[F.col("event_type")]
+
+
+@query(_STOPS)
+def cascade_early_stop(t):
+    """Each user's events as the results of sources in order, run until they are confident and an address is known."""
     none = F.lit(None).cast("string")
-    results = t("events").select(F.col("user_id").alias("id"), "event_id", source.alias("source"), F.when(F.col("event_type") == "click", "a@x.test").alias("email"), F.lit("x.test").alias("domain"), none.alias("none"))
+    results = t("events").select(F.col("user_id").alias("id"), "event_id", _source().alias("source"), F.when(F.col("event_type") == "click", "a@x.test").alias("email"), F.lit("x.test").alias("domain"), none.alias("none"))
     scored = results.withColumn("confidence", scoring.confidence("source", "email", "domain", "none", "none", "none", F.lit(False)))
     return cascade.early_stops(scored, ["event_id"])
 
 
+@query(_STOPS)
+def cascade_early_stop_all(t):
+    """The same under the name it had beside a shorter form."""
+    return cascade_early_stop(t)
+
+
+_SOURCE_ROWS = """s AS (SELECT user_id AS id, event_type AS t, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS p, CASE WHEN event_type IN ('click', 'view') THEN 'u' || (user_id % 3) || '@x.test' END AS mail,
+    CASE event_type WHEN 'purchase' THEN 90 WHEN 'click' THEN 85 WHEN 'view' THEN 65 WHEN 'signup' THEN 55 ELSE 30 END + CASE WHEN event_type IN ('click', 'view') THEN 15 ELSE 0 END AS c FROM events GROUP BY ALL)"""
+
+
+def _results(t):
+    """One result for each user and kind of event."""
+    text = F.lit(None).cast("string")
+    rank = {"error": 0, "click": 1, "view": 2, "purchase": 3, "signup": 4}
+    mail = F.when(F.col("event_type").isin("click", "view"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string"), F.lit("@x.test")))
+    each = t("events").select("user_id", "event_type").distinct()
+    return each.select(F.col("user_id").alias("id"), F.create_map(*(F.lit(x) for kv in rank.items() for x in kv))[F.col("event_type")].alias("priority"), _source().alias("source"), mail.alias("email"), *(text.alias(n) for n in ("phone", "registration", "officer")), F.lit(False).alias("verified"), F.lit(None).cast("boolean").alias("has_mx"))
+
+
+@query(f"WITH {_SOURCE_ROWS} SELECT id, CAST(least(100, max(c) + CASE WHEN count(mail) > 1 THEN 20 ELSE 0 END) AS INT) AS confidence, count(*) AS results FROM s GROUP BY id")
+def confidence_fold(t):
+    scored = _results(t).withColumn("confidence", scoring.confidence("source", "email", F.lit("x.test"), "phone", "registration", "officer", F.col("verified")))
+    gathered = scored.groupBy("id").agg(F.collect_list(F.struct("email", "confidence")).alias("r"))  # a result for each kind of event
+    return gathered.select("id", cascade.aggregate_confidence(F.col("r")).alias("confidence"), F.size("r").cast("long").alias("results"))
+
+
+@query(f"""WITH {_SOURCE_ROWS}, m AS (SELECT *, max(c) OVER w AS top, count(mail) OVER w AS mails FROM s WINDOW w AS (PARTITION BY id ORDER BY p)),
+  e AS (SELECT id, min(p) AS stop FROM m WHERE mails > 0 AND least(100, top + CASE WHEN mails > 1 THEN 20 ELSE 0 END) >= 80 GROUP BY id),
+  u AS (SELECT m.* FROM m LEFT JOIN e USING (id) WHERE stop IS NULL OR p <= stop)
+  SELECT id, count(*) AS tried, CAST(least(100, max(c) + CASE WHEN count(mail) > 1 THEN 20 ELSE 0 END) AS INT) AS confidence, max(mail) AS best_email, bool_or(id IN (SELECT id FROM e)) AS stopped FROM u GROUP BY id""")
+def cascade_sources(t):
+    text = F.lit(None).cast("string")
+    given = t("events").select(F.col("user_id").alias("id")).distinct().select("id", F.lit("x.test").alias("domain"), text.alias("email"), F.lit(0).alias("score"), F.lit("Ann").alias("first_name"), F.lit("Bee").alias("last_name"))
+    return cascade.enrich(given, _results(t)).select("id", F.size("used").cast("long").alias("tried"), "confidence", "best_email", F.col("stopped"))
+
+
+@query("""SELECT source, arg_max(lang, (n_chars, doc_id)) FILTER (WHERE lang <> '') AS lang, arg_max(md5(text), (n_chars, doc_id)) AS text, max(n_chars) AS n_chars FROM (SELECT lower(trim(source)) AS source, lang, text, n_chars, doc_id FROM documents WHERE trim(source) <> '') GROUP BY source""")
+def merge_entities(t):
+    docs = t("documents").select("source", "lang", F.md5("text").alias("text"), "n_chars", "doc_id")
+    return tables.merged_rows(docs, "source", ["n_chars", "doc_id"], ["lang", "text"], "n_chars")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(t):
-    return t("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+    return t("events").select("event_id", F.explode(files.items("props")).alias("item")).select("event_id", F.try_variant_get("item", "$.k", "bigint").alias("k"))
 
 
 @query("""SELECT user_id AS job, arg_max(props, event_id) FILTER (WHERE event_type = 'view') AS progress, count(*) FILTER (WHERE event_type = 'click') AS results,
@@ -263,3 +339,6 @@ def event_reducer(t):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(t):
     return jobs.windowed_counts(t("events"))
+
+
+from millrace.plans import lists  # noqa: E402, F401  (registers more queries)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.values import number
+from millrace.functions.values import first_match, number
 
 PERSON = T.StructType([*(T.StructField(n, T.StringType()) for n in ("name", "firstName", "lastName", "title", "email", "phone", "linkedinUrl", "linkedin_url", "source")), T.StructField("confidence", T.IntegerType())])
 
@@ -33,6 +33,31 @@ def write_csv(df: DataFrame, path: str, lists: dict[str, str] | None = None) ->
     df.withColumns({c: F.array_join(c, s) for c, s in (lists or {}).items()}).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+def as_csv_lines(df: DataFrame, lists: dict[str, str] | None = None, mark: bool = False) -> DataFrame:
+    """Rows as quoted CSV lines (line), quotes doubled and lists joined; with ``mark`` a byte-order mark leads each, for a file of one."""
+    joined = df.withColumns({c: F.array_join(c, s) for c, s in (lists or {}).items()})
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in joined.columns]
+    return joined.select(F.concat(F.lit("\ufeff" if mark else ""), F.concat_ws(",", *cells)).alias("line"))
+
+
+def by_segment(leads: DataFrame, segments: dict[str, str], text: str = "category", otherwise: str = "other") -> DataFrame:
+    """Rows with the segment whose first keyword their lower-case text contains."""
+    return leads.withColumn("segment", first_match(F.lower(text), segments, otherwise))
+
+
+def job_summary(c: Column | str) -> Column:
+    """Figures of a job from JSON text, 0 where they are missing or malformed: struct enriched, failed, emails, phones, avg_confidence."""
+    parsed = F.from_json(c, "enriched int, failed int, emails int, phones int, avg_confidence int", {"mode": "PERMISSIVE"})
+    return F.struct(*(F.coalesce(parsed[n], F.lit(0)).alias(n) for n in ("enriched", "failed", "emails", "phones", "avg_confidence")))
+
+
+def source_map(c: Column | str) -> Column:
+    """Counts of sources from a JSON object of objects: map of struct tried, found; an empty map for other text."""
+    parsed = F.from_json(c, "map<string,struct<tried:int,found:int>>", {"mode": "PERMISSIVE"})
+    zero = lambda v: F.struct(F.coalesce(v["tried"], F.lit(0)).alias("tried"), F.coalesce(v["found"], F.lit(0)).alias("found"))
+    return F.coalesce(F.transform_values(parsed, lambda _, v: zero(v)), F.from_json(F.lit("{}"), "map<string,struct<tried:int,found:int>>"))
+
+
 def json_people(c: Column | str) -> Column:
     """People from JSON text: an array of objects; others and nameless ones are left out, texts default to empty."""
     parsed = F.from_json(c, T.ArrayType(PERSON), {"mode": "PERMISSIVE"})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,78 @@ def signalled(jobs: DataFrame, signals: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
     """Counts by tumbling window with a watermark, batch or stream."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+
+
+# --- event logs that runs write --------------------------------------------------------------------------------
+
+
+def _log(rows: DataFrame, job: str, order: list[str]) -> DataFrame:
+    """Events (job, seq, event, data) numbered from 0 in the order of a job's steps."""
+    w = Window.partitionBy(job).orderBy(*order)
+    return rows.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).select(job, "seq", "event", "data")
+
+
+def _event(name: str, at: int, **data) -> Column:
+    return F.struct(F.lit(at).alias("at"), F.lit(name).alias("event"), F.to_json(F.struct(*(F.lit(v).alias(k) if not isinstance(v, Column) else v.alias(k) for k, v in data.items()))).alias("data"))
+
+
+def run_log(items: DataFrame, start: str, done: str, failed: str, job: str = "job") -> DataFrame:
+    """The event log of a run over items (job, item, ok, found, error) in the order of ``item``.
+
+    job_created, for each item ``start``, then ``done`` or ``failed`` and a progress event in per cent, and done with
+    totals. A run over nothing is a single done event: see ``empty_run``.
+    """
+    w = Window.partitionBy(job).orderBy("item")
+    ran = items.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count("*").over(Window.partitionBy(job)))
+    percent = F.floor(F.col("_n") * 100 / F.col("_all") + 0.5).cast("int")
+    ended = F.when(F.col("ok"), _event(done, 1, item=F.col("item"), found=F.col("found"))).otherwise(_event(failed, 1, item=F.col("item"), error=F.col("error")))
+    each = ran.select(job, F.col("_n").alias("_step"), F.inline(F.array(_event(start, 0, item=F.col("item")), ended, _event("progress", 2, done=F.col("_n"), total=F.col("_all"), percent=percent))))
+    per = items.groupBy(job).agg(F.count("*").alias("_all"), F.count_if("ok").alias("_ok"), F.coalesce(F.sum("found"), F.lit(0)).alias("_found"))
+    first = per.select(job, F.lit(0).cast("int").alias("_step"), F.inline(F.array(_event("job_created", 0, total=F.col("_all")))))
+    last = per.select(job, (F.col("_all") + 1).cast("int").alias("_step"), F.inline(F.array(_event("done", 0, total=F.col("_all"), ok=F.col("_ok"), found=F.col("_found")))))
+    return _log(first.unionByName(each).unionByName(last), job, ["_step", "at"])
+
+
+def scrape_log(combos: DataFrame) -> DataFrame:
+    return run_log(combos, "combo_start", "combo_done", "combo_error")
+
+
+def enrichment_log(leads: DataFrame) -> DataFrame:
+    return run_log(leads, "lead_start", "lead_done", "lead_error")
+
+
+def export_log(steps: DataFrame) -> DataFrame:
+    return run_log(steps, "step", "step_done", "step_error")
+
+
+def empty_run(jobs: DataFrame, job: str = "job") -> DataFrame:
+    """The log of runs that had nothing to do: a done event alone."""
+    return jobs.select(job, F.lit(0).cast("long").alias("seq"), F.lit("done").alias("event"), F.to_json(F.struct(F.lit(0).alias("total"), F.lit(0).alias("ok"), F.lit(0).alias("found"))).alias("data"))
+
+
+def as_frames(log: DataFrame, job: str = "job") -> DataFrame:
+    """A log as server-sent frames, one text for each event: job, seq, value."""
+    return log.select(job, "seq", F.concat(F.lit("event: "), "event", F.lit("\ndata: "), "data", F.lit("\n\n")).alias("value"))
+
+
+def interrupted(items: DataFrame, signals: DataFrame, size: int, job: str = "job") -> tuple[DataFrame, DataFrame]:
+    """What runs did before a pause or stop: (items processed, jobs with status, processed, total).
+
+    Signals (job, batch, signal) are looked at before each batch of ``size`` items; the first one ends the run there and is
+    cleared. Without one a run is completed.
+    """
+    numbered = items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(job).orderBy("item")) - 1) / size))
+    first = signals.where(F.col("signal").isin("pause", "stop")).groupBy(job).agg(F.min(F.struct("batch", "signal")).alias("_s"))
+    both = numbered.join(first, job, "left")
+    run = both.where(F.col("_s").isNull() | (F.col("batch") < F.col("_s.batch")))
+    per = both.groupBy(job).agg(F.count("*").alias("total"), F.count_if(F.col("_s").isNull() | (F.col("batch") < F.col("_s.batch"))).alias("processed"), F.first("_s").alias("_s"))
+    status = F.when(F.col("processed") == F.col("total"), "completed").when(F.col("_s.signal") == "pause", "paused").otherwise("stopped")
+    return run.drop("_s"), per.select(job, status.alias("status"), "processed", "total", F.lit(None).cast("string").alias("signal"))
+
+
+def guarded(stored: DataFrame, batch: DataFrame, done: DataFrame, key: str = "id", status: str = "enrichment_status") -> DataFrame:
+    """Stored rows after a run of a batch: its rows are failed from the start, and what got done overwrites that."""
+    tried = batch.select(F.col(key).alias("_tried")).distinct()
+    ended = done.select(F.col(key).alias("_done"), F.col(status).alias("_status")).dropDuplicates(["_done"])
+    out = stored.join(tried, F.col(key) == F.col("_tried"), "left").join(ended, F.col(key) == F.col("_done"), "left")
+    return out.withColumn(status, F.coalesce("_status", F.when(F.col("_tried").isNotNull(), F.lit("failed")), F.col(status))).select(*stored.columns)
