@@ -19,6 +19,8 @@ SPOILED, CELLS = 1, 2
 BEYOND = 0.25
 #: Up to how many documents with a signature all pairs of them are counted; beyond, other ways find the links.
 RUN = 32
+#: The same for the rarest elements of documents.
+KEY_RUN = 8
 #: Signatures that a sample of about so many documents has more than RUN times are not shuffled; at most so many are told apart. Neither
 #: changes the result, only where the work is done.
 HOT_SAMPLE, HOT_MOST = 4_000, 100_000
@@ -67,6 +69,21 @@ def _whole(hashes: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return mixed(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """Bits that tell which cells of the domain have an odd number of a set's elements, four to eight cells for each element."""
+    bits = max(6, int(4 * max(1, len(hashes)) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def odd_distance(a: bytes, b: bytes) -> int:
+    """In how many cells the parities of two sets differ: never more than the elements in which the sets differ."""
+    a, b = sorted((np.unpackbits(np.frombuffer(x, np.uint8)) for x in (a, b)), key=len)
+    while len(b) > len(a):
+        b = b[::2] ^ b[1::2]
+    return int((a ^ b).sum())
+
+
 def bands(largest: int, least: int = LEAST) -> np.ndarray:
     """Upper bounds of the size bands: a set's possible partners are in its band or the next one."""
     out = [0, 1]
@@ -470,13 +487,25 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, _, h, bounds in chosen(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
+            each = [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.diff(bounds)), pa.array([odd_sketch(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["doc_id", "n", "odd", "set"])
 
-    of = rows.join(names, "doc_id").select("doc_id", "text", "a").mapInArrow(sets, "doc_id long, set binary")
+    of = rows.join(names, "doc_id").select("doc_id", "text", "a").mapInArrow(sets, "doc_id long, n long, odd binary, set binary")
     of = written(of if several.isEmpty() else of.dropDuplicates(["doc_id"]))
 
+    def both(candidates: DataFrame, *columns: str) -> DataFrame:
+        """Candidates u, v with columns of both documents."""
+        side = lambda n: of.select(F.col("doc_id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in columns))
+        return candidates.join(side("u"), "u").join(side("v"), "v").select("u", "v", *(f"{c}_{n}" for c in columns for n in "uv"))
+
     def verified(candidates: DataFrame) -> DataFrame:
-        side = lambda n: of.select(F.col("doc_id").alias(n), F.col("set").alias(f"set_{n}"))
+        """The candidates that link. Sketches rule most others out before whole sets are sent."""
+
+        def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n = b.column(2).to_numpy() + b.column(3).to_numpy()
+                apart = [odd_distance(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(4), b.column(5), strict=True)]
+                yield b.select(["u", "v"]).filter(pa.array(np.array(apart, np.int64) * (100 + least) <= n * (100 - least)))
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -484,14 +513,13 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
                 for x, y in zip(b.column(2), b.column(3), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     at = np.searchsorted(x, y)
-                    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                    keep.append(100 * both >= least * (len(x) + len(y) - both))
+                    shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                    keep.append(100 * shared >= least * (len(x) + len(y) - shared))
                 yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
             release()
 
-        candidates = written(candidates, short)
-        both = candidates.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v")
-        return cut(both.mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
+        near = written(both(written(candidates, short), "n", "odd").mapInArrow(possible, "u long, v long"))
+        return cut(both(near, "set").mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
 
     def apart(candidates: DataFrame, reach: DataFrame) -> DataFrame:
         """Candidates whose documents are in different components yet."""
@@ -514,12 +542,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     if not rest.isEmpty():
         held = _prefixes(rest, of, least)
         some = held.count()
-        few = cut(spanning(held, reach, some).where(F.col("k") <= RUN), some)
-        near = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * least
-        joined = few.alias("a").join(few.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.c") != F.col("b.c")) & near)
+        few = cut(spanning(held, reach, some).where(F.col("k") <= KEY_RUN), some)
+        sized = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * least
+        joined = few.alias("a").join(few.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.c") != F.col("b.c")) & sized)
         links = cut(links.unionByName(verified(cut(joined.select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v")).distinct(), some))), short)
         reach = cut(components(links), short)
-        rest = cut(spanning(held, reach, some).where(F.col("k") > RUN).select("doc", "c", "n").distinct(), some)
+        rest = cut(spanning(held, reach, some).where(F.col("k") > KEY_RUN).select("doc", "c", "n").distinct(), some)
         links = cut(links.unionByName(_compared(rest, of, least)))
         reach = cut(components(links), short)
     # nodes stand for their classes, and a component is named by the smallest document of these

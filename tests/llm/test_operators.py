@@ -425,6 +425,17 @@ def test_long_runs_lose_no_link(spark, monkeypatch):
     test_jaccard_groups_are_exact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 7, 50, 130, 1000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for gone, more in ((0, 0), (n // 9, n // 5), (n, n), (0, n)):
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**64, more, np.uint64)]))
+            differ = len(np.setxor1d(a, b))
+            found = ngram_join.odd_distance(ngram_join.odd_sketch(a), ngram_join.odd_sketch(b))
+            assert found <= differ and found >= 0.6 * differ - 2
+
+
 def test_subsets_of_cells_are_enumerated():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**64, 300, np.uint64))
@@ -440,6 +451,7 @@ def test_subsets_of_cells_are_enumerated():
 def test_common_passages_and_hot_signatures_lose_no_link(spark, monkeypatch, block):
     """Passages that most documents share, in shares around the bound: hot signatures, rare elements, blocks."""
     monkeypatch.setattr(ngram_join, "RUN", 3)
+    monkeypatch.setattr(ngram_join, "KEY_RUN", 4)
     monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 60)
     monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", block)
     calls = []
