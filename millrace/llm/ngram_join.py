@@ -19,8 +19,8 @@ SPOILED, CELLS = 1, 2
 BEYOND = 0.25
 #: Up to how many documents with a signature all pairs of them are counted; beyond, other ways find the links.
 RUN = 32
-#: The same for the rarest elements of documents.
-KEY_RUN = 8
+#: The same for the rarest elements of documents; documents of the sample that tells which elements are common.
+KEY_RUN, RARE_SAMPLE = 8, 1_000
 #: Signatures that a sample of about so many documents has more than RUN times are not shuffled; at most so many are told apart. Neither
 #: changes the result, only where the work is done.
 HOT_SAMPLE, HOT_MOST = 4_000, 100_000
@@ -183,16 +183,22 @@ def _first(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np.
     return mixed(mixed(hashes[place]) + level[entry].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)), owner[entry]
 
 
-def _spread(ids: np.ndarray, whole: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, hot: np.ndarray, least: int) -> Iterator[tuple[int, bytes]]:
+def _spread(ids: np.ndarray, whole: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, hot: tuple[np.ndarray, np.ndarray], least: int) -> Iterator[tuple[int, bytes]]:
     """Signatures dealt to buckets: for each, its documents (id, hash of the set, size, signatures here, how many to share) and the signatures.
 
-    Hot signatures stay together, in a bucket below 0 that any documents may share.
+    Hot signatures are counted only: a bucket below 0 has documents with how many they have, and the sampled document that
+    most of these name.
     """
     sig, owner, need = signatures(hashes, bounds, least)
-    bucket = (sig % np.uint64(buckets)).astype(np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
-        bucket[hot[at] == sig] = -1
+    bucket, star = (sig % np.uint64(buckets)).astype(np.int64), np.full(len(ids), np.iinfo(np.int64).max)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], sig), len(hot[0]) - 1)
+        is_hot = hot[0][at] == sig
+        bucket[is_hot] = -1
+        named = np.stack([owner[is_hot], hot[1][at[is_hot]]], axis=1)
+        named, times = np.unique(named, axis=0, return_counts=True)
+        best = np.lexsort((-named[:, 1], times, named[:, 0]))  # of equal counts the smallest document comes last, as it counts
+        star[named[best, 0]] = named[best, 1]
     key = (bucket + 1) * len(ids) + owner
     order = np.argsort(key, kind="stable")
     key, sig = key[order], sig[order]
@@ -203,22 +209,19 @@ def _spread(ids: np.ndarray, whole: np.ndarray, hashes: np.ndarray, bounds: np.n
     at = np.searchsorted(key[starts] // max(1, len(ids)), np.arange(buckets + 2))
     ends = np.append(starts, len(key))
     for k in np.flatnonzero(np.diff(at)):
-        h, x = head[at[k] : at[k + 1]], sig[ends[at[k]] : ends[at[k + 1]]]
-        lead = np.uint32(len(h)).tobytes() + h.tobytes()
+        lead = np.uint32(at[k + 1] - at[k]).tobytes() + head[at[k] : at[k + 1]].tobytes()
         if not k:
-            yield -1 - int(whole[0] % np.uint64(buckets)), lead + x.tobytes()
+            yield -1 - int(whole[0] % np.uint64(buckets)), lead + star[who[at[k] : at[k + 1]]].tobytes()
         else:
-            x = x // np.uint64(buckets) & np.uint64((1 << _KEPT_BITS) - 1)
-            yield int(k) - 1, lead + x.astype(np.uint32).tobytes()
+            yield int(k) - 1, lead + (sig[ends[at[k]] : ends[at[k + 1]]] // np.uint64(buckets) & np.uint64((1 << _KEPT_BITS) - 1)).astype(np.uint32).tobytes()
 
 
 def _open(blob: bytes, hot: bool) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
     head = np.frombuffer(blob, _BLOB, n, 4)
-    at, total = 4 + head.nbytes, int(head["sigs"].sum())
     if hot:
-        return head, np.frombuffer(blob, np.uint64, total, at)
-    return head, np.frombuffer(blob, np.uint32, total, at).astype(np.uint64)
+        return head, np.frombuffer(blob, np.int64, n, 4 + head.nbytes)
+    return head, np.frombuffer(blob, np.uint32, int(head["sigs"].sum()), 4 + head.nbytes).astype(np.uint64)
 
 
 _OUT = "kind int, u long, v long, n long, key long"
@@ -231,18 +234,20 @@ def _rows(rows: list[tuple]) -> list[pa.Array]:
 
 def _matched(table: pa.Table, buckets: int, least: int) -> pa.Table:
     """One bucket. kind 1: pairs in short runs of a signature, the n signatures they share and the number they need (key);
-    kind 2: documents u in a long run of the signature ``key``; kind 3: how many signatures of document u are in long runs (n),
-    and how many it must share (key); kind 4: document v of long runs and the smallest document u of these.
+    kind 3: how many signatures of document u are in long runs (n), and how many it must share (key); kind 4: document v
+    of long runs and the smallest document u of these.
 
     Documents with equal sets count as the one with the smallest id, which is the same in every bucket. A bucket below 0 has
-    hot signatures: kinds 2 and 3 only.
+    documents with hot signatures: kinds 3 and 4 only, u being one of the sampled documents.
     """
     bucket = table.column("bucket")[0].as_py()
     heads, sigs = zip(*(_open(b.as_py(), bucket < 0) for b in table.column("blob")), strict=True)
     head, sig = np.concatenate(heads), np.concatenate(sigs)
+    none = lambda n: np.zeros(n, np.int64)
     if bucket < 0:
-        owner, none = np.repeat(head["id"], head["sigs"].astype(np.int64)), np.zeros(len(sig), np.int64)
-        return pa.table(_rows([(2, owner, none, none, sig), (3, head["id"], np.zeros(len(head), np.int64), head["sigs"], head["need"])]), names=["kind", "u", "v", "n", "key"])
+        other = sig != head["id"]
+        low, high = np.minimum(sig, head["id"])[other], np.maximum(sig, head["id"])[other]
+        return pa.table(_rows([(3, head["id"], none(len(head)), head["sigs"], head["need"]), (4, low, high, none(len(low)), none(len(low)))]), names=["kind", "u", "v", "n", "key"])
     order = np.lexsort((head["id"], head["n"], head["set"]))
     first = np.ones(len(head), bool)
     first[1:] = (head["set"][order][1:] != head["set"][order][:-1]) | (head["n"][order][1:] != head["n"][order][:-1])
@@ -280,10 +285,8 @@ def _matched(table: pa.Table, buckets: int, least: int) -> pa.Table:
     c, d, _ = pairs(star[member], member)
     shared = np.bincount(doc[waits], minlength=len(head))
     some = np.flatnonzero(shared)
-    none = lambda n: np.zeros(n, np.int64)
     rows = [
         (1, a["id"], b["id"], times, np.maximum(a["need"], b["need"])),
-        (2, head["id"][doc[waits]], none(len(waits)), none(len(waits)), mixed(sig[waits] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64)),
         (3, head["id"][some], none(len(some)), shared[some], head["need"][some]),
         (4, c["id"], d["id"], none(len(c)), none(len(c))),
     ]
@@ -297,15 +300,47 @@ def _by_piece(batches: Iterator[pa.RecordBatch], column: str = "set") -> Iterato
         yield b, np.concatenate(sets), np.cumsum([0, *map(len, sets)])
 
 
-def _prefixes(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(key, doc, c, n): the elements of each document of which two near ones share one, the rarest first.
+_RARE = [("doc", np.int64), ("c", np.int64), ("n", np.uint32), ("keys", np.uint32)]
+
+
+def _met(table: pa.Table, least: int) -> pa.Table:
+    """One bucket of rare elements. kind 1: pairs u, v of an element that few documents have; kind 2: documents u (of size v) of
+    one that more have. Elements whose documents are in one component are passed over."""
+    heads, keys = [], []
+    for blob in table.column("blob"):
+        n = int(np.frombuffer(blob.as_buffer(), np.uint32, 1)[0])
+        heads.append(np.frombuffer(blob.as_buffer(), _RARE, n, 4))
+        keys.append(np.frombuffer(blob.as_buffer(), np.uint64, int(heads[-1]["keys"].sum()), 4 + heads[-1].nbytes))
+    head, key = np.concatenate(heads), np.concatenate(keys)
+    doc = np.repeat(np.arange(len(head)), head["keys"].astype(np.int64))
+    order = np.lexsort((head["doc"][doc], key))
+    key, doc = key[order], doc[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    length = np.diff(np.append(start, len(key)))
+    c = head["c"][doc]
+    open_ = np.repeat(np.minimum.reduceat(c, start) < np.maximum.reduceat(c, start), length)
+    few, run = np.repeat(length <= KEY_RUN, length), np.repeat(np.arange(len(start)), length)
+    found = [np.zeros((0, 2), np.int64)]
+    for d in range(1, KEY_RUN):
+        i = np.flatnonzero((run[d:] == run[:-d]) & open_[d:] & few[d:] & (c[d:] != c[:-d]))
+        a, b = head[doc[i]], head[doc[i + d]]
+        near = np.minimum(a["n"], b["n"]).astype(np.int64) * 100 >= np.maximum(a["n"], b["n"]).astype(np.int64) * least
+        found.append(np.stack([a["doc"][near], b["doc"][near]], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    rest = head[np.unique(doc[open_ & ~few])]
+    kinds = np.repeat(np.array([1, 2], np.int32), [len(pairs), len(rest)])
+    return pa.table([pa.array(kinds), pa.array(np.concatenate([pairs[:, 0], rest["doc"]])), pa.array(np.concatenate([pairs[:, 1], rest["n"].astype(np.int64)]))], names=["kind", "u", "v"])
+
+
+def _rare(docs: DataFrame, sets: DataFrame, buckets: int, least: int) -> DataFrame:
+    """What _met finds of documents (doc, c) by those elements of each of which two near ones share one, the rarest first.
 
     Of n elements these are the first n - ceil(n least / 100) + 1 in an order that is the same everywhere: by how often a bounded
     sample of the documents has an element, then by hash. The sample only makes shared passages come last.
     """
     spark = docs.sparkSession
     both = written(docs.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "c", "set"))
-    share = math.ceil(1_000_000 * min(1.0, HOT_SAMPLE / max(1, docs.count())))
+    share = math.ceil(1_000_000 * min(1.0, RARE_SAMPLE / max(1, docs.count())))
     sample = both.where(F.pmod(F.xxhash64("doc", F.lit(43)), F.lit(1_000_000)) < share).select("set")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,10 +364,20 @@ def _prefixes(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
             order = np.lexsort((h, times, owner))
             rank = np.arange(len(h)) - np.repeat(bounds[:-1], n)
             first = rank < (n - -(-n * least // 100) + 1)[owner]
-            who = owner[first]
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][first].view(np.int64)), b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(n[who])], names=["key", "doc", "c", "n"])
-
-    return written(both.mapInArrow(run, "key long, doc long, c long, n long"))
+            key, who = h[order][first], owner[first]
+            at = np.lexsort((who, key % np.uint64(buckets)))
+            key, who, bucket = key[at], who[at], (key[at] % np.uint64(buckets)).astype(np.int64)
+            out = []
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            for x in np.flatnonzero(np.diff(ends)):
+                part = slice(ends[x], ends[x + 1])
+                own, times = np.unique(who[part], return_counts=True)
+                head = np.zeros(len(own), _RARE)
+                head["doc"], head["c"], head["n"], head["keys"] = b.column(0).to_numpy()[own], b.column(1).to_numpy()[own], n[own], times
+                out.append((int(x), np.uint32(len(own)).tobytes() + head.tobytes() + key[part].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
+
+    return written(both.mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: _met(t, least), "kind int, u long, v long"))
 
 
 def _compared(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -340,7 +385,7 @@ def _compared(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
     Documents are dealt to bands by the size of their sets, so that near ones are in one band or in two neighbours, and
     in each band to blocks of bounded size by a hash. Each block meets those of its band and of the next. Within two blocks,
-    intersections are counted through an inverted list, and one link for each two components is given.
+    intersections are counted through an inverted list, and links that join components are given.
     """
     banded = cut(docs.withColumn("band", F.floor(F.log(F.col("n")) / math.log(BAND_RATIO)).cast("int")))
     per = {r["band"]: max(1, -(-r["n"] // BLOCK_ELEMENTS)) for r in banded.groupBy("band").agg(F.sum("n").alias("n")).collect()}  # bands are few: the logarithm of a size
@@ -369,15 +414,26 @@ def _compared(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         holder = np.repeat(np.arange(len(other)), n[other])
         order = np.argsort(hashes, kind="stable")
         hashes, holder = hashes[order], holder[order]
-        found: dict[tuple[int, int], tuple[int, int]] = {}
+        # links that join two components yet, so that there are fewer than components
+        parent: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = parent[x]
+            return x
+
         for k in own:
             low, high = np.searchsorted(hashes, sets[k], "left"), np.searchsorted(hashes, sets[k], "right")
             much = high - low
             place = np.arange(much.sum()) - np.repeat(np.cumsum(much) - much, much) + np.repeat(low, much)
             both = np.bincount(holder[place], minlength=len(other))
             for m in other[(100 * both >= least * (n[k] + n[other] - both)) & (c[other] != c[k])]:
-                found[min(c[k], c[m]), max(c[k], c[m])] = (min(doc[k], doc[m]), max(doc[k], doc[m]))
-        u, v = zip(*found.values(), strict=True) if found else ((), ())
+                if (a := root(int(c[k]))) != (b := root(int(c[m]))):
+                    parent[b] = a
+                    found.append((min(doc[k], doc[m]), max(doc[k], doc[m])))
+        u, v = zip(*found, strict=True) if found else ((), ())
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return dealt.groupBy("x", "i", "y", "j").applyInArrow(compare, "u long, v long")
@@ -434,15 +490,16 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     sample = written(classes.where(F.pmod(F.xxhash64("rep", F.lit(41)), F.lit(1_000_000)) < share).select(F.col("rep").alias("doc_id")), 1)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, h, bounds in chosen(batches):
+        for own, _, h, bounds in chosen(batches):
             sig, owner, _ = signatures(h, bounds, least)
             order = np.lexsort((owner, sig))
             again = np.zeros(len(sig), bool)
             again[1:] = (sig[order][1:] == sig[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[order][~again].astype(np.int64))], names=["sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[order][~again].astype(np.int64)), pa.array(own[owner[order][~again]])], names=["sig", "doc"])
 
-    seen = rows.join(sample, "doc_id").select("doc_id", "text", "a").mapInArrow(sampled, "sig long").groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > RUN)
-    hot = spark.sparkContext.broadcast(np.array(sorted(r["sig"] for r in seen.orderBy(F.desc("k"), "sig").limit(HOT_MOST).collect()), np.uint64))  # at most HOT_MOST
+    seen = rows.join(sample, "doc_id").select("doc_id", "text", "a").mapInArrow(sampled, "sig long, doc long").groupBy("sig").agg(F.count("*").alias("k"), F.min("doc").alias("doc")).where(F.col("k") > RUN)
+    known = sorted((r["sig"], r["doc"]) for r in seen.orderBy(F.desc("k"), "sig").limit(HOT_MOST).collect())
+    hot = spark.sparkContext.broadcast((np.array([x for x, _ in known], np.uint64), np.array([x for _, x in known], np.int64)))  # at most HOT_MOST
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
@@ -467,7 +524,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     blobs = rows.select("doc_id", "text", "a").mapInArrow(signed, "bucket int, blob binary")
     found = written(blobs.groupBy("bucket").applyInArrow(lambda t: _matched(t, buckets, least), _OUT))
     many = {k: n for k, n in found.groupBy("kind").count().collect()}
-    short, runs = many.get(1, 0) + many.get(4, 0) + many.get(3, 0), many.get(2, 0)
+    short, runs = many.get(1, 0) + many.get(4, 0), many.get(3, 0)
     # what one document has in long runs may be missing in short ones
     long = cut(found.where("kind = 3").groupBy(F.col("u").alias("doc")).agg(F.sum("n").alias("n"), F.max("key").alias("need")), many.get(3, 0))
     counted = found.where("kind = 1").groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("key").alias("need"))
@@ -476,14 +533,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     counted = counted.where(F.col("n") + F.least(F.coalesce("long_u", F.lit(0)), F.coalesce("long_v", F.lit(0))) >= F.col("need")).select("u", "v")
     # and if they share none in short runs, each has at least as many as it must share in long ones
     able = cut(long.where("n >= need").select(F.col("doc").alias("able")), many.get(3, 0))
-    waits = found.where("kind = 2").select(F.col("u").alias("doc"), "key")
-    waits = cut(waits.join(able, waits["doc"] == able["able"], "left_semi").distinct(), runs)
-    firsts = waits.groupBy("key").agg(F.min("doc").alias("u"), F.count("*").alias("k")).where("k > 1").select("key", "u")
-    star = waits.join(firsts, "key").where("u < doc").groupBy(F.col("doc").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
-    star = star.unionByName(found.where("kind = 4").groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    star = found.where("kind = 4").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     pairs = cut(counted.union(star).distinct(), short)
     # written, so that Spark knows the size of the ids and can tell whether they are few enough to be broadcast
-    names = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(waits.select("doc")).distinct(), short + runs)
+    names = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(able).distinct(), short + runs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, _, h, bounds in chosen(batches):
@@ -527,29 +580,26 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
         both = candidates.join(of_("u"), "u", "left").join(of_("v"), "v", "left")
         return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
-    def spanning(held: DataFrame, reach: DataFrame, rows: int) -> DataFrame:
-        """Rows (key, doc, ...) of keys whose documents are in several components, with the component c and the rows k of the key."""
-        now = held.drop("c").join(reach, held["doc"] == reach["node"], "left").withColumn("c", F.coalesce("component", "doc")).drop("node", "component")
-        now = cut(now, rows)
-        return now.join(now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).where("low < high").select("key", "k"), "key")
-
     links = verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     reach = cut(components(links), short)
     links = cut(links.unionByName(verified(cut(apart(pairs, reach), short))), short)
     reach = cut(components(links), short)
-    # long runs that still span components: by the rarest elements, then block by block
-    rest = cut(spanning(waits, reach, runs).select("doc", "c").distinct(), runs)
-    if not rest.isEmpty():
-        held = _prefixes(rest, of, least)
-        some = held.count()
-        few = cut(spanning(held, reach, some).where(F.col("k") <= KEY_RUN), some)
-        sized = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * least
-        joined = few.alias("a").join(few.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.c") != F.col("b.c")) & sized)
-        links = cut(links.unionByName(verified(cut(joined.select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v")).distinct(), some))), short)
-        reach = cut(components(links), short)
-        rest = cut(spanning(held, reach, some).where(F.col("k") > KEY_RUN).select("doc", "c", "n").distinct(), some)
-        links = cut(links.unionByName(_compared(rest, of, least)))
+    def placed(own: DataFrame, reach: DataFrame, rows: int) -> DataFrame:
+        """Documents (doc, ...) with their component c."""
+        return cut(own.join(reach, own["doc"] == reach["node"], "left").withColumn("c", F.coalesce("component", "doc")).drop("node", "component"), rows)
+
+    # documents of long runs that could link by these alone: by their rarest elements, then block by block
+    rest = placed(able.select(F.col("able").alias("doc")), reach, runs)
+    spans = lambda x: (lambda r: r[0] is not None and r[0] < r[1])(x.agg(F.min("c"), F.max("c")).first())
+    if spans(rest):
+        met = _rare(rest, of, buckets, least)
+        some = met.count()
+        links = cut(links.unionByName(verified(met.where("kind = 1").select("u", "v").distinct())), short)
         reach = cut(components(links), short)
+        rest = placed(met.where("kind = 2").select(F.col("u").alias("doc"), F.col("v").alias("n")).distinct(), reach, some)
+        if spans(rest):
+            links = cut(links.unionByName(_compared(rest, of, least)))
+            reach = cut(components(links), short)
     # nodes stand for their classes, and a component is named by the smallest document of these
     whole = reach.unionByName(reach.select(F.col("component").alias("node"), "component").distinct())
     named = whole.join(member.select(F.col("doc_id").alias("node"), "rep"), "node").select("component", "rep")
