@@ -13,17 +13,20 @@ from millrace.llm.common import cut, in_pieces, mixed, multipliers, small_batche
 
 SYMBOLS = b"#*$%&|<>"
 #: metric: (numerator, denominator, spreads above the upper quantile that are allowed, tenths of the upper quantile, numerator
-#: that one event makes). The base rule takes away the documents that could drag repeat_rate's ninth decile.
+#: that one event makes, whether room above the limit is by events). The base rule takes away the documents that could drag repeat_rate's ninth decile.
 RULES = {
-    "symbol_rate": ("n_symbols", "n_words", 8, 8, 1),
-    "repeat_rate": ("n_repeat_words", "n_words", 8, 9, 10),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 8, 8, 1),
-    "upper_rate": ("n_upper", "word_chars", 8, 8, 1),
-    "shout_rate": ("n_shouts", "n_words", 8, 8, 1),
-    "word_length": ("word_chars", "n_words", 8, 8, 0),
+    "symbol_rate": ("n_symbols", "n_words", 8, 8, 1, True),
+    "repeat_rate": ("n_repeat_words", "n_words", 8, 9, 10, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 8, 8, 1, True),
+    "upper_rate": ("n_upper", "word_chars", 8, 8, 1, False),
+    "shout_rate": ("n_shouts", "n_words", 8, 8, 1, True),
+    "word_length": ("word_chars", "n_words", 8, 8, 0, False),
 }
-#: Per mille above the learned limit that is always allowed, for groups whose documents are all alike.
-GUARD = 20
+#: Room above a learned limit. Metrics that are 0 in most documents, and whose quantiles are then 0: so many events in a document of
+#: the group's median size. Others, whose quantiles tell groups apart: a tiny guard, in per mille.
+EVENTS, GUARD = 2, 20
+#: Sizes whose medians are learned with the metrics.
+SIZES = ("n_words", "n_lines", "word_chars")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
 #: Groups with fewer documents take their language's thresholds, and such languages those of all documents.
 FEWEST = 200
@@ -103,9 +106,10 @@ def bin_top(b: str) -> str:
 
 
 def quantile_sketches(metrics: DataFrame, by: list[str]) -> DataFrame:
-    """Per group and metric, how many documents fall in each bin. Adding up the counts merges sketches."""
-    stacked = ", ".join(f"'{m}', CAST({m} AS BIGINT)" for m in RULES)
-    return metrics.selectExpr(*by, f"stack({len(RULES)}, {stacked}) AS (metric, value)").selectExpr(*by, "metric", f"CAST({sketch_bin('value')} AS INT) AS bin").groupBy(*by, "metric", "bin").agg(F.count("*").alias("n"))
+    """Per group and metric or size, how many documents fall in each bin. Adding up the counts merges sketches."""
+    names = [*RULES, *SIZES]
+    stacked = ", ".join(f"'{m}', CAST({m} AS BIGINT)" for m in names)
+    return metrics.selectExpr(*by, f"stack({len(names)}, {stacked}) AS (metric, value)").selectExpr(*by, "metric", f"CAST({sketch_bin('value')} AS INT) AS bin").groupBy(*by, "metric", "bin").agg(F.count("*").alias("n"))
 
 
 def _limits(sketches: DataFrame, by: list[str]) -> DataFrame:
@@ -113,22 +117,25 @@ def _limits(sketches: DataFrame, by: list[str]) -> DataFrame:
     sketches = sketches.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*by, "metric")
     seen = sketches.withColumn("upto", F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(whole))
-    of_metric = lambda k: F.create_map(*(x for m, r in RULES.items() for x in (F.lit(m), F.lit(r[k]))))[F.col("metric")]
+    tenths = F.create_map(*(x for m in [*RULES, *SIZES] for x in (F.lit(m), F.lit(RULES[m][3] if m in RULES else 5))))[F.col("metric")]
     at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("total") * tenths, F.expr(bin_top("bin"))))
-    cuts = seen.withColumn("tenths", of_metric(3)).groupBy(*by, "metric").agg(at(5).alias("middle"), at(F.col("tenths")).alias("high"), F.max("total").alias("documents"))
-    limit = F.col("high") + (F.col("high") - F.col("middle")) * of_metric(2) + GUARD
-    per_metric = [F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(m) for m in RULES]
-    return cuts.withColumn("limit", limit).groupBy(*by).agg(*per_metric, F.max("documents").alias("documents"))
+    cuts = seen.withColumn("tenths", tenths).groupBy(*by, "metric").agg(at(5).alias("middle"), at(F.col("tenths")).alias("high"), F.max("total").alias("documents"))
+    of = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c)))
+    limits = []
+    for m, (_, size, spreads, _, event, by_events) in RULES.items():
+        room = F.floor(F.lit(EVENTS * event * 1000) / F.greatest(of("middle", size), F.lit(1))) if by_events else F.lit(GUARD)
+        limits.append((of("high", m) + (of("high", m) - of("middle", m)) * spreads + room).cast("long").alias(m))
+    return cuts.groupBy(*by).agg(*limits, F.max("documents").alias("documents"))
 
 
-def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", fewest: int = FEWEST) -> DataFrame:
     """Counts, base verdict and the verdict by learned thresholds for every document.
 
     Each metric's limit is an upper quantile among the documents of the language and source that pass the base rule,
-    plus eight times its distance from the median and GUARD; bad documents move it only where they are more than a
+    plus eight times its distance from the median and a little room (by the group's median size or GUARD); bad documents move it only where they are more than a
     fifth of those (a tenth for repeat_rate). A numerator that a single event makes is never too much. Sketches of languages and of all documents are merged from those of the groups, for
-    groups under FEWEST documents. Null languages and sources are groups of their own. A null or empty text has no
-    words and fails the base rule. Repeated rows are judged alike; an empty table gives no rows.
+    groups under ``fewest`` documents. Null languages and sources are groups of their own. A null or empty text has no
+    words and fails the base rule. Repeated rows are judged alike; rows without an id are judged too; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_t"))
     counts = written(counted(rows, "_t"))
@@ -141,10 +148,10 @@ def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: st
     overall = _limits(sketches, [])
     renamed = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
     chosen = renamed(group, "g").join(renamed(language, "l"), F.col("g_lang").eqNullSafe(F.col("l_lang"))).crossJoin(renamed(overall, "o"))
-    limit = lambda m: F.when(F.col("g_documents") >= FEWEST, F.col(f"g_{m}")).when(F.col("l_documents") >= FEWEST, F.col(f"l_{m}")).otherwise(F.col(f"o_{m}"))
+    limit = lambda m: F.when(F.col("g_documents") >= fewest, F.col(f"g_{m}")).when(F.col("l_documents") >= fewest, F.col(f"l_{m}")).otherwise(F.col(f"o_{m}"))
     limits = cut(chosen.select("g_lang", "g_source", *(limit(m).alias(f"most_{m}") for m in RULES)))
     both = rated.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     good = F.lit(True)
-    for m, (n, *_, event) in RULES.items():
+    for m, (n, _, _, _, event, _) in RULES.items():
         good = good & ((F.col(m) <= F.coalesce(F.col(f"most_{m}"), F.col(m))) | (F.col(n) <= event))
     return both.withColumn("kept", ~F.col("base_failed") & good).drop("g_lang", "g_source")

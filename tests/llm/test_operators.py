@@ -103,8 +103,9 @@ def test_quality_verdicts_against_brute_force(spark):
 
     def limits(at):
         at = [i for i in at if not base[i]]
-        quantile = lambda m, tenths: top(sorted(rate[m][at])[-(-tenths * len(at) // 10) - 1])
-        return len(at), at and {m: quantile(m, r[3]) * 9 - quantile(m, 5) * 8 + 20 for m, r in rules.items()}
+        quantile = lambda x, tenths: top(sorted(x[at])[-(-tenths * len(at) // 10) - 1])
+        room = lambda r: 2 * r[4] * 1000 // max(1, quantile(counts[r[1]], 5)) if r[5] else 20
+        return len(at), at and {m: quantile(rate[m], r[3]) * 9 - quantile(rate[m], 5) * 8 + room(r) for m, r in rules.items()}
 
     def verdict(i):
         same = [limits([j for j, o in enumerate(rows) if o[2:k] == rows[i][2:k]]) for k in (4, 3)]
@@ -118,10 +119,17 @@ def test_quality_verdicts_against_brute_force(spark):
         memo[key] = want[r[0]] = memo[key] if key in memo else bool(verdict(i))
     out = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert {i: r["kept"] for i, r in out.items()} == want
-    over = lambda r, m: r[m] > r[f"most_{m}"] and not r["base_failed"] and not r["kept"]
+    over = lambda r, m: not r["base_failed"] and not r["kept"] and r[m] > r[f"most_{m}"]
     assert all(any(over(r, m) for r in out.values()) for m in ("symbol_rate", "repeat_rate", "upper_rate"))
     of = {r["source"]: r for r in out.values() if r["lang"] == "en"}
     assert of["code"]["most_symbol_rate"] > 100 > of["news"]["most_symbol_rate"]  # a group's own habit sets its limit
+    limits = {(r["lang"], r["source"]): r.asDict() for r in out.values()}
+    assert all(len({r[f"most_{m}"] for r in limits.values() if r[f"most_{m}"] is not None}) > 1 for m in ("symbol_rate", "word_length"))
+    # sketches of parts add up to that of the whole
+    small = spark.createDataFrame(rows[:300], "doc_id long, text string, lang string, source string")
+    metrics = quality_rules.counted(small).withColumns({m: F.col(n) for m, (n, *_) in rules.items()})
+    merged = quality_rules.quantile_sketches(metrics, ["source"]).groupBy("metric", "bin").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, quality_rules.quantile_sketches(metrics, []).collect()))
 
 
 def normal(line):
@@ -455,7 +463,7 @@ def test_common_passages_and_hot_signatures_lose_no_link(spark, monkeypatch, blo
     monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 60)
     monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", block)
     calls = []
-    for name in ("_prefixes", "_compared"):
+    for name in ("_rare", "_compared"):
         real = getattr(ngram_join, name)
         monkeypatch.setattr(ngram_join, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
     rng = random.Random(11)
@@ -468,7 +476,7 @@ def test_common_passages_and_hot_signatures_lose_no_link(spark, monkeypatch, blo
         texts.append(" ".join(w))
     rows = [(5 * i + 1, t) for i, t in enumerate(texts)] + [(7000 + i, t) for i, t in enumerate(texts[:20])]
     test_jaccard_groups_are_exact(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert calls == ["_prefixes", "_compared"]
+    assert calls == ["_rare", "_compared"]
 
 
 def test_ids_that_are_null_or_repeat(spark):
