@@ -186,20 +186,22 @@ def provenance(results: Column, best: Column, company: Column, officer: Column,
     return F.transform(F.array_sort(F.transform(each, one)), lambda x: F.struct(x["email"], x["source"], x["confidence"], x["type"], x["isBest"]))
 
 
-def persisted(stored: DataFrame, found: DataFrame) -> DataFrame:
+def persisted(stored: DataFrame, found: DataFrame, always: bool = False) -> DataFrame:
     """Stored records with what a run found: status, attempts, sources, confidence, and texts kept where nothing new came.
 
-    found: id, best_email, best_phone, registration, officer, tried, confidence. A record for which nothing was found is
-    failed, or enriched if it has people.
+    found: id, best_email, best_phone, registration, officer, tried, confidence, one row an id. A record for which nothing
+    was found is failed, or enriched if it has people. ``always`` writes sources whatever was found, and confidence 0 for nothing,
+    as runs of a batch and of a single record do, which count no attempts; runs of a stream leave both alone then.
     """
     f = found.select("id", *(F.col(c).alias(f"_{c}") for c in ("best_email", "best_phone", "registration", "officer", "tried", "confidence")), F.lit(True).alias("_ran"))
     any_find = filled("_best_email") | filled("_best_phone") | filled("_registration") | filled("_officer")
+    written = F.coalesce(F.col("_ran"), F.lit(False)) if always else any_find
     out = stored.join(f, "id", "left")
     new = {
         "enrichment_status": F.when(F.col("_ran"), F.when(any_find | (F.size(F.coalesce("decision_makers", F.array())) > 0), "enriched").otherwise("failed")).otherwise(F.col("enrichment_status")),
-        "enrichment_attempts": F.coalesce("enrichment_attempts", F.lit(0)) + F.when(F.col("_ran"), 1).otherwise(0),
-        "enrichment_source": F.when(any_find, F.array_join("_tried", ",")).otherwise(F.col("enrichment_source")),
-        "enrichment_confidence": F.when(any_find, F.col("_confidence")).otherwise(F.col("enrichment_confidence")),
+        "enrichment_attempts": F.coalesce("enrichment_attempts", F.lit(0)) + F.when(F.col("_ran") & ~F.lit(always), 1).otherwise(0),
+        "enrichment_source": F.when(written, F.array_join("_tried", ",")).otherwise(F.col("enrichment_source")),
+        "enrichment_confidence": F.when(any_find, F.col("_confidence")).when(written, 0).otherwise(F.col("enrichment_confidence")),
         "email": either("_best_email", "email"),
         "phone": either("_best_phone", "phone"),
         "siret": either("_registration", "siret"),

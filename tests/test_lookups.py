@@ -9,7 +9,7 @@ def test_mail_hosts(spark):
     dns = spark.createDataFrame([("a.test", "MX", "10 aspmx.l.google.com"), ("a.test", "TXT", "v=spf1 include:_spf.google.com include:spf.sendinblue.com ~all"), ("b.test", "TXT", "include:ovh.net")], "domain string, record_type string, data string")
     rows = {r["id"]: r for r in lookups.mail_hosts(records, dns).collect()}
     assert [rows[i]["has_mx"] for i in (1, 2, 3)] == [True, False, False]
-    assert rows[1]["metadata"] | {"mx_provider": ""} == {"has_mx": "true", "mx_records": "10 aspmx.l.google.com", "mx_provider": "", "spf_providers": "google, brevo", "uses_marketing_email": "true"}
+    assert rows[1]["metadata"] == {"has_mx": "true", "mx_records": "10 aspmx.l.google.com", "mx_provider": "google", "spf_providers": "google, brevo", "uses_marketing_email": "true"}
     assert rows[2]["metadata"] == {"has_mx": "false", "mx_records": ""}
 
 
