@@ -84,7 +84,7 @@ def test_updates_and_appends(spark, tmp_path):
     assert rows(tables.within(late, "ms", 300, ["email"])) == [(1, 400, None), (2, 10, "b")]
     with pytest.raises(ValueError):
         tables.combinations(df, df.withColumnsRenamed({"id": "i", "name": "n"}), ["id"], most=10)
-    assert tables.combinations(df.limit(0), df, ["id"]).count() == 0
+    assert tables.combinations(df.limit(0), df.withColumnsRenamed({"id": "i", "name": "n"}), ["id"]).count() == 0
     assert rows(tables.payloads(tables.batches(df, 4, ["id"]), "batch", "seq", ["id"]).select("batch", "size")) == [(0, 4), (1, 3)]
     hit = tables.first_hit(df.where("id < 3"), [(spark.createDataFrame([(1, "a")], "id int, v string"), ["id"]), (spark.createDataFrame([("n0", "b"), ("n1", "c")], "name string, v string"), ["name"])], "v")
     assert sorted((r["id"], r["v"]) for r in hit.collect()) == [(0, "b"), (1, "a"), (2, None)]
