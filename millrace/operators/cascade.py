@@ -50,12 +50,15 @@ def enrich(records: DataFrame, results: DataFrame, threshold: int = 80, max_sour
     records: id, domain, email (known before or null), score, first_name, last_name. results: id, priority, source, email,
     phone, registration, officer, verified, has_mx. Sources run in the order of priority. One is passed over if too many ran, if it needs mail hosts
     and the record has none, or if it is a paid vendor that is off or above the record's score. After each, the run stops
-    once the aggregate confidence reaches the threshold and an address is known. Records without results stay, with nulls.
+    once the aggregate confidence reaches the threshold and an address is known. Of several results of one source the first
+    by priority counts. Records without results stay, with nulls.
     """
     known = results.join(records.select("id", "domain"), "id")
     scored = known.withColumn("confidence", confidence("source", "email", "domain", "phone", "registration", "officer", F.col("verified")))
     row = F.struct("priority", "source", "email", "phone", "registration", "officer", "has_mx", "confidence")
-    gathered = scored.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    # a source runs once for a record: what is gathered is bounded by the number of sources, whatever the results
+    once = scored.groupBy("id", "source").agg(F.min_by(row, row).alias("_row"))
+    gathered = once.groupBy("id").agg(F.array_sort(F.collect_list("_row")).alias("all"))
     both = records.join(gathered, "id", "left").withColumn("all", F.coalesce("all", F.expr("filter(array(), x -> false)").cast(gathered.schema["all"].dataType)))
     empty = F.struct(F.slice("all", 1, 0).alias("used"), F.lit(True).alias("mx"), F.lit(False).alias("stop"))
 
