@@ -62,7 +62,8 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by BATCH_BYTES, unless its bound is lower already.
 
-    Spark's own bound is 64 MB, which the executor (its buffers double as they grow) and each worker hold more than once.
+    Spark's own bound is 64 MB, which the executor (its buffers double as they grow) and each worker hold more than once. The
+    setting stays for the session, as later actions on lazy results need it too; a user may set a lower one beforehand.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", spark.conf.get(name, None) or "")

@@ -16,7 +16,9 @@ DIMENSIONS, GRAM = 1024, 3
 #: Profiles are learned from about so many documents at most, chosen by a hash of doc_id; a documented bound.
 SAMPLE = 12_000
 #: Rows of a piece and letters of all scripts that a packed n-gram key has room for.
-_ROW_BITS, _LETTER_BITS = 12, 17
+_ROW_BITS, _LETTER_BITS = 9, 18
+#: Letters whose vectors a worker remembers; symbols only need to agree within a piece.
+_MOST_LETTERS = 20_000
 _SYMBOL = np.full(0x110000, -1, np.int32)  # per process: code point to symbol; 0 is anything but a letter
 _LETTERS = [0]
 _ROLLED: list[np.ndarray] = []
@@ -24,6 +26,10 @@ _ROLLED: list[np.ndarray] = []
 
 def _symbols(points: np.ndarray) -> np.ndarray:
     """Symbols of code points: lower-cased letters are numbered as they turn up, all else is 0."""
+    if len(_LETTERS) > _MOST_LETTERS:
+        _SYMBOL[:] = -1
+        del _LETTERS[1:]
+        _ROLLED.clear()
     seen = np.zeros(0x110000, bool)
     seen[points] = True
     for p in np.flatnonzero(seen & (_SYMBOL < 0)):

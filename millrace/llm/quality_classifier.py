@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
     n = known.count()
     keep = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / max(1, n)))
-    chosen = docs.where("text is not null").select("doc_id", "text").join(known.where(keep), "doc_id")
+    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known.where(keep)), "doc_id")  # about ``sample`` ids: n was counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "text", PIECE):
