@@ -112,11 +112,12 @@ def run(records: DataFrame, registered: dict[str, Source], order: list[str] | No
     Unregistered sources are passed over. A record stops once its results reach the threshold and an address is known,
     also one that was known before. An empty table gives no rows; ids must be unique and not null.
     """
-    state = kept(started(records))
-    for name in order or cascade.PRIORITY:
-        if name in registered:
-            state = kept(state.withColumn("run", may_run(name, max_sources, paid_score, with_vendor)))
-            state = kept(accumulated(state, registered[name](state.where("run").drop("run")), name, threshold))
+    names = [n for n in order or cascade.PRIORITY if n in registered]
+    runs = lambda state, n: kept(state.withColumn("run", may_run(n, max_sources, paid_score, with_vendor)))
+    state = runs(started(records), names[0]) if names else started(records)
+    for name, then in zip(names, [*names[1:], None], strict=True):
+        state = accumulated(state, registered[name](state.where("run").drop("run")), name, threshold)
+        state = runs(state, then) if then else kept(state)
     picked = state.withColumns({"confidence": cascade.aggregate_confidence(F.col("used")), "picked": cascade.classified(F.col("used"), F.col("first_name"), F.col("last_name")), "ranked": cascade.best_email(F.col("used"))})
     phones = F.array_sort(F.transform(F.filter("used", lambda r: filled(r["phone"])), lambda r, i: F.struct((-r["confidence"]).alias("c"), i.alias("i"), r["phone"].alias("phone"))))
     out = picked.withColumns({"company_email": F.col("picked.company"), "officer_email": F.col("picked.officer"), "best_email": F.coalesce("picked.officer", "picked.company", "ranked"), "best_phone": F.get(phones, F.lit(0))["phone"]})
