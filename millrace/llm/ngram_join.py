@@ -26,6 +26,8 @@ KEY_RUN, RARE_SAMPLE = 8, 1_000
 HOT_SAMPLE, HOT_MOST = 4_000, 100_000
 #: Bytes of signatures that one bucket should hold; bytes of text or sets that a worker holds at once (a longer one is taken alone).
 BUCKET_BYTES, PIECE = 16 << 20, 1 << 20
+#: Bits of the bitmap of documents whose sets are compared.
+NAME_BITS = 1 << 23
 #: Elements of sets in a block of documents that are compared with each other; ratio of the sizes of two neighbouring size bands of blocks.
 BLOCK_ELEMENTS, BAND_RATIO = 200_000, 1.34
 #: Bits of a signature, and of its part that a bucket keeps (the bucket tells the rest); entries that are enumerated at once; sets that a
@@ -535,18 +537,31 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     able = cut(long.where("n >= need").select(F.col("doc").alias("able")), many.get(3, 0))
     star = found.where("kind = 4").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     pairs = cut(counted.union(star).distinct(), short)
-    # written, so that Spark knows the size of the ids and can tell whether they are few enough to be broadcast
-    names = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(able).distinct(), short + runs)
+    # sets are made again for the documents that are compared, told by a bitmap of fixed size: it lets a few others pass, which
+    # does no harm, and all of them where there are far more than bits
+    names = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(able)
+    slot = F.pmod(F.xxhash64("doc_id", F.lit(53)), F.lit(NAME_BITS))
+    of_slots = names.select((slot + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    bitmap = np.zeros(NAME_BITS // 8, np.uint8)
+    for r in of_slots.collect():
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bitmap[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
+    bitmap = spark.sparkContext.broadcast(bitmap)  # NAME_BITS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, _, h, bounds in chosen(batches):
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column(3).to_numpy()
+                yield b.select(["doc_id", "text", "a"]).filter(pa.array(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+
+        for own, _, h, bounds in chosen(wanted()):
             each = [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.diff(bounds)), pa.array([odd_sketch(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["doc_id", "n", "odd", "set"])
 
-    of = rows.join(names, "doc_id").select("doc_id", "text", "a").mapInArrow(sets, "doc_id long, n long, odd binary, set binary")
+    of = rows.select("doc_id", "text", "a", slot.alias("slot")).mapInArrow(sets, "doc_id long, n long, odd binary, set binary")
     of = written(of if several.isEmpty() else of.dropDuplicates(["doc_id"]))
 
-    def both(candidates: DataFrame, *columns: str) -> DataFrame:
+    def both(candidates: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
         """Candidates u, v with columns of both documents."""
         side = lambda n: of.select(F.col("doc_id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in columns))
         return candidates.join(side("u"), "u").join(side("v"), "v").select("u", "v", *(f"{c}_{n}" for c in columns for n in "uv"))
@@ -571,8 +586,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
                 yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
             release()
 
-        near = written(both(written(candidates, short), "n", "odd").mapInArrow(possible, "u long, v long"))
-        return cut(both(near, "set").mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
+        near = written(both(written(candidates, short), of, "n", "odd").mapInArrow(possible, "u long, v long"), short)
+        ids = written(near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct(), short)
+        return cut(both(near, of.join(ids, "doc_id", "left_semi"), "set").mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
 
     def apart(candidates: DataFrame, reach: DataFrame) -> DataFrame:
         """Candidates whose documents are in different components yet."""
