@@ -23,7 +23,7 @@ RUN = 32
 KEY_RUN, RARE_SAMPLE = 8, 1_000
 #: Signatures that a sample of about so many documents has more than RUN times are not shuffled; at most so many are told apart. Neither
 #: changes the result, only where the work is done.
-HOT_SAMPLE, HOT_MOST = 4_000, 100_000
+HOT_SAMPLE, HOT_MOST = 4_000, 20_000
 #: Bytes of signatures that one bucket should hold; bytes of text or sets that a worker holds at once (a longer one is taken alone).
 BUCKET_BYTES, PIECE = 16 << 20, 1 << 20
 #: Bits of the bitmap of documents whose sets are compared.
@@ -503,6 +503,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     known = sorted((r["sig"], r["doc"]) for r in seen.orderBy(F.desc("k"), "sig").limit(HOT_MOST).collect())
     hot = spark.sparkContext.broadcast((np.array([x for x, _ in known], np.uint64), np.array([x for _, x in known], np.int64)))  # at most HOT_MOST
 
+    del known
+    release()
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for own, whole, h, bounds in chosen(batches):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import in_pieces, mixed, small_batches, text_bytes, word_hashes, words_of
+from millrace.llm.common import in_pieces, mixed, release, small_batches, text_bytes, word_hashes, words_of
 
 BITS, DIMENSIONS, GRAM = 17, 16, 4
 #: At most about so many labelled documents are fitted on, chosen by a hash of doc_id; a documented bound.
@@ -104,7 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not rows:
         return Model(np.zeros((1 << BITS, DIMENSIONS), np.float32), np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32))
     counts = [np.frombuffer(r["counts"], np.uint16 if 2 * len(r["counts"]) == len(r["ids"]) else np.uint32) for r in rows]
-    return train([np.frombuffer(r["ids"], np.int32) for r in rows], counts, np.array([int(r["quality"] > 0) for r in rows]))
+    model = train([np.frombuffer(r["ids"], np.int32) for r in rows], counts, np.array([int(r["quality"] > 0) for r in rows]))
+    del rows, counts
+    release()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
