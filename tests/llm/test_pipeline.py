@@ -170,7 +170,8 @@ def test_run_applies_the_stages_in_turn(spark, docs, folder, rows):
     assert names == ["quality_classifier", "line_dedup", "ngram_join", "mixing", "packing"]
     now = docs
     for _, stage in corpus_pipeline.STAGES:
-        now = spark.createDataFrame(stage(spark, now, folder).collect(), stage(spark, now, folder).schema)
+        out = stage(spark, now, folder)
+        now = spark.createDataFrame(out.collect(), out.schema)
     key = lambda r: str(tuple(r))
     assert sorted(map(key, corpus_pipeline.run(spark, folder).collect())) == sorted(map(key, now.collect())) and now.count() > 10
 
