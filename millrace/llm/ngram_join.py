@@ -18,7 +18,7 @@ SPOILED, CELLS = 1, 2
 #: Partitions beyond those that must agree, as a part of these: so many more signatures are asked for.
 BEYOND = 0.25
 #: Up to how many documents with a signature all pairs of them are counted; beyond, other ways find the links.
-RUN = 32
+RUN = 16
 #: The same for the rarest elements of documents; documents of the sample that tells which elements are common.
 KEY_RUN, RARE_SAMPLE = 8, 1_000
 #: Signatures that a sample of about so many documents has more than RUN times are not shuffled; at most so many are told apart. Neither
