@@ -18,7 +18,7 @@ SPOILED, CELLS = 1, 2
 #: Partitions beyond those that must agree, as a part of these: so many more signatures are asked for.
 BEYOND = 0.25
 #: Up to how many documents with a signature all pairs of them are counted; beyond, other ways find the links.
-RUN = 16
+RUN = 32
 #: The same for the rarest elements of documents; documents of the sample that tells which elements are common.
 KEY_RUN, RARE_SAMPLE = 8, 1_000
 #: Signatures that a sample of about so many documents has more than RUN times are not shuffled; at most so many are told apart. Neither
@@ -619,9 +619,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
         if spans(rest):
             links = cut(links.unionByName(_compared(rest, of, least)))
             reach = cut(components(links), short)
-    # nodes stand for their classes, and a component is named by the smallest document of these
+    # nodes stand for their classes: those of one class are joined, and a component is named by the smallest document of its classes
+    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().join(member.select(F.col("doc_id").alias("node"), "rep"), "node")
+    reach = cut(components(links.unionByName(nodes.where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v")))), short)
     whole = reach.unionByName(reach.select(F.col("component").alias("node"), "component").distinct())
     named = whole.join(member.select(F.col("doc_id").alias("node"), "rep"), "node").select("component", "rep")
-    label = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("rep", "least")
+    label = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("rep", "least").distinct()
     out = member.join(label, "rep", "left").select("doc_id", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
     return out.unionByName(every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
