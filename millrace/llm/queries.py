@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
+from millrace.llm import embedding_dedup, fill_middle, language_id, line_dedup, mixing, ngram_join, packing, positional_index, quality_classifier, quality_rules, sharding, warc, whitening
 from millrace.llm.common import folded
 
 TOKENIZER = "word_bpe_49k.json"
@@ -84,7 +84,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_quality_rules, op3_line_dedup, op3_all_lines, op4_packing, op5_language_id, op6_warc, op7_mixing, op8_embedding_dedup, op9_quality_classifier, op10_ngram_join)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = positional_index.build(table(spark, sf_dir, "documents"))
+    out = positional_index.phrase_matches(index, table(spark, sf_dir, "benchmark")).withColumn("n_hit", positional_index.n_hit())
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = {"prefix_units": "prefix_chars", "middle_units": "middle_chars"}
+    return out.withColumnsRenamed(names).select("doc_id", "n", "form", *names.values(), F.sha2("text", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_quality_rules, op3_line_dedup, op3_all_lines, op4_packing, op5_language_id, op6_warc, op7_mixing, op8_embedding_dedup, op9_quality_classifier, op10_ngram_join, op11_decontamination, op12_fill_middle, op13_whitening)}
 
 _LINES = r"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
@@ -132,4 +148,27 @@ SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component, w.doc_id)
 FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN lowest l ON l.node = w.doc_id
 """
 
-ORACLES = {"op3_line_dedup": _LINES, "op8_embedding_dedup": _VECTORS, "op10_ngram_join": _SHINGLES}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PHRASES = f"""
+WITH docs AS (SELECT doc_id, coalesce({_TERMS}, []) AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, coalesce({_TERMS}, []) AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM items, unnest(range(1, len(w) - least(len(w), 10) + 2)) t(i) WHERE len(w) > 0),
+grams AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM docs, (SELECT DISTINCT k FROM windows), unnest(range(1, len(w) - k + 2)) t(i)),
+found AS (SELECT doc_id, i, x.k, item FROM grams x JOIN windows y ON x.g = y.g AND x.k = y.k),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + k)) t(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+_FORMS = """
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS d FROM drawn),
+formed AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+cut AS (SELECT *, substr(t, 1, p) AS pre, substr(t, p + 1, q - p) AS mid, substr(t, q + 1) AS suf FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut
+"""
+
+ORACLES = {"op3_line_dedup": _LINES, "op8_embedding_dedup": _VECTORS, "op10_ngram_join": _SHINGLES, "op11_decontamination": _PHRASES, "op12_fill_middle": _FORMS}
