@@ -80,23 +80,23 @@ def summed(rows: DataFrame, dims: int, shape: tuple[int, int], per_batch: Callab
     return out
 
 
-def orthonormal(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Orthonormal directions that span ``vectors``, and the matrix that makes them of these."""
-    u, s, vt = np.linalg.svd(vectors, full_matrices=False)
-    keep = s > 1e-10 * max(s[0], 1e-300) if len(s) else np.zeros(0, bool)
-    return u[:, keep], vt[keep].T / s[keep]
+def orthonormal(vectors: np.ndarray) -> np.ndarray:
+    """Orthonormal directions that span ``vectors``, the most pronounced first, without what is rounding."""
+    u, s, _ = np.linalg.svd(vectors, full_matrices=False)
+    return u[:, s > 1e-10 * max(s.max(initial=0), 1e-300)]
 
 
 def lobpcg(product: Callable[[np.ndarray], np.ndarray], dims: int, count: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The ``count`` largest eigenpairs of the symmetric matrix behind ``product``: vectors, values, residual norms, steps.
 
-    Products of iterate and previous direction follow from those of the last step; before a result is certified the
-    iterate is multiplied anew. A block that spans all dimensions is solved at once.
+    The product of the iterate follows from those of the last step's orthonormal basis; before a result is certified the iterate
+    is multiplied anew. Residuals and previous directions are multiplied in each step: near the end they are tiny, so that what would follow
+    for them is mostly rounding. A block that spans all dimensions is solved at once.
     """
     m = min(dims, count + GUARD)
-    x, _ = orthonormal(np.random.default_rng(seed).standard_normal((dims, m)))
+    x = orthonormal(np.random.default_rng(seed).standard_normal((dims, m)))
     ax, exact = product(x), True
-    p = ap = np.zeros((dims, 0))
+    p = np.zeros((dims, 0))
     for step in range(MOST_STEPS):
         small = x.T @ ax
         values, turn = np.linalg.eigh((small + small.T) / 2)
@@ -109,26 +109,19 @@ def lobpcg(product: Callable[[np.ndarray], np.ndarray], dims: int, count: int, s
                 return x[:, :count], values[:count], norms[:count], step
             x, _ = np.linalg.qr(x)
             ax, exact = product(x), True
-            p = ap = np.zeros((dims, 0))
+            p = np.zeros((dims, 0))
             continue
-        # directions outside the iterate: residuals anew, the previous ones with their products
-        w = residual / np.maximum(norms, 1e-300)
-        for _ in range(2):
-            inside = x.T @ p
-            p, ap = p - x @ inside, ap - ax @ inside
-            p, mix = orthonormal(p)
-            ap = ap @ mix
-        for _ in range(2):
-            w -= x @ (x.T @ w) + p @ (p.T @ w)
-        w = orthonormal(w)[0][:, : dims - m - p.shape[1]]
-        for _ in range(2):  # what rounding has left of the others
-            w -= x @ (x.T @ w) + p @ (p.T @ w)
-            w, _ = np.linalg.qr(w)
-        basis, images = np.hstack([x, w, p]), np.hstack([ax, product(w) if w.shape[1] else w, ap])
+        # directions outside the iterate, of length one: residuals and the previous ones
+        w = np.hstack([residual / np.maximum(norms, 1e-300), p / np.maximum(np.linalg.norm(p, axis=0), 1e-300)])
+        w -= x @ (x.T @ w)
+        w = orthonormal(w)[:, : dims - m]
+        for _ in range(2):  # what rounding has left of the iterate
+            w, _ = np.linalg.qr(w - x @ (x.T @ w))
+        basis, images = np.hstack([x, w]), np.hstack([ax, product(w) if w.shape[1] else w])
         small = basis.T @ images
         values, turn = np.linalg.eigh((small + small.T) / 2)
         turn = turn[:, ::-1][:, :m]
-        p, ap = basis[:, m:] @ turn[m:], images[:, m:] @ turn[m:]
+        p = w @ turn[m:]
         x, ax, exact = basis @ turn, images @ turn, False
     raise ArithmeticError(f"residuals {norms[:count]} after {MOST_STEPS} steps")
 
