@@ -302,6 +302,29 @@ def _by_piece(batches: Iterator[pa.RecordBatch], column: str = "set") -> Iterato
         yield b, np.concatenate(sets), np.cumsum([0, *map(len, sets)])
 
 
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, ...) whose id may be among ``ids`` (one column), told by a bitmap of NAME_BITS, without a shuffle of the rows.
+
+    A few others pass, and all of them where there are far more ids than bits: a join must follow where that matters.
+    """
+    spark = rows.sparkSession
+    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(53)), F.lit(NAME_BITS))
+    of_slots = ids.select((slot(ids.columns[0]) + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    bits = np.zeros(NAME_BITS // 8, np.uint8)
+    for r in of_slots.collect():
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
+    bitmap = spark.sparkContext.broadcast(bits)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(len(names)).to_numpy()
+            yield b.select(names).filter(pa.array(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+
+    return rows.withColumn("_slot", slot("doc_id")).mapInArrow(run, rows.schema)
+
+
 _RARE = [("doc", np.int64), ("c", np.int64), ("n", np.uint32), ("keys", np.uint32)]
 
 
@@ -341,7 +364,8 @@ def _rare(docs: DataFrame, sets: DataFrame, buckets: int, least: int) -> DataFra
     sample of the documents has an element, then by hash. The sample only makes shared passages come last.
     """
     spark = docs.sparkSession
-    both = written(docs.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "c", "set"))
+    own = _among(sets.select("doc_id", "set"), docs.select("doc"))
+    both = written(docs.join(own.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "c", "set"))
     share = math.ceil(1_000_000 * min(1.0, RARE_SAMPLE / max(1, docs.count())))
     sample = both.where(F.pmod(F.xxhash64("doc", F.lit(43)), F.lit(1_000_000)) < share).select("set")
 
@@ -404,7 +428,8 @@ def _compared(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         F.transform(upto(many(band + 1).cast("int")), lambda j: group(band, block, band + 1, j)),
         F.transform(upto(many(band - 1).cast("int")), lambda j: group(band - 1, j, band, block)),
     )
-    dealt = own.join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("g", F.explode(meets)).select("g.*", "band", "block", "doc", "c", "set")
+    held = _among(sets.select("doc_id", "set"), docs.select("doc")).withColumnRenamed("doc_id", "doc")
+    dealt = own.join(held, "doc").withColumn("g", F.explode(meets)).select("g.*", "band", "block", "doc", "c", "set")
 
     def compare(t: pa.Table) -> pa.Table:
         x, i, y, j = (t.column(k)[0].as_py() for k in "xiyj")
@@ -542,26 +567,14 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     pairs = cut(counted.union(star).distinct(), short)
     # sets are made again for the documents that are compared, told by a bitmap of fixed size: it lets a few others pass, which
     # does no harm, and all of them where there are far more than bits
-    names = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(able)
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(53)), F.lit(NAME_BITS))
-    of_slots = names.select((slot + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    bitmap = np.zeros(NAME_BITS // 8, np.uint8)
-    for r in of_slots.collect():
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bitmap[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
-    bitmap = spark.sparkContext.broadcast(bitmap)  # NAME_BITS
+    wanted = _among(rows.select("doc_id", "text", "a"), pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(able))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wanted() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = b.column(3).to_numpy()
-                yield b.select(["doc_id", "text", "a"]).filter(pa.array(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
-
-        for own, _, h, bounds in chosen(wanted()):
+        for own, _, h, bounds in chosen(batches):
             each = [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.diff(bounds)), pa.array([odd_sketch(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["doc_id", "n", "odd", "set"])
 
-    of = rows.select("doc_id", "text", "a", slot.alias("slot")).mapInArrow(sets, "doc_id long, n long, odd binary, set binary")
+    of = wanted.mapInArrow(sets, "doc_id long, n long, odd binary, set binary")
     of = written(of if several.isEmpty() else of.dropDuplicates(["doc_id"]))
 
     def both(candidates: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -590,8 +603,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
             release()
 
         near = written(both(written(candidates, short), of, "n", "odd").mapInArrow(possible, "u long, v long"), short)
-        ids = written(near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct(), short)
-        return cut(both(near, of.join(ids, "doc_id", "left_semi"), "set").mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
+        ids = near.select(F.col("u").alias("doc_id")).union(near.select("v"))
+        return cut(both(near, _among(of.select("doc_id", "set"), ids), "set").mapInArrow(check, "u long, v long"))  # sets are read here: no fewer tasks
 
     def apart(candidates: DataFrame, reach: DataFrame) -> DataFrame:
         """Candidates whose documents are in different components yet."""
