@@ -41,6 +41,13 @@ BUSINESS_TYPES = [
 ]
 PUBLISHED_EXCLUDED = ["example.com", "sentry.io", "wixpress.com", "wordpress.org", "schema.org", "googleapis.com", "w3.org"]
 # ------------------------------------------------------------------------------------------------------------
+#: What a text must have for a hidden address to be in it: a bracketed part, or a spelled @ before a host with a dot.
+BRACKETED, SPELLED = r"(?i)[\[({](?:at|dot|point)[\])}]", r"(?i)\s(?:arobase|at)\s+[a-z0-9.\-]*\.[a-z]{2}"
+
+
+def _once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
 
 
 def without_tags(c: Column | str, scripts: bool = True) -> Column:
@@ -65,13 +72,12 @@ def decoded(c: Column | str) -> Column:
         whole = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(char(code(p)), rest(p))))
         return F.when(text.rlike(f"&#{pattern};"), F.array_join(whole, "")).otherwise(text)
 
-    out = replaced(text, "[0-9]+", lambda d: F.substring(d, -15, 15).cast("long"))
-    out = replaced(out, "x[0-9a-fA-F]+", lambda d: F.conv(F.substring(F.substring(d, 2, 1 << 20), -4, 4), 16, 10).cast("long"))
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    for code, char in ESCAPES.items():
-        out = F.regexp_replace(out, f"(?i){code}", char)
-    return out
+    decimal = lambda t: replaced(t, "[0-9]+", lambda d: F.substring(d, -15, 15).cast("long"))
+    hexadecimal = lambda t: replaced(t, "x[0-9a-fA-F]+", lambda d: F.conv(F.substring(F.substring(d, 2, 1 << 20), -4, 4), 16, 10).cast("long"))
+    numbered = lambda t: F.when(F.contains(t, F.lit("&#")), _once(decimal(t), hexadecimal)).otherwise(t)
+    named = lambda t: F.when(F.contains(t, F.lit("&")), reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), ENTITIES.items(), t)).otherwise(t)
+    escaped = lambda t: F.when(F.contains(t, F.lit("\\u")) | F.contains(t, F.lit("\\U")), reduce(lambda out, x: F.regexp_replace(out, f"(?i){x[0]}", x[1]), ESCAPES.items(), t)).otherwise(t)
+    return _once(_once(numbered(text), named), escaped)
 
 
 def revealed(c: Column | str) -> Column:
@@ -93,15 +99,19 @@ def is_contact_email(c: Column) -> Column:
 
 
 def emails(page: Column | str) -> Column:
-    """Distinct contact addresses of a decoded page: links first, then text, meta and author tags."""
-    c = col(page)
-    found = F.concat(
-        F.regexp_extract_all(c, F.lit(MAILTO), 1),
-        F.regexp_extract_all(revealed(c), F.lit(EMAIL), 0),
-        F.regexp_extract_all(c, F.lit(META), 1),
-        F.regexp_extract_all(c, F.lit(LINK), 1),
-    )
-    return F.array_distinct(F.filter(F.transform(found, cleaned_email), is_contact_email))
+    """Distinct contact addresses of a decoded page: links first, then text, meta and author tags.
+
+    Addresses are written out only in texts that hide one, and looked for only in texts with an @ or a hidden one.
+    """
+    every = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), group)
+
+    def found(c: Column) -> Column:
+        hidden = F.coalesce(c.rlike(BRACKETED) | c.rlike(SPELLED), F.lit(False))
+        of_text = F.when(hidden, every(revealed(c), EMAIL, 0)).otherwise(every(c, EMAIL, 0))
+        whole = F.concat(every(c, MAILTO, 1), of_text, every(c, META, 1), every(c, LINK, 1))
+        return F.when(F.contains(c, F.lit("@")) | hidden, whole).when(c.isNotNull(), F.array().cast("array<string>"))
+
+    return F.array_distinct(F.filter(F.transform(_once(col(page), found), cleaned_email), is_contact_email))
 
 
 def phones(page: Column | str) -> Column:

@@ -7,12 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.html import EMAIL, EXCLUDED_DOMAINS
+from millrace.functions.html import EMAIL
 from millrace.functions.values import col, either, filled, local_part_priority, percent
 
 # --- fixed values -------------------------------------------------------------------------------------------
 STATUSES = ["enriched", "failed", "skipped", "pending"]
-LEGACY_EXCLUDED = EXCLUDED_DOMAINS[:19]
+LEGACY_EXCLUDED = [
+    "example.com", "sentry.io", "wixpress.com", "wordpress.org",
+    "wordpress.com", "gravatar.com", "schema.org", "googleapis.com",
+    "googleusercontent.com", "w3.org", "facebook.com", "twitter.com",
+    "instagram.com", "linkedin.com", "youtube.com", "google.com",
+    "apple.com", "microsoft.com", "amazon.com",
+]
+MONTHS = ["janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc."]
+EXPORT = ["Entreprise", "Ville", "Verticale", "Email", "Emails Dirigeants", "Dirigeants", "Dirigeants Detail", "Telephone", "Site Web", "Score", "Adresse"]
 LEGACY_STARTS = ["noreply", "no-reply", "donotreply", "mailer-daemon", "postmaster", "webmaster", "hostmaster", "abuse"]
 CONTACT_STARTS = ["contact", "info", "accueil"]
 BLACKLIST_PREFIXES = [
@@ -153,12 +161,33 @@ def trailing_year(today: Column | str) -> Column:
     return F.struct(F.add_months(day, -12).alias("start_date"), day.alias("end_date"))
 
 
+def short_date(at: Column | str) -> Column:
+    """Day and short month in French."""
+    return F.concat_ws(" ", F.dayofmonth(col(at)).cast("string"), F.get(F.array(*map(F.lit, MONTHS)), F.month(col(at)) - 1))
+
+
+def time_of_day(at: Column | str, now: Column | str) -> Column:
+    """Hours and minutes of a time today, else the short date before them; empty for none."""
+    clock = F.date_format(col(at), "HH:mm")
+    return F.coalesce(F.when(F.to_date(col(at)) == F.to_date(col(now)), clock).otherwise(F.concat_ws(", ", short_date(at), clock)), F.lit(""))
+
+
+def export_columns(people: Column | str, officer: Column | str, officer_email: Column | str) -> dict[str, Column]:
+    """The texts of an export about people: their addresses, names, and both (name <address>), from a list or else a single person's columns."""
+    some = F.filter(F.coalesce(col(people), F.array().cast("array<struct<name:string,email:string>>")), lambda p: filled(p["name"]) | filled(p["email"]))
+    single = F.when(filled(officer) | filled(officer_email), F.array(F.struct(F.coalesce(col(officer), F.lit("")).alias("name"), F.coalesce(col(officer_email), F.lit("")).alias("email"))))
+    own = F.when(F.size(some) > 0, F.transform(some, lambda p: F.struct(F.coalesce(p["name"], F.lit("")).alias("name"), F.coalesce(p["email"], F.lit("")).alias("email")))).otherwise(single)
+    of = lambda f: F.coalesce(F.array_join(F.filter(F.transform(own, lambda p: p[f]), filled), "; "), F.lit(""))
+    whole = F.transform(own, lambda p: F.when(filled(p["name"]) & filled(p["email"]), F.concat(p["name"], F.lit(" <"), p["email"], F.lit(">"))).otherwise(F.concat(p["name"], p["email"])))
+    return {"emails_dirigeants": either(of("email"), officer_email, F.lit("")), "dirigeants": either(of("name"), officer, F.lit("")), "dirigeants_detail": F.coalesce(F.array_join(whole, "; "), F.lit(""))}
+
+
 def time_ago(at: Column | str, now: Column | str) -> Column:
-    """How long ago in French: now, minutes, hours, days, and from a week on the day and month; empty for none."""
+    """How long ago in French: now, minutes, hours, days, and from a week on the day and the short month; empty for none."""
     minutes = F.floor((F.unix_timestamp(col(now)) - F.unix_timestamp(col(at))) / 60)
     ago = lambda n, unit: F.concat(F.lit("il y a "), F.floor(n).cast("string"), F.lit(unit))
     out = F.when(minutes < 1, "a l'instant").when(minutes < 60, ago(minutes, "min")).when(minutes < 24 * 60, ago(minutes / 60, "h")).when(minutes < 7 * 24 * 60, ago(minutes / 1440, "j"))
-    return F.coalesce(out.otherwise(F.date_format(col(at), "d/MM")), F.lit(""))
+    return F.coalesce(out.otherwise(short_date(at)), F.lit(""))
 
 
 def local_time(at: Column | str, zone: str = "Europe/Paris", form: str = "dd/MM/yyyy HH:mm:ss") -> Column:

@@ -6,8 +6,6 @@ results are gathered in the order of priority (there are at most a few sources)
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +17,6 @@ PRIORITY = ["dns_intel", "schema_org", "deep_scrape", "sirene", "google_dork", "
 NEEDS_MAIL = ["email_permutation", "google_dork"]
 VENDORS = ["kaspr", "email_permutation"]
 # ------------------------------------------------------------------------------------------------------------
-STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-
-def register(name: str, stage: Callable[[DataFrame], DataFrame]) -> None:
-    """Make a source known: a function from records to result rows."""
-    STAGES[name] = stage
-
-
-def results_of(records: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Result rows of the registered sources, with their priority."""
-    out = None
-    for i, name in enumerate(sources or PRIORITY):
-        if name in STAGES:
-            rows = STAGES[name](records).withColumn("priority", F.lit(i)).withColumn("source", F.lit(name))
-            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
 
 
 def aggregate_confidence(results: Column) -> Column:
@@ -140,7 +122,7 @@ def merged_people(people: Column) -> Column:
     return F.transform(F.array_distinct(F.transform(named, key)), one)
 
 
-def joined_people(known: Column, found: Column, profile_moves_source: bool = True) -> Column:
+def joined_people(known: Column, found: Column, profile_moves_source: Column | bool = True) -> Column:
     """``known`` people with those ``found`` by a source in a run: merged by folded name, or put at the end.
 
     Texts found replace missing or other ones, confidence is the highest. The source changes with an address, and with a
@@ -211,9 +193,3 @@ def persisted(stored: DataFrame, found: DataFrame, always: bool = False) -> Data
         "dirigeant": either("_officer", "dirigeant"),
     }
     return out.withColumns({k: v for k, v in new.items() if k in stored.columns}).select(*stored.columns)
-
-
-def gated(df: DataFrame, active: Column, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply a stage only to active rows; the others pass by."""
-    on = F.coalesce(active, F.lit(False))
-    return stage(df.where(on)).unionByName(df.where(~on), allowMissingColumns=True)

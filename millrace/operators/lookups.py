@@ -1,7 +1,6 @@
 """Stages of the cascade on snapshot tables: mail hosts of domains, and the company registry.
 
-A stage takes records and gives a result row for each of them, with empty fields where nothing is found; bind its snapshot
-with ``functools.partial`` and make it known with ``cascade.register``.
+A stage takes records and gives a result row for each of them, with empty fields where nothing is found.
 """
 
 from __future__ import annotations
@@ -35,15 +34,21 @@ def _present(**values: Column) -> Column:
     return F.map_filter(whole, lambda _, v: v.isNotNull())
 
 
+def hosts_by_domain(dns: DataFrame) -> DataFrame:
+    """A snapshot (domain, record_type, data) as one row a domain: _domain and the sorted data of its MX and TXT records. Such a table stays."""
+    if "_domain" in dns.columns:
+        return dns
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.col("data"))))
+    return dns.groupBy(F.col("domain").alias("_domain")).agg(of("MX").alias("_mx"), of("TXT").alias("_txt"))
+
+
 def mail_hosts(records: DataFrame, dns: DataFrame) -> DataFrame:
     """Result rows of records (id, domain) by a snapshot (domain, record_type, data): has_mx and metadata, no address.
 
     A domain without mail hosts has has_mx false, so that later sources which need them are passed over. Hosts are in the
     order of their data, at most five are listed.
     """
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.col("data"))))
-    by_domain = dns.groupBy("domain").agg(of("MX").alias("_mx"), of("TXT").alias("_txt"))
-    both = records.select("id", "domain").join(by_domain, "domain", "left")
+    both = records.select("id", F.col("domain").alias("_domain")).join(hosts_by_domain(dns), "_domain", "left")
     none = F.array().cast("array<string>")
     both = both.select("id", F.coalesce("_mx", none).alias("mx"), spf_providers(F.coalesce("_txt", none)).alias("spf"))
     some = F.size("mx") > 0
@@ -74,6 +79,19 @@ def officers(listed: Column | str) -> Column:
     return F.transform(F.array_sort(F.transform(people, person)), lambda x: x.dropFields("rank", "at"))
 
 
+def _place(query: Column, commune: Column) -> Column:
+    """One text for a query and a commune, which may be missing."""
+    return F.concat(query, F.lit("\n"), F.coalesce(commune, F.lit("\r")))
+
+
+def companies_by_query(snapshot: DataFrame) -> DataFrame:
+    """The company that the registry gives first for each query and commune: _place, company. Such a table stays."""
+    if "_place" in snapshot.columns:
+        return snapshot
+    company = F.struct("siren", "siret", "nom_complet", "activite_principale", "dirigeants")
+    return snapshot.where("rank = 1").select(_place(F.col("query"), F.col("commune")).alias("_place"), company.alias("company")).groupBy("_place").agg(F.min_by("company", F.xxhash64("company")).alias("company"))
+
+
 def registry(records: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Result rows of records (id, name, city, domain) by a registry snapshot (query, commune, rank, siren, siret, ...).
 
@@ -86,8 +104,8 @@ def registry(records: DataFrame, snapshot: DataFrame) -> DataFrame:
     attempt = lambda n, query, commune: F.struct(F.lit(n).alias("attempt"), without_suffixes(query, LEGAL_FORMS).alias("query"), commune.alias("commune"))
     tries = F.array(attempt(1, F.col("name"), city), attempt(2, F.col("name"), F.lit(None).cast("string")), attempt(3, F.when(use, words), city))
     asked = records.select("id", F.inline(tries)).where(F.coalesce("query", F.lit("")) != "")
-    first = snapshot.where("rank = 1").select(F.col("query").alias("_query"), F.col("commune").alias("_commune"), F.struct("siren", "siret", "nom_complet", "activite_principale", "dirigeants").alias("company"))
-    found = asked.join(first, (asked["query"] == first["_query"]) & asked["commune"].eqNullSafe(first["_commune"]))
+    keyed = asked.select("id", "attempt", _place(F.col("query"), F.col("commune")).alias("_place"))
+    found = keyed.join(companies_by_query(snapshot), "_place")
     chosen = found.groupBy("id").agg(F.min_by("company", "attempt").alias("company"))
     out = records.select("id").join(chosen, "id", "left").withColumn("people", officers("company.dirigeants"))
     lead = F.get("people", F.lit(0))

@@ -111,3 +111,15 @@ def segment_report(df: DataFrame, segment: str, size: str, errors: str) -> DataF
     """JSON upload figures by segment, the largest first: segment, content."""
     per = df.groupBy(segment).agg(F.count("*").alias("leads"), F.sum(size).alias("uploaded"), F.sum(errors).alias("errors"))
     return per.orderBy(F.desc("leads"), segment).select(segment, F.to_json(F.struct("leads", "uploaded", "errors")).alias("content"))
+
+
+def upload_report(df: DataFrame, segment: str, uploaded: str, errors: str, timestamp: str, campaign: str, seconds: float) -> DataFrame:
+    """One JSON text of an upload: timestamp, total_uploaded, total_errors, by_verticale (rows of each segment), campaign_id, duration_seconds.
+
+    Segments are few: their counts are gathered into one object, the names in order. An empty table has totals of 0 and no segments.
+    """
+    per = df.groupBy(segment).agg(F.count("*").alias("n"), F.sum(uploaded).alias("u"), F.sum(errors).alias("e"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(segment, F.lit("")).alias("k"), F.col("n").alias("v")))))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    body = F.struct(F.lit(timestamp).alias("timestamp"), zero("u").alias("total_uploaded"), zero("e").alias("total_errors"), counts.alias("by_verticale"), F.lit(campaign).alias("campaign_id"), F.lit(round(seconds, 1)).alias("duration_seconds"))
+    return per.agg(F.to_json(body).alias("content"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.values import col, filled, first_name, folded, parsed_name, valid_email
@@ -14,19 +15,43 @@ from millrace.functions.values import col, filled, first_name, folded, parsed_na
 MOST_COMBINATIONS = 1_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset a temporary one, in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` after a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder serves in local mode only."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        context.setCheckpointDir(folder)
+    """``df`` after a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def bucketed(df: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
+    """``df`` written to the shared folder, bucketed and sorted by ``keys``: joins by all these keys don't shuffle or sort it again.
+
+    There are as many buckets as shuffle partitions, so that what is joined with it meets it as it is. ``dealt`` tells that the rows come out of
+    a join or an aggregate by the keys; others are dealt to the buckets first, so that a bucket is one file. The session's
+    catalogue forgets the table at once, its files stay.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"millrace_{uuid.uuid4().hex}"
+    rows = df if dealt else df.repartition(n, *keys)
+    rows.write.option("path", f"{shared_folder(spark)}/{name}").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved while the catalogue knows the table
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str], bypass: Column | None = None) -> DataFrame:
     """The first row of each key in an order; rows for which ``bypass`` holds are all kept.
 

@@ -20,10 +20,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-def planted(rows: list[tuple], columns: list[str], types: list[str]) -> str:
-    """SQL for fixed rows."""
-    text = lambda v: "NULL" if v is None else ("'" + v.replace("'", "''") + "'") if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
-    return f"SELECT {', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in zip(columns, types, strict=True))} FROM (VALUES {values}) v({', '.join(columns)})"

@@ -31,6 +31,7 @@ PROFILES = [("Ada", "Bec", "Deux", "https://www.linkedin.com/in/ada-b", "direct"
 _MAILS = "array<struct<email:string,isCurrent:boolean>>"
 VENDOR = [("https://www.linkedin.com/in/ada-b", (None, ["a.b@deux.test"], "ada@home.test", [], [], None, [], "Ada Bec", "Ada", "Bec", "Gerant", "Deux", "ada-b")), ("https://www.linkedin.com/in/anne-lune", (None, [], None, [], [("old@quatre.test", False), ("anne@quatre.test", True)], None, [("0611",)], "Anne Lune", "Anne", "Lune", None, None, None))]
 CHECKS = [("jean.roc@cinq.test", False, True, False, True), ("j.roc@cinq.test", True, True, False, False)]
+NOT_NAMES = ["mentions", "legales", "gerant", "gerante", "fondatrice", "directeur"]
 #: id, tried, confidences, confidence, best address, officer, registration, company's and officer's address, stopped.
 RUN = [
     (1, "dns_intel,schema_org,deep_scrape", "30,85,70", 85, "contact@x.test", None, None, "contact@x.test", None, True),
@@ -62,7 +63,7 @@ def records(spark: SparkSession) -> DataFrame:
 
 def ran(spark: SparkSession) -> DataFrame:
     """A run over the planted snapshots, a row per record with lists as text."""
-    out = waterfall.run(records(spark), waterfall.on_snapshots(**snapshots(spark)))
+    out = waterfall.run(records(spark), waterfall.on_snapshots(**snapshots(spark), not_names=NOT_NAMES))
     confidences = F.array_join(F.transform("used", lambda r: r["confidence"].cast("string")), ",")
     return out.select("id", F.array_join("tried", ",").alias("tried"), confidences.alias("confidences"), "confidence", "best_email", "officer", "registration", "company_email", "officer_email", "stopped")
 

@@ -1,4 +1,4 @@
-"""Queries of record lists, campaigns, uploads, job logs and planted runs."""
+"""Queries of record lists, campaigns, uploads and job logs."""
 
 from __future__ import annotations
 
@@ -6,13 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import records, scoring, values
 from millrace.operators import filters, stats, tables
-from millrace.plans import examples
-from millrace.plans.base import planted, query
+from millrace.plans.base import query
+from millrace.sources import files
 from millrace.streaming import jobs
 
-SIZES = {"small": "mini", "large": "maxi"}
-
-
 def _leads(t):
     """Customers as stored records."""
     none = F.lit(None).cast("string")
@@ -51,9 +48,9 @@ def record_flags(t):
     return _leads(t).select("id", records.selectable("email", F.lit(None).cast("string"), error, "enrichment_status").alias("selectable"), records.completeness(["email"], [person], error, F.col("enrichment_status")).alias("complete"))
 
 
-@query(f"WITH {_LEADS} SELECT id, name, email, score FROM leads WHERE email <> '' AND city ILIKE '%an%' AND (category ILIKE '%build%' OR category ILIKE '%auto%') ORDER BY id LIMIT 40")
+@query(f"WITH {_LEADS} SELECT id, name, email, score FROM leads WHERE email <> '' AND city ILIKE '%on_1%' AND (category ILIKE '%build%' OR category ILIKE '%auto%') ORDER BY id LIMIT 40")
 def lead_query(t):
-    return filters.leads(_leads(t), "an", ["build", "auto"], 40).select("id", "name", "email", "score")
+    return filters.leads(_leads(t), "on_1", ["build", "auto"], 40).select("id", "name", "email", "score")
 
 
 @query(f"WITH {_LEADS} SELECT id, name, nullif(email, '') AS email, score FROM leads")
@@ -97,7 +94,7 @@ def group_shares(t):
     return stats.shares(t("part"), "p_brand")
 
 
-@query("""SELECT event_id, CASE WHEN m < 1 THEN 'a l''instant' WHEN m < 60 THEN 'il y a ' || m || 'min' WHEN m < 1440 THEN 'il y a ' || m // 60 || 'h' WHEN m < 10080 THEN 'il y a ' || m // 1440 || 'j' ELSE day(ts) || strftime(ts, '/%m') END AS ago
+@query("""SELECT event_id, CASE WHEN m < 1 THEN 'a l''instant' WHEN m < 60 THEN 'il y a ' || m || 'min' WHEN m < 1440 THEN 'il y a ' || m // 60 || 'h' WHEN m < 10080 THEN 'il y a ' || m // 1440 || 'j' ELSE day(ts) || ' ' || ['janv.', 'févr.', 'mars', 'avr.', 'mai', 'juin', 'juil.', 'août', 'sept.', 'oct.', 'nov.', 'déc.'][month(ts)] END AS ago
   FROM (SELECT event_id, ts, CAST(floor((epoch(max(ts) OVER ()) - epoch(ts)) / 60) AS BIGINT) AS m FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events))""")
 def time_ago(t):
     e = t("events").select("event_id", F.date_trunc("second", "ts").alias("ts"))
@@ -143,10 +140,14 @@ def exploded_combos(t):
     return tables.exploded(segments, "category", t("nation").select(F.col("n_name").alias("city")), ["segment", "category", "city"]).select("segment", "category", "city", "combo")
 
 
-@query("SELECT n_name AS city, '' AS niche, row_number() OVER (ORDER BY n_name) - 1 AS combo FROM nation")
+@query("""SELECT 'none' AS kind, n_name AS city, '' AS niche, row_number() OVER (ORDER BY n_name) - 1 AS combo FROM nation
+  UNION ALL SELECT 'some', n_name, r_name, row_number() OVER (ORDER BY n_name, r_name) - 1 FROM nation CROSS JOIN region WHERE r_name > 'B' UNION ALL SELECT 'cities', '', r_name, row_number() OVER (ORDER BY r_name) - 1 FROM region""")
 def default_combos(t):
-    none = t("region").select(F.col("r_name").alias("niche")).where("niche is null")
-    return tables.combinations(t("nation").select(F.col("n_name").alias("city")), none, ["city", "niche"], default="").select("city", "niche", "combo")
+    """Cities and niches where one side, the other, or none is empty and so counts as one default row."""
+    cities, niches = t("nation").select(F.col("n_name").alias("city")), t("region").select(F.col("r_name").alias("niche"))
+    sides = {"none": (cities, niches.where("niche is null")), "some": (cities, niches.where("niche > 'B'")), "cities": (cities.where("city is null"), niches)}
+    each = [tables.combinations(*pair, ["city", "niche"], default="").select(F.lit(kind).alias("kind"), "city", "niche", "combo") for kind, pair in sides.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'N' || n_nationkey END AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'own' ELSE 'custom' END AS kind FROM nation")
@@ -232,19 +233,41 @@ def slugs(t):
     return t("part").select("p_partkey", values.slug("p_name").alias("slug"), F.substring(values.name_letters("p_name"), 1, 1).alias("initial"), F.size(values.listed("p_type", " ")).cast("long").alias("words"))
 
 
-@query(planted(examples.RUN, ["id", "tried", "confidences", "confidence", "best_email", "officer", "registration", "company_email", "officer_email", "stopped"], ["INT", "VARCHAR", "VARCHAR", "INT", "VARCHAR", "VARCHAR", "VARCHAR", "VARCHAR", "VARCHAR", "BOOLEAN"]))
-def cascade_run(t):
-    """The whole cascade over planted snapshots."""
-    return examples.ran(t("nation").sparkSession)
-
-
-@query(planted(examples.CRAWLED, ["id", "emails", "best", "phase"], ["INT", "VARCHAR", "VARCHAR", "INT"]))
-def crawl_phases(t):
-    """The two phases of the page reader over planted pages."""
-    return examples.crawled(t("nation").sparkSession)
-
-
-@query(planted(examples.GUESSED, ["id", "technique", "email", "status"], ["INT", "VARCHAR", "VARCHAR", "VARCHAR"]))
-def single_page_emails(t):
-    """One address for each record by its home page or by a guess, over planted pages."""
-    return examples.guessed(t("nation").sparkSession)
+@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS seq FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  p AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'Ann; Bo "B"' WHEN c_custkey % 3 = 1 THEN 'Cy' ELSE '' END AS names, CASE WHEN c_custkey % 3 = 0 THEN 'a@x.test' WHEN c_custkey % 3 = 1 THEN 'c@x.test' ELSE '' END AS mails,
+    CASE WHEN c_custkey % 3 = 0 THEN 'Ann <a@x.test>; Bo "B"' WHEN c_custkey % 3 = 1 THEN 'Cy <c@x.test>' ELSE '' END AS whole FROM r)
+  SELECT 0 AS seq, chr(65279) || 'Entreprise,Ville,Verticale,Email,Emails Dirigeants,Dirigeants,Dirigeants Detail,Telephone,Site Web,Score,Adresse' AS line UNION ALL
+  SELECT seq, '"' || concat_ws('","', c_name, n_name, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'c' || c_custkey || '@x.test' ELSE '' END, mails, replace(names, '"', '""'), replace(whole, '"', '""'), '', '', CAST(floor(abs(c_acctbal) / 100) AS INT), '') || '"' FROM p""")
+def csv_export(t):
+    """An export of the list with its people: one mark and header, all values quoted."""
+    none = F.lit(None).cast("string")
+    several = F.array(F.struct(F.lit("Ann").alias("name"), F.lit("a@x.test").alias("email")), F.struct(F.lit('Bo "B"').alias("name"), none.alias("email")), F.struct(F.lit("").alias("name"), none.alias("email")))
+    people = F.when(F.col("key") % 3 == 0, several)
+    single = F.col("key") % 3 == 1
+    leads = records.listed(_leads(t)).withColumn("key", F.col("id").cast("long"))
+    rows = leads.withColumns(records.export_columns(people, F.when(single, "Cy"), F.when(single, "c@x.test")))
+    columns = ["nom_entreprise", "ville", "verticale", "email", "emails_dirigeants", "dirigeants", "dirigeants_detail", "telephone", "site_web", "score", "adresse"]
+    return files.csv_lines(rows, dict(zip(records.EXPORT, columns, strict=True)), ["key"])
+
+
+@query("""SELECT event_id, CASE WHEN CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events) THEN strftime(ts, '%H:%M') ELSE day(ts) || ' ' || ['janv.', 'févr.', 'mars', 'avr.', 'mai', 'juin', 'juil.', 'août', 'sept.', 'oct.', 'nov.', 'déc.'][month(ts)] || ', ' || strftime(ts, '%H:%M') END AS shown FROM events""")
+def times_of_day(t):
+    e = t("events").select("event_id", "ts")
+    return e.crossJoin(e.agg(F.max("ts").alias("now"))).select("event_id", records.time_of_day("ts", "now").alias("shown"))  # one row
+
+
+@query("""WITH p AS (SELECT p_brand, count(*) AS n, sum(p_size) AS u, count(*) FILTER (WHERE p_size = 1) AS e FROM part GROUP BY p_brand)
+  SELECT '{"timestamp":"2024-01-01 00:00:00","total_uploaded":' || CAST(sum(u) AS BIGINT) || ',"total_errors":' || CAST(sum(e) AS BIGINT) || ',"by_verticale":{' || string_agg('"' || p_brand || '":' || n, ',' ORDER BY p_brand) || '},"campaign_id":"c","duration_seconds":1.3}' AS content FROM p""")
+def upload_report(t):
+    rows = t("part").withColumn("bad", (F.col("p_size") == 1).cast("int"))
+    return stats.upload_report(rows, "p_brand", "p_size", "bad", "2024-01-01 00:00:00", "c", 1.25001)
+
+
+@query("""SELECT conv_id || ':' || turn AS id, 'enriched' AS status, CAST(length(text) AS DOUBLE) AS confidence, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS people FROM conversations WHERE text IS NOT NULL""")
+def stored_results(t):
+    """Turns of conversations as the stored results of jobs, and what the reader makes of that JSON."""
+    people = F.array(F.struct(F.when(F.col("role") == "user", F.col("role")).alias("name"), F.lit("x").alias("title"), F.lit(5).alias("email")))
+    one = F.struct(F.concat_ws(":", "conv_id", "turn").alias("leadId"), F.lit("enriched").alias("status"), F.length("text").alias("confidence"), people.alias("decisionMakers"), F.col("text").alias("name"))
+    jobs_ = t("conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.to_json(F.collect_list(one)).alias("results"))
+    out = jobs_.select(F.explode(files.lead_results("results")).alias("r"))
+    return out.select(F.col("r.leadId").alias("id"), "r.status", "r.confidence", F.size("r.decisionMakers").alias("people"))

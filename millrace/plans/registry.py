@@ -128,10 +128,10 @@ def top_three(t):
     return tables.top_k(t("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
-@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 99.5)) WHERE n = 1""")
+@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 997 = 0)) WHERE n = 1""")
 def anti_new_rows(t):
     e = t("events").select("user_id", "event_id", "value")
-    return tables.new_rows(e, e.where("value > 99.5"), "user_id", ["event_id"]).select("user_id", "event_id")
+    return tables.new_rows(e, e.where("event_id % 997 = 0"), "user_id", ["event_id"]).select("user_id", "event_id")
 
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 20 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
@@ -282,10 +282,17 @@ def cascade_early_stop(t):
     return cascade.early_stops(scored, ["event_id"])
 
 
-@query(_STOPS)
+@query("""WITH s AS (SELECT l_suppkey AS id, l_orderkey, l_linenumber, 30 + CASE WHEN l_discount > 0.07 THEN 40 ELSE 0 END AS c, CASE WHEN l_quantity >= 40 THEN 'm' || l_linenumber || '@x.test' END AS e FROM lineitem),
+  f AS (SELECT *, row_number() OVER w AS p, e IS NOT NULL AND row_number() OVER (PARTITION BY id, e ORDER BY l_orderkey, l_linenumber) > 1 AS again FROM s WINDOW w AS (PARTITION BY id ORDER BY l_orderkey, l_linenumber)),
+  m AS (SELECT *, least(100, max(c) OVER w + CASE WHEN bool_or(again) OVER w THEN 20 ELSE 0 END) AS total, count(e) OVER w AS mails FROM f WINDOW w AS (PARTITION BY id ORDER BY p)),
+  e AS (SELECT id, min(p) AS stop FROM m WHERE mails > 0 AND total >= 85 GROUP BY id)
+  SELECT m.id, count(*) AS tried, CAST(max(total) AS INT) AS confidence, bool_or(stop IS NOT NULL) AS stopped FROM m LEFT JOIN e USING (id) WHERE stop IS NULL OR p <= stop GROUP BY m.id""")
 def cascade_early_stop_all(t):
-    """The same under the name it had beside a shorter form."""
-    return cascade_early_stop(t)
+    """Each supplier's lines as results, hundreds of an id, run until two have the same address and enough confidence."""
+    confidence = (F.lit(30) + F.when(F.col("l_discount") > 0.07, 40).otherwise(0)).cast("int")
+    mail = F.when(F.col("l_quantity") >= 40, F.concat(F.lit("m"), F.col("l_linenumber").cast("string"), F.lit("@x.test")))
+    rows = t("lineitem").select(F.col("l_suppkey").alias("id"), "l_orderkey", "l_linenumber", mail.alias("email"), confidence.alias("confidence"))
+    return cascade.early_stops(rows, ["l_orderkey", "l_linenumber"], threshold=85)
 
 
 _SOURCE_ROWS = """s AS (SELECT user_id AS id, event_type AS t, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS p, CASE WHEN event_type IN ('click', 'view') THEN 'u' || (user_id % 3) || '@x.test' END AS mail,
@@ -341,4 +348,4 @@ def windowed_counts(t):
     return jobs.windowed_counts(t("events"))
 
 
-from millrace.plans import lists  # noqa: E402, F401  (registers more queries)
+from millrace.plans import cascades, lists  # noqa: E402, F401  (register more queries)

@@ -15,10 +15,15 @@ def rows(df):
 def test_csv_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c', ["x", "y"]), (2, None, [])], "id int, name string, tags array<string>")
     files.write_csv(df, f"{tmp_path}/out", {"tags": "|"})
-    back = files.csv(spark, f"{tmp_path}/out", {"id": "int"}, {"tags": "|"})
+    back = files.csv(spark, f"{tmp_path}/out", {"id": "int"}, {"tags": "|"}, line_breaks=True)
     assert [(r["id"], r["name"], r["tags"]) for r in back.orderBy("id").collect()][0] == (1, 'a "b", c', ["x", "y"])
-    lines = [r["line"] for r in files.as_csv_lines(df, {"tags": "; "}, mark=True).orderBy("line").collect()]
-    assert lines == ['﻿"1","a ""b"", c","x; y"', '﻿"2","",""']
+    headers = {"Id": "id", "Name": "name", "Tags": "tags"}
+    lines = [tuple(r) for r in files.csv_lines(df, headers, ["id"], {"tags": "; "}).orderBy("seq").collect()]
+    assert lines == [(0, "\ufeffId,Name,Tags"), (1, '"1","a ""b"", c","x; y"'), (2, '"2","",""')]
+    files.write_csv_export(df, f"{tmp_path}/export", headers, ["id"], {"tags": "; "})
+    text = "".join(p.read_text() for p in sorted((tmp_path / "export").glob("part-*")))
+    assert text == "".join(x + "\n" for _, x in lines)
+    assert [r["line"] for r in files.csv_lines(df.limit(0), headers, ["id"], mark=False).collect()] == ["Id,Name,Tags"]
     (tmp_path / "odd.csv").write_text("id,name\n1,a\n2\n3,b,c\nx, d \n")
     odd = files.csv(spark, str(tmp_path / "odd.csv"), {"id": "int"})
     assert [(r["id"], r["name"]) for r in odd.collect()] == [(1, "a"), (2, None), (3, "b"), (None, "d")]
@@ -29,11 +34,16 @@ def test_csv_files_round_trip(spark, tmp_path):
 
 def test_json_columns(spark):
     text = '[{"name":"A","linkedin_url":"u","confidence":5},{"name":""},{"title":"x"}]'
-    out = spark.createDataFrame([(text, '{"enriched":3,"x":1}', '{"a":{"tried":2},"b":{"tried":1,"found":1}}'), ("no", "no", "no"), (None, None, None)], "p string, s string, m string")
-    got = out.select(files.json_people("p").alias("p"), files.job_summary("s").alias("s"), files.source_map("m").alias("m")).collect()
+    stored = '[{"leadId":"7","status":"odd","confidence":3.5,"sourcesTried":["a","b"],"decisionMakers":[{"name":"Zo","confidence":9,"email":4},{"title":"x"},5]},{"leadId":8},"x",{"leadId":"9","status":"failed","bestEmail":"e@x.test"}]'
+    summary, sources = '{"totalEmails":3,"avgConfidence":"7","x":1}', '{"a":{"tried":2,"emailFound":"no"},"b":{"siretFound":1},"c":5,"d":null}'
+    out = spark.createDataFrame([(text, summary, sources, stored), ("no", "no", "no", "no"), (None, None, None, None), ("{}", "[]", "{}", "{}")], "p string, s string, m string, r string")
+    got = out.select(files.json_people("p").alias("p"), files.job_summary("s").alias("s"), files.source_map("m").alias("m"), files.lead_results("r").alias("r")).collect()
     assert [(x["name"], x["linkedinUrl"], x["email"], x["confidence"]) for x in got[0]["p"]] == [("A", "u", "", 5)] and list(got[1]["p"]) == [] and list(got[2]["p"]) == []
-    assert tuple(got[0]["s"]) == (3, 0, 0, 0, 0) and tuple(got[1]["s"]) == (0,) * 5
-    assert {k: tuple(v) for k, v in got[0]["m"].items()} == {"a": (2, 0), "b": (1, 1)} and got[2]["m"] == {}
+    assert tuple(got[0]["s"]) == (3, 0, 0, 0, 0, 0) and got[1]["s"] is None and got[2]["s"] is None
+    assert {k: tuple(v) for k, v in got[0]["m"].items()} == {"a": (2, 0, 0, 0), "b": (0, 0, 0, 1)} and all(g["m"] is None for g in got[1:])
+    a, b = got[0]["r"]
+    assert (a["leadId"], a["status"], a["confidence"], a["sourcesTried"], b["leadId"], b["status"], b["bestEmail"]) == ("7", None, 3.5, ["a", "b"], "9", "failed", "e@x.test")
+    assert [(p["name"], p["email"], p["source"], p["confidence"]) for p in a["decisionMakers"]] == [("Zo", None, "unknown", 9)] and list(b["decisionMakers"]) == [] and list(got[1]["r"]) == list(got[3]["r"]) == []
     items = spark.createDataFrame([("[1,2]",), ('{"items":[3]}',), ('{"a":1}',), ("bad",)], "v string").select(F.size(files.items("v")).alias("n"))
     assert [r["n"] for r in items.collect()][:3] == [2, 1, 1]
 
