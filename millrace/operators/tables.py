@@ -154,6 +154,23 @@ def batches(df: DataFrame, size: int, order: list[str], key: str = "batch") -> D
     return out.withColumn(key, F.floor(F.col("seq") / size)).drop("_part", "_n", "_before")
 
 
+def numbered(df: DataFrame, part: str, order: list[str], name: str) -> DataFrame:
+    """Rows with ``name``: their number from 0 within their ``part`` in an order, however many rows a part has.
+
+    Rows are dealt to ranges by part and order, numbered within each range and part, and moved by what earlier ranges have of the
+    part: no task sees more than a range. The ranges are checkpointed, so that both uses of them see the same rows in each.
+    """
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    ranged = kept(df.repartitionByRange(ranges, part, *order).withColumn("_part", F.spark_partition_id()))
+    own = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part", part).orderBy(*order)))
+    counts = ranged.groupBy("_part", F.col(part).alias("_of")).agg(F.count("*").alias("_k"))
+    earlier = Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_k").over(earlier), F.lit(0))).withColumnRenamed("_part", "_in").drop("_k")
+    both = own.join(before, (own["_part"] == before["_in"]) & own[part].eqNullSafe(before["_of"]))
+    return both.withColumn(name, F.col("_n") + F.col("_before") - 1).select(*df.columns, name)
+
+
 def upload_batches(df: DataFrame, size: int, order: list[str], valid_first: bool = True) -> DataFrame:
     """Rows for an upload (email, name, phone, website, city, category) with batch and seq.
 

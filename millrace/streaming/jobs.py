@@ -2,29 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.tables import numbered
+from millrace.sources import files
+
+
+def parsed(whole: DataFrame, job: str = "job") -> DataFrame:
+    """Events (job, seq, event, data) of whole frames (job, seq, frame): of several event or data lines the last counts; frames that lack either are left out."""
+    last = lambda n: F.regexp_extract("frame", rf"(?:(?s:.*)\n|^){n}: ([^\n]*)", 1)
+    return whole.select(job, F.col("seq").cast("long").alias("seq"), F.trim(last("event")).alias("event"), last("data").alias("data")).where("event <> '' AND data <> ''")
+
 
 def frames(log: DataFrame, text: str = "value", job: str = "job") -> DataFrame:
-    """Events of server-sent frames: job, seq, event, data. A last frame that is not ended by a blank line is dropped."""
+    """Events of whole logs of server-sent frames: job, seq, event, data. What is behind the last blank line is no frame yet.
+
+    Logs that come in chunks, which may cut frames anywhere, go through ``chunks.decoded``.
+    """
     parts = F.split(text, "\n\n")
-    whole = log.select(job, F.posexplode(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("seq", "frame"))
-    field = lambda n: F.regexp_extract("frame", rf"(?m)^{n}:\s?(.*)$", 1)
-    return whole.select(job, F.col("seq").cast("long").alias("seq"), field("event").alias("event"), field("data").alias("data")).where("event <> ''")
+    return parsed(log.select(job, F.posexplode(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("seq", "frame")), job)
+
+
+#: Events that end a run, and events that carry one result.
+ENDS, RESULTS = ("done", "error", "stopped", "paused"), ("lead_done", "lead_error", "lead_result", "combo_done", "combo_error")
+
+
+def results(events: DataFrame, job: str = "job") -> DataFrame:
+    """The results that events append to their run, a row each: job, seq, and the fields of ``lead_result`` with the error of those that failed.
+
+    Without shuffle and state, so a stream appends them as they come. Data that is no object, and a finished record without an id, is left out.
+    """
+    v = F.try_parse_json("data")
+    failed = F.col("event").isin("lead_error", "combo_error")
+    text = lambda n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$['{n}']", "variant")) == "STRING", F.try_variant_get(v, f"$['{n}']", "string"))
+    read = F.coalesce(files.lead_result(v), F.when(failed & F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), files.lead_result(F.try_parse_json(F.lit('{"leadId":""}')))))
+    one = events.where(F.col("event").isin(*RESULTS)).select(job, "seq", "event", read.alias("r"), F.when(failed, text("error")).alias("error"))
+    return one.where("r IS NOT NULL").select(job, "seq", "event", "r.*", "error")
 
 
 def state(events: DataFrame, job: str = "job") -> DataFrame:
-    """Per job: the latest progress, results so far, and whether it ended and how. Works on a stream in complete or update mode."""
+    """Per job: the latest progress, how many results, whether it ended and how, the figures of its end. Works on a stream in complete or update mode.
+
+    progress is the data of the latest progress event, percent 100 once a run is done; summary and sources come with the end,
+    message with an error. Rows of one job are combined before the shuffle.
+    """
     of = lambda *names: F.col("event").isin(*names)
     latest = lambda test, c: F.max_by(F.when(test, F.col(c)), F.when(test, F.col("seq")))
-    end = of("done", "error", "stopped", "paused")
-    return events.groupBy(job).agg(
+    end = of(*ENDS)
+    out = events.groupBy(job).agg(
         latest(of("progress"), "data").alias("progress"),
-        F.count_if(of("lead_done", "combo_done")).alias("results"),
+        F.count_if(of(*RESULTS)).alias("results"),
         F.coalesce(latest(end, "event"), F.lit("running")).alias("status"),
         F.max("seq").alias("last_seq"),
+        latest(end, "data").alias("_end"),
+        F.max_by(F.when(of("job_created"), F.col("data")), F.when(of("job_created"), F.col("seq"))).alias("_created"),
     )
+    field = lambda c, n: F.get_json_object(c, f"$.{n}")
+    number = lambda n: F.coalesce(field("_end", n), field("progress", n)).try_cast("double")
+    percent = F.when(F.col("status") == "done", F.lit(100.0)).otherwise(number("percent"))
+    figures = {"job_id": field("_created", "jobId"), "processed": number("processed"), "failed": number("failed"), "skipped": number("skipped"), "percent": percent}
+    whole = out.withColumns({**figures, "summary": files.job_summary(field("_end", "summary")), "sources": files.source_map(field("_end", "sourceStats")), "message": F.when(F.col("status") == "error", field("_end", "message"))})
+    return whole.drop("_end", "_created")
 
 
 def resumed(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -54,9 +93,8 @@ def windowed_counts(events: DataFrame, time: str = "ts", size: str = "1 hour", l
 
 
 def _log(rows: DataFrame, job: str, order: list[str]) -> DataFrame:
-    """Events (job, seq, event, data) numbered from 0 in the order of a job's steps."""
-    w = Window.partitionBy(job).orderBy(*order)
-    return rows.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).select(job, "seq", "event", "data")
+    """Events (job, seq, event, data) numbered from 0 in the order of a job's steps, by ranges: a job may have any number of them."""
+    return numbered(rows, job, order, "seq").select(job, F.col("seq").cast("long").alias("seq"), "event", "data")
 
 
 def _event(name: str, at: int, **data) -> Column:
@@ -67,16 +105,19 @@ def run_log(items: DataFrame, start: str, done: str, failed: str, job: str = "jo
     """The event log of a run over items (job, item, ok, found, error) in the order of ``item``.
 
     job_created, for each item ``start``, then ``done`` or ``failed`` and a progress event in per cent, and done with
-    totals. A run over nothing is a single done event: see ``empty_run``.
+    totals. Items with a text in ``warning``, if there is such a column, have a db_warning too. A run over nothing is a single done
+    event: see ``empty_run``. Runs that write their log as they go, and stop on a signal, are in ``runs``.
     """
-    w = Window.partitionBy(job).orderBy("item")
-    ran = items.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count("*").over(Window.partitionBy(job)))
+    counted = items.groupBy(F.col(job).alias("_job")).agg(F.count("*").alias("_all"))
+    steps = numbered(items, job, ["item"], "_n").withColumn("_n", F.col("_n") + 1)
+    ran = steps.join(counted, steps[job] == counted["_job"]).drop("_job")
     percent = F.floor(F.col("_n") * 100 / F.col("_all") + 0.5).cast("int")
     ended = F.when(F.col("ok"), _event(done, 1, item=F.col("item"), found=F.col("found"))).otherwise(_event(failed, 1, item=F.col("item"), error=F.col("error")))
-    each = ran.select(job, F.col("_n").alias("_step"), F.inline(F.array(_event(start, 0, item=F.col("item")), ended, _event("progress", 2, done=F.col("_n"), total=F.col("_all"), percent=percent))))
+    warned = [F.when(F.col("warning").isNotNull(), _event("db_warning", 2, item=F.col("item"), error=F.col("warning")))] if "warning" in items.columns else []
+    each = ran.select(job, F.col("_n").alias("_step"), F.inline(F.filter(F.array(_event(start, 0, item=F.col("item")), ended, *warned, _event("progress", 3, done=F.col("_n"), total=F.col("_all"), percent=percent)), lambda e: e.isNotNull())))
     per = items.groupBy(job).agg(F.count("*").alias("_all"), F.count_if("ok").alias("_ok"), F.coalesce(F.sum("found"), F.lit(0)).alias("_found"))
-    first = per.select(job, F.lit(0).cast("int").alias("_step"), F.inline(F.array(_event("job_created", 0, total=F.col("_all")))))
-    last = per.select(job, (F.col("_all") + 1).cast("int").alias("_step"), F.inline(F.array(_event("done", 0, total=F.col("_all"), ok=F.col("_ok"), found=F.col("_found")))))
+    first = per.select(job, F.lit(0).cast("long").alias("_step"), F.inline(F.array(_event("job_created", 0, total=F.col("_all")))))
+    last = per.select(job, (F.col("_all") + 1).alias("_step"), F.inline(F.array(_event("done", 0, total=F.col("_all"), ok=F.col("_ok"), found=F.col("_found")))))
     return _log(first.unionByName(each).unionByName(last), job, ["_step", "at"])
 
 
@@ -108,9 +149,9 @@ def interrupted(items: DataFrame, signals: DataFrame, size: int, job: str = "job
     Signals (job, batch, signal) are looked at before each batch of ``size`` items; the first one ends the run there and is
     cleared. Without one a run is completed.
     """
-    numbered = items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(job).orderBy("item")) - 1) / size))
+    batched = numbered(items, job, ["item"], "_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
     first = signals.where(F.col("signal").isin("pause", "stop")).groupBy(job).agg(F.min(F.struct("batch", "signal")).alias("_s"))
-    both = numbered.join(first, job, "left")
+    both = batched.join(first, job, "left")
     run = both.where(F.col("_s").isNull() | (F.col("batch") < F.col("_s.batch")))
     per = both.groupBy(job).agg(F.count("*").alias("total"), F.count_if(F.col("_s").isNull() | (F.col("batch") < F.col("_s.batch"))).alias("processed"), F.first("_s").alias("_s"))
     status = F.when(F.col("processed") == F.col("total"), "completed").when(F.col("_s.signal") == "pause", "paused").otherwise("stopped")
