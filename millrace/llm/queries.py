@@ -121,6 +121,9 @@ SELECT r.doc_id, CAST(coalesce(len(r.lines), 0) AS INT) AS n_lines, CAST(coalesc
 FROM raw r LEFT JOIN per p USING (doc_id) LEFT JOIN long l USING (doc_id)
 """
 
+#: Lines of any length may repeat; a word's edit is looked for in lines of five words or more.
+_ALL_LINES = _LINES.replace("WHERE len(string_split(line, ' ')) >= 5)", "WHERE line <> '')").replace("FROM firsts, unnest(range(1, len(w) + 1)) t(i))", "FROM firsts, unnest(range(1, len(w) + 1)) t(i) WHERE len(w) >= 5)").replace("ON g.shorter = o.line)", "ON g.shorter = o.line WHERE len(o.w) >= 5)")
+
 _REACH = """
 edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach AS (SELECT u AS node, u AS other FROM edges UNION SELECT r.node, b.v FROM reach r JOIN edges b ON r.other = b.u),
@@ -171,4 +174,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CA
 FROM cut
 """
 
-ORACLES = {"op3_line_dedup": _LINES, "op8_embedding_dedup": _VECTORS, "op10_ngram_join": _SHINGLES, "op11_decontamination": _PHRASES, "op12_fill_middle": _FORMS}
+ORACLES = {"op3_line_dedup": _LINES, "op3_all_lines": _ALL_LINES, "op8_embedding_dedup": _VECTORS, "op10_ngram_join": _SHINGLES, "op11_decontamination": _PHRASES, "op12_fill_middle": _FORMS}
