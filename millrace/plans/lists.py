@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import records, scoring, values
-from millrace.operators import filters, stats, tables
+from millrace.operators import filters, keywords, stats, stored, tables
 from millrace.plans.base import query
-from millrace.sources import files
-from millrace.streaming import jobs
+from millrace.sources import files, remote
+from millrace.streaming import chunks, jobs, runs
 
 def _leads(t):
     """Customers as stored records."""
@@ -271,3 +275,101 @@ def stored_results(t):
     jobs_ = t("conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.to_json(F.collect_list(one)).alias("results"))
     out = jobs_.select(F.explode(files.lead_results("results")).alias("r"))
     return out.select(F.col("r.leadId").alias("id"), "r.status", "r.confidence", F.size("r.decisionMakers").alias("people"))
+
+
+@query("""WITH k AS (SELECT substr(text, 50, 7) AS w, min(doc_id) AS seq FROM documents WHERE length(text) > 56 GROUP BY 1) SELECT d.doc_id, min(k.seq) AS first FROM documents d LEFT JOIN k ON contains(d.text, k.w) GROUP BY d.doc_id""")
+def many_keywords(t):
+    """A few letters of each document as keywords, and the first of them that each document contains."""
+    d = t("documents").select("doc_id", "text")
+    words = d.where("length(text) > 56").select(F.col("doc_id").alias("seq"), F.substring("text", 50, 7).alias("keyword"))
+    return keywords.first_keyword(d, "text", words).select("doc_id", "first")
+
+
+@query("""SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%rod%' THEN 'metal' WHEN lower(p_name) LIKE '%plate%' THEN 'metal' WHEN lower(p_name) LIKE '%gear%' THEN 'machine' ELSE 'other' END AS segment FROM part""")
+def segments_by_table(t):
+    """theta_classify with its keywords in a table."""
+    spark = t("part").sparkSession
+    table = spark.createDataFrame([(0, "rod", "metal"), (1, "plate", "metal"), (2, "gear", "machine")], "seq long, keyword string, segment string")
+    found = keywords.first_keyword(t("part").select("p_partkey", F.lower("p_name").alias("name")), "name", table)
+    return found.join(table.withColumnRenamed("seq", "first"), "first", "left").select("p_partkey", F.coalesce("segment", F.lit("other")).alias("segment"))
+
+
+@query("""WITH r AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part) SELECT p_brand AS query, CAST(n // 20 + 1 AS INT) AS page, CAST(n % 20 AS INT) AS rank, CAST(p_partkey AS VARCHAR) AS place_id FROM r WHERE n < 60 AND p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 3)""")
+def paged_search(t):
+    """Three pages of twenty results for some brands, asked for page by page over a store of the parts; the other brands are not asked."""
+    parts = t("part")
+    spark = parts.sparkSession
+    store = f"{tables.shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    parts.select(F.crc32("p_brand").alias("of"), place.alias("n"), F.col("p_partkey").cast("string").alias("place_id")).repartition("of").write.partitionBy("of").parquet(store)
+
+    def fetch(query, token):
+        import pyarrow.parquet as pq
+
+        rows = pq.read_table(f"{store.removeprefix('file://')}/of={zlib.crc32(query.encode())}").sort_by("n").slice(int(token or 0), 20).to_pylist()
+        return rows, str(int(token or 0) + 20) if len(rows) == 20 else None
+
+    brands = [r[0] for r in parts.select("p_brand").distinct().orderBy("p_brand").collect()]  # the queries of the search: a few brands
+    remote.register(spark, "parts_search", brands, {"place_id": "string"}, fetch)
+    return spark.read.format("parts_search").load().where(F.col("query").isin(brands[:3])).select("query", "page", "rank", "place_id")
+
+
+@query("""WITH n AS (SELECT c_custkey, c_name, c_acctbal, c_custkey % 7 = 0 AS changed FROM customer)
+  SELECT c_custkey, CASE WHEN changed AND c_custkey % 2 = 0 THEN 'NEW' ELSE c_name END AS c_name, CASE WHEN changed THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, (SELECT count(*) FROM n WHERE changed) AS updated, (SELECT count(*) FROM n WHERE c_custkey % 100 = 0) AS inserted FROM n
+  UNION ALL SELECT c_custkey + 1000000, 'Added', NULL, (SELECT count(*) FROM n WHERE changed), (SELECT count(*) FROM n WHERE c_custkey % 100 = 0) FROM n WHERE c_custkey % 100 = 0""")
+def stored_merges(t):
+    """A stored table after a sparse update and an insert of new keys, with what the two returned."""
+    c = t("customer").select("c_custkey", "c_name", "c_acctbal")
+    spark, path, schema = c.sparkSession, f"{tables.shared_folder(c.sparkSession)}/stored-{uuid.uuid4().hex}", "c_custkey long, c_name string, c_acctbal double"
+    stored.create(c, path, "c_custkey", 8)
+    changes = c.where("c_custkey % 7 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "NEW").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    updated = stored.merge(path, changes, "c_custkey", schema, "sparse")["updated"]
+    more = c.where("c_custkey % 100 = 0").select(F.explode(F.array("c_custkey", F.col("c_custkey") + 1_000_000)).alias("c_custkey"), F.lit("Added").alias("c_name"))
+    inserted = stored.merge(path, more, "c_custkey", schema, "ignore")["inserted"]
+    return stored.read(spark, path, schema).withColumns({"updated": F.lit(updated).cast("long"), "inserted": F.lit(inserted).cast("long")})
+
+
+@query("""WITH b AS (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 50 AS batch FROM customer), g AS (SELECT batch, count(*) AS rows, bool_and(c_custkey % 333 <> 0) AS good FROM b GROUP BY batch)
+  SELECT batch, rows, CASE WHEN good THEN rows ELSE 0 END AS inserted, CASE WHEN good THEN 0 ELSE rows END AS failed, (SELECT CAST(sum(rows) AS BIGINT) FROM g WHERE good) AS stored FROM g""")
+def appended_batches(t):
+    """Batches appended to a stored table, those with a bad row not, and the same once more: nothing is added twice."""
+    c = t("customer").select("c_custkey")
+    spark, path = c.sparkSession, f"{tables.shared_folder(c.sparkSession)}/appended-{uuid.uuid4().hex}"
+    stored.opened(spark, path)
+    first = tables.kept(stored.append_once(c, path, "run", 50, ["c_custkey"], F.col("c_custkey") % 333 != 0))
+    stored.append_once(c, path, "run", 50, ["c_custkey"], F.col("c_custkey") % 333 != 0)
+    n = stored.appended_rows(spark, path, "c_custkey long").count()
+    return first.withColumn("stored", F.lit(n).cast("long"))
+
+
+@query("""SELECT user_id AS job, count(*) FILTER (WHERE event_type <> 'error') AS done, count(*) FILTER (WHERE event_type = 'error') AS failed, 3 * count(*) + 2 AS events, 3 * count(*) + 1 AS last_seq, 'done' AS status FROM events GROUP BY user_id""")
+def chunked_log(t):
+    """The logs of runs cut into chunks anywhere, decoded as a stream and reduced."""
+    good = F.col("event_type") != "error"
+    log = jobs.enrichment_log(t("events").select(F.col("user_id").alias("job"), F.col("event_id").alias("item"), good.alias("ok"), good.cast("int").alias("found"), F.lit("nö").alias("error")))
+    whole = jobs.as_frames(log).groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "").alias("value"))
+    spark, folder = log.sparkSession, f"{tables.shared_folder(log.sparkSession)}/stream-{uuid.uuid4().hex}"
+    size = 1_009
+    cut = whole.withColumn("bytes", F.encode("value", "UTF-8")).select("job", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / size).cast("int"))).alias("chunk"))
+    cut.select("job", F.col("chunk").cast("long").alias("chunk"), F.substring("bytes", F.col("chunk") * size + 1, F.lit(size)).alias("value")).repartition(2).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("job long, chunk long, value binary").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    events = chunks.decoded(stream)
+    events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(events.schema).parquet(f"{folder}/out")
+    n = lambda e: F.count_if(F.col("event") == e)
+    per = found.groupBy("job").agg(n("lead_done").alias("done"), n("lead_error").alias("failed"), F.count("*").alias("events"))
+    return per.join(jobs.state(found).select("job", "last_seq", "status"), "job")
+
+
+@query("""SELECT c_nationkey AS job, count(*) AS processed, count(*) FILTER (WHERE c_acctbal > 0) AS ok, 1 + 3 * count(*) + count(*) FILTER (WHERE c_custkey % 4 = 0) + 1 AS events, 'done' AS status, count(*) FILTER (WHERE c_custkey % 4 = 0) AS warnings FROM customer GROUP BY c_nationkey""")
+def streamed_runs(t):
+    """Runs over the customers of each nation as a stream of micro-batches that write their log."""
+    c = t("customer").select(F.col("c_nationkey").cast("string").alias("job"), F.col("c_custkey").alias("item"), "c_acctbal")
+    spark, folder = c.sparkSession, f"{tables.shared_folder(c.sparkSession)}/run-{uuid.uuid4().hex}"
+    c.repartition(2).write.parquet(f"{folder}/in")
+    items = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").select("job", "item")
+    good = F.col("c_acctbal") > 0
+    work = lambda rows: rows.join(c, ["job", "item"]).select("job", "item", good.alias("ok"), F.when(good, 1).alias("found"), F.when(~good, "no").alias("error"), F.when(F.col("item") % 4 == 0, "slow").alias("warning"))
+    log = runs.run(items, c.groupBy("job").agg(F.count("*").alias("total")), f"{folder}/run", work)
+    warned = log.groupBy("job").agg(F.count_if(F.col("event") == "db_warning").alias("warnings"), F.max(F.col("seq") + 1).alias("events"))
+    return runs.jobs(spark, f"{folder}/run").drop("events").join(warned, "job").select(F.col("job").cast("int").alias("job"), "processed", "ok", "events", "status", "warnings")
