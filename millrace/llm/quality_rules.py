@@ -28,8 +28,9 @@ EVENTS, GUARD = 2, 20
 #: Sizes whose medians are learned with the metrics.
 SIZES = ("n_words", "n_lines", "word_chars")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
-#: Groups with fewer documents take their language's thresholds, and such languages those of all documents.
-FEWEST = 200
+#: So many documents' worth of its language's sketch is added to each group's, and of that of all documents to each language's: a
+#: small group's limits lie near its language's, a large group's are its own.
+PRIOR = 200
 
 
 def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -112,29 +113,50 @@ def quantile_sketches(metrics: DataFrame, by: list[str]) -> DataFrame:
     return metrics.selectExpr(*by, f"stack({len(names)}, {stacked}) AS (metric, value)").selectExpr(*by, "metric", f"CAST({sketch_bin('value')} AS INT) AS bin").groupBy(*by, "metric", "bin").agg(F.count("*").alias("n"))
 
 
+def _blended(sketches: DataFrame, prior: int) -> DataFrame:
+    """Weights (lang, source, metric, bin, n) of each group's sketch with ``prior`` documents' worth of its language's, which has as many of all documents'.
+
+    Whole numbers: group * languages' total + prior * language, and the same one level up. The tables are of sketches, never of documents.
+    """
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)")
+    k = F.lit(prior).cast("decimal(38,0)")
+    every = sketches.groupBy("metric", "bin").agg(F.sum("n").alias("n_o"))
+    total = every.groupBy(F.col("metric").alias("m")).agg(F.sum("n_o").alias("t_o"))
+    every = every.join(total, F.col("metric") == F.col("m")).drop("m")
+    of_lang = sketches.groupBy(F.col("lang").alias("l"), F.col("metric").alias("lm"), F.col("bin").alias("lb")).agg(F.sum("n").alias("n_l"))
+    langs = sketches.select(F.col("lang").alias("kl"), F.col("metric").alias("km")).distinct().join(every, F.col("km") == F.col("metric"))
+    langs = langs.join(of_lang, F.col("kl").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("lm")) & (F.col("bin") == F.col("lb")), "left")
+    langs = langs.select("kl", "metric", "bin", (number("n_l") * number("t_o") + k * number("n_o")).cast("decimal(38,0)").alias("w_l"))
+    whole = langs.groupBy(F.col("kl").alias("tl"), F.col("metric").alias("tm")).agg(F.sum("w_l").cast("decimal(38,0)").alias("t_l"))
+    langs = langs.join(whole, F.col("kl").eqNullSafe(F.col("tl")) & (F.col("metric") == F.col("tm"))).drop("tl", "tm")
+    own = sketches.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.col("metric").alias("gm"), F.col("bin").alias("gb"), F.col("n").alias("n_g"))
+    groups = sketches.select("lang", "source", F.col("metric").alias("km")).distinct().join(langs, F.col("lang").eqNullSafe(F.col("kl")) & (F.col("km") == F.col("metric")))
+    groups = groups.join(own, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")) & (F.col("metric") == F.col("gm")) & (F.col("bin") == F.col("gb")), "left")
+    return groups.select("lang", "source", "metric", "bin", (number("n_g") * F.col("t_l") + k * F.col("w_l")).cast("decimal(38,0)").alias("n"))
+
+
 def _limits(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """Median and upper quantile of each merged sketch, and the limit they give for its metric."""
-    sketches = sketches.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
+    """Median and upper quantile of each sketch, and the limit they give for its metric."""
     whole = Window.partitionBy(*by, "metric")
     seen = sketches.withColumn("upto", F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(whole))
     tenths = F.create_map(*(x for m in [*RULES, *SIZES] for x in (F.lit(m), F.lit(RULES[m][3] if m in RULES else 5))))[F.col("metric")]
     at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("total") * tenths, F.expr(bin_top("bin"))))
-    cuts = seen.withColumn("tenths", tenths).groupBy(*by, "metric").agg(at(5).alias("middle"), at(F.col("tenths")).alias("high"), F.max("total").alias("documents"))
+    cuts = seen.withColumn("tenths", tenths).groupBy(*by, "metric").agg(at(5).alias("middle"), at(F.col("tenths")).alias("high"))
     of = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c)))
     limits = []
     for m, (_, size, spreads, _, event, by_events) in RULES.items():
         room = F.floor(F.lit(EVENTS * event * 1000) / F.greatest(of("middle", size), F.lit(1))) if by_events else F.lit(GUARD)
         limits.append((of("high", m) + (of("high", m) - of("middle", m)) * spreads + room).cast("long").alias(m))
-    return cuts.groupBy(*by).agg(*limits, F.max("documents").alias("documents"))
+    return cuts.groupBy(*by).agg(*limits)
 
 
-def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", fewest: int = FEWEST) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """Counts, base verdict and the verdict by learned thresholds for every document.
 
     Each metric's limit is an upper quantile among the documents of the language and source that pass the base rule,
     plus eight times its distance from the median and a little room (by the group's median size or GUARD); bad documents move it only where they are more than a
-    fifth of those (a tenth for repeat_rate). A numerator that a single event makes is never too much. Sketches of languages and of all documents are merged from those of the groups, for
-    groups under ``fewest`` documents. Null languages and sources are groups of their own. A null or empty text has no
+    fifth of those (a tenth for repeat_rate). A numerator that a single event makes is never too much. Sketches of languages and of all documents are merged from those of the groups, and
+    ``prior`` documents' worth of them is added one level down, so that each group has limits of its own, the smaller it is the nearer to its language's. Null languages and sources are groups of their own. A null or empty text has no
     words and fails the base rule. Repeated rows are judged alike; rows without an id are judged too; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_t"))
@@ -143,13 +165,8 @@ def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: st
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rated = counts.withColumns(rates).withColumn("base_failed", base)
     sketches = cut(quantile_sketches(rated.where("not base_failed"), ["lang", "source"]))
-    group = _limits(sketches, ["lang", "source"])
-    language = _limits(sketches, ["lang"])
-    overall = _limits(sketches, [])
-    renamed = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
-    chosen = renamed(group, "g").join(renamed(language, "l"), F.col("g_lang").eqNullSafe(F.col("l_lang"))).crossJoin(renamed(overall, "o"))
-    limit = lambda m: F.when(F.col("g_documents") >= fewest, F.col(f"g_{m}")).when(F.col("l_documents") >= fewest, F.col(f"l_{m}")).otherwise(F.col(f"o_{m}"))
-    limits = cut(chosen.select("g_lang", "g_source", *(limit(m).alias(f"most_{m}") for m in RULES)))
+    own = _limits(_blended(sketches, prior), ["lang", "source"])
+    limits = cut(own.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(F.col(m).alias(f"most_{m}") for m in RULES)))
     both = rated.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     good = F.lit(True)
     for m, (n, _, _, _, event, _) in RULES.items():

@@ -101,22 +101,32 @@ def test_quality_verdicts_against_brute_force(spark):
         step = max(0, int(v).bit_length() - 8)
         return ((int(v) >> step) + 1 << step) - 1
 
-    def limits(at):
-        at = [i for i in at if not base[i]]
-        quantile = lambda x, tenths: top(sorted(x[at])[-(-tenths * len(at) // 10) - 1])
-        room = lambda r: 2 * r[4] * 1000 // max(1, quantile(counts[r[1]], 5)) if r[5] else 20
-        return len(at), at and {m: quantile(rate[m], r[3]) * 9 - quantile(rate[m], 5) * 8 + room(r) for m, r in rules.items()}
+    good = [j for j in range(len(rows)) if not base[j]]
+    of_lang = lambda j, i: rows[j][2] == rows[i][2]
+    of_group = lambda j, i: rows[j][2:] == rows[i][2:]
+
+    def limits(i):
+        """By weighted quantiles: each document counts for all, more for its language, most for its group."""
+        prior, n, n_lang = quality_rules.PRIOR, len(good), sum(of_lang(j, i) for j in good)
+        weight = {j: prior * prior + prior * n * of_lang(j, i) + n * (n_lang + prior) * of_group(j, i) for j in good}
+        total = sum(weight.values())
+
+        def quantile(x, tenths):
+            upto = 0
+            for j in sorted(good, key=lambda j: x[j]):
+                upto += weight[j]
+                if upto * 10 >= total * tenths:
+                    return top(x[j])
+
+        room = lambda r: r[4] * 2 * 1000 // max(1, quantile(counts[r[1]], 5)) if r[5] else 20
+        return {m: quantile(rate[m], r[3]) * 9 - quantile(rate[m], 5) * 8 + room(r) for m, r in rules.items()}
+
+    of_groups = {r[2:]: limits(i) for i, r in enumerate(rows) if not base[i]}
 
     def verdict(i):
-        same = [limits([j for j, o in enumerate(rows) if o[2:k] == rows[i][2:k]]) for k in (4, 3)]
-        most = next((x for n, x in same if n >= quality_rules.FEWEST), None) or limits(range(len(rows)))[1]
-        return not base[i] and all(rate[m][i] <= most[m] or counts[r[0]][i] <= r[4] for m, r in rules.items())
-
-    memo = {}
-    want = {}
-    for i, r in enumerate(rows):
-        key = (r[2], r[3], base[i], *(int(rate[m][i]) for m in rules), *(int(counts[r2[0]][i]) <= r2[4] for r2 in rules.values()))
-        memo[key] = want[r[0]] = memo[key] if key in memo else bool(verdict(i))
+        return not base[i] and all(rate[m][i] <= of_groups[rows[i][2:]][m] or counts[r[0]][i] <= r[4] for m, r in rules.items())
+
+    want = {r[0]: bool(verdict(i)) for i, r in enumerate(rows)}
     out = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert {i: r["kept"] for i, r in out.items()} == want
     over = lambda r, m: not r["base_failed"] and not r["kept"] and r[m] > r[f"most_{m}"]

@@ -1,12 +1,15 @@
-"""Operators 1 and 7: every row of the result against slow loops."""
+"""Operators 1, 2 and 7: every row of the result against slow loops."""
 
 import random
+import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from millrace.llm import mixing, sharding
+from millrace.llm import mixing, quality_rules, sharding
 from pyspark.sql import functions as F
 
 
@@ -103,3 +106,33 @@ def test_rows_without_an_id_are_mixed_and_sharded(spark):
     rows = spark.createDataFrame([(None, "a", 5), (None, "a", 5), (1, "a", 7)], "doc_id long, source string, size long")
     assert mixing.mix(rows).count() == 3
     assert sharding.shard_by_bytes(rows.select("doc_id", F.col("source").alias("text")), 3).count() == 3
+
+
+def slow_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_shouts."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    inside = {j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 5)}
+    return [len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), sum(x in lines[:i] for i, x in enumerate(lines)), len(inside), len(lines), sum("A" <= c <= "Z" for c in t), t.count("!")]
+
+
+def test_quality_counts_are_those_of_a_slow_loop():
+    rng = random.Random(12)
+    texts = [None, "", " \n\t", "a", "a b c d e", "é日 " * 30, "x\n\nx\n x\n"] + ["".join(rng.choice(["a ", "b ", "c\n", "é", "日 ", "# ", "AB!", "\x0b", "\r\n", "a b c d e ", "\x85", "\u2028"]) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    counts = quality_rules.text_counts(pa.array(texts, pa.string()))
+    assert [[int(counts[c][i]) for c in quality_rules.COUNTS] for i in range(len(texts))] == [slow_counts(t) for t in texts]
+    sliced = quality_rules.text_counts(pa.array(texts, pa.string()).slice(5, 50))
+    assert [int(x) for x in sliced["n_repeat_words"]] == [slow_counts(t)[4] for t in texts[5:55]]
+
+
+def test_each_group_has_limits_of_its_own(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("w" * rng.randint(2, 9 + 3 * (i % 3)) + ("#" if rng.random() < 0.1 * (i % 2) else "") for _ in range(60)), "en", ["a", "b", "c", "d", "e", "f"][i % 6]) for i in range(180)]
+    out = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    limits = {r["source"]: (r["most_word_length"], r["most_symbol_rate"]) for r in out}
+    assert len({x for x, _ in limits.values()}) > 3 and limits["d"][1] != limits["a"][1]  # thirty documents are enough to differ
+    near = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior=10**6).collect()
+    assert len({r["most_word_length"] for r in near}) <= 2
