@@ -17,11 +17,35 @@ MIN_WORDS = 5
 MODULUS = 1 << 42
 
 
-def normal(line: Column) -> Column:
-    """Lower case, words separated by one space. Most lines are that already, which plain searches tell faster."""
+#: Bits of the bitmap that tells documents, and of each of its rows, as Spark's bitmap functions cut it.
+BITS, ROW_BITS = 1 << 23, 1 << 15
+#: White space, other than single spaces, that lines may hold.
+ODD = "[\t\x0B\f\r]|  "
+
+
+def told(docs: DataFrame, ids: DataFrame, doc_id: str, name: str) -> DataFrame:
+    """``docs`` with ``name``: whether their id may be among ``ids`` (one column), by a bitmap of fixed size; texts are not shuffled for it.
+
+    A few others are told too, and all where there are far more ids than bits. Null ids are not.
+    """
+    row, bits = fresh([*docs.columns, name], "_row", "_bits")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    at = (slot(ids.columns[0]) + 1).alias("x")
+    rows = cut(ids.where(F.col(ids.columns[0]).isNotNull()).select(at).groupBy(F.bitmap_bucket_number("x").alias(row)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias(bits)))  # BITS / ROW_BITS rows at most
+    place = F.pmod(slot(doc_id), F.lit(ROW_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
+    number = F.when(F.col(doc_id).isNotNull(), F.floor(slot(doc_id) / ROW_BITS) + 1)
+    return docs.join(F.broadcast(rows), number == F.col(row), "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop(row, bits)
+
+
+def normal(line: Column, may_be_odd: Column | None = None) -> Column:
+    """Lower case, words separated by one space. Most lines are that already, which plain searches tell faster; ``may_be_odd``: whether
+    the line's document has other white space at all."""
     odd = F.contains(line, F.lit("  "))
     for space in "\t\n\v\f\r":
         odd = odd | F.contains(line, F.lit(space))
+    odd = odd if may_be_odd is None else may_be_odd & odd
     return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
@@ -32,8 +56,8 @@ def occurrences(docs: DataFrame, fewest: int = MIN_WORDS) -> DataFrame:
     near duplicates share a half. A line with an even number of words may be the longer of a pair and has halves of two
     lengths; ``halves`` are their hashes.
     """
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", normal(F.col("line")).alias("line"))
+    lines = docs.where("text is not null").select("doc_id", F.col("text").rlike(ODD).alias("odd"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "line_no", normal(F.col("line"), F.col("odd")).alias("line"))
     lines = lines.withColumn("n", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")).where((F.col("n") >= fewest) & (F.col("line") != ""))
     half = lambda h: f"xxhash64(0, {h}, substring_index(line, ' ', {h})), xxhash64(1, {h}, substring_index(line, ' ', -({h})))"
     odd, even = f"array({half('n DIV 2')})", f"array({half('n DIV 2')}, {half('n DIV 2 - 1')})"
@@ -76,7 +100,8 @@ def repeated_lines(docs: DataFrame, fewest: int = MIN_WORDS) -> DataFrame:
     shared = cut(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
     chosen = cut(halves.join(shared, "half").select("doc_id", "line_no").distinct())
     by_doc = cut(chosen.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")))
-    lines = docs.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line_no"))
+    wanted = told(docs.select("doc_id", "text"), by_doc.select("doc_id"), "doc_id", "wanted_too").where("wanted_too")
+    lines = wanted.join(by_doc, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line_no"))
     lines = written(lines.select("doc_id", "line_no", F.split(normal(F.col("all")[F.col("line_no")]), " ").alias("words")).dropDuplicates(["doc_id", "line_no"]))
 
     keys = variants(lines)
@@ -116,9 +141,13 @@ def without_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "d
     """
     results = [prefix + n for n in ("n_lines", "n_near", "n_equal", "emptied")]
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    key, gone, near, long, lines, kept = fresh([*docs.columns, *results], "_key", "_gone", "_near", "_long", "_lines", "_kept")
+    key, gone, near, long, lines, kept, known = fresh([*docs.columns, *results], "_key", "_gone", "_near", "_long", "_lines", "_kept", "_known")
     found = repeated_lines(plain, fewest).select(F.col("doc_id").alias(key), F.col("gone").alias(gone), F.col("near").alias(near), F.col("lines").alias(long))
-    both = docs.join(cut(found), F.col(doc_id) == F.col(key), "left").withColumn(lines, F.split(text, "\n"))
+    found = cut(found)
+    # documents that lose no line go past the join
+    marked = told(docs, found.select(key), doc_id, known)
+    past = marked.where(~F.col(known)).withColumns({f.name: F.lit(None).cast(f.dataType) for f in found.schema.fields})
+    both = marked.where(known).join(found, F.col(doc_id) == F.col(key), "left").unionByName(past).drop(known).withColumn(lines, F.split(text, "\n"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.col(lines)[i])
     both = both.withColumn(kept, F.when(F.col(gone).isNotNull(), left))
     removed = F.coalesce(F.size(gone), F.lit(0))

@@ -9,7 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from millrace.llm import mixing, quality_rules, sharding
+from millrace.llm import line_dedup, mixing, quality_rules, sharding
 from pyspark.sql import functions as F
 
 
@@ -136,3 +136,12 @@ def test_each_group_has_limits_of_its_own(spark):
     assert len({x for x, _ in limits.values()}) > 3 and limits["d"][1] != limits["a"][1]  # thirty documents are enough to differ
     near = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior=10**6).collect()
     assert len({r["most_word_length"] for r in near}) <= 2
+
+
+def test_documents_are_told_by_a_bitmap(spark):
+    docs = spark.createDataFrame([(i if i % 9 else None, "t", "r", 1) for i in range(500)], "doc_id long, text string, _row string, _bits int")
+    ids = spark.createDataFrame([(i,) for i in range(0, 500, 7)] + [(None,)], "k long")
+    out = line_dedup.told(docs, ids, "doc_id", "among")
+    assert out.columns == [*docs.columns, "among"] and out.count() == 500
+    assert [r["doc_id"] for r in out.where("among").orderBy("doc_id").collect()] == [i for i in range(0, 500, 7) if i % 9]
+    assert line_dedup.told(docs, ids.limit(0), "doc_id", "among").where("among").count() == 0
