@@ -56,7 +56,8 @@ def occurrences(docs: DataFrame, fewest: int = MIN_WORDS) -> DataFrame:
     near duplicates share a half. A line with an even number of words may be the longer of a pair and has halves of two
     lengths; ``halves`` are their hashes.
     """
-    lines = docs.where("text is not null").select("doc_id", F.col("text").rlike(ODD).alias("odd"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    texts = docs.where("text is not null").select("doc_id", "text", F.col("text").rlike(ODD).alias("odd"))  # once a document, not once a line
+    lines = texts.select("doc_id", "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "line_no", normal(F.col("line"), F.col("odd")).alias("line"))
     lines = lines.withColumn("n", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")).where((F.col("n") >= fewest) & (F.col("line") != ""))
     half = lambda h: f"xxhash64(0, {h}, substring_index(line, ' ', {h})), xxhash64(1, {h}, substring_index(line, ' ', -({h})))"
