@@ -42,7 +42,7 @@ def results(events: DataFrame, job: str = "job") -> DataFrame:
 
 
 def state(events: DataFrame, job: str = "job") -> DataFrame:
-    """Per job: the latest progress, how many results, whether it ended and how, the figures of its end. Works on a stream in complete or update mode.
+    """Per job: the latest progress, how many results and errors, whether it ended and how, the figures of its end. Works on a stream in complete or update mode.
 
     progress is the data of the latest progress event, percent 100 once a run is done; summary and sources come with the end,
     message with an error. Rows of one job are combined before the shuffle.
@@ -52,7 +52,8 @@ def state(events: DataFrame, job: str = "job") -> DataFrame:
     end = of(*ENDS)
     out = events.groupBy(job).agg(
         latest(of("progress"), "data").alias("progress"),
-        F.count_if(of(*RESULTS)).alias("results"),
+        F.count_if(of("lead_done", "lead_result", "combo_done")).alias("results"),
+        F.count_if(of("lead_error", "combo_error")).alias("errors"),
         F.coalesce(latest(end, "event"), F.lit("running")).alias("status"),
         F.max("seq").alias("last_seq"),
         latest(end, "data").alias("_end"),

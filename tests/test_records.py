@@ -108,7 +108,7 @@ def test_early_stop_query_has_no_cap(spark):
         if not over:
             top, clicks = max(top, points.get(e["event_type"], 30)), clicks + (e["event_type"] == "click")
             want[e["user_id"]] = (n + 1, top, clicks, clicks > 0 and top + 20 * (clicks > 1) >= 80)
-    out = {r["id"]: (r["tried"], r["confidence"], r["stopped"]) for r in registry.QUERIES["cascade_early_stop_all"](spark, "/root/testdata/sf0.001").collect()}
+    out = {r["id"]: (r["tried"], r["confidence"], r["stopped"]) for r in registry.QUERIES["cascade_early_stop"](spark, "/root/testdata/sf0.001").collect()}
     assert out == {u: (n, min(100, top + 20 * (clicks > 1)), over) for u, (n, top, clicks, over) in want.items()}
 
 
