@@ -157,3 +157,14 @@ def test_stored_snapshots_are_not_shuffled(spark):
             assert sorted(set(shuffled)) == sorted({asked, "id"}) and shuffled.count(asked) == 1 and len(shuffled) <= 3 and plan.count("Bucketed: true") >= 2, (name, plan)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_snapshots_and_states_are_not_broadcast(spark):
+    given, bound = examples.records(spark), waterfall.on_snapshots(**waterfall.stored(**examples.snapshots(spark)), not_names=examples.NOT_NAMES)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1_000_000  # these tables are far smaller
+    state = bucketed(waterfall.started(given), ["id"]).withColumn("run", F.lit(True))
+    for name, source in bound.items():
+        step = waterfall.accumulation(80)(state, source(state.drop("run")), name)
+        assert step.count() == len(examples.RECORDS)
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2, (name, plan)
