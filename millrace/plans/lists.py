@@ -349,10 +349,10 @@ def chunked_log(t):
     log = jobs.enrichment_log(t("events").select(F.col("user_id").alias("job"), F.col("event_id").alias("item"), good.alias("ok"), good.cast("int").alias("found"), F.lit("nö").alias("error")))
     whole = jobs.as_frames(log).groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "").alias("value"))
     spark, folder = log.sparkSession, f"{tables.shared_folder(log.sparkSession)}/stream-{uuid.uuid4().hex}"
-    size = 1_009
+    size, files = 1_009, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = whole.withColumn("bytes", F.encode("value", "UTF-8")).select("job", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / size).cast("int"))).alias("chunk"))
-    cut.select("job", F.col("chunk").cast("long").alias("chunk"), F.substring("bytes", F.col("chunk") * size + 1, F.lit(size)).alias("value")).repartition(2).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("job long, chunk long, value binary").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    cut.select("job", F.col("chunk").cast("long").alias("chunk"), F.substring("bytes", F.col("chunk") * size + 1, F.lit(size)).alias("value")).repartition(files).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("job long, chunk long, value binary").option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{folder}/in")
     events = chunks.decoded(stream)
     events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(events.schema).parquet(f"{folder}/out")

@@ -24,6 +24,9 @@ class Frames(StatefulProcessor):
     """Whole frames of each job's bytes, in order. State: the bytes behind the last frame, how many frames and chunks there were, whether
     the job ended; chunks that came before those in front of them wait. What comes again or behind the end is passed over.
 
+    Each call to the state is a message to Spark, so chunks that wait are written in one call, and read in one, when the chunk in front
+    of them comes; ``held`` has their numbers.
+
     A job of which nothing comes for ``minutes``, if given, is forgotten; one that had not ended gives a last frame, ``event: expired``.
     """
 
@@ -32,45 +35,51 @@ class Frames(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "rest binary, frames long, chunks long, ended boolean, timer long")
-        self.waiting = handle.getMapState("waiting", "chunk long", "bytes binary")
+        self.job = handle.getValueState("job", "rest binary, frames long, chunks long, ended boolean, timer long, held array<long>")
+        self.waiting = handle.getListState("waiting", "chunk long, bytes binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rest, frames, chunks, ended, timer = self.job.get() if self.job.exists() else (b"", 0, 0, False, 0)
-        came = {}
+        rest, frames, chunks, ended, timer, held = self.job.get() or (b"", 0, 0, False, 0, [])
+        held, came = set(held), {}
         for batch in rows:
-            came.update((int(c), bytes(b)) for c, b in zip(batch["chunk"], batch["bytes"], strict=True) if c >= chunks)
+            came.update((int(c), bytes(b)) for c, b in zip(batch["chunk"], batch["bytes"], strict=True) if c >= chunks and c not in held)
         out, first = [], frames
-        while not ended and (chunks in came or self.waiting.containsKey((chunks,))):
-            if chunks in came:
-                part = came.pop(chunks)
-            else:
-                (part,) = self.waiting.getValue((chunks,))
-                self.waiting.removeKey((chunks,))
-            *whole, rest = (bytes(rest) + bytes(part)).split(b"\n\n")
-            chunks += 1
+        if ended:
+            came = {}
+        elif chunks in came:
+            if held:
+                came.update((int(c), bytes(b)) for c, b in self.waiting.get())
+                self.waiting.clear()
+                held = set()
+            parts = [bytes(rest)]
+            while chunks in came:
+                parts.append(came.pop(chunks))
+                chunks += 1
+            *whole, rest = b"".join(parts).split(b"\n\n")
             last = next((k for k, frame in enumerate(whole) if _event(frame) in ENDS), None)
             ended = last is not None
-            out += whole[: last + 1] if ended else whole
-        frames += len(out)
-        if ended:
-            rest, came = b"", {}
-            self.waiting.clear()
-        for c, b in came.items():
-            self.waiting.updateValue((c,), (b,))
+            out = whole[: last + 1] if ended else whole
+            frames += len(out)
+            if ended:
+                rest, came = b"", {}
+        if came:
+            self.waiting.appendList(list(came.items()))
+            held |= came.keys()
         if self.minutes is not None:
             if timer:
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + int(self.minutes * 60_000)
             self.handle.registerTimer(timer)
-        self.job.update((bytes(rest), frames, chunks, ended, timer))
-        yield self.rows(key[0], first, [f.decode("utf-8", "replace") for f in out])
+        self.job.update((bytes(rest), frames, chunks, ended, timer, sorted(held)))
+        if out:
+            yield self.rows(key[0], first, [f.decode("utf-8", "replace") for f in out])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, frames, _, ended, _ = self.job.get()
+        _, frames, _, ended, _, _ = self.job.get()
         self.job.clear()
         self.waiting.clear()
-        yield self.rows(key[0], frames, [] if ended else ["event: expired\ndata: {}"])
+        if not ended:
+            yield self.rows(key[0], frames, ["event: expired\ndata: {}"])
 
     @staticmethod
     def rows(job, first: int, frames: list[str]) -> pd.DataFrame:

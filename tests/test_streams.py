@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from millrace.operators import tables
 from millrace.streaming import chunks, jobs, runs
@@ -61,6 +62,64 @@ def test_any_cut_of_a_log_gives_the_same_events(spark, tmp_path):
     assert [r[2:] for r in tuples(drained(again, tmp_path, "out")) if r[0] == "a" and r[2] in ("again", "half")] == [("again", "1"), ("half", "2")]
 
 
+class Counted:
+    """A state variable of a processor that counts the calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value if self.value is None or isinstance(self.value, tuple) else iter(self.value)
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def put(self, values):
+        self.calls, self.value = self.calls + 1, list(values)
+
+    def appendList(self, values):
+        self.calls, self.value = self.calls + 1, [*(self.value or []), *values]
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in dict(self.value or [])
+
+    def getValue(self, key):
+        self.calls += 1
+        return dict(self.value)[key]
+
+    def updateValue(self, key, value):
+        self.calls, self.value = self.calls + 1, [*((k, v) for k, v in self.value or [] if k != key), (key, value)]
+
+    def removeKey(self, key):
+        self.calls, self.value = self.calls + 1, [(k, v) for k, v in self.value if k != key]
+
+
+def test_chunks_that_wait_take_few_calls_to_the_state():
+    kept = {}
+    handle = type("Handle", (), {n: lambda self, name, *_: kept.setdefault(name, Counted()) for n in ("getValueState", "getListState", "getMapState")})()
+    frames = chunks.Frames(None)
+    frames.init(handle)
+    text = b"".join(b"event: x\ndata: %d\n\n" % i for i in range(1_000))
+    cut = [(n, text[at : at + 11]) for n, at in enumerate(range(0, len(text), 11))]
+    random.Random(1).shuffle(cut)
+    cut.sort(key=lambda c: c[0] == 0)  # the first chunk comes last
+    k, got = len(cut) // 3, []
+    for part in (cut[:k], cut[:k], cut[k : 2 * k], cut[2 * k :], cut):  # some come again, waiting or done
+        rows = pd.DataFrame({"chunk": [c for c, _ in part], "bytes": [b for _, b in part]})
+        got += [f for df in frames.handleInputRows(("a",), iter([rows]), None) for f in zip(df["seq"], df["frame"], strict=True)]
+    assert got == [(i, f"event: x\ndata: {i}") for i in range(1_000)]
+    assert sum(v.calls for v in kept.values()) < 30 and not kept["waiting"].value
+
+
 def test_results_and_state_of_events(spark):
     ended = {"summary": {"totalEmails": 2}, "sourceStats": {"dns": {"tried": 3}}, "failed": 1, "skipped": 2}
     events = [("a", 0, "job_created", '{"jobId":"J"}'), ("a", 1, "lead_done", '{"leadId":"1","status":"enriched","confidence":7}'), ("a", 2, "progress", '{"processed":1,"percent":50,"failed":0}'), ("a", 3, "lead_error", '{"leadId":"2","status":"failed","error":"no"}'), ("a", 4, "lead_done", "bad"), ("a", 5, "done", json.dumps(ended)), ("b", 0, "error", '{"message":"boom"}'), ("c", 0, "paused", '{"processed":4,"percent":30}'), ("d", 0, "progress", '{"percent":10}'), (None, 0, "lead_result", '{"leadId":"9"}')]
