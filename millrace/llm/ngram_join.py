@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import components, cut, in_pieces, mixed, multipliers, release, small_batches, text_bytes, window_hashes, word_hashes, words_of, written
@@ -19,8 +20,8 @@ SPOILED, CELLS = 1, 2
 BEYOND = 0.25
 #: Up to how many documents with a signature all pairs of them are counted; beyond, other ways find the links.
 RUN = 32
-#: The same for the rarest elements of documents; documents of the sample that tells which elements are common.
-KEY_RUN, RARE_SAMPLE = 8, 1_000
+#: The same for the rarest elements of documents; cells of the table that tells which elements are common (a byte each), and of one of its parts.
+KEY_RUN, COMMON_CELLS, COMMON_PART = 8, 1 << 23, 1 << 17
 #: Signatures that a sample of about so many documents has more than RUN times are not shuffled; at most so many are told apart. Neither
 #: changes the result, only where the work is done.
 HOT_SAMPLE, HOT_MOST = 4_000, 20_000
@@ -33,7 +34,8 @@ BLOCK_ELEMENTS, BAND_RATIO = 200_000, 1.34
 #: Bits of a signature, and of its part that a bucket keeps (the bucket tells the rest); entries that are enumerated at once; sets that a
 #: task remembers to have signed.
 _SIG_BITS, _KEPT_BITS, _ENTRIES, _SEEN = 60, 32, 4096, 200_000
-_BLOB = [("id", np.int64), ("set", np.uint64), ("need", np.uint32), ("n", np.uint32), ("sigs", np.uint32)]
+_HEAD = [("id", np.int64), ("set", np.uint64), ("need", np.uint32), ("n", np.uint32), ("sigs", np.uint32)]
+_HOT = [("id", np.int64), ("need", np.uint32), ("sigs", np.uint32), ("star", np.int64)]
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +187,55 @@ def _first(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, level: np.
     return mixed(mixed(hashes[place]) + level[entry].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)), owner[entry]
 
 
-def _spread(ids: np.ndarray, whole: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, hot: tuple[np.ndarray, np.ndarray], least: int) -> Iterator[tuple[int, bytes]]:
-    """Signatures dealt to buckets: for each, its documents (id, hash of the set, size, signatures here, how many to share) and the signatures.
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, each in as many bytes as the largest needs, after a byte that says how many."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _widened(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """``n`` numbers that _narrow wrote at a place, and the place after them."""
+    width = blob[at]
+    return np.frombuffer(blob, f"<u{width}", n, at + 1).astype(np.uint64), at + 1 + n * width
+
+
+def _blob(head: np.ndarray, copied: np.ndarray, sigs: np.ndarray) -> bytes:
+    """Documents (_HEAD, by id) and their signatures in few bytes, as most documents have one or two signatures in a bucket.
+
+    Ids are written as differences. Hashes of sets are those of ``copied`` documents only. Sizes and needed numbers are cut off where
+    their bytes end: both are lower bounds then, which let more pairs pass, never fewer.
+    """
+    ids = head["id"].view(np.uint64)
+    parts = [np.uint32(len(head)).tobytes(), ids[:1].tobytes(), _narrow(np.diff(ids)), _narrow(head["sigs"]), np.packbits(copied).tobytes(), head["set"][copied].tobytes()]
+    return b"".join([*parts, np.minimum(head["n"], 0xFFFF).astype("<u2").tobytes(), np.minimum(head["need"], 0xFF).astype("<u1").tobytes(), sigs.astype("<u4").tobytes()])
+
+
+def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _blob wrote: documents, whether they are copied ones, signatures."""
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    head = np.zeros(n, _HEAD)
+    steps, at = _widened(blob, 12, n - 1)
+    head["id"] = np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1, 4), steps]), dtype=np.uint64).view(np.int64)
+    head["sigs"], at = _widened(blob, at, n)
+    copied = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    at += -(-n // 8)
+    head["set"][copied] = np.frombuffer(blob, "<u8", int(copied.sum()), at)
+    at += 8 * int(copied.sum())
+    head["n"], head["need"] = np.frombuffer(blob, "<u2", n, at), np.frombuffer(blob, "<u1", n, at + 2 * n)
+    return head, copied, np.frombuffer(blob, "<u4", int(head["sigs"].sum()), at + 3 * n).astype(np.uint64)
+
+
+def _spread(ids: np.ndarray, whole: np.ndarray, copied: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, buckets: int, hot: tuple[np.ndarray, np.ndarray], least: int) -> Iterator[tuple[int, bytes]]:
+    """Signatures dealt to buckets: for each, its documents (id, hash of a ``copied`` set, size, signatures here, how many to share) and the signatures.
 
     Hot signatures are counted only: a bucket below 0 has documents with how many they have, and the sampled document that
     most of these name.
     """
     sig, owner, need = signatures(hashes, bounds, least)
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    ids, whole, copied, need, n, owner = ids[by_id], whole[by_id], copied[by_id], need[by_id], np.diff(bounds)[by_id], rank[owner]
     bucket, star = (sig % np.uint64(buckets)).astype(np.int64), np.full(len(ids), np.iinfo(np.int64).max)
     if len(hot[0]):
         at = np.minimum(np.searchsorted(hot[0], sig), len(hot[0]) - 1)
@@ -205,25 +249,19 @@ def _spread(ids: np.ndarray, whole: np.ndarray, hashes: np.ndarray, bounds: np.n
     order = np.argsort(key, kind="stable")
     key, sig = key[order], sig[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    head = np.zeros(len(starts), _BLOB)
+    head = np.zeros(len(starts), _HEAD)
     who = key[starts] % max(1, len(ids))
-    head["id"], head["set"], head["need"], head["n"], head["sigs"] = ids[who], whole[who], need[who], np.diff(bounds)[who], np.diff(np.append(starts, len(key)))
+    head["id"], head["set"], head["need"], head["n"], head["sigs"] = ids[who], whole[who], need[who], n[who], np.diff(np.append(starts, len(key)))
     at = np.searchsorted(key[starts] // max(1, len(ids)), np.arange(buckets + 2))
     ends = np.append(starts, len(key))
     for k in np.flatnonzero(np.diff(at)):
-        lead = np.uint32(at[k + 1] - at[k]).tobytes() + head[at[k] : at[k + 1]].tobytes()
+        part = slice(at[k], at[k + 1])
         if not k:
-            yield -1 - int(whole[0] % np.uint64(buckets)), lead + star[who[at[k] : at[k + 1]]].tobytes()
+            out = np.zeros(at[1], _HOT)
+            out["id"], out["need"], out["sigs"], out["star"] = head["id"][part], head["need"][part], head["sigs"][part], star[who[part]]
+            yield -1 - int(whole[0] % np.uint64(buckets)), out.tobytes()
         else:
-            yield int(k) - 1, lead + (sig[ends[at[k]] : ends[at[k + 1]]] // np.uint64(buckets) & np.uint64((1 << _KEPT_BITS) - 1)).astype(np.uint32).tobytes()
-
-
-def _open(blob: bytes, hot: bool) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    head = np.frombuffer(blob, _BLOB, n, 4)
-    if hot:
-        return head, np.frombuffer(blob, np.int64, n, 4 + head.nbytes)
-    return head, np.frombuffer(blob, np.uint32, int(head["sigs"].sum()), 4 + head.nbytes).astype(np.uint64)
+            yield int(k) - 1, _blob(head[part], copied[who[part]], sig[ends[at[k]] : ends[at[k + 1]]] // np.uint64(buckets) & np.uint64((1 << _KEPT_BITS) - 1))
 
 
 _OUT = "kind int, u long, v long, n long, key long"
@@ -243,16 +281,17 @@ def _matched(table: pa.Table, buckets: int, least: int) -> pa.Table:
     documents with hot signatures: kinds 3 and 4 only, u being one of the sampled documents.
     """
     bucket = table.column("bucket")[0].as_py()
-    heads, sigs = zip(*(_open(b.as_py(), bucket < 0) for b in table.column("blob")), strict=True)
-    head, sig = np.concatenate(heads), np.concatenate(sigs)
     none = lambda n: np.zeros(n, np.int64)
     if bucket < 0:
-        other = sig != head["id"]
-        low, high = np.minimum(sig, head["id"])[other], np.maximum(sig, head["id"])[other]
+        head = np.concatenate([np.frombuffer(b.as_buffer(), _HOT) for b in table.column("blob")])
+        other = head["star"] != head["id"]
+        low, high = np.minimum(head["star"], head["id"])[other], np.maximum(head["star"], head["id"])[other]
         return pa.table(_rows([(3, head["id"], none(len(head)), head["sigs"], head["need"]), (4, low, high, none(len(low)), none(len(low)))]), names=["kind", "u", "v", "n", "key"])
-    order = np.lexsort((head["id"], head["n"], head["set"]))
+    heads, copies, sigs = zip(*(_open(b.as_py()) for b in table.column("blob")), strict=True)
+    head, copied, sig = np.concatenate(heads), np.concatenate(copies), np.concatenate(sigs)
+    order = np.lexsort((head["id"], head["set"], copied))
     first = np.ones(len(head), bool)
-    first[1:] = (head["set"][order][1:] != head["set"][order][:-1]) | (head["n"][order][1:] != head["n"][order][:-1])
+    first[1:] = ~copied[order][1:] | (head["set"][order][1:] != head["set"][order][:-1]) | ~copied[order][:-1]
     chosen = np.zeros(len(head), bool)
     chosen[order[first]] = True
     doc = np.repeat(np.arange(len(head)), head["sigs"].astype(np.int64))
@@ -302,27 +341,37 @@ def _by_piece(batches: Iterator[pa.RecordBatch], column: str = "set") -> Iterato
         yield b, np.concatenate(sets), np.cumsum([0, *map(len, sets)])
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (doc_id, ...) whose id may be among ``ids`` (one column), told by a bitmap of NAME_BITS, without a shuffle of the rows.
+def _slot(c: str) -> Column:
+    return F.pmod(F.xxhash64(c, F.lit(53)), F.lit(NAME_BITS))
 
-    A few others pass, and all of them where there are far more ids than bits: a join must follow where that matters.
-    """
-    spark = rows.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(53)), F.lit(NAME_BITS))
-    of_slots = ids.select((slot(ids.columns[0]) + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+
+def _names(ids: DataFrame) -> Broadcast:
+    """A bitmap of the _slot of ``ids`` (one column), sent to all tasks."""
+    of_slots = ids.select((_slot(ids.columns[0]) + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     bits = np.zeros(NAME_BITS // 8, np.uint8)
     for r in of_slots.collect():
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
         bits[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
-    bitmap = spark.sparkContext.broadcast(bits)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _is_named(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 > 0
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, ...) whose id may be among ``ids`` (one column), told by a bitmap of NAME_BITS, without a shuffle of the rows.
+
+    A few others pass, and all of them where there are far more ids than bits: a join must follow where that matters.
+    """
+    bitmap = _names(ids)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(len(names)).to_numpy()
-            yield b.select(names).filter(pa.array(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+            yield b.select(names).filter(pa.array(_is_named(bitmap.value, b.column(len(names)).to_numpy())))
 
-    return rows.withColumn("_slot", slot("doc_id")).mapInArrow(run, rows.schema)
+    return rows.withColumn("_slot", _slot("doc_id")).mapInArrow(run, rows.schema)
 
 
 _RARE = [("doc", np.int64), ("c", np.int64), ("n", np.uint32), ("keys", np.uint32)]
@@ -357,37 +406,77 @@ def _met(table: pa.Table, least: int) -> pa.Table:
     return pa.table([pa.array(kinds), pa.array(np.concatenate([pairs[:, 0], rest["doc"]])), pa.array(np.concatenate([pairs[:, 1], rest["n"].astype(np.int64)]))], names=["kind", "u", "v"])
 
 
+def _common(docs: DataFrame, buckets: int) -> Broadcast:
+    """How common elements are among documents (doc, c, set): a table of COMMON_CELLS bytes, sent to all tasks, with a cell by _cells for each.
+
+    0 stands for elements that up to KEY_RUN documents have, or documents of one component only; the others have a number
+    that grows with the logarithm of how many documents have them. Of elements with one cell the most common counts. Elements are counted
+    in buckets by 32 bits of hash, and with 32 bits of hash of the components; what is equal in these by chance is taken
+    for more common or rarer than it is, in the same way everywhere.
+    """
+    spark = docs.sparkSession
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, h, bounds in _by_piece(batches):
+            low = (mixed(b.column(1).to_numpy().view(np.uint64)) >> np.uint64(32)).repeat(np.diff(bounds))
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            key = np.stack([h // np.uint64(buckets) & np.uint64(0xFFFFFFFF), low], axis=1)[order].astype("<u4")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([key[ends[x] : ends[x + 1]].tobytes() for x in some], pa.binary())], names=["bucket", "blob"])
+
+    def counted(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        key, c = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in t.column("blob")]).reshape(-1, 2).T
+        order = np.argsort(key, kind="stable")
+        key, c = key[order], c[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times = np.diff(np.append(start, len(key)))
+        some = (times > KEY_RUN) & (np.minimum.reduceat(c, start) < np.maximum.reduceat(c, start))
+        cell = _cells(key[start][some].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket), buckets)
+        level = np.minimum(255, 8 * np.log2(times[some])).astype(np.uint8)
+        order = np.argsort(cell)
+        cell, level = cell[order], level[order]
+        ends = np.searchsorted(cell, np.arange(0, COMMON_CELLS + 1, COMMON_PART))
+        parts = np.flatnonzero(np.diff(ends))
+        out = [(cell[ends[x] : ends[x + 1]] % COMMON_PART).astype("<u4").tobytes() + level[ends[x] : ends[x + 1]].tobytes() for x in parts]
+        return pa.table([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], names=["part", "cells"])
+
+    def gathered(t: pa.Table) -> pa.Table:
+        out = np.zeros(COMMON_PART, np.uint8)
+        for x in t.column("cells"):
+            n = len(x.as_buffer()) // 5
+            np.maximum.at(out, np.frombuffer(x.as_buffer(), "<u4", n), np.frombuffer(x.as_buffer(), np.uint8, n, 4 * n))
+        return pa.table([t.column("part")[:1].cast(pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "cells"])
+
+    found = docs.mapInArrow(dealt, "bucket int, blob binary").groupBy("bucket").applyInArrow(counted, "part int, cells binary")
+    table = np.zeros(COMMON_CELLS, np.uint8)
+    for r in found.groupBy("part").applyInArrow(gathered, "part int, cells binary").toLocalIterator():  # COMMON_CELLS bytes at most
+        table[r["part"] * COMMON_PART : (r["part"] + 1) * COMMON_PART] = np.frombuffer(bytes(r["cells"]), np.uint8)
+    return spark.sparkContext.broadcast(table)
+
+
+def _cells(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The cell of each element in the table of _common, by the part of its hash that a bucket there knows."""
+    n = np.uint64(buckets)
+    return (mixed((h // n & np.uint64(0xFFFFFFFF)) * n + h % n) % np.uint64(COMMON_CELLS)).astype(np.int64)
+
+
 def _rare(docs: DataFrame, sets: DataFrame, buckets: int, least: int) -> DataFrame:
     """What _met finds of documents (doc, c) by those elements of each of which two near ones share one, the rarest first.
 
-    Of n elements these are the first n - ceil(n least / 100) + 1 in an order that is the same everywhere: by how often a bounded
-    sample of the documents has an element, then by hash. The sample only makes shared passages come last.
+    Of n elements these are the first n - ceil(n least / 100) + 1 in an order that is the same everywhere: by _common, then by hash.
     """
-    spark = docs.sparkSession
     own = _among(sets.select("doc_id", "set"), docs.select("doc"))
     both = written(docs.join(own.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "c", "set"))
-    share = math.ceil(1_000_000 * min(1.0, RARE_SAMPLE / max(1, docs.count())))
-    sample = both.where(F.pmod(F.xxhash64("doc", F.lit(43)), F.lit(1_000_000)) < share).select("set")
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, _ in _by_piece(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["key"])
-
-    often = sample.mapInArrow(elements, "key long").groupBy("key").agg(F.count("*").alias("k")).where("k > 2").orderBy(F.desc("k"), "key").limit(HOT_MOST).collect()
-    known = np.array([r["key"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    table = spark.sparkContext.broadcast((known[order], np.array([r["k"] for r in often], np.int64)[order]))  # at most HOT_MOST
+    table = _common(both, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, k = table.value
         for b, h, bounds in _by_piece(batches):
             n = np.diff(bounds)
             owner = np.repeat(np.arange(len(n)), n)
-            times = np.zeros(len(h), np.int64)
-            if len(known) and len(h):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                times = np.where(known[at] == h, k[at], 0)
-            order = np.lexsort((h, times, owner))
+            order = np.lexsort((h, table.value[_cells(h, buckets)], owner))
             rank = np.arange(len(h)) - np.repeat(bounds[:-1], n)
             first = rank < (n - -(-n * least // 100) + 1)[owner]
             key, who = h[order][first], owner[first]
@@ -493,31 +582,31 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
     every = written(rows.mapInArrow(hashed, "doc_id long, n long, a long, b long"))
     ids = every.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("a", "b", "n")).alias("s"), F.count("*").alias("k")).select("doc_id", "s.*", "k")
-    classes = cut(ids.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
+    classes = cut(ids.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
     documents, elements = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    member = ids.drop("k").join(classes, ["a", "b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    member = written(ids.join(classes, ["a", "b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), ((F.col("members") > 1) | (F.col("k") > 1)).alias("copied")))
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), 10 * elements // BUCKET_BYTES)
     # of rows with one doc_id only the chosen one goes on
     several = written(ids.where("k > 1").select("doc_id", "a"))
     rows = rows.where("doc_id is not null")
     rows = rows.withColumn("a", F.lit(None).cast("long")) if several.isEmpty() else rows.join(several, "doc_id", "left")
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Ids, hashes of sets, elements and bounds of the rows (doc_id, text, a) that go on, without those with empty sets."""
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, hashes of sets, elements and bounds of the rows (doc_id, text, a, ...) that go on, without those with empty sets, and the last column."""
         for b in in_pieces(batches, "text", PIECE):
             hashes, bounds = shingle_sets(b.column(1))
             n = np.diff(bounds)
             whole = _whole(hashes, bounds, SALTS[0])
             want = b.column(2).to_numpy(zero_copy_only=False)
             keep = (n > 0) & (b.column(2).is_null().to_numpy(zero_copy_only=False) | (want == whole))
-            yield b.column(0).to_numpy()[keep], whole[keep].view(np.uint64), hashes[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])])
+            yield b.column(0).to_numpy()[keep], whole[keep].view(np.uint64), hashes[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)[keep]
 
     # signatures that many documents have, by a sample of the classes
     share = math.ceil(1_000_000 * min(1.0, HOT_SAMPLE / max(1, documents)))
     sample = written(classes.where(F.pmod(F.xxhash64("rep", F.lit(41)), F.lit(1_000_000)) < share).select(F.col("rep").alias("doc_id")), 1)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, _, h, bounds in chosen(batches):
+        for own, _, h, bounds, _ in chosen(batches):
             sig, owner, _ = signatures(h, bounds, least)
             order = np.lexsort((owner, sig))
             again = np.zeros(len(sig), bool)
@@ -530,10 +619,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
     del known
     release()
+    # only sets that several documents have are told apart by their hash; a few others are, too
+    copies = _names(member.where("copied").select("doc_id"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
-        for own, whole, h, bounds in chosen(batches):
+        for own, whole, h, bounds, slots in chosen(batches):
             # of equal sets in a task one is signed, so that no copied text is sent more often than there are tasks
             new = []
             for k, key in enumerate(zip(whole.tolist(), np.diff(bounds).tolist(), strict=True)):
@@ -547,11 +638,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
                 n = np.diff(bounds)
                 keep = np.zeros(len(n), bool)
                 keep[some] = True
-                out = list(_spread(own[some], whole[some], h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[some])]), buckets, hot.value, least))
+                out = list(_spread(own[some], whole[some], _is_named(copies.value, slots[some]), h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[some])]), buckets, hot.value, least))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
         release()
 
-    blobs = rows.select("doc_id", "text", "a").mapInArrow(signed, "bucket int, blob binary")
+    blobs = rows.select("doc_id", "text", "a", _slot("doc_id").alias("slot")).mapInArrow(signed, "bucket int, blob binary")
     found = written(blobs.groupBy("bucket").applyInArrow(lambda t: _matched(t, buckets, least), _OUT))
     many = {k: n for k, n in found.groupBy("kind").count().collect()}
     short, runs = many.get(1, 0) + many.get(4, 0), many.get(3, 0)
@@ -570,7 +661,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     wanted = _among(rows.select("doc_id", "text", "a"), pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(able))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, _, h, bounds in chosen(batches):
+        for own, _, h, bounds, _ in chosen(batches):
             each = [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.diff(bounds)), pa.array([odd_sketch(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], names=["doc_id", "n", "odd", "set"])
 
