@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from millrace.llm.common import folded, fresh, shared_folder
+from millrace.llm.common import folded, fresh, shared_folder, written
 from millrace.llm.queries import table, tokenizer_path, word_count
 
 
@@ -42,12 +42,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows with one doc_id the first by the hash of the text, then of all columns, stays; rows without a doc_id link
     with nothing and stay.
     """
-    (key,) = fresh(docs.columns, "key")
-    kept = ngram_join.near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    key, several, number, met = fresh(docs.columns, "key", "several", "number", "met")
+    kept = written(ngram_join.near_groups(docs).where("doc_id is not null").select(F.col("doc_id").alias(key), (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    numbered = docs.withColumn(number, F.col("doc_id").cast("long"))
+    repeated = numbered.groupBy(number).agg(F.count("*").alias(several)).where(F.col(several) > 1).select(number)
+    # texts of documents that stay as they are, and are told so by a bitmap, are not shuffled
+    marked = line_dedup.told(numbered, kept.where("not kept").select(key).unionByName(repeated.select(F.col(number).alias(key))), number, met)
     rest = [c for c in docs.columns if c != "doc_id"]
     order = F.struct(F.xxhash64("text"), F.xxhash64(*rest))
-    one = docs.join(kept, docs["doc_id"] == kept[key], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias(key))
-    return one.select("doc_id", f"{key}.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    joined = marked.where(met).join(kept.where("kept"), F.col(number) == F.col(key), "left_semi")
+    one = joined.groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias(key))
+    return one.select("doc_id", f"{key}.*").select(*docs.columns).unionByName(marked.where(~F.col(met)).select(*docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """What the n-gram join writes and shuffles stays in proportion to its input."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from millrace.llm import ngram_join
 
 
@@ -49,3 +53,26 @@ def test_passages_of_a_few_documents_are_not_taken_for_rare(spark):
     met = ngram_join._rare(spark.createDataFrame([r[:2] for r in rows], "doc long, c long"), sets, 16, 75).collect()
     assert not [r for r in met if r["kind"] == 2]
     assert near <= {(r["u"], r["v"]) for r in met if r["kind"] == 1}
+
+
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_texts_of_documents_that_stay_are_not_shuffled(spark, kind):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=2_000))
+    texts = [[word() for _ in range(40)] for _ in range(50)]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(texts)] + [(60, " ".join([*texts[3], "more"]), "s"), (4, "of one id a b c", "s"), (None, "no id", "s"), (None, None, None)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, source string").cache()
+    assert docs.count() == 54
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.5)
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = shuffled()
+    out = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert shuffled() - before < 0.3 * sum(len(t or "") for _, t, _ in rows)
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == list(range(50)) and sum(r["doc_id"] is None for r in out) == 2
+    assert {r["doc_id"]: r["text"] for r in out if r["doc_id"] not in (4, None)} == {i: " ".join(w) for i, w in enumerate(texts) if i != 4}
